@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_decontaminate": op5_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op5_decontaminate": op5_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
 
 ORACLE = {
     "op3_substring_dedup": """
