@@ -85,8 +85,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, **index_options) -> DataFrame:
-    """docs without the rows whose text another row with a larger doc_id has; all columns stay.  A document is one with its text, so rows that repeat a doc_id under different texts are told apart."""
+    """docs, all columns, with the row of the largest doc_id of each group of equal texts; rows that repeat it with its text go as well, but for one of them."""
     marked = mark_copies(docs, id_col, text_col, normalise, **index_options)
     gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")).distinct()
-    text = (normalise or (lambda c: c))(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.sha2(text, 256) == F.col("__gone_sha")), "left_anti")
+    sha = F.sha2((normalise or (lambda c: c))(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)
+    left = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (sha == F.col("__gone_sha")), "left_anti")
+    if not marked.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
+        left = left.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return left

@@ -365,3 +365,10 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     final = stored(named.join(names, "label").select("unit", "component_id"), folder, "final")
     out = units.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("unit")).alias("unit")).filter("unit is not null").join(final, "unit").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(units.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each component: that of the smallest doc_id.  Rows whose doc_id is null go if they are linked with one that is not."""
+    linked = link_documents(docs, shingle, percent, id_col, text_col)
+    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")), "left_anti")

@@ -137,3 +137,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
     for more in settled[1:]:
         out = out.unionByName(more)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies (column copy counts them from 1), with size, source_size, target and taken (the words of this copy).
+
+    Rows that agree in doc_id, source and size share their copies evenly.
+    """
+    mixed = mix_sources(docs, **options).filter("size > 0").groupBy("doc_id", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.withColumn("__size", word_count(F.col("text")))
+    mixed = mixed.withColumnsRenamed({"doc_id": "__id"})
+    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("size"))).drop("__id", "__size")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("taken", F.col("size")).drop("copies")
