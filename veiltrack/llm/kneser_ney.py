@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, dealt, find, gathered, parts_of, save, shared_folder, spread, squeeze
+from .shared import BLOCKS, Mapped, Packer, dealt, find, gathered, parts_of, save, shared_folder, spread, squeeze, take
 from .tokens import mix, slices, unmix, words
 
 _U = np.uint64
@@ -239,10 +239,7 @@ class _Scorer:
         token, at = _tokens(texts)
         keys, back = np.unique(token, return_inverse=True)
         part, place = find(keys, self.words)
-        id_of, count = np.where(place >= 0, self.first_id[part] + place, -1), np.zeros(len(keys), np.int64)
-        for p in np.unique(part[place >= 0]):
-            own = (part == p) & (place >= 0)
-            count[own] = self.counts[int(p)][place[own]]
+        id_of, count = np.where(place >= 0, self.first_id[part] + place, -1), take(self.counts, part, place)
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
         k = self._take("cont", id_of)  # ids rise with hashes
         low = m.word_mass / (m.types + 1) + (np.maximum(k - _discount(m.word_discounts, k), 0) / m.distinct_pairs if m.distinct_pairs else 0)
@@ -259,11 +256,7 @@ class _Scorer:
         both = np.flatnonzero((ids >= 0) & (before >= 0))
         if len(both):
             pair, again = np.unique(_key(before[both], ids[both]), return_inverse=True)
-            part, place = find(pair, self.pairs)
-            seen = np.zeros(len(pair), np.int64)
-            for q in np.unique(part[place >= 0]):
-                own = (part == q) & (place >= 0)
-                seen[own] = self.pair_counts[int(q)][place[own]]
+            seen = take(self.pair_counts, *find(pair, self.pairs)).astype(np.int64)
             p[both] += (np.maximum(seen - _discount(d, seen), 0))[again] / safe[which[both]]
         logs = np.log10(p)
         known = (count > 0)[back]

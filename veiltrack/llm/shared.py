@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 BLOCKS = "part int, keys binary, counts binary"
 #: Keys that a task gathers before it packs and sends them.
-FLUSH_KEYS = 4_000_000
+FLUSH_KEYS = 1_000_000
 
 _made: list[str] = []
 
@@ -179,3 +179,15 @@ def find(keys: np.ndarray, table: Mapped) -> tuple[np.ndarray, np.ndarray]:
             hit = own[np.minimum(k, len(own) - 1)] == keys[i:j]
             at[i:j] = np.where(hit, k, -1)
     return part, at
+
+
+def take(table: Mapped, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values at places that find gave (parts rise); 0 where there is none."""
+    out = np.zeros(len(at), table.dtype)
+    cut = np.searchsorted(part, np.arange(table.parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        own = at[cut[p] : cut[p + 1]]
+        there = np.flatnonzero(own >= 0)
+        if len(there):
+            out[cut[p] + there] = table[int(p)][own[there]]
+    return out

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _PIECE = 1 << 19
 
 _U = np.uint64
