@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,25 +238,45 @@ def _may_link(a: str, b: str, percent: int):
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (rest * (100 + percent) >= (na + nb) * percent)
 
 
-def _verify(pairs: DataFrame, folder: str, parts: int, percent: int) -> DataFrame:
-    """Of distinct pairs a, b, those whose sets are similar enough."""
-    ids, ends, sets = Mapped(folder, "ids", parts, np.uint64), Mapped(folder, "ends", parts, np.int64), Mapped(folder, "sets", parts, np.uint64)
+class _Sets:
+    """Sets of units on shared files: each task that found some wrote one file, and an index by unit tells file, first hash and size."""
+
+    def __init__(self, folder: str, name: str, parts: int):
+        self.folder, self.name = folder, name
+        self.ids = Mapped(folder, f"{name}-ids", parts, np.uint64)
+        self.where = Mapped(folder, f"{name}-where", parts, np.int64)
+        self.open: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "open": {}}
+
+    def get(self, keys: np.ndarray) -> dict[int, np.ndarray]:
+        """Sets of distinct sorted units, of those that are here."""
+        part, at = find(keys, self.ids)
+        out = {}
+        for u, p, k in zip(keys.tolist(), part.tolist(), at.tolist()):
+            if k >= 0:
+                file, first, size = self.where[p][3 * k : 3 * k + 3].tolist()
+                if file not in self.open:
+                    self.open[file] = np.memmap(f"{self.folder}/{self.name}-sets.{file}", np.uint64, "r")
+                out[u] = self.open[file][first : first + size]
+        return out
 
-    def get(units: np.ndarray) -> list[np.ndarray]:
-        keys, back = np.unique(units, return_inverse=True)
-        part, at = find(keys, ids)
-        if (at < 0).any():
-            raise RuntimeError("a unit's set is missing")
-        own = [sets[p][(ends[p][k - 1] if k else 0) : ends[p][k]] for p, k in zip(part.tolist(), at.tolist())]
-        return [own[i] for i in back.tolist()]
+
+def _verify(pairs: DataFrame, held: list[_Sets], percent: int) -> DataFrame:
+    """Of distinct pairs a, b, those whose sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 a, b = (part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+                sets = {}
+                for own in held:
+                    sets |= own.get(np.unique(np.concatenate((a, b))))
                 ok = np.zeros(len(a), bool)
-                for i, (x, y) in enumerate(zip(get(a), get(b))):
+                for i, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
+                    x, y = sets[u], sets[v]
                     both = np.concatenate((x, y))
                     both.sort(kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
@@ -265,36 +286,50 @@ def _verify(pairs: DataFrame, folder: str, parts: int, percent: int) -> DataFram
     return pairs.select("a", "b").mapInArrow(check, "a long, b long")
 
 
-def _save_sets(docs: DataFrame, wanted: Mapped, folder: str, parts: int, size: int, salt: int) -> None:
-    """Sets of the wanted units on shared files: sorted ids, ends, and the sets in that order."""
+def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str, name: str, parts: int, size: int, salt: int) -> _Sets:
+    """Puts the sets of the units in pairs a, b on shared files, but for those that are there."""
+    wanted = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
+    wanted = _save_ids(wanted, "unit", folder, f"{name}-wanted", parts)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        task, seen, first, path = TaskContext.get().taskAttemptId(), set(), 0, None
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 sets, at = shingle_sets(batch.column(1).slice(lo, hi - lo), size)
                 unit = _set_hash(sets, at, salt)
-                rows = [i for i in np.flatnonzero(_have(unit, wanted) & (np.diff(at) > 0)).tolist() if not (int(unit[i]) in seen or seen.add(int(unit[i])))]
+                need = _have(unit, wanted) & (np.diff(at) > 0)
+                for other in have:
+                    need &= ~_have(unit, other.ids)
+                rows = [i for i in np.flatnonzero(need).tolist() if not (int(unit[i]) in seen or seen.add(int(unit[i])))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(part_of(unit[rows], parts), pa.int32()), _signed(unit[rows]), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], names=["part", "unit", "keys"])
+                    path = path or f"{folder}/{name}-sets.{task}"
+                    with open(path, "ab") as f:
+                        for i in rows:
+                            f.write(sets[at[i] : at[i + 1]].tobytes())
+                    n = np.diff(at)[rows]
+                    where = np.stack([np.full(len(rows), task), first + np.cumsum(n) - n, n], 1)
+                    first += int(n.sum())
+                    part = part_of(unit[rows], parts)
+                    order = np.argsort(part, kind="stable")
+                    cut = np.searchsorted(part[order], np.arange(parts + 1))
+                    cut = [(p, order[i:j]) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([unit[rows][k].tobytes() for _, k in cut], pa.binary()), pa.array([where[k].tobytes() for _, k in cut], pa.binary())], names=["part", "keys", "counts"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, {}
+        part, unit, where = None, [], []
         for batch in batches:
-            for p, u, k in zip(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64).tolist(), batch.column(2)):
+            for p, u, w in zip(*(batch.column(i) for i in range(3))):
                 part = p.as_py()
-                if u not in held:
-                    held[u] = np.frombuffer(k.as_buffer(), np.uint64).copy()
+                unit.append(np.frombuffer(u.as_buffer(), np.uint64))
+                where.append(np.frombuffer(w.as_buffer(), np.int64).reshape(-1, 3))
         if part is not None:
-            order = sorted(held)
-            save(folder, "ids", part, np.array(order, np.uint64))
-            save(folder, "ends", part, np.cumsum([len(held[u]) for u in order]).astype(np.int64))
-            save(folder, "sets", part, np.concatenate([held[u] for u in order]))
-        yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+            keys, first = np.unique(np.concatenate(unit), return_index=True)
+            save(folder, f"{name}-ids", part, keys)
+            save(folder, f"{name}-where", part, np.concatenate(where)[first])
+        yield pa.RecordBatch.from_arrays([pa.array([len(unit)])], names=["n"])
 
-    # copies that several tasks saw meet here once a task
-    blocks = docs.mapInArrow(pick, "part int, unit long, keys binary")
-    dealt(blocks, parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    dealt(docs.mapInArrow(pick, BLOCKS), parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    return _Sets(folder, name, parts)
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -338,10 +373,8 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     star = star.select(F.col("q.unit").alias("a"), F.col("p.unit").alias("b")).unionByName(members.select(F.col("head").alias("a"), F.col("unit").alias("b")))
     star = stored(star.distinct(), folder, "star")
 
-    busy = leader.select("token")
-    wanted = postings.join(busy, "token").select("unit").unionByName(members.select("unit")).unionByName(members.select(F.col("head").alias("unit")))
-    _save_sets(rows, _save_ids(wanted.distinct(), "unit", folder, "wanted", parts), folder, parts, shingle, salt)
-    links = stored(_verify(star.repartition("a", "b"), folder, parts, percent), folder, "links")
+    held = [_save_sets(rows, star, [], folder, "star", parts, shingle, salt)]
+    links = stored(_verify(star.repartition("a", "b"), held, percent), folder, "links")
     label = components(links, folder, "first")
 
     # postings by unit, a group's members included, with their components
@@ -355,8 +388,12 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     cross = minor.alias("p").join(split.alias("q"), "token").filter("p.label <> q.label and (q.label = q.major or p.unit < q.unit)").filter(_may_link("p", "q", percent))
     cross = cross.select(F.least("p.unit", "q.unit").alias("a"), F.greatest("p.unit", "q.unit").alias("b")).distinct()
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_verify(cross.repartition("a", "b"), folder, parts, percent), folder, "more")
-    if not more.isEmpty():
+    cross = stored(cross, folder, "cross")
+    more = None
+    if not cross.isEmpty():
+        held.append(_save_sets(rows, cross, held, folder, "cross", parts, shingle, salt))
+        more = stored(_verify(cross.repartition("a", "b"), held, percent), folder, "more")
+    if more is not None and not more.isEmpty():
         links = links.unionByName(more)
         label = components(links, folder, "all")
 
