@@ -332,20 +332,41 @@ def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str
     return _Sets(folder, name, parts)
 
 
+def _relabelled(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Distinct edges a < b between the labels of their ends; ends without a label keep their name."""
+    for end in ("a", "b"):
+        named = label.select(F.col("unit").alias(end), F.col("label").alias("to"))
+        edges = edges.join(named, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
-    """unit, label (the smallest unit that links reach) for units that have links."""
-    both = stored(links.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("unit"), F.col("a").alias("other"))), folder, f"{name}-edges")
-    label = stored(both.groupBy("unit").agg(F.least(F.first("unit"), F.min("other")).alias("label")), folder, f"{name}-label0")
-    turn = 0
+    """unit, label (one unit of those that links reach, the same for all of them) for units that have links.
+
+    Each turn every unit takes its smallest neighbour for its parent, parents
+    are followed to their roots by pointer jumping, and the links between
+    roots are the next turn's; they are a fraction of those before.
+    """
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges0")
+    label, turn = None, 0
     while True:
-        turn += 1
-        near = both.join(label.select(F.col("unit").alias("other"), "label"), "other").groupBy("unit").agg(F.min("label").alias("near"))
-        lower = label.join(near, "unit").select("unit", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = label.select(F.col("unit").alias("label"), F.col("label").alias("further"))
-        step = lower.join(jump, "label", "left").select("unit", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        step = stored(step, folder, f"{name}-label{turn}")
-        label = step.select("unit", "label")
-        if step.filter("old <> label").isEmpty():
+        both = edges.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("unit"), F.col("a").alias("other")))
+        root, jump = both.groupBy("unit").agg(F.min("other").alias("label")).select("unit", F.least("unit", "label").alias("label")), 0
+        while True:
+            root = stored(root, folder, f"{name}-root{turn}-{jump}")
+            further = root.select(F.col("unit").alias("label"), F.col("label").alias("further"))
+            next_root = root.join(further, "label").select("unit", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved"))
+            next_root, jump = stored(next_root, folder, f"{name}-next{turn}-{jump}"), jump + 1
+            if next_root.filter("moved").isEmpty():
+                break
+            root = next_root.drop("moved")
+        if label is None:
+            label = root
+        else:
+            step = root.select(F.col("unit").alias("label"), F.col("label").alias("to"))
+            label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")), folder, f"{name}-label{turn}")
+        edges, turn = stored(_relabelled(edges, root), folder, f"{name}-edges{turn + 1}"), turn + 1
+        if edges.isEmpty():
             return label
 
 
@@ -394,8 +415,9 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         held.append(_save_sets(rows, cross, held, folder, "cross", parts, shingle, salt))
         more = stored(_verify(cross.repartition("a", "b"), held, percent), folder, "more")
     if more is not None and not more.isEmpty():
-        links = links.unionByName(more)
-        label = components(links, folder, "all")
+        step = components(_relabelled(more, label), folder, "second").withColumnsRenamed({"unit": "label", "label": "to"})
+        alone = step.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("unit"), F.col("to").alias("label"))
+        label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, "label")
 
     named = sets.select("unit", "least").join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
