@@ -415,7 +415,7 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         held.append(_save_sets(rows, cross, held, folder, "cross", parts, shingle, salt))
         more = stored(_verify(cross.repartition("a", "b"), held, percent), folder, "more")
     if more is not None and not more.isEmpty():
-        step = components(_relabelled(more, label), folder, "second").withColumnsRenamed({"unit": "label", "label": "to"})
+        step = components(_relabelled(more, label), folder, "second").select(F.col("unit").alias("label"), F.col("label").alias("to"))
         alone = step.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("unit"), F.col("to").alias("label"))
         label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, "label")
 
