@@ -75,7 +75,8 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAS
     symbol = np.zeros(256, np.int64)
     symbol[used] = np.arange(1, len(used) + 1)
     width, n_lang = len(used) + 1, max(1, len(languages))
-    docs = [(k, symbol[b]) for k, b in docs]
+    number_type = np.int32 if width**order < 1 << 31 else np.int64
+    docs = [(k, symbol[b].astype(np.int16)) for k, b in docs]
     # contexts of each length as numbers in base width, the byte just before last
     nodes: list[dict[int, int]] = [{0: 0}]
     counts = []
@@ -83,13 +84,14 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAS
         context, nexts, lang = [], [], []
         for k, s in docs:
             if len(s) > length:
-                c = np.zeros(len(s) - length, np.int64)
+                c = np.zeros(len(s) - length, number_type)
                 for d in range(length, 0, -1):
                     c = c * width + s[length - d : len(s) - d]
                 context.append(c)
                 nexts.append(s[length:])
-                lang.append(np.full(len(c), k))
-        c, s, k = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (context, nexts, lang))
+                lang.append(np.full(len(c), k, np.int16))
+        c, s, k = (np.concatenate(x) if x else np.empty(0, np.int16) for x in (context, nexts, lang))
+        del context, nexts, lang
         if length:
             seen, n = np.unique(c, return_counts=True)
             start = sum(map(len, nodes))
@@ -97,8 +99,8 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAS
             parents = nodes[-1]
             kept = [x for x, m in zip(seen.tolist(), n.tolist()) if m >= least_seen and x % shorter in parents]
             nodes.append({x: start + i for i, x in enumerate(kept)})
-        ids = np.array(list(nodes[-1]), np.int64)
-        here = np.isin(c, ids)
+        ids = np.array(sorted(nodes[-1]), number_type)
+        here = ids[np.minimum(np.searchsorted(ids, c), len(ids) - 1)] == c if len(ids) else np.zeros(len(c), bool)
         counts.append((c[here], s[here], k[here]))
     total = sum(map(len, nodes))
     child = np.full((total, width), -1, np.int32)
@@ -106,20 +108,24 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAS
     for length, own in enumerate(nodes):
         keys = np.array(sorted(own), np.int64)
         ids = np.array([own[int(x)] for x in keys], np.int64)
-        seen = np.zeros((len(keys), width, n_lang), np.int64)
         c, s, k = counts[length]
-        np.add.at(seen, (np.searchsorted(keys, c), s, k), 1)
-        n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+        c = np.searchsorted(keys, c)
+        order = np.argsort(c, kind="stable")
+        c, s, k = c[order], s[order], k[order]
         if length:
             shorter = width ** (length - 1)
             parent = np.array([nodes[length - 1][int(x)] for x in keys % shorter], np.int64)
             child[parent, keys // shorter] = ids
-            below = bits[parent]
-        else:
-            below = np.full((1, width, n_lang), 8.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own_bits = np.where(seen > 0, -np.log2(seen / (n + q)), -np.log2(q / (n + q)) + below)
-        bits[ids] = np.where(n > 0, own_bits, below)
+        for lo in range(0, len(keys), 512):  # some contexts at a time: the driver holds little besides the table
+            hi = min(lo + 512, len(keys))
+            i, j = np.searchsorted(c, (lo, hi))
+            seen = np.zeros((hi - lo, width, n_lang), np.int64)
+            np.add.at(seen, (c[i:j] - lo, s[i:j], k[i:j]), 1)
+            n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+            below = bits[parent[lo:hi]] if length else np.full((1, width, n_lang), 8.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                own_bits = np.where(seen > 0, -np.log2(seen / (n + q)), -np.log2(q / (n + q)) + below)
+            bits[ids[lo:hi]] = np.where(n > 0, own_bits, below)
     return Trees(languages, order, symbol, child, bits)
 
 
