@@ -110,8 +110,8 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAS
         ids = np.array([own[int(x)] for x in keys], np.int64)
         c, s, k = counts[length]
         c = np.searchsorted(keys, c)
-        order = np.argsort(c, kind="stable")
-        c, s, k = c[order], s[order], k[order]
+        by_context = np.argsort(c, kind="stable")
+        c, s, k = c[by_context], s[by_context], k[by_context]
         if length:
             shorter = width ** (length - 1)
             parent = np.array([nodes[length - 1][int(x)] for x in keys % shorter], np.int64)

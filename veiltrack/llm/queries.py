@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, mixing, substring_dedup
+from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, license_scan, mixing, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op5_decontaminate": op5_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
 
 ORACLE = {
     "op3_substring_dedup": """
