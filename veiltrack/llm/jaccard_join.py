@@ -10,12 +10,13 @@
    shingle in the prefixes.  The sets of the units concerned are kept on shared
    files, and workers verify pairs of units on the memory-mapped sets.
 
-Pairs are made in two rounds.  First every posting's members are paired with
-one leader only; the links found give components.  Then a posting whose
-members lie in several components pairs the members of the smaller ones with
-the rest of it.  A group of near copies costs as many pairs as it has members,
-and no link between two components is left out.  Components come from label
-propagation with pointer jumping on the links.
+Pairs are made in turns.  First every posting's members are paired with one
+leader only; the links found give components.  Of a posting whose members lie
+in several components, those outside the largest are paired with some members
+of it, then with more of them.  At last members of different components are
+paired with each other wherever they may link.  A group of near copies costs as
+many pairs as it has members, times a constant, and no link between two
+components is left out.  Components come from contracting the links.
 
 Defined results: null text, or text without words, has the empty set: it is
 linked with nothing and is its own component; a null doc_id is larger than
@@ -42,8 +43,11 @@ PERCENT = 75
 #: Counters of the sketch (4 bytes each; this many are broadcast).
 SKETCH = 1 << 21
 _STRIPES = 64
+#: Leaders that units outside a component are tried against, turn by turn, before all pairs that are left.
+MORE_LEADERS = (8, 32, 128)
 
 _U = np.uint64
+POSTING = "token long, unit long, n long, pos long, last long, most long"
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +113,7 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-_FOUND = "doc_id {}, tag long, n long, unit long, check long, head1 long, head2 long, prefix binary"
+_FOUND = "doc_id {}, tag long, n long, unit long, check long, head1 long, head2 long, last long, prefix binary"
 
 
 def _units(docs: DataFrame, sketch, size: int, percent: int, salt: int) -> DataFrame:
@@ -127,8 +131,11 @@ def _units(docs: DataFrame, sketch, size: int, percent: int, salt: int) -> DataF
                 order = np.concatenate([np.argsort(weight[a:b], kind="stable")[:k] + a for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), need.tolist())] or [np.empty(0, np.int64)])
                 heads, cut = sets[order], np.concatenate(([0], np.cumsum(need)))
                 head = [_set_hash(heads, cut, salt + k) for k in (3, 4)]
+                # rank of the last prefix shingle: its count, then the upper half of its hash
+                end = order[np.maximum(cut[1:] - 1, 0)] if len(order) else np.zeros(len(n), np.int64)
+                last = np.where(n > 0, (weight[end].astype(np.int64) >> 1 << 32) | (sets[end] >> _U(32)).astype(np.int64), 0) if len(order) else np.zeros(len(n), np.int64)
                 prefix = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(heads.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), _signed(_set_hash(sets, at, salt)), _signed(_set_hash(sets, at, salt + 1)), _signed(head[0]), _signed(head[1]), prefix], names=["doc_id", "tag", "n", "unit", "check", "head1", "head2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), _signed(_set_hash(sets, at, salt)), _signed(_set_hash(sets, at, salt + 1)), _signed(head[0]), _signed(head[1]), pa.array(last), prefix], names=["doc_id", "tag", "n", "unit", "check", "head1", "head2", "last", "prefix"])
 
     return docs.mapInArrow(build, _FOUND.format(docs.dtypes[0][1]))
 
@@ -187,7 +194,12 @@ def _have(ids: np.ndarray, table: Mapped) -> np.ndarray:
 
 
 def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int) -> DataFrame:
-    """token, unit, n, pos for prefix tokens that two groups or more have; one row for a group, under the name of its first unit."""
+    """token, unit, n, pos, last, most for prefix tokens that two groups or more have; one row for a group, under the name of its first unit.
+
+    most is how many of a set's shingles can be in a set of another group
+    whose prefix ends no earlier than its own (at ``last``): those after the
+    prefix, and those in it that another group's prefix has.
+    """
     heads, tags = _save_tags(groups, folder, "heads", parts)
     tokens = Mapped(folder, "tokens", parts, np.uint64)
 
@@ -198,12 +210,12 @@ def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int) -> D
         for u, i, p, k in zip(keys, first.tolist(), part.tolist(), at.tolist()):
             same = np.flatnonzero(ids == u) if k >= 0 and tag[i] != tags[p][k] else [i]
             if k >= 0 and (tag[same] == tags[p][k]).any():  # the row that stands for its unit
-                yield u, batch.column(1)[i].as_py(), np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                yield u, batch.column(1)[i].as_py(), batch.column(4)[i].as_py(), np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
         for batch in batches:
-            rows = [t for _, _, t in own(batch)]
+            rows = [t for *_, t in own(batch)]
             if rows:
                 yield from packer.add(np.concatenate(rows))
         yield from packer.flush()
@@ -219,23 +231,26 @@ def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int) -> D
             rows = list(own(batch))
             if not rows:
                 continue
-            size = np.array([len(t) for _, _, t in rows])
-            token = np.concatenate([t for _, _, t in rows])
+            unit, n, last = (np.array([r[k] for r in rows], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+            size = np.array([len(r[3]) for r in rows])
+            token = np.concatenate([r[3] for r in rows])
             hit = _have(token, tokens)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            unit, n = np.repeat(np.array([u for u, _, _ in rows], np.uint64), size), np.repeat(np.array([n for _, n, _ in rows]), size)
-            yield pa.RecordBatch.from_arrays([_signed(token[hit]), _signed(unit[hit]), pa.array(n[hit]), pa.array(pos[hit])], names=["token", "unit", "n", "pos"])
+            most = n - size + np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            each = [np.repeat(x, size)[hit] for x in (unit, n, last, most)]
+            yield pa.RecordBatch.from_arrays([_signed(token[hit]), _signed(each[0]), pa.array(each[1]), pa.array(pos[hit]), pa.array(each[2]), pa.array(each[3])], names=["token", "unit", "n", "pos", "last", "most"])
 
-    firsts = units.filter("n > 0").select("unit", "n", "prefix", "tag")
+    firsts = units.filter("n > 0").select("unit", "n", "prefix", "tag", "last")
     dealt(firsts.mapInArrow(pack, BLOCKS), parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
-    return stored(firsts.mapInArrow(post, "token long, unit long, n long, pos long").distinct(), folder, "postings")
+    return stored(firsts.mapInArrow(post, POSTING).distinct(), folder, "postings")
 
 
-def _may_link(a: str, b: str, percent: int):
-    """Bounds for two postings: sizes, and what can be common from here on (exact where this token is the first in common)."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _may_link(a: str, b: str, percent: int, first: bool = True):
+    """Bounds for two postings: sizes, what can be common at all by the set whose prefix ends first, and, if this token is to be the first in common, what can be common from here on."""
+    na, nb, la, lb, ma, mb = (F.col(f"{x}.{c}") for c in ("n", "last", "most") for x in (a, b))
     rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (rest * (100 + percent) >= (na + nb) * percent)
+    most = F.when(la < lb, ma).when(lb < la, mb).otherwise(F.greatest(ma, mb))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & ((F.least(rest, most) if first else most) * (100 + percent) >= (na + nb) * percent)
 
 
 class _Sets:
@@ -288,8 +303,20 @@ def _verify(pairs: DataFrame, held: list[_Sets], percent: int) -> DataFrame:
 
 def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str, name: str, parts: int, size: int, salt: int) -> _Sets:
     """Puts the sets of the units in pairs a, b on shared files, but for those that are there."""
-    wanted = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
-    wanted = _save_ids(wanted, "unit", folder, f"{name}-wanted", parts)
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            gone = np.zeros(len(units), bool)
+            for other in have:
+                gone |= _have(units, other.ids)
+            yield batch.filter(pa.array(~gone))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("unit"))
+    missing = stored(ends.distinct().mapInArrow(lacking, "unit long"), folder, f"{name}-missing")
+    if missing.isEmpty():
+        return _Sets(folder, name, parts)
+    wanted = _save_ids(missing, "unit", folder, f"{name}-wanted", parts)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, first, path = TaskContext.get().taskAttemptId(), set(), 0, None
@@ -298,8 +325,6 @@ def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str
                 sets, at = shingle_sets(batch.column(1).slice(lo, hi - lo), size)
                 unit = _set_hash(sets, at, salt)
                 need = _have(unit, wanted) & (np.diff(at) > 0)
-                for other in have:
-                    need &= ~_have(unit, other.ids)
                 rows = [i for i in np.flatnonzero(need).tolist() if not (int(unit[i]) in seen or seen.add(int(unit[i])))]
                 if rows:
                     path = path or f"{folder}/{name}-sets.{task}"
@@ -370,6 +395,32 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return label
 
 
+def _several(everyone: DataFrame, label: DataFrame, folder: str, turn: int) -> DataFrame:
+    """Postings whose members lie in several components, with the label of each, the major label and how many members have it."""
+    rows = stored(everyone.join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit")), folder, f"labelled{turn}")
+    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
+    split = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most_of"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return stored(rows.join(split.select("token", F.col("most_of.label").alias("major"), F.col("most_of.k").alias("k")), "token"), folder, f"split{turn}")
+
+
+def _pair(p: str, q: str) -> list:
+    return [F.least(f"{p}.unit", f"{q}.unit").alias("a"), F.greatest(f"{p}.unit", f"{q}.unit").alias("b")]
+
+
+def _with_leaders(split: DataFrame, leaders: int, turn: int, percent: int) -> DataFrame:
+    """Units outside a major component, each with about so many of its members, by a hash, in one posting: the one with the most of them.  Most of what belongs to a component joins it here, at a cost of its size."""
+    one = split.filter("label <> major").groupBy("unit").agg(F.max_by(F.struct("token", "n", "pos", "last", "most"), F.struct("k", "token")).alias("own")).select("unit", "own.*")
+    draw = F.shiftrightunsigned(F.xxhash64("unit", F.lit(turn)), 11) / F.lit(float(1 << 53))
+    some = split.filter("label = major").filter(draw * F.col("k") < leaders)
+    return one.alias("p").join(some.alias("q"), "token").filter(_may_link("p", "q", percent, first=False)).select(*_pair("p", "q")).distinct()
+
+
+def _across(split: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a posting's members in different components that may link: those outside the major one with each other and with it."""
+    pairs = split.filter("label <> major").alias("p").join(split.alias("q"), "token").filter("p.label <> q.label and (q.label = q.major or p.unit < q.unit)")
+    return pairs.filter(_may_link("p", "q", percent)).select(*_pair("p", "q")).distinct()
+
+
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -389,35 +440,37 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     members = stored(sets.join(crowd, ["head1", "head2", "n"]).select("head", "unit").filter("head <> unit"), folder, "members")
     postings = _postings(groups, units, folder, parts)
 
-    leader = postings.groupBy("token").agg(F.min(F.struct("unit", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leader = postings.groupBy("token").agg(F.min(F.struct("unit", "n", "pos", "last", "most")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     star = postings.alias("p").join(leader.select("token", "lead.*").alias("q"), "token").filter("p.unit <> q.unit").filter(_may_link("p", "q", percent))
     star = star.select(F.col("q.unit").alias("a"), F.col("p.unit").alias("b")).unionByName(members.select(F.col("head").alias("a"), F.col("unit").alias("b")))
     star = stored(star.distinct(), folder, "star")
 
     held = [_save_sets(rows, star, [], folder, "star", parts, shingle, salt)]
     links = stored(_verify(star.repartition("a", "b"), held, percent), folder, "links")
-    label = components(links, folder, "first")
-
-    # postings by unit, a group's members included, with their components
-    everyone = postings.select("token", F.col("unit").alias("head"), "unit", "n", "pos").unionByName(postings.join(members.withColumnRenamed("unit", "member"), postings["unit"] == members["head"]).select("token", "head", F.col("member").alias("unit"), "n", "pos"))
-    everyone = everyone.join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-    everyone = stored(everyone, folder, "everyone")
-    sizes = everyone.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    split = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", F.col("most.label").alias("major"))
-    split = stored(everyone.join(split, "token"), folder, "split")
-    minor = split.filter("label <> major")
-    cross = minor.alias("p").join(split.alias("q"), "token").filter("p.label <> q.label and (q.label = q.major or p.unit < q.unit)").filter(_may_link("p", "q", percent))
-    cross = cross.select(F.least("p.unit", "q.unit").alias("a"), F.greatest("p.unit", "q.unit").alias("b")).distinct()
-    cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    cross = stored(cross, folder, "cross")
-    more = None
-    if not cross.isEmpty():
-        held.append(_save_sets(rows, cross, held, folder, "cross", parts, shingle, salt))
-        more = stored(_verify(cross.repartition("a", "b"), held, percent), folder, "more")
-    if more is not None and not more.isEmpty():
-        step = components(_relabelled(more, label), folder, "second").select(F.col("unit").alias("label"), F.col("label").alias("to"))
-        alone = step.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("unit"), F.col("to").alias("label"))
-        label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, "label")
+    label, tested = components(links, folder, "first"), star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # postings by unit, a group's members included
+    everyone = postings.unionByName(postings.withColumnRenamed("unit", "head").join(members, "head").drop("head"))
+    # a group meets under its own name too, and there its members can have all in common
+    crowded = crowd.select(F.col("head"), F.col("head").alias("unit"), "n").unionByName(members.join(crowd.select("head", "n"), "head"))
+    own = F.xxhash64(F.lit("group"), F.col("head")).alias("token")
+    zero = F.lit(0).cast("long")
+    everyone = everyone.unionByName(crowded.select(own, "unit", "n", zero.alias("pos"), zero.alias("last"), F.col("n").alias("most")))
+
+    for turn, leaders in enumerate((*MORE_LEADERS, None)):
+        split = _several(everyone, label, folder, turn)
+        pairs = _with_leaders(split, leaders, turn, percent) if leaders else _across(split, percent)
+        pairs = stored(pairs, folder, f"asked{turn}")  # distinct before those that were tested go
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs{turn}")
+        if pairs.isEmpty():
+            continue
+        held.append(_save_sets(rows, pairs, held, folder, f"held{turn}", parts, shingle, salt))
+        more = stored(_verify(pairs.repartition("a", "b"), held, percent), folder, f"more{turn}")
+        tested = tested.unionByName(pairs)
+        if not more.isEmpty():
+            step = components(_relabelled(more, label), folder, f"turn{turn}").select(F.col("unit").alias("label"), F.col("label").alias("to"))
+            alone = step.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("unit"), F.col("to").alias("label"))
+            label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, f"label{turn}")
 
     named = sets.select("unit", "least").join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -242,7 +242,7 @@ class _Scorer:
         id_of, count = np.where(place >= 0, self.first_id[part] + place, -1), take(self.counts, part, place)
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
         k = self._take("cont", id_of)  # ids rise with hashes
-        low = m.word_mass / (m.types + 1) + (np.maximum(k - _discount(m.word_discounts, k), 0) / m.distinct_pairs if m.distinct_pairs else 0)
+        low = m.word_mass / (m.types + 1) + np.maximum(k - _discount(m.word_discounts, k), 0) / max(m.distinct_pairs, 1)
         ids = id_of[back]
         before = _pairs(ids, at, m.types)
         low_each = low[back]
