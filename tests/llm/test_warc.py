@@ -19,7 +19,7 @@ def sha1(data):
 
 
 def test_text_and_links():
-    assert visible_text(PAGE) == "Head\none two\xa0three\nfour\nlink"
+    assert visible_text(PAGE) == "Head\none two three\nfour\nlink"
     assert [x["url"] for x in page_links(PAGE)] == ["/x?a=1&b=2", "i.png"]
     assert visible_text("") == "" and visible_text("<p>open <b") == "open <b" and visible_text("1 < 2 and <i>so</i>") == "1 < 2 and so"
 

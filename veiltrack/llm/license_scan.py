@@ -104,10 +104,10 @@ def matches(text: np.ndarray, hits: list[tuple[int, int, int]], index: dict, cov
     """(template, matched, first, end) of a text's word hashes and its hits (template, diagonal, position)."""
     found, done = [], []
     for t, diagonal, _ in sorted(hits):
-        if done and done[-1][0] == t and diagonal - done[-1][1] <= band:
+        own = index["words"][t]
+        if done and done[-1][0] == t and diagonal - done[-1][1] <= min(band, len(own) - 1):
             continue  # the band around the one before holds it
         done.append((t, diagonal))
-        own = index["words"][t]
         lo, hi = max(0, diagonal - band), min(len(text), diagonal + len(own) + band)
         start = max(0, diagonal)
         if np.array_equal(text[start : start + len(own)], own):

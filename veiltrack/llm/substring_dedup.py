@@ -61,10 +61,14 @@ def recompress(w: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray,
             starts[1:] |= sym[1:] != sym[:-1]
             at = np.flatnonzero(starts)
             size = np.diff(np.append(at, len(sym)))
-            left, right = np.full(len(at), -_FAR), np.full(len(at), _FAR)
-            left[1:] = np.where(opens[at[1:]], -_FAR, lo[at[1:] - 1])
-            right[:-1] = np.where(opens[at[1:]], _FAR, hi[at[1:]])
-            new_lo, new_hi = np.minimum(np.minimum.reduceat(lo, at), left), np.maximum(np.maximum.reduceat(hi, at), right)
+            # a run is as long as it is because of its neighbours: all that decided those counts
+            new_lo, new_hi = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+            edge, before, after = opens[at[1:]], at[1:] - 1, at[1:]
+            for mine, near in ((slice(1, None), before), (slice(None, -1), after)):
+                new_lo[mine] = np.minimum(new_lo[mine], np.where(edge, new_lo[mine], lo[near]))
+                new_hi[mine] = np.maximum(new_hi[mine], np.where(edge, new_hi[mine], hi[near]))
+            new_lo[0], new_hi[-1] = -_FAR, _FAR
+            new_lo[1:][edge], new_hi[:-1][edge] = -_FAR, _FAR
             many = size > 1
             sym = sym[at].copy()
             sym[many] = mix(sym[many] + size[many].astype(np.uint64) * _U(0xA24BAED4963EE407))

@@ -39,7 +39,7 @@ _TAG = re.compile(r"<[!/?]?[a-zA-Z][^>]*>|<[!/?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _HEAD_TITLE = re.compile(r"<title\b[^>]*>.*?(?:</title\s*>|\Z)", re.S | re.I)
 _LINK = re.compile(r"<(a|area|img|link|iframe|script)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
-_SPACE = re.compile(r"[ \t\r\f\v ]+")
+_SPACE = re.compile(r"[ \t\r\f\v\u00a0]+")
 _LINES = re.compile(r" *\n[ \n]*")
 
 
@@ -161,8 +161,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for headers, block in parse_records(content):
                     if headers.get("WARC-Type") == "response":
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", ""), http.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
+                        http, gap, body = block.partition(b"\r\n\r\n")
+                        rows.append((headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", ""), (http + gap).decode("utf-8", "replace"), body.decode("utf-8", "replace")))
                 yield pd.DataFrame(rows, columns=["source_id", "url", "date", "http", "html"], dtype=object)
 
     return files.mapInPandas(read, "source_id string, url string, date string, http string, html string")
