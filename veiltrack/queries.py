@@ -17,6 +17,7 @@ from .sinks import csv as csv_sink
 from .sinks import kml as kml_sink
 from .sinks import shapes as shape_sink
 from .sources import osm, shapes, trips
+from .streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,6 +554,12 @@ def pipeline_counters(spark, sf_dir):
     return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark), SMALL).counters
 
 
+@register("online_kept")
+def online_kept(spark, sf_dir):
+    """The rules of the streaming form, over whole trips."""
+    return online.kept_points(demo.trips(spark, sf_dir), SMALL).select(*KEYS, "raw")
+
+
 # Sinks
 
 
