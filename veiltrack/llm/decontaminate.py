@@ -121,22 +121,25 @@ def _indexes(benchmark: DataFrame, n: int, broadcast_bytes: int):
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with n_words, n_hit, spans (words and UTF-8 bytes, end exclusive) and item_ids (sorted as strings) under the names __n_words, __n_hit, __spans, __item_ids."""
-    keep = docs.columns if keep is None else keep
+    keep = list(docs.columns if keep is None else keep)
     each = _indexes(benchmark, n, broadcast_bytes)
-    rows = docs.select(F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in keep))
+    # the text is sent once: among the columns that stay, or besides them
+    besides = [] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *besides)
+    at, stay = keep.index(text_col) if text_col in keep else len(keep), len(keep)
     fields = "__n_words long, __n_hit long, __spans array<struct<first:long,end:long,first_byte:long,end_byte:long>>, __item_ids array<string>"
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[1:]), fields])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:stay]), fields])
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
+            for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                first, start, end, hit, items = _scan(part.column(0), each())
+                first, start, end, hit, items = _scan(part.column(at), each())
                 sums = np.concatenate(([0], np.cumsum(hit)))
                 edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
                 spans: list[list] = [[] for _ in range(len(part))]
-                base = np.concatenate(([0], np.cumsum([0 if x is None else x for x in pa.compute.binary_length(part.column(0)).to_pylist()])))
+                base = np.concatenate(([0], np.cumsum([0 if x is None else x for x in pa.compute.binary_length(part.column(at)).to_pylist()])))
                 for d in items:
                     a, b = int(first[d]), int(first[d + 1])
                     s = np.flatnonzero((edge[a:b] == 1) | ((np.arange(a, b) == a) & hit[a:b])) + a
@@ -146,7 +149,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text
                             y += 1
                         spans[d].append({"first": x - a, "end": y - a, "first_byte": int(start[x] - base[d]), "end_byte": int(end[y - 1] - base[d])})
                 made = [pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]]), pa.array(spans, span), pa.array([sorted(items.get(d, ())) for d in range(len(part))], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*part.schema.names[1:], "__n_words", "__n_hit", "__spans", "__item_ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:stay], *made], names=[*part.schema.names[:stay], "__n_words", "__n_hit", "__spans", "__item_ids"])
 
     return rows.mapInArrow(scan, schema)
 

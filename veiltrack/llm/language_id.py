@@ -155,27 +155,30 @@ def code_lengths(texts: pa.Array, trees: Trees) -> np.ndarray:
 
 def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of docs (all by default) with __lang_pred, __score and __bits (the shortest code)."""
-    keep = docs.columns if keep is None else keep
+    keep = list(docs.columns if keep is None else keep)
     held = docs.sparkSession.sparkContext.broadcast(trees)
     letters = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), letters.alias("__letters"), *(F.col(f"`{c}`") for c in keep))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[2:]), "__lang_pred string, __score double, __bits double"])
+    # the text is sent once: among the columns that stay, or besides them
+    besides = [] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]
+    rows = docs.select(letters.alias("__letters"), *(F.col(f"`{c}`") for c in keep), *besides)
+    at, stay = 1 + (keep.index(text_col) if text_col in keep else len(keep)), 1 + len(keep)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[1:stay]), "__lang_pred string, __score double, __bits double"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            for lo, hi in slices(batch.column(0), 1 << 20):
+            for lo, hi in slices(batch.column(at), 1 << 19):
                 part = batch.slice(lo, hi - lo)
-                ok = part.column(1).to_numpy(zero_copy_only=False).astype(bool) & bool(own.languages)
+                ok = part.column(0).to_numpy(zero_copy_only=False).astype(bool) & bool(own.languages)
                 if own.languages:
-                    bits = code_lengths(part.column(0), own)
+                    bits = code_lengths(part.column(at), own)
                     best = bits.argmin(1)
                     least = bits.min(1)
                     share = 1 / np.exp2(least[:, None] - bits).sum(1)
                 else:
                     best, least, share = np.zeros(len(part), int), np.zeros(len(part)), np.zeros(len(part))
                 pred = [own.languages[b] if o else UNKNOWN for b, o in zip(best.tolist(), ok.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(pred, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(least)], names=[*part.schema.names[2:], "__lang_pred", "__score", "__bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:stay], pa.array(pred, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(least)], names=[*part.schema.names[1:stay], "__lang_pred", "__score", "__bits"])
 
     return rows.mapInArrow(predict, schema)
 
