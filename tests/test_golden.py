@@ -99,13 +99,12 @@ def test_counters_of_both_files(spark, fixtures, edges):
     for name, expected in (("utk_test.csv", (281, 0, 0, 0, 0, 21, 126)), ("utk_err_test.csv", (138, 0, 3, 1, 4, 2, 128))):
         records = read_trips(spark, str(fixtures / name))
         points = number_points(records)
-        clean = correct_errors(points) if "err" in name else points
-        fitted = count_choices(fit_trips(clean, edges, build_index(edges, SW, NE), 1.0, 0.5, 36, 10), vertices(edges))
-        critical = [start_end(fitted)] + ([stops(fitted, 1.0, 50.0, 2.5)] if "err" not in name else [])
+        clean = (correct_errors(points) if "err" in name else points).cache()
+        fitted = count_choices(fit_trips(clean, edges, build_index(edges, SW, NE), 1.0, 0.5, 36, 10), vertices(edges)).cache()
         critical = [start_end(fitted), stops(fitted, 1.0, 50.0, 2.5)]
         marked = marked_by(fitted, *critical)
         both = mark_points(marked, merge_intervals(find_privacy(marked, PrivacyLimits(10, 10, 0, 11000, 11000, 10))), "pi_id", "is_private")
-        counters = point_counters(both, trip_counters(records), points)
+        counters = point_counters(both.cache(), trip_counters(records), points)
         assert tuple(sum_counters(counters).first()) == expected
         totals.append(counters)
     assert tuple(sum_counters(totals[0].unionByName(totals[1])).first()) == (419, 0, 3, 1, 4, 23, 254)
@@ -113,7 +112,7 @@ def test_counters_of_both_files(spark, fixtures, edges):
 
 def test_whole_pipeline(spark, fixtures, edges):
     records = read_trips(spark, [str(fixtures / "utk_test.csv")])
-    config = replace(INTERACTIVE, min_out_degree=0)
+    config = replace(INTERACTIVE, min_direct=5.0, max_direct=30.0, min_manhattan=5.0, max_manhattan=30.0)
     result = run(number_points(records), edges, config, trip_counters(records))
     row = result.counters.first()
     assert row.n_points == 281 and row.n_ci + row.n_pi + result.kept.count() == 281

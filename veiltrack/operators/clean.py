@@ -29,7 +29,7 @@ def correct_errors(points: DataFrame, sample: int = SAMPLE, by: str = "trip_id")
     middle = int(sample / 2)
 
     def wrong(lats, lons, taken):
-        place = LatLon(F.element_at(F.array_sort(lats), middle + 1), F.element_at(F.array_sort(lons), middle + 1))
+        place = LatLon(F.get(F.array_sort(lats), F.lit(middle)), F.get(F.array_sort(lons), F.lit(middle)))
         return (distance(LatLon(F.col("lat"), F.col("lon")), place) / (F.floor(taken / 2) * STEP)) > LIMIT
 
     inside = lambda c, low, high: F.collect_list(F.when((F.col("__pos") >= low) & (F.col("__pos") < high), F.col(c))).over(head)

@@ -9,12 +9,15 @@ from ..operators.privacy import COUNTERS
 from ..sources.trips import HEADER
 
 
-def trip_text(points: DataFrame, header=HEADER, strip_cr: bool = True) -> DataFrame:
-    """trip_id, file_text: header and raw lines of each trip in order, lines ended by line feeds."""
+def trip_text(points: DataFrame, header=HEADER, strip_cr: bool = True, trip_ids: DataFrame | None = None) -> DataFrame:
+    """trip_id, file_text: header and raw lines of each trip in order, lines ended by line feeds.  Of the trips in trip_ids those without points have the header only."""
     raw = F.regexp_replace("raw", "\r$", "") if strip_cr else F.col("raw")
     rows = points.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("idx", raw.alias("raw")))).alias("rows"))
     head = F.lit(header) if isinstance(header, str) else header
-    return rows.select("trip_id", F.concat(head, F.lit("\n"), F.concat_ws("\n", F.transform("rows", lambda r: r["raw"])), F.lit("\n")).alias("file_text"))
+    if trip_ids is not None:
+        rows = trip_ids.select("trip_id").distinct().join(rows, "trip_id", "left")
+    lines = F.transform(F.transform("rows", lambda r: r["raw"]), lambda x: F.concat(x, F.lit("\n")))
+    return rows.select("trip_id", F.concat(head, F.lit("\n"), F.coalesce(F.array_join(lines, ""), F.lit(""))).alias("file_text"))
 
 
 def write_trips(points: DataFrame, folder: str, header: str = HEADER, strip_cr: bool = True) -> None:
@@ -29,9 +32,9 @@ def write_trips(points: DataFrame, folder: str, header: str = HEADER, strip_cr:
     rows.unionByName(heads).repartition("trip_id").sortWithinPartitions("trip_id", "idx").select("trip_id", "value").write.mode("overwrite").partitionBy("trip_id").text(folder)
 
 
-def write_trip_files(points: DataFrame, folder: str, suffix: str = ".csv", header: str = HEADER, strip_cr: bool = True) -> DataFrame:
+def write_trip_files(points: DataFrame, folder: str, suffix: str = ".csv", header: str = HEADER, strip_cr: bool = True, trip_ids: DataFrame | None = None) -> DataFrame:
     """Files folder/trip_id + suffix on a folder that all workers mount; gives trip_id and path of each when run."""
-    text = trip_text(points, header, strip_cr)
+    text = trip_text(points, header, strip_cr, trip_ids)
     return _write_each(text.withColumnRenamed("file_text", "content"), folder, suffix)
 
 
