@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veiltrack.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing
 from veiltrack.llm.shared import shared_folder, stored
+from veiltrack.session import ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without text, go."""
+    ship_package(spark)
     return language_id.drop_unknown(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
+    ship_package(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingle sets the one with the smallest doc_id stays."""
+    ship_package(spark)
     return jaccard_join.drop_near_copies(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark windows over one in twenty of their words go."""
+    ship_package(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship_package(spark)
     return mixing.take_mix(docs)
 
 
