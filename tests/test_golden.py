@@ -19,13 +19,13 @@ SW, NE = (35.946920, -83.938486), (35.955526, -83.926738)
 
 
 @pytest.fixture(scope="module")
-def edges(spark, fixtures):
-    return read_shapes(spark, str(fixtures / "utk.quad")).edges.drop("file", "seq").cache()
+def edges(spark, samples):
+    return read_shapes(spark, samples.roads).edges.drop("file", "seq").cache()
 
 
 @pytest.fixture(scope="module")
-def trip(spark, fixtures):
-    return number_points(read_trips(spark, str(fixtures / "utk_test.csv"))).cache()
+def trip(spark, samples):
+    return number_points(read_trips(spark, samples.trip)).cache()
 
 
 @pytest.fixture(scope="module")
@@ -94,12 +94,12 @@ def test_removal(fitted):
     assert deidentify(both).count() == 134
 
 
-def test_counters_of_both_files(spark, fixtures, edges):
+def test_counters_of_both_files(spark, samples, edges):
     totals = []
-    for name, expected in (("utk_test.csv", (281, 0, 0, 0, 0, 21, 126)), ("utk_err_test.csv", (138, 0, 3, 1, 4, 2, 128))):
-        records = read_trips(spark, str(fixtures / name))
+    for name, expected in ((samples.trip, (281, 0, 0, 0, 0, 21, 126)), (samples.faulty_trip, (138, 0, 3, 1, 4, 2, 128))):
+        records = read_trips(spark, name)
         points = number_points(records)
-        clean = (correct_errors(points) if "err" in name else points).cache()
+        clean = (correct_errors(points) if name == samples.faulty_trip else points).cache()
         fitted = count_choices(fit_trips(clean, edges, build_index(edges, SW, NE), 1.0, 0.5, 36, 10), vertices(edges)).cache()
         critical = [start_end(fitted), stops(fitted, 1.0, 50.0, 2.5)]
         marked = marked_by(fitted, *critical)
@@ -110,8 +110,8 @@ def test_counters_of_both_files(spark, fixtures, edges):
     assert tuple(sum_counters(totals[0].unionByName(totals[1])).first()) == (419, 0, 3, 1, 4, 23, 254)
 
 
-def test_whole_pipeline(spark, fixtures, edges):
-    records = read_trips(spark, [str(fixtures / "utk_test.csv")])
+def test_whole_pipeline(spark, samples, edges):
+    records = read_trips(spark, [samples.trip])
     config = replace(INTERACTIVE, min_direct=5.0, max_direct=30.0, min_manhattan=5.0, max_manhattan=30.0)
     result = run(number_points(records), edges, config, trip_counters(records))
     row = result.counters.first()

@@ -2,6 +2,7 @@
 
 import json
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from veiltrack.plans.config import INTERACTIVE, DIConfig, describe, dump_json, l
 from veiltrack.sinks.shapes import shape_lines, write_shapes
 from veiltrack.sources import osm
 from veiltrack.sources.shapes import parse_intervals, read_shapes
-from veiltrack.sources.trips import HEADER, number_points, parse_records, read_lines, read_list, read_mapped_trips, read_trips, split_trips, trip_counters
+from veiltrack.sources.trips import HEADER, number_points, parse_records, read_list, read_mapped_trips, read_trips, split_trips, trip_counters
 
 
 def test_split_fields(spark):
@@ -74,10 +75,10 @@ def test_runs_across_blocks(spark):
     assert [r.run for r in got] == [0, 0, 1, 1, 1, 1, 1, 2, 3, 3, 4]
 
 
-def test_shape_files(spark, fixtures, tmp_path):
-    good = read_shapes(spark, str(fixtures / "test.shapes"))
+def test_shape_files(spark, samples, tmp_path):
+    good = read_shapes(spark, samples.shapes)
     assert (good.circles.count(), good.grids.count(), good.edges.count(), good.bad.count()) == (3, 3, 4, 0)
-    bad = read_shapes(spark, str(fixtures / "test.shapes.bad1"))
+    bad = read_shapes(spark, samples.faulty_shapes)
     assert (bad.circles.count(), bad.grids.count(), bad.edges.count(), bad.bad.count()) == (0, 0, 1, 2)
     write_shapes(str(tmp_path / "out"), good.edges, good.circles, good.grids)
     back = read_shapes(spark, str(tmp_path / "out"))
@@ -126,8 +127,8 @@ def test_street_maps(spark, tmp_path):
     assert sorted(r.way_type for r in read_shapes(spark, str(tmp_path / "s")).edges.collect()) == [2, 42]
 
 
-def test_config_lines(fixtures):
-    text = (fixtures / "utk.config").read_text()
+def test_config_lines(samples):
+    text = Path(samples.config).read_text()
     now, old = parse_config(text), parse_config(text, legacy=True)
     assert old.fit_extension == 1.0 and old.ta_area_width == 90.0
     assert now.fit_scale == 1.0 and now.ta_heading_delta == 90.0 and now.sw_lat == pytest.approx(35.94692)
@@ -144,15 +145,15 @@ def test_json_config(wrong):
     assert validate(DIConfig()) == DIConfig()
 
 
-def test_command_line(spark, fixtures, tmp_path, capsys):
+def test_command_line(spark, samples, tmp_path, capsys):
     config = describe(replace(INTERACTIVE, min_direct=5.0, max_direct=30.0, min_manhattan=5.0, max_manhattan=30.0))
     (tmp_path / "c").write_text(config)
-    (tmp_path / "list").write_text(f"{fixtures}/utk_test.csv:one\n{tmp_path}/missing.csv\n")
-    code = main(["-c", str(tmp_path / "c"), "-q", str(fixtures / "utk.quad"), "-o", str(tmp_path / "out"), "-k", str(tmp_path / "kml"), "-l", "-n", str(tmp_path / "list")], spark)
+    (tmp_path / "list").write_text(f"{samples.trip}:one\n{tmp_path}/missing.csv\n")
+    code = main(["-c", str(tmp_path / "c"), "-q", samples.roads, "-o", str(tmp_path / "out"), "-k", str(tmp_path / "kml"), "-l", "-n", str(tmp_path / "list")], spark)
     said = capsys.readouterr()
     assert code == 0 and said.out.splitlines()[-1].startswith("281,0,0,0,0,") and "missing.csv" in said.err
     lines = (tmp_path / "out" / "1_1.csv").read_text().splitlines()
-    raw = (fixtures / "utk_test.csv").read_text().splitlines()
+    raw = Path(samples.trip).read_text().splitlines()
     assert lines[0] == HEADER and 0 < len(lines) < len(raw) and set(lines[1:]) <= set(raw)
     kml = (tmp_path / "kml" / "1_1.di.kml").read_text()
     assert kml.startswith("<?xml") and "stop_marker_style" in kml and "MPH = " in kml
