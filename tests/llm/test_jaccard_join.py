@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from veiltrack.llm import jaccard_join
 from veiltrack.llm.jaccard_join import drop_near_copies, link_documents
 
 
@@ -77,3 +78,22 @@ def test_empty_table_and_null_id(spark):
     rows = [(None, "same words here all day"), (5, "same words here all day"), (None, "other words here all day")]
     got = {(r.doc_id, r.component_id) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(None, 5), (5, 5), (None, None)}
+
+
+def near_threshold(seed, pairs):
+    """Pairs at the threshold: three in four of all shingles in common, the others dealt to both at random."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    out = []
+    for _ in range(pairs):
+        common = 3 * rng.randint(4, 16)
+        core, own = [word() for _ in range(common + 4)], rng.randint(0, common // 3)
+        out += [" ".join(core + [word() for _ in range(own)]), " ".join(core + [word() for _ in range(common // 3 - own)])]
+    return list(enumerate(out))
+
+
+def test_near_the_threshold_with_a_small_sketch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SKETCH", 1024)
+    rows = near_threshold(2, 60)
+    got = link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == expected(rows)

@@ -131,9 +131,9 @@ def _units(docs: DataFrame, sketch, size: int, percent: int, salt: int) -> DataF
                 order = np.concatenate([np.argsort(weight[a:b], kind="stable")[:k] + a for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), need.tolist())] or [np.empty(0, np.int64)])
                 heads, cut = sets[order], np.concatenate(([0], np.cumsum(need)))
                 head = [_set_hash(heads, cut, salt + k) for k in (3, 4)]
-                # rank of the last prefix shingle: its count, then the upper half of its hash
+                # rank of the last prefix shingle: its whole count, then the upper bits of its hash, so it never goes against the order by which prefixes are cut
                 end = order[np.maximum(cut[1:] - 1, 0)] if len(order) else np.zeros(len(n), np.int64)
-                last = np.where(n > 0, (weight[end].astype(np.int64) >> 1 << 32) | (sets[end] >> _U(32)).astype(np.int64), 0) if len(order) else np.zeros(len(n), np.int64)
+                last = np.where(n > 0, (weight[end].astype(np.int64) << 31) | (sets[end] >> _U(33)).astype(np.int64), 0) if len(order) else np.zeros(len(n), np.int64)
                 prefix = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(heads.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), _signed(_set_hash(sets, at, salt)), _signed(_set_hash(sets, at, salt + 1)), _signed(head[0]), _signed(head[1]), pa.array(last), prefix], names=["doc_id", "tag", "n", "unit", "check", "head1", "head2", "last", "prefix"])
 
