@@ -87,3 +87,54 @@ def test_without_training_rows(spark):
     got = score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0.0 for r in got)
     assert score_held_out(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def third(rows):
+    """Scores at order three, and sums of p over the vocabulary after some histories."""
+    words, pairs, triples = Counter(), Counter(), Counter()
+    for d, t in rows:
+        if not held(d):
+            own = ["<s>", *tokens(t)]
+            words.update(own[1:])
+            pairs.update(zip(own, own[1:]))
+            triples.update(zip(own, own[1:], own[2:]))
+    types = len(words)
+    middle = Counter((v, w) for _, v, w in triples)
+    middle.update({q: c for q, c in pairs.items() if q[0] == "<s>"})
+    assert middle.keys() == pairs.keys()
+    before = Counter(w for _, w in pairs)
+    d1, d2, d3 = ((0, *discounts([Counter(c.values())[i] for i in (1, 2, 3, 4)])) for c in (before, middle, triples))
+    after, kinds = Counter(), defaultdict(Counter)
+    for c in (middle, triples):
+        for g, n in c.items():
+            after[g[:-1]] += n
+            kinds[g[:-1]][min(n, 3)] += 1
+    mass = sum(d1[min(k, 3)] for k in before.values())
+
+    def p(h, w):
+        if not h:
+            return (max(before[w] - d1[min(before[w], 3)], 0) + mass / (types + 1)) / len(pairs)
+        if not after[h]:
+            return p(h[1:], w)
+        c, d = (triples, d3) if len(h) == 2 else (middle, d2)
+        n = c[(*h, w)]
+        return (max(n - d[min(n, 3)], 0) + sum(d[i] * kinds[h][i] for i in (1, 2, 3)) * p(h[1:], w)) / after[h]
+
+    out = {}
+    for d, t in rows:
+        own = ["<s>", *tokens(t)]
+        out[d] = sum(math.log10(p(tuple(own[max(0, i - 2) : i]), own[i])) for i in range(1, len(own)))
+    return out, [sum(p(h, w) for w in [*words, "never seen"]) for h in [("<s>",), *list(pairs)[:5]]]
+
+
+def test_order_three(spark, sf_dir):
+    some = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    for rows in (some, [(1, None), (2, ""), (3, "a b a B"), (4, "x " * 3000), (5, "a b"), (6, "new words"), (None, "no id")]):
+        want, sums = third(rows)
+        assert all(math.isclose(s, 1.0, rel_tol=1e-9) for s in sums)
+        got = score_held_out(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
+        assert {r.doc_id for r in got} == want.keys()
+        assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+    ids = [d for d in range(200) if held(d)][:3]
+    alone = score_held_out(spark.createDataFrame([(d, "some words") for d in ids], "doc_id long, text string"), order=3).collect()
+    assert all(r.score == 0.0 for r in alone)

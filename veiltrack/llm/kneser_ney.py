@@ -1,4 +1,4 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""LM scoring with an interpolated modified Kneser-Ney model of order two or three.
 
 Counting: tasks hash the words of their documents, sum the hashes, and send
 packed blocks to the owner of each key range.  Owners write sorted hash arrays
@@ -16,9 +16,17 @@ pairs of a slice of text in order.
 
 k counts the distinct words before w, K is their sum, V the number of distinct
 tokens; one more stands for all unknown ones, so p sums to 1 over both.  D has
-three values a level, from its counts of counts.  The model's order is two: a
-third order's pairs and arrays would not fit into the disk that is allowed
-(see the README).
+three values a level, from its counts of counts.
+
+At order three a third level stands on these, and the middle one counts words
+before a pair in place of the pair (but for pairs at the start of a text,
+before which there is none):
+
+    p(w | g, h) = max(c(g, h, w) - D(c), 0) / c(g, h) + gamma(g, h) * p(w | h)
+
+A triple's key is a bijective hash of its first pair's place in the sorted
+pairs, then the id of its word, so a history's triples stand side by side with
+one owner.  A text's first token has a history of one.
 
 Defined results: null text is empty, and its only token is the end; texts of
 any length are scored whole; null doc_ids count as empty text in the split;
@@ -37,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, dealt, find, gathered, parts_of, save, shared_folder, spread, squeeze, take
+from .shared import BLOCKS, Mapped, Packer, dealt, find, gathered, part_of, parts_of, save, shared_folder, spread, squeeze, take
 from .tokens import mix, slices, unmix, words
 
 _U = np.uint64
 #: The end of a text, as a word's hash.
 _END = _U(0x5BD1E9955BD1E995)
+#: Multiplier of _history.
+_ODD = 0x9E3779B1
 _STATS = "part int, ids binary, total binary, n1 binary, n2 binary, n3 binary, cont binary, summary array<long>"
 
 
@@ -58,6 +68,9 @@ class Model(NamedTuple):
     word_discounts: tuple[float, float, float]
     word_mass: float
     distinct_pairs: int
+    order: int = 2
+    first_pair: list[int] = []
+    triple_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
 
     def mapped(self, name: str, dtype) -> Mapped:
         return Mapped(self.folder, name, self.parts, dtype)
@@ -99,6 +112,28 @@ def _key(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mix(before.astype(np.uint64) << _U(32) | ids.astype(np.uint64))
 
 
+def _two_before(before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The id before the one before each token; -1 for a text's first token."""
+    out = np.empty(len(before), np.int64)
+    out[1:] = before[:-1]
+    out[at[:-1]] = -1
+    return out
+
+
+def _history(pair: np.ndarray) -> np.ndarray:
+    """32-bit hash of a pair's place; odd multiples are a bijection."""
+    return pair.astype(np.uint64) * _U(_ODD) & _U(0xFFFFFFFF)
+
+
+def _find_history(history: np.ndarray, table: Mapped) -> tuple[np.ndarray, np.ndarray]:
+    """Like find, for sorted histories in parts of 32-bit arrays; all are there."""
+    part, at = part_of(history << _U(32), table.parts), np.zeros(len(history), np.int64)
+    cut = np.searchsorted(part, np.arange(table.parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        at[cut[p] : cut[p + 1]] = np.searchsorted(table[int(p)], history[cut[p] : cut[p + 1]].astype(np.uint32))
+    return part, at
+
+
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -117,8 +152,10 @@ def _discount(d: tuple[float, float, float], counts: np.ndarray) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(counts, 3)]
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of all texts of docs (column text)."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """A model of all texts of docs (column text), of order two or three."""
+    if order not in (2, 3):
+        raise ValueError(f"order is {order}; it has to be 2 or 3")
     spark = docs.sparkSession
     parts, folder = parts_of(spark), shared_folder(spark, "model")
     text = docs.select("text")
@@ -172,6 +209,13 @@ def train(docs: DataFrame) -> Model:
         if part is None:
             return
         save(folder, "pairs", part, keys)
+        if order == 2:
+            yield from pair_stats(part, keys, counts)
+        else:
+            save(folder, "pair-seen", part, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)])], names=["part", "n"])
+
+    def pair_stats(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         save(folder, "pair-counts", part, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
         both = unmix(keys)
         before, after = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
@@ -204,12 +248,79 @@ def train(docs: DataFrame) -> Model:
         cont = sums.get("cont", np.zeros(1, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([[*summary.tolist(), *_counts_of_counts(cont), int((cont > 2).sum())]], pa.list_(pa.int64()))], names=["numbers"])
 
-    stats = dealt(text.mapInArrow(count_pairs, BLOCKS), parts).mapInArrow(keep_pairs, _STATS)
+    first_pair = np.zeros(parts + 1, np.int64)
+    pairs, seen = Mapped(folder, "pairs", parts, np.uint64), Mapped(folder, "pair-seen", parts, np.uint32)
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts)
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                token, at = _tokens(batch.column(0).slice(lo, hi - lo))
+                ids = _ids(token, vocabulary, first_id)
+                before = _pairs(ids, at, types)
+                two = _two_before(before, at)
+                own = np.flatnonzero(two >= 0)
+                pair = _ids(_key(two[own], before[own]), pairs, first_pair)
+                yield from packer.add(_history(pair) << _U(32) | ids[own].astype(np.uint64))
+        yield from packer.flush()
+
+    def keep_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Saves triples and the numbers of each history; gives the pair at each triple's end."""
+        part, keys, counts = gathered(batches)
+        if part is None:
+            return
+        save(folder, "triples", part, keys)
+        save(folder, "triple-counts", part, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        save(folder, "triple-kinds", part, np.array(_counts_of_counts(counts)))
+        history = (keys >> _U(32)).astype(np.uint32)
+        at = np.flatnonzero(np.concatenate(([True], history[1:] != history[:-1])))
+        numbers = [np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
+        save(folder, "histories", part, history[at])
+        save(folder, "history-stats", part, np.minimum(np.stack(numbers, 1), 0xFFFFFFFF).astype(np.uint32))
+        place = (history[at].astype(np.uint64) * _U(pow(_ODD, -1, 1 << 32)) & _U(0xFFFFFFFF)).astype(np.int64)
+        order_, size = np.argsort(place), np.diff(np.append(at, len(keys)))
+        owner = np.searchsorted(first_pair, place[order_], side="right") - 1
+        middle = np.empty(len(place), np.int64)
+        middle[order_] = (unmix(take(pairs, owner, place[order_] - first_pair[owner])) & _U(0xFFFFFFFF)).astype(np.int64)
+        middle = np.repeat(middle, size)
+        packer = Packer(parts)
+        for lo in range(0, len(keys), 500_000):
+            yield from packer.add(_key(middle[lo : lo + 500_000], (keys[lo : lo + 500_000] & _U(0xFFFFFFFF)).astype(np.int64)))
+        yield from packer.flush()
+
+    def keep_middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the middle level: distinct words before a pair, or how often a pair at the start was seen."""
+        part, keys, counts = gathered(batches)
+        if part is None or not len(pairs[part]):
+            return
+        every = np.array(pairs[part])
+        out = np.where((unmix(every) >> _U(32)).astype(np.int64) == types, seen[part], 0).astype(np.int64)
+        out[np.searchsorted(every, keys)] += counts
+        yield from pair_stats(part, every, out)
+
+    sent = dealt(text.mapInArrow(count_pairs, BLOCKS), parts)
+    if order == 2:
+        stats = sent.mapInArrow(keep_pairs, _STATS)
+    else:
+        for part, n in sent.mapInArrow(keep_pairs, "part int, n long").collect():
+            first_pair[part + 1] = n
+        np.cumsum(first_pair, out=first_pair)
+        if first_pair[-1] >= 1 << 32:
+            raise ValueError(f"{first_pair[-1]} distinct pairs; their places have 32 bits")
+        # a part whose pairs all start a text gets a block as well
+        none = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(b"").alias("keys"), F.lit(squeeze(np.empty(0, np.int64))).alias("counts"))
+        ends = dealt(text.mapInArrow(count_triples, BLOCKS), parts).mapInArrow(keep_triples, BLOCKS)
+        stats = dealt(ends.unionByName(none), parts).mapInArrow(keep_middle, _STATS)
     numbers = np.sum([r[0] for r in dealt(stats, parts).mapInArrow(keep_stats, "numbers array<long>").collect()] or [[0] * 10], axis=0).tolist()
     pair_d, word_d, distinct = discounts(numbers[:4]), discounts(numbers[5:9]), numbers[4]
     # the mass that the discounts free: by words seen after one, two and more distinct words
     mass = (word_d[0] * numbers[5] + word_d[1] * numbers[6] + word_d[2] * numbers[9]) / distinct if distinct else 1.0
-    return Model(folder, parts, first_id.tolist(), int(tokens), types, pair_d, word_d, mass, int(distinct))
+    model = Model(folder, parts, first_id.tolist(), int(tokens), types, pair_d, word_d, mass, int(distinct))
+    if order == 2:
+        return model
+    kinds = model.mapped("triple-kinds", np.int64)
+    triple_d = discounts(np.sum([kinds[p] if len(kinds[p]) else [0] * 4 for p in range(parts)], axis=0).tolist())
+    return model._replace(order=3, first_pair=first_pair.tolist(), triple_discounts=triple_d)
 
 
 class _Scorer:
@@ -220,6 +331,10 @@ class _Scorer:
         self.wide = -(-(model.types + 1) // model.parts)
         self.words, self.counts = model.mapped("words", np.uint64), model.mapped("counts", np.int64)
         self.pairs, self.pair_counts = model.mapped("pairs", np.uint64), model.mapped("pair-counts", np.uint32)
+        if model.order == 3:
+            self.first_pair = np.array(model.first_pair)
+            self.triples, self.triple_counts = model.mapped("triples", np.uint64), model.mapped("triple-counts", np.uint32)
+            self.histories, self.history_stats = model.mapped("histories", np.uint32), model.mapped("history-stats", np.uint32)
         self.stats = {k: model.mapped(k, np.int64 if k == "total" else np.uint32) for k in ("total", "n1", "n2", "n3", "cont")}
 
     def _take(self, name: str, ids: np.ndarray) -> np.ndarray:
@@ -258,10 +373,31 @@ class _Scorer:
             pair, again = np.unique(_key(before[both], ids[both]), return_inverse=True)
             seen = take(self.pair_counts, *find(pair, self.pairs)).astype(np.int64)
             p[both] += (np.maximum(seen - _discount(d, seen), 0))[again] / safe[which[both]]
+        if m.order == 3:
+            self._third(p, ids, before, at)
         logs = np.log10(p)
         known = (count > 0)[back]
         return np.diff(at), np.add.reduceat(known, at[:-1], dtype=np.int64), np.add.reduceat(base[back], at[:-1]), np.add.reduceat(logs, at[:-1])
 
+    def _third(self, p: np.ndarray, ids: np.ndarray, before: np.ndarray, at: np.ndarray) -> None:
+        """Puts the third level on the probabilities p of the second, where a history of two was seen."""
+        two = _two_before(before, at)
+        own = np.flatnonzero((two >= 0) & (before >= 0))
+        pair = _ids(_key(two[own], before[own]), self.pairs, self.first_pair)
+        own, pair = own[pair >= 0], pair[pair >= 0]
+        if not len(own):
+            return
+        each = _history(pair)
+        history, which = np.unique(each, return_inverse=True)
+        part, k = _find_history(history, self.histories)
+        total, n1, n2, n3 = (take(self.history_stats, part, 4 * k + c).astype(np.int64)[which] for c in range(4))
+        d = self.m.triple_discounts
+        p[own] *= (d[0] * n1 + d[1] * n2 + d[2] * n3) / total
+        known = np.flatnonzero(ids[own] >= 0)
+        triple, again = np.unique(each[known] << _U(32) | ids[own[known]].astype(np.uint64), return_inverse=True)
+        seen = take(self.triple_counts, *find(triple, self.triples)).astype(np.int64)
+        p[own[known]] += np.maximum(seen - _discount(d, seen), 0)[again] / total[known]
+
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs with n_tokens, n_known, base_score, score of each text (base 10 logarithms)."""
@@ -282,9 +418,9 @@ def perplexity(score_: Column, n_tokens: Column) -> Column:
     return F.pow(F.lit(10.0), -score_ / n_tokens)
 
 
-def score_held_out(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Scores every row with a model of those whose crc32 is of another remainder: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (remainder(F.col(id_col), folds) == held).alias("held_out"))
-    model = train(rows.filter(~F.col("held_out")))
+    model = train(rows.filter(~F.col("held_out")), order)
     out = score(rows, model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))

@@ -16,6 +16,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op1_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, sf_dir, "documents"), order=3)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op1_lm_scoring_order3": op1_lm_scoring_order3, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
 
 ORACLE = {
     "op3_substring_dedup": """
