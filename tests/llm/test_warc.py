@@ -24,6 +24,13 @@ def test_text_and_links():
     assert visible_text("") == "" and visible_text("<p>open <b") == "open <b" and visible_text("1 < 2 and <i>so</i>") == "1 < 2 and so"
 
 
+@pytest.mark.parametrize("head", ["", "<meta content='" + "x" * 5000 + "'>", "<style>" + "p{} " * 2000 + "</style>", "<script>" + "var a = '<title>'; " * 400 + "</script>", "<!-- <title> " + "y" * 5000 + " -->"])
+def test_title_is_taken_out_wherever_it_stands(head):
+    page = f"<html><head>{head}<TITLE>A page</TITLE></head><body><p>one</p><svg><title>two<!-- no --></title></svg></body></html>"
+    assert visible_text(page) == "one\ntwo"
+    assert derive("http://e.x/", page)[1][9] == "one\ntwo"
+
+
 def test_records_refer_to_their_source():
     (kind, own, source, url, date, _, block_digest, payload, length, block), text = derive("http://e.x/", PAGE)
     about = json.loads(block)["Envelope"]

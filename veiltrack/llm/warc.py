@@ -37,7 +37,7 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]
 _BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?]?[a-zA-Z][^>]*>|<[!/?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_HEAD_TITLE = re.compile(r"<title\b[^>]*>.*?(?:</title\s*>|\Z)", re.S | re.I)
+_HIDDEN_OR_TITLE = re.compile(_HIDDEN.pattern + r"|(<title\b[^>]*>).*?(?:</title\s*>|\Z)", re.S | re.I)
 _LINK = re.compile(r"<(a|area|img|link|iframe|script)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 _SPACE = re.compile(r"[ \t\r\f\v\u00a0]+")
 _LINES = re.compile(r" *\n[ \n]*")
@@ -52,8 +52,17 @@ def record_id(*parts: str) -> str:
 
 
 def visible_text(markup: str) -> str:
-    """The text of a page: a line a block, no scripts, styles or comments."""
-    out = _BREAKS.sub("\n", _HIDDEN.sub(" ", _HEAD_TITLE.sub("\n", markup, count=1) if "<title" in markup[:4096].lower() else markup))
+    """The text of a page: a line a block, no scripts, styles or comments, and not its first title, wherever that stands."""
+    titles = 0
+
+    def cut(found: re.Match) -> str:
+        nonlocal titles
+        if not found[2]:
+            return " "
+        titles += 1
+        return "\n" if titles == 1 else _HIDDEN.sub(" ", found[0])
+
+    out = _BREAKS.sub("\n", _HIDDEN_OR_TITLE.sub(cut, markup))
     out = html_entities.unescape(_TAG.sub("", out))
     return _LINES.sub("\n", _SPACE.sub(" ", out)).strip()
 
