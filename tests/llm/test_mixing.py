@@ -71,6 +71,21 @@ def test_take_mix(spark):
     assert all(sorted(c) == [(i + 1, mixed[d].size) for i in range(len(c))] for d, c in taken.items())
 
 
+def test_take_mix_of_rows_that_agree(spark):
+    """Rows without a doc_id, or of one doc_id in two sources, are taken as often as the mix decided."""
+    rows = [(None, f"w x{i}", "a") for i in range(100)] + [(None, "same words", "a")] * 50 + [(i, "w v", "b") for i in range(200)] + [(i, "w u", "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mix_sources(df, (1.0, 3.0, 2.0)).collect():
+        want[r.target] += r.taken
+    taken = take_mix(df, weights=(1.0, 3.0, 2.0))
+    for r in taken.collect():
+        got[r.target] += r.taken
+    assert got == {t: n for t, n in want.items() if n} and all(abs(t - n) <= 2 for t, n in got.items())
+    again = take_mix(df.repartition(7), weights=(1.0, 3.0, 2.0))
+    assert sorted(map(str, taken.collect())) == sorted(map(str, again.collect()))
+
+
 def test_edge_cases(spark):
     schema = "doc_id long, text string, source string"
     assert mix_sources(spark.createDataFrame([], schema)).count() == 0

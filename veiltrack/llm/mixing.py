@@ -38,7 +38,7 @@ CHUNK_ROWS = 1024
 FAN_IN = 256
 
 _EPS = 1e-9
-_ROW = "doc_id long, source_rank int, chunk long, size long, source_size long, target double, whole double, p double, copies double"
+_ROW = "doc_id long, source_rank int, chunk long, size long, source_size long, target double, whole double, p double, copies double, row long"
 
 
 def word_count(text: Column) -> Column:
@@ -96,7 +96,7 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
     """Settles each chunk; one row of a chunk at most stays open (copies null)."""
 
     def settle(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(["doc_id", "size", "p"], kind="stable").reset_index(drop=True)
+        chunk = chunk.sort_values(["doc_id", "size", "p", "row"], kind="stable").reset_index(drop=True)
         rank, number = int(chunk["source_rank"].iloc[0]), int(chunk["chunk"].iloc[0])
         chunk["p"] = _settle(chunk["p"].to_numpy(), chunk["size"].to_numpy(), np.random.default_rng([seed, level, rank, number]))
         done = (chunk["p"] == 0) | (chunk["p"] == 1)
@@ -108,8 +108,13 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken, copies."""
+    return _mixed(docs, weights, most, seed, id_col, text_col, source_col, chunk_rows, fan_in).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """mix_sources with source and row, a hash of the text."""
     folder = shared_folder(docs.sparkSession, "mixing")
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), folder, "sizes")
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("row")), folder, "sizes")
     sources = source_targets(rows, weights, most, folder)
     sources = stored(sources.withColumn("chunks", F.ceil(F.col("source_rows") / chunk_rows)), folder, "targets")
     chunks = sources.agg(F.max("chunks")).first()[0] or 1
@@ -136,16 +141,29 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
+    return out.join(F.broadcast(sources.select(F.col("source_rank").cast("int").alias("source_rank"), "source")), "source_rank")
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies (column copy counts them from 1), with size, source_size, target and taken (the words of this copy).
 
-    Rows that agree in doc_id, source and size share their copies evenly.
+    Rows that agree in doc_id, source and text share their copies as evenly as
+    whole copies can be; those that get one more are the first by a hash of
+    their columns, so the sum of copies is kept.
     """
-    mixed = mix_sources(docs, **options).filter("size > 0").groupBy("doc_id", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies")).filter("copies > 0")
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    mixed = mixed.withColumnsRenamed({"doc_id": "__id"})
-    rows = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("size"))).drop("__id", "__size")
+    id_, text, source = (F.col(f"`{options.get(f'{c}_col', n)}`") for c, n in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+
+    def key(doc_id: Column, source: Column, size: Column, row: Column) -> list[Column]:
+        # no nulls, so that the join and the numbering deal rows out alike
+        return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__no_id"), F.coalesce(source, F.lit("")).alias("__source"), source.isNull().alias("__no_source"), size.alias("__size"), row.alias("__row")]
+
+    names = ["__id", "__no_id", "__source", "__no_source", "__size", "__row"]
+    each = F.count(F.lit(1))
+    mixed = _mixed(docs, **options).filter("size > 0").groupBy(*key(F.col("doc_id"), F.col("source"), F.col("size"), F.col("row")))
+    mixed = mixed.agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").cast("long").alias("__sum"), each.alias("__n")).filter("__sum > 0")
+    rows = docs.select("*", *key(id_.cast("long"), source, word_count(text), F.xxhash64(text))).join(mixed, names)
+    order = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t))
+    number = F.row_number().over(Window.partitionBy(*names).orderBy(order))
+    rows = rows.withColumn("copies", (F.expr("__sum div __n") + (number <= F.expr("__sum % __n")).cast("long")).cast("int")).filter("copies > 0").withColumn("size", F.col("__size"))
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), "size", "source_size", "target", "copies")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("taken", F.col("size")).drop("copies")
