@@ -97,3 +97,10 @@ def test_near_the_threshold_with_a_small_sketch(spark, monkeypatch):
     rows = near_threshold(2, 60)
     got = link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(tuple(r) for r in got.collect()) == expected(rows)
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    """Rows without a doc_id, or of one doc_id with other texts, stay unless they are linked themselves."""
+    rows = [(None, "same words here all day"), (5, "same words here all day"), (None, "other words here all day"), (None, None), (9, "same words here all day"), (9, "nothing like it at all"), (7, "")]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[1], rows[2], rows[3], rows[5], rows[6]], key=str)

@@ -113,7 +113,7 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-_FOUND = "doc_id {}, tag long, n long, unit long, check long, head1 long, head2 long, last long, prefix binary"
+_FOUND = "doc_id {}, tag long, text_hash long, n long, unit long, check long, head1 long, head2 long, last long, prefix binary"
 
 
 def _units(docs: DataFrame, sketch, size: int, percent: int, salt: int) -> DataFrame:
@@ -135,7 +135,7 @@ def _units(docs: DataFrame, sketch, size: int, percent: int, salt: int) -> DataF
                 end = order[np.maximum(cut[1:] - 1, 0)] if len(order) else np.zeros(len(n), np.int64)
                 last = np.where(n > 0, (weight[end].astype(np.int64) << 31) | (sets[end] >> _U(33)).astype(np.int64), 0) if len(order) else np.zeros(len(n), np.int64)
                 prefix = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(heads.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), _signed(_set_hash(sets, at, salt)), _signed(_set_hash(sets, at, salt + 1)), _signed(head[0]), _signed(head[1]), pa.array(last), prefix], names=["doc_id", "tag", "n", "unit", "check", "head1", "head2", "last", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), pa.array(n), _signed(_set_hash(sets, at, salt)), _signed(_set_hash(sets, at, salt + 1)), _signed(head[0]), _signed(head[1]), pa.array(last), prefix], names=["doc_id", "tag", "text_hash", "n", "unit", "check", "head1", "head2", "last", "prefix"])
 
     return docs.mapInArrow(build, _FOUND.format(docs.dtypes[0][1]))
 
@@ -423,9 +423,14 @@ def _across(split: DataFrame, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
+    return _linked(docs, shingle, percent, id_col, text_col).drop("text_hash")
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """link_documents with text_hash, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     parts, folder = parts_of(spark), shared_folder(spark, "jaccard")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("tag"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("tag"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     sketch = spark.sparkContext.broadcast(_sketch(rows, shingle))
     salt = 11
     while True:
@@ -475,12 +480,12 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     named = sets.select("unit", "least").join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = stored(named.join(names, "label").select("unit", "component_id"), folder, "final")
-    out = units.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("unit")).alias("unit")).filter("unit is not null").join(final, "unit").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(units.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = units.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("unit")).alias("unit")).filter("unit is not null").join(final, "unit").select("doc_id", "n_shingles", "component_id", "text_hash")
+    return out.unionByName(units.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: that of the smallest doc_id.  Rows whose doc_id is null go if they are linked with one that is not."""
-    linked = link_documents(docs, shingle, percent, id_col, text_col)
-    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")), "left_anti")
+    """docs, all columns, with one document of each component: that of the smallest doc_id.  Rows whose doc_id is null go if they are linked with one that is not.  Each row goes by its own text: others of its doc_id stay."""
+    linked = _linked(docs, shingle, percent, id_col, text_col)
+    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__gone_text")), "left_anti")
