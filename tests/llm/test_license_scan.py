@@ -69,6 +69,15 @@ def test_on_the_documents(spark, sf_dir):
     assert {d for d, _ in want} == {d for d, _ in got} and want
 
 
+def test_licenses_are_told_apart(spark):
+    """Texts that hold most words of another license's are reported as their own; short notices with a changed word are found."""
+    names = ["BSD-2-Clause", "BSD-3-Clause", "AGPL-3.0-header", "LGPL-3.0-header", "CC-BY-NC-ND-4.0-notice", "GPL-2.0-notice", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense"]
+    rows = [(n, f"Before it. {TEMPLATES[n]} After it.") for n in names] + [(f"MIT-notice {w}", " ".join(own)) for w in (0, 4) for own in ["Released under the MIT License".split()] if own.__setitem__(w, "changed") is None]
+    got = {(r.doc_id, r.template) for r in scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got >= {(n, n) for n in names} and {d for d, _ in got} == {d for d, _ in rows}
+    assert all(t == d for d, t in got if d in names)
+
+
 def test_bound_on_templates():
     with pytest.raises(ValueError):
         build_index({"big": "w " * 1_000_001})

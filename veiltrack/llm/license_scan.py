@@ -2,7 +2,8 @@
 
 Words are lower-case runs of letters and digits.  Of every ``window``
 consecutive k-word hashes of a template the least is kept, so any run of
-k + window - 1 words that a document shares with it holds a kept one.  The
+k + window - 1 words that a document shares with it holds a kept one; of a
+template of ``SHORT`` words or fewer all are kept.  The
 inverted index, hash to (template, position), is broadcast: its size is that of
 the templates, which are a parameter and bounded by ``MOST_WORDS``.
 
@@ -10,7 +11,7 @@ Workers look up all k-word hashes of a text.  Hits on nearby diagonals are one
 candidate, and a local alignment in a band around it finds the words that match
 (2 for a match, -1 for a word more, less or other).  It is reported if the
 matched words cover enough of the template.  Of overlapping matches in one text
-the one with more matched words counts.
+the one with more matched words counts, of equal ones that of the shorter template.
 
 Defined results: null and empty texts have no matches; a text that holds a
 template twice gives two matches; rows are scanned one by one; an empty table
@@ -19,7 +20,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -31,6 +32,8 @@ from .license_templates import TEMPLATES
 from .tokens import ALNUM_WORDS, rolling, slices, words
 
 K, WINDOW = 3, 3
+#: Templates of so many words or fewer are indexed by all their k-word hashes.
+SHORT = 30
 BAND = 8
 COVERAGE = 0.75
 #: Words of all templates together; more of them are refused.
@@ -61,7 +64,7 @@ def build_index(templates: Mapping[str, str], k: int = K, window: int = WINDOW)
     inverted: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for t, h in enumerate(own):
         grams = rolling(h, min(k, len(h))) if len(h) else h
-        for at in winnow(grams, window) if len(h) >= k else []:
+        for at in (range(len(grams)) if len(h) <= SHORT else winnow(grams, window)) if len(h) >= k else []:
             inverted[int(grams[at])].append((t, at))
     keys = np.array(sorted(inverted), np.uint64)
     return {"names": names, "words": own, "keys": keys, "at": [inverted[int(x)] for x in keys], "k": k}
@@ -100,25 +103,38 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return matched, first, end
 
 
+def _most(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> int:
+    """Template words that stand anywhere in their part of the band: no alignment in it matches more."""
+    there = np.zeros(len(template), bool)
+    for d in range(diagonal - band, diagonal + band + 1):
+        a, b = max(0, -d), min(len(template), len(text) - d)
+        if a < b:
+            there[a:b] |= template[a:b] == text[a + d : b + d]
+    return int(there.sum())
+
+
 def matches(text: np.ndarray, hits: list[tuple[int, int, int]], index: dict, coverage: float, band: int) -> list[tuple]:
     """(template, matched, first, end) of a text's word hashes and its hits (template, diagonal, position)."""
-    found, done = [], []
-    for t, diagonal, _ in sorted(hits):
+    found, done = [], defaultdict(list)
+    times = Counter((t, diagonal) for t, diagonal, _ in hits)
+    for t, diagonal in sorted(times, key=lambda x: (-times[x], x)):
         own = index["words"][t]
-        if done and done[-1][0] == t and diagonal - done[-1][1] <= min(band, len(own) - 1):
-            continue  # the band around the one before holds it
-        done.append((t, diagonal))
+        if any(abs(diagonal - d) <= min(band, len(own) - 1) for d in done[t]):
+            continue  # the band around one with more hits holds it
+        done[t].append(diagonal)
         lo, hi = max(0, diagonal - band), min(len(text), diagonal + len(own) + band)
         start = max(0, diagonal)
         if np.array_equal(text[start : start + len(own)], own):
             matched, first, end = len(own), start, start + len(own)
+        elif _most(own, text, diagonal, band) < coverage * len(own):
+            continue
         else:
             matched, first, end = align(own, text[lo:hi], diagonal - lo, band)
             first, end = first + lo, end + lo
         if matched >= coverage * len(own):
             found.append((t, matched, first, end))
     kept: list[tuple] = []
-    for t, matched, first, end in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
+    for t, matched, first, end in sorted(found, key=lambda x: (-x[1], len(index["words"][x[0]]), x[2], x[0])):
         if all(end <= a or first >= b for _, _, a, b in kept):
             kept.append((t, matched, first, end))
     return sorted(kept, key=lambda x: x[2])
