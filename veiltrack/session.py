@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import weakref
 import zipfile
@@ -42,9 +43,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir; one is set only where the session has none."""
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where the session has none, one of this machine, which a cluster refuses."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it has to name a folder that all nodes share")
+        root = tempfile.mkdtemp(prefix="veiltrack-")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veiltrack-"))
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of spark.checkpoint.dir."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
