@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from veiltrack.llm import jaccard_join
 from veiltrack.llm.jaccard_join import drop_near_copies, link_documents
 
+from .test_tokens import thue_morse
+
 
 def shingles(text, size=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
@@ -104,3 +106,42 @@ def test_rows_are_dropped_one_by_one(spark):
     rows = [(None, "same words here all day"), (5, "same words here all day"), (None, "other words here all day"), (None, None), (9, "same words here all day"), (9, "nothing like it at all"), (7, "")]
     got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([rows[1], rows[2], rows[3], rows[5], rows[6]], key=str)
+
+
+def chained_by_a_third(seed, n):
+    """A, B = A and twenty words more (80 of 100 shingles in common), and C, which has the end of A and three hundred words of its own."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6))
+    out = []
+    for _ in range(n):
+        a = [word() for _ in range(84)]
+        out += [a, a + [word() for _ in range(20)], a[-64:] + [word() for _ in range(300)]]
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def with_long_passages(seed, docs, passages):
+    """Passages of 20 to 80 words that stand in texts which are mostly not alike; some are."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared = [[word() for _ in range(rng.randint(20, 80))] for _ in range(passages)]
+    out = []
+    for _ in range(docs):
+        own = [word() for _ in range(rng.randint(0, 60))] + rng.choice(shared) + [word() for _ in range(rng.choice([0, 3, 10, 60, 200]))]
+        out.append(own)
+        if rng.random() < 0.3:
+            out.append(own + [word() for _ in range(rng.randint(1, max(1, len(own) // 3)))])
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("corpora", [[chained_by_a_third(1, 20), with_long_passages(2, 250, 12)], [with_long_passages(3, 250, 3), with_long_passages(4, 200, 40)]])
+def test_passages_of_unlinked_documents(spark, corpora):
+    rows = [(i * 2 + k, t) for k, rows in enumerate(corpora) for i, t in rows]
+    got = link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == expected(rows)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, other = thue_morse(10)
+    rows = [(1, f"a b {one} c d"), (2, f"a b {other} c d"), (3, f"a b {other} c d")]
+    got = link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == expected(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from veiltrack.llm.substring_dedup import recompress, remove_repeats
 from veiltrack.llm.tokens import words
 
+from .test_tokens import thue_morse
+
 
 def expected(rows, window):
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
@@ -69,3 +71,14 @@ def test_symbols_depend_on_their_stretch_only():
         own = (lo >= 40) & (hi <= 100)
         sets.append({(int(s), int(x), int(y)) for s, x, y in zip(sym[own], lo[own], hi[own])})
     assert sets[0] == sets[1] and sets[0]
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Texts that differ in one such word share no window with it."""
+    one, other = thue_morse(10)
+    rest = [f"w{i}" for i in range(17)]
+    rows = [(1, " ".join([*rest, one, *rest])), (2, " ".join([*rest, other, *rest])), (3, " ".join([*rest, other, *rest]))]
+    got = remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string"))
+    assert {r.n_removed for r in got.collect()} == {0}
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 35, 3: 35}

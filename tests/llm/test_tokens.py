@@ -4,9 +4,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from veiltrack.llm.shared import Mapped, save, seal
 from veiltrack.llm.tokens import ALNUM_WORDS, SPACE_WORDS, mix, rolling, slices, unmix, windows, words
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -54,3 +56,39 @@ def test_rolling_and_windows():
 def test_mix_has_an_inverse():
     x = np.arange(1000, dtype=np.uint64) * np.uint64(0x123456789ABCDEF)
     assert (unmix(mix(x)) == x).all()
+
+
+def thue_morse(doublings):
+    """Two words of 2 ** doublings letters whose polynomials agree modulo 2 ** 64, whatever the odd base."""
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("doublings", [10, 11, 13])
+def test_words_that_polynomials_confuse(doublings):
+    w = words(pa.array(list(thue_morse(doublings))), second=True)
+    assert w.hash[0] != w.hash[1] and w.other[0] != w.other[1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(TEXTS)
+def test_second_hashes(texts):
+    one, two = words(pa.array(texts, pa.string())), words(pa.array(texts, pa.string()), second=True)
+    assert one.hash.tolist() == two.hash.tolist() and one.other is None
+    assert len(set(zip(two.hash.tolist(), two.other.tolist()))) == len(set(two.other.tolist())) == len(set(two.hash.tolist()))
+
+
+def test_a_missing_part_is_an_error(tmp_path):
+    folder = str(tmp_path)
+    table = Mapped(folder, "x", 4, np.uint64)
+    with pytest.raises(FileNotFoundError):
+        table[0]
+    save(folder, "x", 1, np.arange(3, dtype=np.uint64))
+    save(folder, "x", 2, np.empty(0, np.uint64))
+    seal(folder, "x")
+    assert [len(table[p]) for p in range(4)] == [0, 3, 0, 0]
+    (tmp_path / "x.1").unlink()
+    with pytest.raises(FileNotFoundError):
+        Mapped(folder, "x", 4, np.uint64)[1]

@@ -19,9 +19,10 @@ many pairs as it has members, times a constant, and no link between two
 components is left out.  Components come from contracting the links.
 
 Defined results: null text, or text without words, has the empty set: it is
-linked with nothing and is its own component; a null doc_id is larger than
-any other as a component's name; repeated rows are copies; an empty table
-gives no rows; other columns are ignored.
+linked with nothing and is its own component; texts of any length are worked
+on whole; a null doc_id is larger than any other as a component's name;
+repeated rows are copies; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, dealt, find, gathered, part_of, parts_of, save, shared_folder, stored
+from .shared import BLOCKS, Mapped, Packer, find, gathered, owned, part_of, parts_of, save, seal, shared_folder, stored, tidy
 from .tokens import mix, rolling, slices, windows, words
 
 SHINGLE = 5
@@ -108,7 +109,9 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     striped = docs.select("text").mapInArrow(count, "part int, counts binary").repartitionById(_STRIPES, F.col("part")).mapInArrow(total, "part int, counts binary")
     out = np.zeros(SKETCH, np.uint32)
-    for part, counts in striped.collect():  # SKETCH counters in all
+    with tidy(docs.sparkSession):
+        found = striped.select("*").collect()  # SKETCH counters in all
+    for part, counts in found:
         out[part * wide : (part + 1) * wide] = np.frombuffer(bytes(counts), np.uint32)
     return out
 
@@ -155,7 +158,7 @@ def _save_ids(df: DataFrame, column: str, folder: str, name: str, parts: int) ->
             save(folder, name, part, keys)
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], names=["n"])
 
-    dealt(df.select(column).mapInArrow(pack, BLOCKS), parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    owned(df.select(column).mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, name)
     return Mapped(folder, name, parts, np.uint64)
 
 
@@ -184,7 +187,7 @@ def _save_tags(df: DataFrame, folder: str, name: str, parts: int) -> tuple[Mappe
             save(folder, f"{name}-tags", part, np.concatenate(tag)[order])
         yield pa.RecordBatch.from_arrays([pa.array([len(unit)])], names=["n"])
 
-    dealt(df.select("unit", "tag").mapInArrow(pack, BLOCKS), parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    owned(df.select("unit", "tag").mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, name, f"{name}-tags")
     return Mapped(folder, name, parts, np.uint64), Mapped(folder, f"{name}-tags", parts, np.int64)
 
 
@@ -241,7 +244,7 @@ def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int) -> D
             yield pa.RecordBatch.from_arrays([_signed(token[hit]), _signed(each[0]), pa.array(each[1]), pa.array(pos[hit]), pa.array(each[2]), pa.array(each[3])], names=["token", "unit", "n", "pos", "last", "most"])
 
     firsts = units.filter("n > 0").select("unit", "n", "prefix", "tag", "last")
-    dealt(firsts.mapInArrow(pack, BLOCKS), parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    owned(firsts.mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, "tokens")
     return stored(firsts.mapInArrow(post, POSTING).distinct(), folder, "postings")
 
 
@@ -315,6 +318,8 @@ def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str
     ends = pairs.select(F.explode(F.array("a", "b")).alias("unit"))
     missing = stored(ends.distinct().mapInArrow(lacking, "unit long"), folder, f"{name}-missing")
     if missing.isEmpty():
+        for array in ("ids", "where"):
+            seal(folder, f"{name}-{array}")
         return _Sets(folder, name, parts)
     wanted = _save_ids(missing, "unit", folder, f"{name}-wanted", parts)
 
@@ -353,7 +358,7 @@ def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str
             save(folder, f"{name}-where", part, np.concatenate(where)[first])
         yield pa.RecordBatch.from_arrays([pa.array([len(unit)])], names=["n"])
 
-    dealt(docs.mapInArrow(pick, BLOCKS), parts).mapInArrow(keep, "n long").agg(F.sum("n")).collect()
+    owned(docs.mapInArrow(pick, BLOCKS), parts, keep, "n long", folder, f"{name}-ids", f"{name}-where")
     return _Sets(folder, name, parts)
 
 
@@ -429,8 +434,9 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """link_documents with text_hash, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
-    parts, folder = parts_of(spark), shared_folder(spark, "jaccard")
+    folder = shared_folder(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("tag"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    parts = parts_of(rows)
     sketch = spark.sparkContext.broadcast(_sketch(rows, shingle))
     salt = 11
     while True:

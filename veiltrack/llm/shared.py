@@ -2,26 +2,33 @@
 
 Intermediate tables and sorted hash arrays go to a folder of their own under
 ``spark.checkpoint.dir``.  That setting is read from the session and set only
-where it is unset.  The folder has to be mounted on every node, as the arrays
-are memory-mapped.  Files appear under their final name by a rename, so a task
-that runs twice leaves one whole file.
+where it is unset, and only on one machine.  The folder has to be mounted on
+every node, as the arrays are memory-mapped.  Files appear under their final
+name by a rename, so a task that runs twice leaves one whole file.  When all
+parts of an array are there the driver seals it with a list of them; a reader
+that misses the list, or a file of the list, fails.
 """
 
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import re
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
+#: Bytes of input, by Spark's estimate, for each part of an exchange of blocks, and the most parts.
+PART_BYTES, MOST_PARTS = 256 << 20, 1 << 15
 BLOCKS = "part int, keys binary, counts binary"
 #: Keys that a task gathers before it packs and sends them.
 FLUSH_KEYS = 1_000_000
@@ -31,10 +38,7 @@ _made: list[str] = []
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new, empty folder that every node sees; a plain path."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "veiltrack-shared")
-        spark.sparkContext.setCheckpointDir(root)
+    root = checkpoint_root(spark)
     scheme = re.match(r"([a-z][a-z0-9+.-]*):", root)
     if scheme and scheme[1] != "file":
         raise ValueError(f"spark.checkpoint.dir is {root}; a folder that every node mounts is needed to map files from it")
@@ -52,16 +56,33 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here leave no shuffle files: what they found is on shared files or with the driver."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts lineage and survives lost executors."""
     path = f"file://{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    with tidy(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts_of(spark: SparkSession) -> int:
-    """Partitions of an exchange of blocks: those of Spark's shuffles."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts_of(docs: DataFrame) -> int:
+    """Partitions of an exchange of blocks: those of Spark's shuffles, more of them for an input that is large by Spark's estimate."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-size // PART_BYTES) if size < 1 << 60 else 0  # of rows made by the driver it knows nothing
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MOST_PARTS))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -141,6 +162,15 @@ def dealt(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartitionById(parts, F.col("part"))
 
 
+def owned(blocks: DataFrame, parts: int, keep, schema: str, folder: str, *names: str) -> list:
+    """Runs ``keep`` over each part's blocks, which saves the part's files of the named arrays, and seals those; gives the rows that it made."""
+    with tidy(blocks.sparkSession):
+        rows = dealt(blocks, parts).mapInArrow(keep, schema).collect()  # a row a part
+    for name in names:
+        seal(folder, name)
+    return rows
+
+
 def save(folder: str, name: str, part: int, array: np.ndarray) -> None:
     """An array as a part's file of a named array."""
     path = os.path.join(folder, f"{name}.{part}")
@@ -149,21 +179,32 @@ def save(folder: str, name: str, part: int, array: np.ndarray) -> None:
     os.replace(tmp, path)
 
 
+def seal(folder: str, name: str) -> None:
+    """Lists the parts of a named array that are there, which are all that it will have."""
+    start = f"{name}."
+    parts = sorted(int(x.name[len(start) :]) for x in os.scandir(folder) if x.name.startswith(start) and x.name[len(start) :].isdigit() and x.stat().st_size)
+    with open(tmp := os.path.join(folder, f"{name}.{uuid.uuid4().hex}"), "w") as f:
+        json.dump(parts, f)
+    os.replace(tmp, os.path.join(folder, f"{name}.parts"))
+
+
 class Mapped:
-    """A worker's view of the part files of a named array, memory-mapped when first used."""
+    """A worker's view of the part files of a named array, memory-mapped when first used; a part that isn't in the sealed list is empty."""
 
     def __init__(self, folder: str, name: str, parts: int, dtype):
-        self.folder, self.name, self.parts, self.dtype, self.open = folder, name, parts, np.dtype(dtype), {}
+        self.folder, self.name, self.parts, self.dtype, self.open, self.there = folder, name, parts, np.dtype(dtype), {}, None
 
     def __getitem__(self, part: int) -> np.ndarray:
         if part not in self.open:
+            if self.there is None:
+                with open(os.path.join(self.folder, f"{self.name}.parts")) as f:
+                    self.there = set(json.load(f))
             path = os.path.join(self.folder, f"{self.name}.{part}")
-            there = os.path.exists(path) and os.path.getsize(path)
-            self.open[part] = np.memmap(path, self.dtype, "r") if there else np.empty(0, self.dtype)
+            self.open[part] = np.memmap(path, self.dtype, "r") if part in self.there else np.empty(0, self.dtype)
         return self.open[part]
 
     def __getstate__(self):
-        return {**self.__dict__, "open": {}}
+        return {**self.__dict__, "open": {}, "there": None}
 
 
 def find(keys: np.ndarray, table: Mapped) -> tuple[np.ndarray, np.ndarray]:

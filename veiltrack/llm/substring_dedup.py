@@ -12,8 +12,9 @@ words that decided it is kept.
    blocks of hashes go to the owner of their key range, which keeps those that
    occur twice or more as a sorted array on shared files.
 2. A window can repeat only if every symbol decided inside it repeats.  The
-   windows that pass (and those that hold no such symbol) are verified: their
-   128-bit hashes are counted in the same way.
+   windows that pass (and those that hold no such symbol) are verified: they
+   are counted in the same way by two 64-bit hashes, each of its own hashes of
+   the words, which have no number in common.
 3. Each document's windows are looked up, and the words they cover go.
 
 Everything is a map over documents and an exchange by uniform hashes; a group
@@ -21,8 +22,10 @@ of copies is summed in each task before it is sent.  No window is dropped or
 sampled.
 
 Defined results: null text has no words; a text of fewer words than a window
-keeps all; rows are judged one by one, so a repeated row repeats all its
-windows; an empty table gives no rows; other columns are ignored.
+keeps all; texts of any length are worked on whole, one of more than a slice
+by itself; rows are judged one by one, so a repeated row repeats all its
+windows; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, FLUSH_KEYS, Mapped, Packer, dealt, find, gathered, part_of, parts_of, save, shared_folder
+from .shared import BLOCKS, FLUSH_KEYS, Mapped, Packer, find, gathered, owned, part_of, parts_of, save, shared_folder
 from .tokens import Words, mix, rolling, slices, windows, words
 
 WINDOW = 35
@@ -200,8 +203,8 @@ def _found(a: np.ndarray, b: np.ndarray, one: Mapped, two: Mapped) -> np.ndarray
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_text (the kept words, joined by one space)."""
     spark = docs.sparkSession
-    parts, folder = parts_of(spark), shared_folder(spark, "repeats")
     text = docs.select(F.col(text_col).alias("text"))
+    parts, folder = parts_of(text), shared_folder(spark, "repeats")
     shared = Mapped(folder, "symbols", parts, np.uint64)
     one, two = Mapped(folder, "windows1", parts, np.uint64), Mapped(folder, "windows2", parts, np.uint64)
 
@@ -222,10 +225,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         packer = _PairPacker(parts)
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
-                w = words(batch.column(0).slice(lo, hi - lo))
+                w = words(batch.column(0).slice(lo, hi - lo), second=True)
                 at = _candidates(w, shared, window)
                 if len(at):
-                    yield from packer.add(rolling(w.hash, window)[at], rolling(w.hash, window, 1)[at])
+                    yield from packer.add(rolling(w.hash, window)[at], rolling(w.other, window, 1)[at])
         yield from packer.flush()
 
     def keep_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +242,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                w = words(part.column(1))
+                w = words(part.column(1), second=True)
                 gone = np.zeros(len(w.hash) + 1, np.int32)
                 at = np.flatnonzero(windows(w.first, window, len(w.hash)))
                 if len(at):
-                    at = at[_found(rolling(w.hash, window)[at], rolling(w.hash, window, 1)[at], one, two)]
+                    at = at[_found(rolling(w.hash, window)[at], rolling(w.other, window, 1)[at], one, two)]
                     gone[at] += 1
                     gone[at + window] -= 1  # window ends are distinct, as their starts are
                 kept = np.cumsum(gone[:-1]) == 0
@@ -259,7 +262,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     out.append(b" ".join(compress(own, kept[a:b].tolist()) if removed[d] else own).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first)), pa.array(removed), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    dealt(text.mapInArrow(name_symbols, BLOCKS), parts).mapInArrow(keep_symbols, "n long").agg(F.sum("n")).collect()
-    dealt(text.mapInArrow(name_windows, BLOCKS), parts).mapInArrow(keep_windows, "n long").agg(F.sum("n")).collect()
+    owned(text.mapInArrow(name_symbols, BLOCKS), parts, keep_symbols, "n long", folder, "symbols")
+    owned(text.mapInArrow(name_windows, BLOCKS), parts, keep_windows, "n long", folder, "windows1", "windows2")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, f"doc_id {rows.dtypes[0][1]}, n_words long, n_removed long, kept_text string")

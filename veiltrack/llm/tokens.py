@@ -1,7 +1,9 @@
 """Vectorised tokens over Arrow string arrays.
 
 Words are runs of bytes outside a separator class; every word gets a 64-bit
-content hash.  All work is done with NumPy on the UTF-8 bytes in pieces of
+content hash: the sum of its bytes' numbers, each times an odd number of its
+own for the byte's place in the word.  On demand it gets a second one, from
+numbers that have nothing in common with the first one's.  All work is done with NumPy on the UTF-8 bytes in pieces of
 bounded size, so one very long text needs no more memory than many short ones
 (apart from 24 bytes a word).  Separator classes hold ASCII bytes only, hence
 bytes and code points give the same words.
@@ -22,7 +24,8 @@ _PIECE = 1 << 19
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15)
 _R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Numbers of the bytes, for each of the two hashes.
+_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
 
 def _class(excluded: list[int]) -> np.ndarray:
@@ -83,14 +86,26 @@ def _powers(n: int, r: np.uint64 = _R, inv: np.uint64 = _R_INV) -> tuple[np.ndar
     return have
 
 
+_places: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
+
+
+def _place(n: int, which: int) -> np.ndarray:
+    """Odd numbers of the first n places in a word, at least."""
+    if len(_places[which]) < n:
+        at = np.arange(1 << max(12, int(n).bit_length()), dtype=np.uint64)
+        _places[which] = mix(mix(at + _U(0xC2B2AE3D27D4EB4F if which else 0x165667B19E3779F9))) | _U(1)
+    return _places[which]
+
+
 class Words(NamedTuple):
-    """Words of several texts, in order: byte starts and ends in ``data``, hashes, and each text's first word (n + 1 offsets)."""
+    """Words of several texts, in order: byte starts and ends in ``data``, hashes, each text's first word (n + 1 offsets), and second hashes where they were asked for."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    other: np.ndarray | None = None
 
     @property
     def doc(self) -> np.ndarray:
@@ -125,16 +140,13 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(texts: pa.Array, kind: np.ndarray = SPACE_WORDS, lower: bool = False) -> Words:
-    """The words of every text, with a hash that depends on the word's bytes only."""
+def words(texts: pa.Array, kind: np.ndarray = SPACE_WORDS, lower: bool = False, second: bool = False) -> Words:
+    """The words of every text, with a hash that depends on the word's bytes only; ``second`` asks for two of them."""
     raw, at = buffers(texts)
-    if not len(raw):
-        none = np.empty(0, np.int64)
-        return Words(raw, none, none, np.empty(0, np.uint64), np.zeros(len(at), np.int64))
     fold = _LOWER if lower else _SAME
-    table = _BYTE[fold]
     member = kind[fold]
-    starts, ends, hashes = [], [], []
+    tables = [np.where(member, _BYTE[k][fold], _U(0)) for k in range(1 + second)]
+    starts, ends, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [[np.empty(0, np.uint64)] for _ in tables]
     cut = np.unique(at)
     lo, n = 0, len(raw)
     while lo < n:
@@ -160,18 +172,21 @@ def words(texts: pa.Array, kind: np.ndarray = SPACE_WORDS, lower: bool = False)
         stops[inner - 1] |= is_word[1:-1][inner - 1]
         b, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         if len(b):
-            power, inverse = _powers(hi - lo)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[piece] * power[: hi - lo], out=total[1:])
+            step = np.ones(hi - lo, np.int32)  # a byte's place in its word, by a running sum that each start sets back
+            step[0] = 0
+            step[b[1:]] = 1 - np.diff(b)
+            if b[0]:
+                step[b[0]] = 1 - b[0]
+            place = np.cumsum(step, dtype=np.int32)
+            most = int(max((e - b).max(), np.diff(np.append(b, hi - lo)).max(), b[0]))
             starts.append(b + lo)
             ends.append(e + lo)
-            hashes.append(mix((total[e] - total[b]) * inverse[b]))
+            for k, table in enumerate(tables):
+                hashes[k].append(mix(np.add.reduceat(table[piece] * _place(most, k)[place], b)))  # separators count as 0
         lo = hi
-    if not starts:
-        none = np.empty(0, np.int64)
-        return Words(raw, none, none, np.empty(0, np.uint64), np.zeros(len(at), np.int64))
     start = np.concatenate(starts)
-    return Words(raw, start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, at))
+    made = [np.concatenate(x) for x in hashes]
+    return Words(raw, start, np.concatenate(ends), made[0], np.searchsorted(start, at), made[1] if second else None)
 
 
 _R2 = _U(0xD6E8FEB86659FD93)
