@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from veiltrack.llm.kneser_ney import discounts, score_held_out
 from veiltrack.llm.queries import op1_lm_scoring
 
+from .test_tokens import thue_morse
+
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -69,16 +71,19 @@ def test_on_the_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want, sums = expected(rows)
     assert all(math.isclose(s, 1.0, rel_tol=1e-9) for s in sums)  # the model is a distribution
-    got = op1_lm_scoring(spark, sf_dir).collect()
+    got = score_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2).collect()
     close(got, want)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    third_order, sums = third(rows)
+    assert all(math.isclose(s, 1.0, rel_tol=1e-9) for s in sums)
+    close(op1_lm_scoring(spark, sf_dir).collect(), [(*w[:6], third_order[w[0]]) for w in want])
 
 
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a b a B"), (4, "x " * 3000), (5, "a b"), (6, "new words"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("score"), F.lit("s").alias("part"))
-    close(score_held_out(df).collect(), expected(rows)[0])
+    close(score_held_out(df, order=2).collect(), expected(rows)[0])
 
 
 def test_without_training_rows(spark):
@@ -138,3 +143,19 @@ def test_order_three(spark, sf_dir):
     ids = [d for d in range(200) if held(d)][:3]
     alone = score_held_out(spark.createDataFrame([(d, "some words") for d in ids], "doc_id long, text string"), order=3).collect()
     assert all(r.score == 0.0 for r in alone)
+
+
+def test_histories_with_many_triples(spark):
+    """More than HEAVY triples after one history, and counts that need more than a byte."""
+    rows = [(i, f"a b w{i % 400} a b w{i % 7}") for i in range(900)] + [(1000, "a b c " * 500), (1001, "b a b never")]
+    want, _ = third(rows)
+    got = score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, other = thue_morse(10)
+    out = next(d for d in range(100) if held(d))
+    rows = [(d, one) for d in range(20) if not held(d)] + [(out, other)]
+    got = {r.doc_id: r.n_known for r in score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(out) == 1 and set(got.values()) == {2}
