@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from veiltrack.llm.exact_dedup import build_index, drop_copies, mark_copies
+from veiltrack.llm import exact_dedup
+from veiltrack.llm.exact_dedup import build_index, drop_copies, look_up, mark_copies
 
 
 def expected(rows):
@@ -52,3 +53,27 @@ def test_normalised_and_empty(spark):
     df = spark.createDataFrame([(1, "A b"), (2, "a B"), (3, "c")], "doc_id long, text string")
     assert sorted((r.doc_id, r.keep_id) for r in mark_copies(df, normalise=F.lower).collect()) == [(1, 2), (2, 2), (3, 3)]
     assert mark_copies(df.limit(0)).count() == 0 and drop_copies(df.limit(0)).count() == 0
+
+
+def test_lookups_go_through_the_directory(spark):
+    """Whatever the directory doesn't lead to isn't found."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    index = build_index(df, bucket_rows=8, directory_bits=10)
+    rows = exact_dedup._texts(df, "doc_id", "text", None, index.key)
+    want = sorted((r[:3] for r in map(tuple, mark_copies(df).collect())), key=str)
+    assert sorted((tuple(r)[:3] for r in look_up(rows, index, 1).collect()), key=str) == want
+    assert sorted((tuple(r)[:3] for r in look_up(rows, index, 10_000).collect()), key=str) == want  # all slots are hot
+    wrong = index._replace(directory=index.directory.withColumn("depth", F.col("depth") - 1))
+    lost = look_up(rows, wrong, 1).filter("text_sha256 is null").count()
+    assert lost > len(ROWS) // 4
+    short = index._replace(directory=index.directory.filter("prefix % 2 = 0"))
+    assert 0 < look_up(rows, short, 1).filter("text_sha256 is null").count() < len(ROWS)
+    other = spark.createDataFrame([(1, "never seen")], "doc_id long, text string")
+    assert look_up(exact_dedup._texts(other, "doc_id", "text", None, index.key), index).first().keep_id is None
+
+
+def test_a_hot_text(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = mark_copies(df).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected(rows)
