@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from veiltrack.llm import mixing
 from veiltrack.llm.mixing import mix_sources, source_targets, take_mix
 
 
@@ -94,3 +95,41 @@ def test_edge_cases(spark):
     assert len(got) == 6 and sum(r.size for r in got) == 40_003
     assert all(r.taken == 0 for r in got if r.size == 0)
     assert source_targets(spark.createDataFrame([(None, 0)], "source string, size long")).first().target == 0.0
+
+
+def test_ids_of_text_and_clashing_columns(spark):
+    rows = [(f"id{i}", "w " * (i % 9), "ab"[i % 2], i, 1.0, 7) for i in range(200)] + [(None, "w w", None, 0, 2.0, 7)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, size int, target double, copies int").withColumn("__x", F.lit(1))
+    mixed = {r.doc_id: r for r in mix_sources(df, chunk_rows=16).collect()}
+    assert len(mixed) == 201 and mixed["id8"].size == 8
+    got = take_mix(df, chunk_rows=16)
+    assert got.columns == ["doc_id", "text", "source", "copies", "__x", "size", "source_size", "target", "copy", "taken"]
+    taken = defaultdict(int)
+    for r in got.collect():
+        taken[r.doc_id] += r.taken
+        assert r.copies == 7 and r.size == mixed[r.doc_id].size
+    assert taken == {d: r.taken for d, r in mixed.items() if r.taken}
+
+
+def test_ids_that_doubles_cannot_hold(spark):
+    rows = [(2**60 + i, "w w w", "a") for i in range(20)] + [(None, "w", "a")] + [(i, "w w", "b") for i in range(30)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id for r in got.collect()} == {d for d, _, _ in rows}
+
+
+def test_many_sources(spark, monkeypatch):
+    """Ranks over several ranges of names, with and without broadcast."""
+    names = [f"s{i:03}" for i in range(90)] + ["é", "Z", "", None]
+    rows = [(i, "w " * (1 + i % 7), names[i % len(names)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes = df.select("source", F.size(F.split(F.trim("text"), " ")).cast("long").alias("size"))
+    total = defaultdict(int)
+    for _, t, s in rows:
+        total[s] += len(t.split())
+    want = targets(total)
+    ranked = {r.source: (r.source_rank, r.target) for r in source_targets(sizes).collect()}
+    assert [s for s, _ in sorted(ranked.items(), key=lambda x: x[1][0])] == sorted(names, key=lambda s: (s is None, s or ""))
+    assert sorted(r for r, _ in ranked.values()) == list(range(len(names))) and all(ranked[s][1] == pytest.approx(want[s]) for s in names)
+    one = sorted(map(str, mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 10)
+    assert sorted(map(str, mix_sources(df).collect())) == one

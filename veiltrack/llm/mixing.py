@@ -13,10 +13,14 @@ one document at most.
 Random numbers are drawn by seed, level, source and chunk over rows in a fixed
 order: reruns agree, however the rows are partitioned.
 
-Defined results: null text has size 0; null sources are one source, the last;
-documents of size 0 and sources without words take 0 words; rows that repeat a
-doc_id are rounded one by one; an empty table gives no rows; other columns are
-ignored.
+Sources may be many: they are ranked within ranges of names, and joined to
+their documents by broadcast only if there are at most ``MOST_BROADCAST``.
+
+Defined results: null text has size 0, and texts of any length are counted
+whole; null sources are one source, the last; documents of size 0 and sources
+without words take 0 words and 0 copies; ids of any type that can be ordered
+are kept as they are; rows that repeat a doc_id are rounded one by one; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,11 @@ MOST_COPIES = 3.0
 #: Documents in a chunk on average, and residuals that a node of the tree takes.
 CHUNK_ROWS = 1024
 FAN_IN = 256
+#: Sources that are broadcast at most (some 100 bytes each).
+MOST_BROADCAST = 100_000
 
 _EPS = 1e-9
-_ROW = "doc_id long, source_rank int, chunk long, size long, source_size long, target double, whole double, p double, copies double, row long"
+_ROW = "doc_id {}, source_rank long, chunk long, size long, source_size long, target double, whole double, p double, copies double, row long"
 
 
 def word_count(text: Column) -> Column:
@@ -57,9 +63,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     """
     folder = folder or shared_folder(sizes.sparkSession, "mixing")
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # by ranges of names, each numbered by itself; one row a range tells how many come before it
+    ranged = stored(table.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__range", F.spark_partition_id()), folder, "ranges")
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("__before")
+    table = ranged.join(F.broadcast(starts), "__range")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_rank") % len(weights) + 1).cast("int"))
-    table = stored(table.withColumn("source_rank", rank).withColumn("weight", weight), folder, "sources")
+    table = stored(table.withColumn("source_rank", rank).withColumn("weight", weight).drop("__range", "__before"), folder, "sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     cap, level, ceiling = F.col("source_size") * F.lit(float(most)), 0.0, -1.0
     while level > ceiling:  # the water level rises as sources reach their caps
@@ -95,15 +106,15 @@ def _settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
     """Settles each chunk; one row of a chunk at most stays open (copies null)."""
 
-    def settle(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(["doc_id", "size", "p", "row"], kind="stable").reset_index(drop=True)
-        rank, number = int(chunk["source_rank"].iloc[0]), int(chunk["chunk"].iloc[0])
-        chunk["p"] = _settle(chunk["p"].to_numpy(), chunk["size"].to_numpy(), np.random.default_rng([seed, level, rank, number]))
-        done = (chunk["p"] == 0) | (chunk["p"] == 1)
-        chunk["copies"] = np.where(done, chunk["whole"] + chunk["p"], np.nan)
-        return chunk
+    def settle(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by([(c, "ascending") for c in ("doc_id", "size", "p", "row")])
+        rank, number = chunk["source_rank"][0].as_py(), chunk["chunk"][0].as_py()
+        p = _settle(chunk["p"].to_numpy(), chunk["size"].to_numpy(), np.random.default_rng([seed, level, rank, number]))
+        done = (p == 0) | (p == 1)
+        copies = pa.array(chunk["whole"].to_numpy() + p, mask=~done)
+        return chunk.set_column(chunk.schema.get_field_index("p"), "p", pa.array(p)).set_column(chunk.schema.get_field_index("copies"), "copies", copies)
 
-    return rows.groupBy("source_rank", "chunk").applyInPandas(settle, _ROW)
+    return rows.groupBy("source_rank", "chunk").applyInArrow(settle, _ROW.format(rows.dtypes[0][1]))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
@@ -114,21 +125,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
 def _mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """mix_sources with source and row, a hash of the text."""
     folder = shared_folder(docs.sparkSession, "mixing")
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("row")), folder, "sizes")
+    rows = stored(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "doc_id"), (source_col, "source"))), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("row")), folder, "sizes")
     sources = source_targets(rows, weights, most, folder)
     sources = stored(sources.withColumn("chunks", F.ceil(F.col("source_rows") / chunk_rows)), folder, "targets")
-    chunks = sources.agg(F.max("chunks")).first()[0] or 1
-    rows = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop("source", "source_rows")
+    chunks, n_sources = sources.agg(F.max("chunks"), F.count(F.lit(1))).first()
+    chunks, small = chunks or 1, F.broadcast if n_sources <= MOST_BROADCAST else (lambda df: df)
+    rows = rows.join(small(sources), rows["source"].eqNullSafe(sources["source"])).drop("source", "source_rows")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
     rows = rows.withColumn("whole", F.floor(F.col("rate") + F.lit(_EPS)).cast("double")).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     rows = rows.withColumn("p", F.when(F.col("p") < _EPS, F.lit(0.0)).otherwise(F.col("p")))
-    rows = rows.withColumn("chunk", F.expr("pmod(xxhash64(doc_id, source_rank), chunks)")).withColumn("copies", F.lit(None).cast("double")).withColumn("source_rank", F.col("source_rank").cast("int"))
+    rows = rows.withColumn("chunk", F.expr("pmod(xxhash64(doc_id, source_rank), chunks)")).withColumn("copies", F.lit(None).cast("double"))
     names = [c.split()[0] for c in _ROW.split(", ")]
     settled, level, rows = [], 0, rows.select(names)
     while True:
         out = stored(_level(rows, level, seed), folder, f"level{level}")
-        is_open = F.isnan("copies") | F.col("copies").isNull()
+        is_open = F.col("copies").isNull()
         settled.append(out.filter(~is_open))
         rows = out.filter(is_open)
         if chunks <= 1:
@@ -141,7 +153,7 @@ def _mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MO
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.join(F.broadcast(sources.select(F.col("source_rank").cast("int").alias("source_rank"), "source")), "source_rank")
+    return out.join(small(sources.select("source_rank", "source")), "source_rank")
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
@@ -149,21 +161,19 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and text share their copies as evenly as
     whole copies can be; those that get one more are the first by a hash of
-    their columns, so the sum of copies is kept.
+    their columns, so the sum of copies is kept.  Documents of size 0 are never
+    taken.  A column of docs by the name of one that is added gives way to it.
     """
-    id_, text, source = (F.col(f"`{options.get(f'{c}_col', n)}`") for c, n in (("id", "doc_id"), ("text", "text"), ("source", "source")))
-
-    def key(doc_id: Column, source: Column, size: Column, row: Column) -> list[Column]:
-        # no nulls, so that the join and the numbering deal rows out alike
-        return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__no_id"), F.coalesce(source, F.lit("")).alias("__source"), source.isNull().alias("__no_source"), size.alias("__size"), row.alias("__row")]
-
-    names = ["__id", "__no_id", "__source", "__no_source", "__size", "__row"]
-    each = F.count(F.lit(1))
-    mixed = _mixed(docs, **options).filter("size > 0").groupBy(*key(F.col("doc_id"), F.col("source"), F.col("size"), F.col("row")))
-    mixed = mixed.agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").cast("long").alias("__sum"), each.alias("__n")).filter("__sum > 0")
-    rows = docs.select("*", *key(id_.cast("long"), source, word_count(text), F.xxhash64(text))).join(mixed, names)
+    names = [options.get(f"{c}_col", n) for c, n in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
+    keys = ["__id", "__source", "__size", "__row"]
+    mixed = _mixed(docs, **options).filter("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("row").alias("__row"), "source_size", "target", "copies")
+    mixed = mixed.groupBy(*keys).agg(F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.sum("copies").cast("long").alias("__sum"), F.count(F.lit(1)).alias("__n")).filter("__sum > 0")
+    id_, text, source = (F.col(f"`{c}`") for c in names)
+    rows = docs.select("*", word_count(text).alias("__words"), F.xxhash64(text).alias("__text"))
+    rows = rows.join(mixed, id_.eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__text") == F.col("__row")))
     order = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t))
-    number = F.row_number().over(Window.partitionBy(*names).orderBy(order))
-    rows = rows.withColumn("copies", (F.expr("__sum div __n") + (number <= F.expr("__sum % __n")).cast("long")).cast("int")).filter("copies > 0").withColumn("size", F.col("__size"))
-    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), "size", "source_size", "target", "copies")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("taken", F.col("size")).drop("copies")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    rows = rows.withColumn("__copies", (F.expr("__sum div __n") + (number <= F.expr("__sum % __n")).cast("long")).cast("int")).filter("__copies > 0")
+    added = ["size", "source_size", "target", "copy", "taken"]
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "__copies")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).withColumn("taken", F.col("size")).drop("__copies")
