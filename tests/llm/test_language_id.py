@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from veiltrack.llm import language_id
 from veiltrack.llm.language_id import code_lengths, drop_unknown, fit, learn, predict_held_out
 from veiltrack.llm.queries import op2_language_id
 
@@ -79,3 +80,28 @@ def test_nothing_to_learn_from(spark):
     assert learn(df).languages == []
     assert [r.lang_pred for r in predict_held_out(df).collect()] == ["und"]
     assert predict_held_out(df.limit(0)).count() == 0
+
+
+def test_tables_are_bounded():
+    """With more languages, or less room, contexts seen seldom go; what is left is exact."""
+    texts = [(f"l{k:02}", f"{chr(97 + k)}{chr(98 + k)} abc {chr(97 + k)} xyz {chr(99 + k)}") for k in range(12)]
+    wide = fit(texts)
+    least = 2
+    while least < 1 << 10:
+        tight = fit(texts, least_seen=least)
+        size = tight.child.size * 8 + (tight.cost.size + tight.escape.size) * 4
+        again = fit(texts, table_bytes=size)
+        assert again.child.size <= tight.child.size <= wide.child.size
+        least *= 4
+    got = code_lengths(pa.array(["abc xyz", "é"]), tight)
+    for j, k in enumerate(tight.languages):
+        assert got[0, j] == pytest.approx(plain(texts, "abc xyz", k, 3, least // 4), rel=1e-5)
+
+
+def test_languages_of_long_texts_and_too_many(spark, monkeypatch):
+    rows = [(i, "the cat and the dog sat", "en") for i in range(8)] + [(20 + i, "der hund und die katze " * 2000, "de") for i in range(8)] + [(50, "und die katze", None), (51, "and the dog", None)]
+    got = {r.doc_id: r.lang_pred for r in predict_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[50] == "de" and got[51] == "en"
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

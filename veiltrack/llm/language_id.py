@@ -8,18 +8,25 @@ Statistics are frozen, so a text's code length in a language is exact and does
 not depend on other texts.  The language of the shortest code wins; the score
 is its share among all, each weighing 2 ** -length.
 
-The trees of all languages are laid over each other.  A table holds the code
-length of every byte in every context for every language, escapes included;
-workers walk it for all bytes of a slice at once.
+The trees of all languages are laid over each other.  For each byte that some
+language has seen in a context a row holds its code length in every language,
+escapes included; for all others a context's escapes are added, and the shorter
+context is asked.  Workers do so for all bytes of a slice at once.
 
 Training uses a bounded sample, the one bound here: about ``sample_docs``
 distinct texts of each language, of those of at most ``most_bytes`` bytes, by a
-hash of the text.  Whole texts are scored.
+hash of the text; of a language that has none so short, its shortest one.  With
+many languages a language's share of ``MOST_SAMPLE`` texts is the bound.  More
+than ``MOST_LANGUAGES`` labels are refused.  Contexts that the sample has fewer
+than ``least_seen`` times are left out of the trees; that number is doubled
+until the broadcast tables are within ``TABLE_BYTES``.  Whole texts are scored.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
 as is everything if no language could be learned; null lang is not learned
 from; equal code lengths go to the language that comes first; rows are judged
-one by one; an empty table gives no rows; other columns are ignored.
+one by one; an empty table gives no rows; other columns keep their names and
+values, but may not be called ``__letters``, ``__text``, ``__lang_pred``,
+``__score`` or ``__bits``.
 """
 
 from __future__ import annotations
@@ -38,35 +45,50 @@ from .tokens import buffers, slices
 ORDER = 3
 SAMPLE_DOCS = 250
 MOST_BYTES = 16_384
+MOST_LANGUAGES = 1000
+#: Texts of all languages together that the driver learns from.
+MOST_SAMPLE = 10_000
 #: Contexts that the sample has less often, in all languages together, are left out of the trees.
 LEAST_SEEN = 2
+#: Of the tables that are broadcast.
+TABLE_BYTES = 64 << 20
 UNKNOWN = "und"
 
 
 class Trees(NamedTuple):
-    """symbol: a byte's number, 0 for bytes not seen; child[context, byte before]: the longer context or -1; bits[context, symbol, language]."""
+    """symbol: a byte's number, 0 for bytes not seen; child[context, byte before]: the longer context or -1; parent: the shorter one; cell[context, symbol]: row of cost or -1; cost[row, language] and escape[context, language] in bits."""
 
     languages: list[str]
     order: int
     symbol: np.ndarray
     child: np.ndarray
-    bits: np.ndarray
+    parent: np.ndarray
+    cell: np.ndarray
+    cost: np.ndarray
+    escape: np.ndarray
 
 
 def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_bytes: int = MOST_BYTES) -> list[tuple[str, str]]:
     """About sample_docs distinct (lang, text) of each language, in a fixed order."""
-    rows = docs.select("lang", "text").filter(F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("draw", F.xxhash64("text"))
-    share = rows.groupBy("lang").agg((F.lit(float(sample_docs)) / F.approx_count_distinct("draw")).alias("share"))
-    share = {r["lang"]: min(1.0, r["share"]) for r in share.collect()}  # a row a language
-    if not share:
+    rows = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("draw", F.xxhash64("text")).withColumn("short", F.octet_length("text") <= most_bytes)
+    found = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("short"), F.col("draw"))).alias("n"), F.min(F.octet_length("text")).alias("least"))
+    found = found.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    if not found:
         return []
-    limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in sorted(share.items())))
-    drawn = rows.filter((F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))) < limit).dropDuplicates(["lang", "draw"])
+    each = min(sample_docs, MOST_SAMPLE // len(found))
+    share = rows.sparkSession.createDataFrame([(r["lang"], each / max(r["n"], 1), r["least"] if r["least"] > most_bytes else None) for r in found], "lang string, share double, least int")
+    rows = rows.join(F.broadcast(share), "lang")
+    drawn = rows.filter(F.col("short") & (F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53)) < F.col("share"))).dropDuplicates(["lang", "draw"]).select("lang", "draw", "text")
+    if any(r["least"] > most_bytes for r in found):
+        shortest = rows.filter(F.octet_length("text") == F.col("least")).groupBy("lang").agg(F.min(F.struct("draw", "text")).alias("t"))
+        drawn = drawn.unionByName(shortest.select("lang", "t.draw", "t.text"))
     return [(r["lang"], r["text"]) for r in drawn.orderBy("lang", "draw", "text").collect()]
 
 
-def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAST_SEEN) -> Trees:
+def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAST_SEEN, table_bytes: int = TABLE_BYTES) -> Trees:
     """Context trees from (language, text)."""
     languages = sorted({k for k, _ in texts})
     number = {k: i for i, k in enumerate(languages)}
@@ -75,58 +97,65 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, least_seen: int = LEAS
     symbol = np.zeros(256, np.int64)
     symbol[used] = np.arange(1, len(used) + 1)
     width, n_lang = len(used) + 1, max(1, len(languages))
-    number_type = np.int32 if width**order < 1 << 31 else np.int64
+    number_type = np.int32 if width ** (order + 1) < 1 << 31 else np.int64
     docs = [(k, symbol[b].astype(np.int16)) for k, b in docs]
-    # contexts of each length as numbers in base width, the byte just before last
-    nodes: list[dict[int, int]] = [{0: 0}]
-    counts = []
-    for length in range(order + 1):
-        context, nexts, lang = [], [], []
+
+    def grams(length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Context and symbol of every place as one number in base width, the byte just before last but one; its language."""
+        made, lang = [np.empty(0, number_type)], [np.empty(0, np.int16)]
         for k, s in docs:
             if len(s) > length:
                 c = np.zeros(len(s) - length, number_type)
-                for d in range(length, 0, -1):
+                for d in range(length, -1, -1):
                     c = c * width + s[length - d : len(s) - d]
-                context.append(c)
-                nexts.append(s[length:])
+                made.append(c)
                 lang.append(np.full(len(c), k, np.int16))
-        c, s, k = (np.concatenate(x) if x else np.empty(0, np.int16) for x in (context, nexts, lang))
-        del context, nexts, lang
-        if length:
-            seen, n = np.unique(c, return_counts=True)
-            start = sum(map(len, nodes))
-            shorter = width ** (length - 1)
-            parents = nodes[-1]
-            kept = [x for x, m in zip(seen.tolist(), n.tolist()) if m >= least_seen and x % shorter in parents]
-            nodes.append({x: start + i for i, x in enumerate(kept)})
-        ids = np.array(sorted(nodes[-1]), number_type)
-        here = ids[np.minimum(np.searchsorted(ids, c), len(ids) - 1)] == c if len(ids) else np.zeros(len(c), bool)
-        counts.append((c[here], s[here], k[here]))
-    total = sum(map(len, nodes))
-    child = np.full((total, width), -1, np.int32)
-    bits = np.empty((total, width, n_lang), np.float32)
-    for length, own in enumerate(nodes):
-        keys = np.array(sorted(own), np.int64)
-        ids = np.array([own[int(x)] for x in keys], np.int64)
-        c, s, k = counts[length]
-        c = np.searchsorted(keys, c)
-        by_context = np.argsort(c, kind="stable")
-        c, s, k = c[by_context], s[by_context], k[by_context]
+        return np.concatenate(made), np.concatenate(lang)
+
+    while True:
+        contexts = [np.zeros(1, np.int64)]  # of each length, in order
+        cells = [len(np.unique(grams(0)[0]))]
+        for length in range(1, order + 1):
+            g = grams(length)[0]
+            seen, first, n = np.unique(g, return_index=True, return_counts=True)
+            c = seen // width
+            at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.empty(0, np.int64)
+            n = np.add.reduceat(n, at) if len(c) else n
+            keep = (n >= least_seen) & np.isin(c[at] % width ** (length - 1), contexts[-1])
+            contexts.append(c[at][keep].astype(np.int64))
+            cells.append(int(np.diff(np.append(at, len(c)))[keep].sum()) if len(c) else 0)
+        total = sum(map(len, contexts))
+        if total * width * 8 + (sum(cells) + total) * n_lang * 4 <= table_bytes or total == 1:
+            break
+        least_seen *= 2
+    starts = np.cumsum([0, *map(len, contexts)])
+    child, cell, parent = np.full((total, width), -1, np.int32), np.full((total, width), -1, np.int32), np.full(total, -1, np.int32)
+    cost, escape = np.empty((sum(cells), n_lang), np.float32), np.zeros((total, n_lang), np.float32)
+    filled = 0
+    for length, own in enumerate(contexts):
+        g, k = grams(length)
+        here = np.isin(g // width, own)
+        keys, row = np.unique(g[here], return_inverse=True)
+        seen = np.zeros((len(keys), n_lang), np.int32)
+        np.add.at(seen, (row, k[here]), 1)
+        ids, s = starts[length] + np.searchsorted(own, keys // width), keys % width
+        rows = filled + np.arange(len(keys))
+        cell[ids, s] = rows
+        filled += len(keys)
         if length:
             shorter = width ** (length - 1)
-            parent = np.array([nodes[length - 1][int(x)] for x in keys % shorter], np.int64)
-            child[parent, keys // shorter] = ids
-        for lo in range(0, len(keys), 512):  # some contexts at a time: the driver holds little besides the table
-            hi = min(lo + 512, len(keys))
-            i, j = np.searchsorted(c, (lo, hi))
-            seen = np.zeros((hi - lo, width, n_lang), np.int64)
-            np.add.at(seen, (c[i:j] - lo, s[i:j], k[i:j]), 1)
-            n, q = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            below = bits[parent[lo:hi]] if length else np.full((1, width, n_lang), 8.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own_bits = np.where(seen > 0, -np.log2(seen / (n + q)), -np.log2(q / (n + q)) + below)
-            bits[ids[lo:hi]] = np.where(n > 0, own_bits, below)
-    return Trees(languages, order, symbol, child, bits)
+            parent[starts[length] : starts[length + 1]] = starts[length - 1] + np.searchsorted(contexts[length - 1], own % shorter)
+            child[parent[starts[length] : starts[length + 1]], own // shorter] = starts[length] + np.arange(len(own))
+        if not len(keys):
+            continue
+        at = np.searchsorted(ids, starts[length] + np.arange(len(own)))
+        n, q = np.add.reduceat(seen, at), np.add.reduceat((seen > 0).astype(np.int32), at)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape[starts[length] : starts[length + 1]] = np.where(n > 0, -np.log2(q / (n + q)), 0.0)
+            n, q, which = n[ids - starts[length]], q[ids - starts[length]], ids
+            below = cost[cell[parent[ids], s]] if length else np.full((len(keys), n_lang), 8.0)
+            cost[rows] = np.where(seen > 0, -np.log2(seen / (n + q)), escape[which] + below)
+    return Trees(languages, order, symbol, child, parent, cell, cost, escape)
 
 
 def code_lengths(texts: pa.Array, trees: Trees) -> np.ndarray:
@@ -142,12 +171,24 @@ def code_lengths(texts: pa.Array, trees: Trees) -> np.ndarray:
     padded = np.zeros(len(raw) + (len(n) + 1) * order, np.int64)  # symbol 0 is no context
     padded[place] = s
     node, alive = np.zeros(len(raw), np.int64), np.ones(len(raw), bool)
-    child = trees.child.ravel()
+    child, cell = trees.child.ravel(), trees.cell.ravel()
     for d in range(1, order + 1):
         longer = child[node * width + padded[place - d]]
         alive &= longer >= 0
         node = np.where(alive, longer, node)
-    bits = trees.bits.reshape(-1, trees.bits.shape[2])[node * width + s].astype(np.float64)
+    row = cell[node * width + s]
+    bits = trees.cost[row].astype(np.float64)  # where row is -1 it is put right below
+    left = np.flatnonzero(row < 0)
+    bits[left], here = 0.0, node[left]
+    while len(left):  # up to the context that knows the byte
+        row = cell[here * width + s[left]]
+        known = row >= 0
+        bits[left[known]] += trees.cost[row[known]]
+        left, here = left[~known], here[~known]
+        bits[left] += trees.escape[here]
+        here = trees.parent[here]
+        bits[left[here < 0]] += 8.0
+        left, here = left[here >= 0], here[here >= 0]
     full = np.flatnonzero(n)
     out[full] = np.add.reduceat(bits, at[full])
     return out
