@@ -9,13 +9,14 @@ A conversation is cut into windows of at most ``budget`` tokens by the running
 sum of its turns' tokens.  Each window after the first repeats the leading
 system turn and as many of the last turns before it as fit into
 ``history_tokens``; only assistant texts that are not repeats are under the
-loss mask, so each is trained on once.  A turn longer than the budget gets a
-window of its own and stays whole.
+loss mask, so each is trained on once.  A window that the system turn and the
+next turn do not fit into together goes without the system turn, so no window
+is over the budget but one that holds a single longer turn, which stays whole.
 
 Rows are dealt by conversation and sorted in their partition; a worker streams
 through them and holds one window at a time, however long a conversation is.
 
-Defined results: null text and null role are empty; null conv_id is one
+Defined results: texts of any length are formatted whole; null text and null role are empty; null conv_id is one
 conversation; rows of equal turn are ordered by role, then text, and repeated
 rows stay; an empty table gives no windows; other columns are ignored.
 """
@@ -64,13 +65,14 @@ class _Conversation:
         size = n_tokens(role, text)
         if len(self.turns) > self.repeated and self.sum + size > self.budget:
             yield self.row()
-            room, back = min(self.history, self.budget - size - (self.system[2] if self.system else 0)), []
+            lead = [self.system] if self.system and self.system[2] + size <= self.budget else []
+            room, back = min(self.history, self.budget - size - sum(t[2] for t in lead)), []
             for turn in reversed(self.turns):
                 if turn is self.system or turn[2] > room:
                     break
                 room -= turn[2]
                 back.insert(0, turn)
-            self.turns = ([self.system] if self.system else []) + back
+            self.turns = lead + back
             self.repeated, self.sum = len(self.turns), sum(t[2] for t in self.turns)
         turn = (role, text, size)
         if not self.any and role == "system":
