@@ -3,13 +3,17 @@
 import base64
 import gzip
 import hashlib
+import io
 import json
+import re
+import zlib
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from veiltrack.llm.queries import op6_warc
-from veiltrack.llm.warc import convert_responses, derivatives, derive, page_links, parse_records, read_responses, response_bytes, visible_text, write_records
+from veiltrack.llm.warc import convert_responses, derivatives, derive, page_links, parse_records, read_responses, record_bytes, response_bytes, visible_text, write_records
 
 PAGE = '<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><h1>Head</h1><p>one <b>two</b>&nbsp;three<br>four</p><a href="/x?a=1&amp;b=2">link</a><img src=\'i.png\'></body></html>'
 
@@ -28,17 +32,17 @@ def test_text_and_links():
 def test_title_is_taken_out_wherever_it_stands(head):
     page = f"<html><head>{head}<TITLE>A page</TITLE></head><body><p>one</p><svg><title>two<!-- no --></title></svg></body></html>"
     assert visible_text(page) == "one\ntwo"
-    assert derive("http://e.x/", page)[1][9] == "one\ntwo"
+    assert derive("http://e.x/", page)[1][10] == "one\ntwo"
 
 
 def test_records_refer_to_their_source():
-    (kind, own, source, url, date, _, block_digest, payload, length, block), text = derive("http://e.x/", PAGE)
+    (kind, own, source, url, date, _, block_digest, payload, source_digest, length, block), text = derive("http://e.x/", PAGE)
     about = json.loads(block)["Envelope"]
     assert kind == "metadata" and about["WARC-Header-Metadata"]["WARC-Record-ID"] == source == text[2] and own != text[1]
     assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Head"]["Title"] == "A & B"
     assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Content-Type"].startswith("text/html")
-    assert payload == text[7] == sha1(PAGE.encode()) and block_digest == sha1(block.encode()) and length == len(block.encode())
-    assert text[0] == "conversion" and text[6] == sha1(text[9].encode())
+    assert payload == block_digest and text[7] == text[6] and text[8] == sha1(PAGE.encode()) and block_digest == sha1(block.encode()) and length == len(block.encode())
+    assert text[0] == "conversion" and text[6] == sha1(text[10].encode()) and source_digest == text[8] == about["WARC-Header-Metadata"]["WARC-Payload-Digest"]
 
 
 def test_round_trip_through_files(spark, tmp_path):
@@ -52,7 +56,7 @@ def test_round_trip_through_files(spark, tmp_path):
     assert key(found) == key(direct)
     out = write_records(direct.coalesce(2), str(tmp_path / "out")).collect()
     assert sum(r.n for r in out) == 12
-    back = [(h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Block-Digest"], b.decode()) for r in out for h, b in parse_records(open(r.path, "rb").read())]
+    back = [(h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Block-Digest"], b.decode()) for r in out for h, b in parse_records(open(r.path, "rb"))]
     assert sorted(back) == sorted((r.record_id, r.refers_to, r.block_digest, r.block) for r in direct.collect())
 
 
@@ -65,15 +69,73 @@ def test_edge_cases(spark):
     assert derivatives(df.limit(0)).count() == 0
 
 
+class Visible(HTMLParser):
+    """Text by the parser of the standard library: a new line at each block, nothing hidden, and not the first title."""
+
+    BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.titles = [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.titles += tag == "title"
+        self.hidden += tag in ("script", "style", "noscript", "template") or (tag == "title" and self.titles == 1)
+        self.out += ["\n"] if tag in self.BLOCKS else []
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in ("script", "style", "noscript", "template") or (tag == "title" and self.titles == 1)))
+        self.out += ["\n"] if tag in self.BLOCKS else []
+
+    def handle_data(self, data):
+        self.out += [] if self.hidden else [data]
+
+    def text(self, page):
+        self.feed(page)
+        self.close()
+        lines = (re.sub(r"[ \t\r\f\v\u00a0]+", " ", x).strip(" ") for x in "".join(self.out).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
+def test_text_of_the_pages(spark, sf_dir):
+    """Word for word what a parser of whole documents sees."""
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: r.block for r in op6_warc(spark, sf_dir).collect() if r.kind == "conversion"}
+    assert len(got) == len(pages) > 10
+    assert all(got[p].split() == Visible().text(h).split() for p, h in pages.items())
+    assert sum(got[p].split("\n") == Visible().text(h).split("\n") for p, h in pages.items()) >= 0.95 * len(pages)
+
+
+def test_bodies_and_fields(spark, tmp_path):
+    """Charsets, chunks, codings, repeated fields; digests and lengths of the source."""
+    page = "<title>t</title><p>caf\u00e9 na\u00efve</p>"
+    latin, utf = page.encode("latin-1"), page.encode()
+    chunked = b"5\r\n" + utf[:5] + b"\r\n%x;x=y\r\n" % len(utf[5:]) + utf[5:] + b"\r\n0\r\n\r\n"
+    raw_deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    cases = [("Content-Type: text/html; charset=ISO-8859-1", latin), ("X: y", b"<meta charset='latin1'>" + latin), ("Transfer-Encoding: chunked", chunked), ("Content-Encoding: gzip", gzip.compress(utf)), ("Content-Encoding: deflate", zlib.compress(utf)), ("Content-Encoding: deflate", raw_deflate.compress(utf) + raw_deflate.flush()), ("Content-Type: text/html; charset=unheard-of", utf)]
+    records = b""
+    for i, (field, body) in enumerate(cases):
+        block = f"HTTP/1.1 200 OK\r\n{field}\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\n\r\n".encode() + body
+        records += gzip.compress(record_bytes("response", f"<urn:{i}>", None, f"http://e.x/{i}", "2020-01-01T00:00:00Z", "application/http", sha1(block), sha1(body), block))
+    (tmp_path / "a b.warc.gz").write_bytes(records)
+    got = {(r.target_uri, r.kind): r for r in convert_responses(read_responses(spark, str(tmp_path))).collect()}
+    assert len(got) == 2 * len(cases)
+    for i, (_, body) in enumerate(cases):
+        text, about = got[f"http://e.x/{i}", "conversion"], got[f"http://e.x/{i}", "metadata"]
+        assert text.block == "caf\u00e9 na\u00efve" and text.refers_to == f"<urn:{i}>" and text.source_digest == sha1(body)
+        fields = json.loads(about.block)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]
+        assert fields["Set-Cookie"] == ["a=1", "b=2"]
+
+
 def test_on_the_pages(spark, sf_dir):
     got = op6_warc(spark, sf_dir).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert len(got) == 2 * len(pages)
     for r in got:
-        assert r.target_uri == (pages[r.page_id].url or "") and r.payload_digest == sha1((pages[r.page_id].html or "").encode())
+        assert r.target_uri == (pages[r.page_id].url or "") and r.source_digest == sha1((pages[r.page_id].html or "").encode())
         assert r.kind == "metadata" or ("<script" not in r.block and "</p>" not in r.block)
 
 
 @pytest.mark.parametrize("text", ["WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"])
 def test_plain_record(text):
-    assert list(parse_records(text.encode())) == [({"Content-Length": "3"}, b"abc")]
+    assert list(parse_records(io.BytesIO(text.encode()))) == [({"Content-Length": "3"}, b"abc")]

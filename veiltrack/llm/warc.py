@@ -4,12 +4,21 @@ A response (its page's URL, HTTP headers and HTML) gives two records that
 refer to it: ``metadata``, a JSON of the source headers, title and links, and
 ``conversion``, the visible text.  Record ids are UUIDs made from URL, payload
 digest and kind, so a rerun gives the same ones; digests are SHA-1 in base 32.
-Each record is made from one response alone, in a map over all of them.
+A record's own payload digest is that of its block; the response's stands in
+the metadata and in source_digest.  Each record is made from one response
+alone, in a map over all of them.
+
+Files are read record by record, so memory holds one record and one batch of
+rows; of a store that isn't mounted on the workers, one file (of at most 2 GB,
+which is what Spark can hand over) besides.  Bodies are freed of chunking and
+of gzip or deflate coding, and decoded by the charset of the HTTP header, else
+by that which the markup names in its first 1024 bytes, else as UTF-8; other
+codings stay as they are.  HTTP fields that stand several times become lists.
 
 Defined results: null URL or null HTML counts as empty, and an empty target is
-left out of the headers; repeated pages give records of equal ids; broken
-markup gives what text it has; an empty table gives no records; other columns
-are ignored.
+left out of the headers; pages of any length are worked on whole; repeated
+pages give records of equal ids; broken markup gives what text it has; an empty
+table gives no records; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +32,10 @@ import json
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +43,7 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-RECORD = "page_id long, kind string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, content_length long, block string"
+RECORD = "page_id long, kind string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, source_digest string, content_length long, block string"
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
@@ -76,23 +88,37 @@ def page_links(markup: str) -> list[dict]:
     return [{"path": f"{m[0].upper()}@/{m[1].lower()}", "url": html_entities.unescape(m[2] or m[3] or m[4])} for m in _LINK.findall(_HIDDEN.sub(" ", markup))]
 
 
-def derive(url: str, markup: str, date: str = DATE, http: str = HTTP, source_id: str | None = None) -> list[tuple]:
+def header_fields(lines: str) -> dict[str, str | list[str]]:
+    """HTTP fields by name, as it was first spelt; those that stand several times as lists."""
+    spelt: dict[str, str] = {}
+    out: dict[str, str | list[str]] = {}
+    for line in lines.split("\r\n"):
+        name, colon, value = line.partition(":")
+        if not colon:
+            continue
+        name = spelt.setdefault(name.strip().lower(), name.strip())
+        held, value = out.get(name), value.strip()
+        out[name] = value if held is None else [*(held if isinstance(held, list) else [held]), value]
+    return out
+
+
+def derive(url: str, markup: str, date: str = DATE, http: str = HTTP, source_id: str | None = None, source_digest: str | None = None, source_length: int | None = None) -> list[tuple]:
     """The metadata and the conversion record of a response, as RECORD has them but for page_id."""
     body = markup.encode("utf-8", "surrogatepass")
-    payload = digest(body)
+    payload = source_digest or digest(body)
     source = source_id or record_id("response", url, payload)
     status, _, fields = http.rstrip("\r\n").partition("\r\n")
-    headers = dict(line.split(": ", 1) for line in fields.split("\r\n") if ": " in line)
     about = {
         "Envelope": {
-            "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload, "Content-Length": str(len(http.encode()) + len(body))},
-            "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": headers, "HTML-Metadata": {"Head": {"Title": page_title(markup)}, "Links": page_links(markup)}}},
+            "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source, "WARC-Target-URI": url, "WARC-Date": date, "WARC-Payload-Digest": payload, "Content-Length": str(len(http.encode()) + len(body) if source_length is None else source_length)},
+            "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": header_fields(fields), "HTML-Metadata": {"Head": {"Title": page_title(markup)}, "Links": page_links(markup)}}},
         }
     }
     out = []
     for kind, content_type, block in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", visible_text(markup))):
         raw = block.encode("utf-8", "replace")
-        out.append((kind, record_id(kind, url, payload), source, url, date, content_type, digest(raw), payload, len(raw), raw.decode()))
+        own = digest(raw)
+        out.append((kind, record_id(kind, url, payload), source, url, date, content_type, own, own, payload, len(raw), raw.decode()))
     return out
 
 
@@ -125,22 +151,59 @@ def response_bytes(url: str, markup: str, date: str = DATE, http: str = HTTP) ->
     return record_bytes("response", record_id("response", url, payload), None, url, date, "application/http; msgtype=response", digest(block), payload, block)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a file, compressed or not."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while True:
-        line = stream.readline()
-        if not line:
-            return
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a file, compressed or not, one after the other."""
+    stream = io.BufferedReader(stream, 1 << 20) if not hasattr(stream, "peek") else stream
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
+    while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
         headers = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
+        while line := stream.readline().rstrip(b"\r\n"):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip()] = value.strip()
         yield headers, stream.read(int(headers.get("Content-Length", 0)))
 
 
+def _last(fields: dict[str, str | list[str]], name: str) -> str:
+    found = next((v for k, v in fields.items() if k.lower() == name), "")
+    return (found[-1] if isinstance(found, list) else found).lower()
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip() or b"x", 16)
+        except ValueError:
+            return body if not out else b"".join(out)
+        if size == 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def decode_body(fields: dict[str, str | list[str]], body: bytes) -> str:
+    """The markup of a response's body."""
+    if "chunked" in _last(fields, "transfer-encoding"):
+        body = _unchunked(body)
+    coding = _last(fields, "content-encoding")
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # gzip or zlib, then a bare deflate stream
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", _last(fields, "content-type")) or re.search(r"<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", body[:1024].decode("latin-1"), re.I)
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def write_records(records: DataFrame, folder: str) -> DataFrame:
     """RECORD rows as files of gzip members in a folder that all workers mount, one a partition; gives path and n of each when run."""
 
@@ -160,31 +223,50 @@ def write_records(records: DataFrame, folder: str) -> DataFrame:
     return records.mapInPandas(write, "path string, n long")
 
 
+_RESPONSE = "source_id string, url string, date string, http string, html string, digest string, length long"
+
+
+def _responses(stream: BinaryIO) -> Iterator[tuple]:
+    for headers, block in parse_records(stream):
+        if headers.get("WARC-Type") == "response":
+            http, gap, body = block.partition(b"\r\n\r\n")
+            http = (http + gap).decode("utf-8", "replace")
+            fields = header_fields(http.rstrip("\r\n").partition("\r\n")[2])
+            yield headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", ""), http, decode_body(fields, body), headers.get("WARC-Payload-Digest") or digest(body), len(block)
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """source_id, url, date, http, html of the response records in files; each file is read whole by one task."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """_RESPONSE rows of the response records in files; a file is one task's, record by record."""
+    columns, files = [c.split()[0] for c in _RESPONSE.split(", ")], spark.read.format("binaryFile").load(path)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for headers, block in parse_records(content):
-                    if headers.get("WARC-Type") == "response":
-                        http, gap, body = block.partition(b"\r\n\r\n")
-                        rows.append((headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", ""), (http + gap).decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["source_id", "url", "date", "http", "html"], dtype=object)
-
-    return files.mapInPandas(read, "source_id string, url string, date string, http string, html string")
+            for source in batch.iloc[:, 0]:
+                # a path that workers open as Spark does, or what Spark has read
+                with open(unquote(urlsplit(source).path), "rb") if isinstance(source, str) else io.BytesIO(source) as stream:
+                    rows, size = [], 0
+                    for row in _responses(stream):
+                        rows.append(row)
+                        size += row[-1]
+                        if size > 8 << 20:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+                    yield pd.DataFrame(rows, columns=columns)
+
+    mounted = F.col("path").startswith("file:")
+    near = files.filter(mounted).select("path").mapInPandas(read, _RESPONSE)
+    return near.unionByName(files.filter(~mounted).select("content").mapInPandas(read, _RESPONSE))
 
 
 def convert_responses(responses: DataFrame) -> DataFrame:
-    """RECORD rows (page_id null) of read_responses: ids, dates and HTTP headers of the source are kept."""
+    """RECORD rows (page_id null) of read_responses: ids, dates, HTTP headers and digests of the source are kept."""
     columns = [c.split()[0] for c in RECORD.split(", ")]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(None, *r) for r0 in batch.itertuples() for r in derive(r0.url, r0.html, r0.date, r0.http, r0.source_id or None)]
-            out = pd.DataFrame(made, columns=columns)
-            yield out.assign(page_id=out["page_id"].astype("Int64"))
+            for lo in range(0, len(batch), 500):
+                made = [(None, *r) for r0 in batch.iloc[lo : lo + 500].itertuples() for r in derive(r0.url, r0.html, r0.date, r0.http, r0.source_id or None, r0.digest, int(r0.length))]
+                out = pd.DataFrame(made, columns=columns)
+                yield out.assign(page_id=out["page_id"].astype("Int64"))
 
     return responses.mapInPandas(build, RECORD)
