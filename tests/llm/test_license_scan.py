@@ -81,3 +81,36 @@ def test_licenses_are_told_apart(spark):
 def test_bound_on_templates():
     with pytest.raises(ValueError):
         build_index({"big": "w " * 1_000_001})
+
+
+def test_near_matches_against_whole_tables(spark):
+    """Altered copies are reported as the best alignment of all words with all words says, and nothing else is."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(4))
+    templates = {f"t{n}": " ".join(word() for _ in range(n)) for n in (12, 25, 60, 150, 400)}
+    rows = []
+    for i in range(120):
+        name = rng.choice(sorted(templates))
+        own = []
+        for x in templates[name].split():
+            own += [x] if (r := rng.random()) > 0.1 else [word()] if r > 0.03 else [x, word()] if r > 0.01 else []
+        if rng.random() < 0.2:
+            own = own[: len(own) // 2]
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 30))] + own + [word() for _ in range(rng.randint(0, 30))])))
+    want = {}
+    for i, text in rows:
+        for name, template in templates.items():
+            t, d = hashed(template), hashed(text)
+            matched, first, end = align(t, d, 0, band=len(t) + len(d))
+            if matched >= 0.75 * len(t):
+                want[i, name] = (matched, first, end)
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {(r.doc_id, r.template): (r.n_matched, r.first_word, r.end_word) for r in got} == want and len(want) > 60
+
+
+def test_phrases_repeated_many_times(spark):
+    """A text that repeats a phrase of a long template is done at once, and has no match."""
+    phrase = " ".join(TEMPLATES["Apache-2.0"].split()[40:44]) + " "
+    rows = [(1, phrase * 5000), (2, (phrase + "x y ") * 3000 + TEMPLATES["ISC"])]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.template) for r in got] == [(2, "ISC")]

@@ -10,12 +10,14 @@ the templates, which are a parameter and bounded by ``MOST_WORDS``.
 Workers look up all k-word hashes of a text.  Hits on nearby diagonals are one
 candidate, and a local alignment in a band around it finds the words that match
 (2 for a match, -1 for a word more, less or other).  It is reported if the
-matched words cover enough of the template.  Of overlapping matches in one text
+matched words cover enough of the template.  A copy so altered that no run of
+k + window - 1 words of it is left (k words of a short template) is no candidate.  Of overlapping matches in one text
 the one with more matched words counts, of equal ones that of the shorter template.
 
-Defined results: null and empty texts have no matches; a text that holds a
-template twice gives two matches; rows are scanned one by one; an empty table
-gives no rows; other columns are ignored.
+Defined results: null and empty texts have no matches; texts of any length are
+scanned whole; a text that holds a template twice gives two matches; rows are
+scanned one by one; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -74,29 +76,25 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     """Matched words, and first and end word in text, of the best local alignment whose positions differ by diagonal, give or take the band."""
     m, n = len(template), len(text)
     width = 2 * band + 1
-    score = np.zeros((m + 1, width + 2), np.int32)
-    step = np.zeros((m + 1, width + 2), np.int8)  # 1 both, 2 a template word alone, 3 a text word alone
-    best, where = 0, (0, 0)
+    score, ramp = np.zeros((m + 1, width + 2), np.int32), np.arange(width, dtype=np.int32)
     for i in range(1, m + 1):
         low = i + diagonal - band  # text position (from 1) of band column 1
-        for c in range(max(1, 2 - low), min(width, n - low + 1) + 1):
-            j = low + c - 1
-            if j < 1 or j > n:
-                continue
-            same = template[i - 1] == text[j - 1]
-            options = (0, score[i - 1, c] + (2 if same else -1), score[i - 1, c + 1] - 1, score[i, c - 1] - 1)
-            s = max(options)
-            score[i, c], step[i, c] = s, options.index(s)
-            if s > best:
-                best, where = s, (i, c)
-    (i, c), matched, first, end = where, 0, 0, 0
-    while i > 0 and step[i, c]:
+        a, b = max(1, 2 - low), min(width, n - low + 1) + 1
+        if a < b:
+            same = text[low + a - 2 : low + b - 2] == template[i - 1]
+            own = np.maximum(score[i - 1, a:b] + np.where(same, 2, -1), score[i - 1, a + 1 : b + 1] - 1)
+            # text words alone, one a column: a running maximum of what stands further left
+            score[i, a:b] = np.maximum.accumulate(np.maximum(own, 0) + ramp[: b - a]) - ramp[: b - a]
+    i, c = (int(x) for x in np.unravel_index(score.argmax(), score.shape))
+    matched, first, end = 0, 0, 0
+    while i > 0 and score[i, c]:
         j = i + diagonal - band + c - 1
-        if step[i, c] == 1:
-            if template[i - 1] == text[j - 1]:
+        same = template[i - 1] == text[j - 1]
+        if score[i, c] == score[i - 1, c] + (2 if same else -1):
+            if same:
                 matched, first, end = matched + 1, j - 1, end or j
             i -= 1
-        elif step[i, c] == 2:
+        elif score[i, c] == score[i - 1, c + 1] - 1:
             i, c = i - 1, c + 1
         else:
             c -= 1
