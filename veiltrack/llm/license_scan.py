@@ -8,7 +8,7 @@ inverted index, hash to (template, position), is broadcast: its size is that of
 the templates, which are a parameter and bounded by ``MOST_WORDS``.
 
 Workers look up all k-word hashes of a text.  Hits on nearby diagonals are one
-candidate, and a local alignment in a band around it finds the words that match
+candidate, and a local alignment in a band around them finds the words that match
 (2 for a match, -1 for a word more, less or other).  It is reported if the
 matched words cover enough of the template.  A copy so altered that no run of
 k + window - 1 words of it is left (k words of a short template) is no candidate.  Of overlapping matches in one text
@@ -22,6 +22,7 @@ whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -111,23 +112,39 @@ def _most(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> i
     return int(there.sum())
 
 
+def _spread(diagonals: list[int], diagonal: int, band: int, reach: int) -> tuple[int, int]:
+    """The diagonals around one that a copy may drift over: from hit to hit a band at most, and as far as words may be missing or added."""
+    low = high = bisect_left(diagonals, diagonal)
+    while high + 1 < len(diagonals) and diagonals[high + 1] - diagonals[high] <= band and diagonals[high + 1] - diagonal <= reach:
+        high += 1
+    while low > 0 and diagonals[low] - diagonals[low - 1] <= band and diagonal - diagonals[low - 1] <= reach:
+        low -= 1
+    return diagonals[low], diagonals[high]
+
+
 def matches(text: np.ndarray, hits: list[tuple[int, int, int]], index: dict, coverage: float, band: int) -> list[tuple]:
     """(template, matched, first, end) of a text's word hashes and its hits (template, diagonal, position)."""
     found, done = [], defaultdict(list)
     times = Counter((t, diagonal) for t, diagonal, _ in hits)
+    all_of = defaultdict(list)
+    for t, diagonal in sorted(times):
+        all_of[t].append(diagonal)
     for t, diagonal in sorted(times, key=lambda x: (-times[x], x)):
         own = index["words"][t]
-        if any(abs(diagonal - d) <= min(band, len(own) - 1) for d in done[t]):
+        near = min(band, len(own) - 1)
+        if any(lo - near <= diagonal <= hi + near for lo, hi in done[t]):
             continue  # the band around one with more hits holds it
-        done[t].append(diagonal)
-        lo, hi = max(0, diagonal - band), min(len(text), diagonal + len(own) + band)
+        low, high = _spread(all_of[t], diagonal, band, int((1 - coverage) * len(own)))
+        done[t].append((low, high))
+        middle, wide = (low + high) // 2, band + (high - low + 1) // 2
+        lo, hi = max(0, low - band), min(len(text), high + len(own) + band)
         start = max(0, diagonal)
         if np.array_equal(text[start : start + len(own)], own):
             matched, first, end = len(own), start, start + len(own)
-        elif _most(own, text, diagonal, band) < coverage * len(own):
+        elif _most(own, text, middle, wide) < coverage * len(own):
             continue
         else:
-            matched, first, end = align(own, text[lo:hi], diagonal - lo, band)
+            matched, first, end = align(own, text[lo:hi], middle - lo, wide)
             first, end = first + lo, end + lo
         if matched >= coverage * len(own):
             found.append((t, matched, first, end))
