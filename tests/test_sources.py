@@ -75,10 +75,31 @@ def test_runs_across_blocks(spark):
     assert [r.run for r in got] == [0, 0, 1, 1, 1, 1, 1, 2, 3, 3, 4]
 
 
-def test_shape_files(spark, samples, tmp_path):
-    good = read_shapes(spark, samples.shapes)
+SHAPES = """type,id,geography,attributes
+circle,1,42.25:-83.5:100
+circle,2,42.3:-83.55:12.5
+circle,7,-12.125:130.5:3000
+grid,0_0,42.0:-84.0:42.5:-83.5
+grid,0_1,42.0:-83.5:42.5:-83.0
+grid,3_12,42.5:-84.0:43.0:-83.5
+edge,10,1;42.1;-83.9:2;42.2;-83.8,way_type=secondary:way_id=10
+edge,11,2;42.2;-83.8:3;42.2;-83.7,way_type=motorway:way_id=11
+edge,12,3;42.2;-83.7:4;42.3;-83.65
+edge,13,4;42.3;-83.65:1;42.1;-83.9,way_type=service:way_id=13
+"""
+FAULTY = """type,id,geography,attributes
+circle,1
+grid,0_0,42.0:-84.0:42.5:-83.5,a=b,c
+edge,10,1;42.1;-83.9:2;42.2;-83.8,way_type=secondary:way_id=10
+"""
+
+
+def test_shape_files(spark, tmp_path):
+    (tmp_path / "good").write_text(SHAPES)
+    (tmp_path / "bad").write_text(FAULTY)
+    good = read_shapes(spark, str(tmp_path / "good"))
     assert (good.circles.count(), good.grids.count(), good.edges.count(), good.bad.count()) == (3, 3, 4, 0)
-    bad = read_shapes(spark, samples.faulty_shapes)
+    bad = read_shapes(spark, str(tmp_path / "bad"))
     assert (bad.circles.count(), bad.grids.count(), bad.edges.count(), bad.bad.count()) == (0, 0, 1, 2)
     write_shapes(str(tmp_path / "out"), good.edges, good.circles, good.grids)
     back = read_shapes(spark, str(tmp_path / "out"))
@@ -127,11 +148,22 @@ def test_street_maps(spark, tmp_path):
     assert sorted(r.way_type for r in read_shapes(spark, str(tmp_path / "s")).edges.collect()) == [2, 42]
 
 
-def test_config_lines(samples):
-    text = Path(samples.config).read_text()
-    now, old = parse_config(text), parse_config(text, legacy=True)
+CONFIG = """quad_sw_lat:42.10
+quad_sw_lng:-83.95
+plot_kml:1
+mf_fit_ext:0.5
+mf_scale:1.0
+ta_area_width:30.0
+ta_heading_delta:90.0
+n_heading_groups:24
+max_out_degree:9
+"""
+
+
+def test_config_lines():
+    now, old = parse_config(CONFIG), parse_config(CONFIG, legacy=True)
     assert old.fit_extension == 1.0 and old.ta_area_width == 90.0
-    assert now.fit_scale == 1.0 and now.ta_heading_delta == 90.0 and now.sw_lat == pytest.approx(35.94692)
+    assert now.fit_scale == 1.0 and now.ta_heading_delta == 90.0 and now.sw_lat == 42.1 and now.heading_groups == 24 and now.plot_kml
     assert parse_config("nothing\nstop_max_time:abc\nplot_kml:1\n") == replace(DIConfig(), plot_kml=True)
     assert parse_config(describe(now)) == now
 
@@ -145,15 +177,35 @@ def test_json_config(wrong):
     assert validate(DIConfig()) == DIConfig()
 
 
-def test_command_line(spark, samples, tmp_path, capsys):
-    config = describe(replace(INTERACTIVE, min_direct=5.0, max_direct=30.0, min_manhattan=5.0, max_manhattan=30.0))
+def drive(n=240):
+    """Records of a trip along a road and back on a second one, with a stop on the way."""
+    lines = []
+    for i in range(n):
+        moving = min(i, 100) + max(0, i - 130)
+        lat, lon = 42.2 + 0.00002 * moving, -83.8 + 0.00001 * (i % 2)
+        lines.append(record(f"{lat:.6f}", f"{lon:.6f}", "0" if i < 180 else "90", "0.5" if 100 <= i < 130 else "20", str(i * 100_000), ("7", "8")))
+    return lines
+
+
+def test_command_line(spark, tmp_path, capsys):
+    config = describe(replace(INTERACTIVE, min_direct=5.0, max_direct=30.0, min_manhattan=5.0, max_manhattan=30.0, sw_lat=42.19, sw_lon=-83.81, ne_lat=42.22, ne_lon=-83.79))
     (tmp_path / "c").write_text(config)
-    (tmp_path / "list").write_text(f"{samples.trip}:one\n{tmp_path}/missing.csv\n")
-    code = main(["-c", str(tmp_path / "c"), "-q", samples.roads, "-o", str(tmp_path / "out"), "-k", str(tmp_path / "kml"), "-l", "-n", str(tmp_path / "list")], spark)
+    (tmp_path / "roads").write_text("type,id,geography,attributes\nedge,1,1;42.199;-83.8:2;42.202;-83.8,way_type=secondary:way_id=1\nedge,2,2;42.202;-83.8:3;42.206;-83.8,way_type=residential:way_id=2\n")
+    lines = [HEADER, *drive()]
+    (tmp_path / "trip.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/trip.csv:one\n{tmp_path}/missing.csv\n")
+    code = main(["-c", str(tmp_path / "c"), "-q", str(tmp_path / "roads"), "-o", str(tmp_path / "out"), "-k", str(tmp_path / "kml"), "-l", "-n", str(tmp_path / "list")], spark)
     said = capsys.readouterr()
-    assert code == 0 and said.out.splitlines()[-1].startswith("281,0,0,0,0,") and "missing.csv" in said.err
-    lines = (tmp_path / "out" / "1_1.csv").read_text().splitlines()
-    raw = Path(samples.trip).read_text().splitlines()
-    assert lines[0] == HEADER and 0 < len(lines) < len(raw) and set(lines[1:]) <= set(raw)
-    kml = (tmp_path / "kml" / "1_1.di.kml").read_text()
-    assert kml.startswith("<?xml") and "stop_marker_style" in kml and "MPH = " in kml
+    assert code == 0 and said.out.splitlines()[-1].startswith("240,0,0,0,0,") and "missing.csv" in said.err
+    kept = (tmp_path / "out" / "7_8.csv").read_text().splitlines()
+    assert kept[0] == HEADER and 0 < len(kept) < len(lines) and set(kept[1:]) <= set(lines)
+    kml = (tmp_path / "kml" / "7_8.di.kml").read_text()
+    assert kml.startswith("<?xml") and "stop_marker_style" in kml and kml.count("<LineString>") > 2
+
+
+def test_mapped_command_line(spark, tmp_path):
+    (tmp_path / "c.json").write_text(dump_json(replace(INTERACTIVE, plot_kml=False)))
+    rows = [f"20,{42.2 + i * 0.0001},{'ab'[i // 60]},-83.8,1,{i * 100000},0" for i in range(120)]
+    (tmp_path / "m.csv").write_text("\n".join(["Speed,Latitude,RxDevice,Longitude,FileId,Gentime,Heading", *rows]) + "\n")
+    assert main(["-m", "-c", str(tmp_path / "c.json"), "-o", str(tmp_path / "out"), str(tmp_path / "m.csv")], spark) == 0
+    assert sorted(p.name.split("|")[-1] for p in (tmp_path / "out").iterdir()) == ["a_1.di.csv", "b_1.di.csv"]

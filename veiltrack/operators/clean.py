@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import LatLon, distance
@@ -24,24 +24,21 @@ def correct_errors(points: DataFrame, sample: int = SAMPLE, by: str = "trip_id")
     """
     trip = Window.partitionBy(by).orderBy("idx")
     whole = Window.partitionBy(by)
-    head = trip.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = points.withColumn("__pos", F.row_number().over(trip) - 1).withColumn("__n", F.count(F.lit(1)).over(whole))
     middle = int(sample / 2)
 
-    def wrong(lats, lons, taken):
-        place = LatLon(F.get(F.array_sort(lats), F.lit(middle)), F.get(F.array_sort(lons), F.lit(middle)))
-        return (distance(LatLon(F.col("lat"), F.col("lon")), place) / (F.floor(taken / 2) * STEP)) > LIMIT
+    def judged(rows: DataFrame, inside: Column, taken: Column) -> DataFrame:
+        """rows with __bad: too far from the middle of the sample's positions, which are at most ``sample`` a trip."""
+        place = lambda c: F.get(F.array_sort(F.collect_list(c)), F.lit(middle)).alias(f"__{c}")
+        places = rows.filter(inside).groupBy(by).agg(place("lat"), place("lon"))
+        away = distance(LatLon(F.col("lat"), F.col("lon")), LatLon(F.col("__lat"), F.col("__lon"))) / (F.floor(taken / 2) * STEP)
+        return rows.join(places, by, "left").withColumn("__bad", F.coalesce(away > LIMIT, F.lit(False))).drop("__lat", "__lon")
 
-    inside = lambda c, low, high: F.collect_list(F.when((F.col("__pos") >= low) & (F.col("__pos") < high), F.col(c))).over(head)
-    rows = rows.withColumn("__lats", inside("lat", 0, sample)).withColumn("__lons", inside("lon", 0, sample))
-    tried = F.col("__n") > middle
-    rows = rows.withColumn("__bad", F.when(tried, F.coalesce(wrong(F.col("__lats"), F.col("__lons"), F.least(F.col("__n"), F.lit(sample))), F.lit(False))).otherwise(F.lit(False)))
+    rows = points.withColumn("__pos", F.row_number().over(trip) - 1).withColumn("__n", F.count(F.lit(1)).over(whole))
+    rows = judged(rows, F.col("__pos") < sample, F.least(F.col("__n"), F.lit(sample)))
+    rows = rows.withColumn("__bad", F.col("__bad") & (F.col("__n") > middle))
     good_before = F.coalesce(F.sum((~F.col("__bad")).cast("int")).over(trip.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("__good", good_before).filter(~(F.col("__bad") & (F.col("__good") < sample)))
     rows = rows.withColumn("__pos", F.row_number().over(trip) - 1).withColumn("__m", F.count(F.lit(1)).over(whole))
-    last = F.col("__m") - sample
-    tail = lambda c: F.collect_list(F.when(F.col("__pos") >= last, F.col(c))).over(head)
-    rows = rows.withColumn("__lats", tail("lat")).withColumn("__lons", tail("lon"))
-    bad = (F.col("__m") > sample) & (F.col("__pos") >= last) & F.coalesce(wrong(F.col("__lats"), F.col("__lons"), F.lit(sample)), F.lit(False))
-    rows = rows.withColumn("__bad", bad).filter("not __bad")
+    inside = (F.col("__m") > sample) & (F.col("__pos") >= F.col("__m") - sample)
+    rows = judged(rows, inside, F.lit(sample)).filter(~(F.col("__bad") & inside))
     return rows.withColumn("idx", (F.row_number().over(trip) - 1).cast("long")).select(points.columns)

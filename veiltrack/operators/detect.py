@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import LatLon, bearing, distance, heading_delta, outside_side, project
-from .intervals import frame
+from .folds import Columns, find_intervals
 from .roads import EXCLUDED_WAYS
 
-INTERVALS = "trip_id {}, left long, right long, aux array<string>"
-
 
 def start_end(points: DataFrame) -> DataFrame:
     """The first and the last point of each trip."""
@@ -38,7 +35,7 @@ def _area(v1: LatLon, v2: LatLon, width: float) -> list[LatLon]:
     return [project(v1, left, width / 2.0), project(v2, left, width / 2.0), project(v2, right, width / 2.0), project(v1, right, width / 2.0)]
 
 
-def area_turnarounds(trip: pd.DataFrame, max_queue: int, width: float, max_speed: float) -> list[tuple[int, int]]:
+def area_turnarounds(trip: Columns, max_queue: int, width: float, max_speed: float) -> list[tuple[int, int]]:
     """Returns into the area of an inferred segment that was left before: (where it was left, where it was met again).
 
     Areas wait in a queue, the newest first, which holds max_queue - 1 of
@@ -72,7 +69,7 @@ def area_turnarounds(trip: pd.DataFrame, max_queue: int, width: float, max_speed
     return out
 
 
-def stops_of(trip: pd.DataFrame, max_time: float, min_distance: float, max_speed: float, excluded: frozenset[int] = EXCLUDED_WAYS) -> list[tuple[int, int]]:
+def stops_of(trip: Columns, max_time: float, min_distance: float, max_speed: float, excluded: frozenset[int] = EXCLUDED_WAYS) -> list[tuple[int, int]]:
     """Stretches of up to max_time seconds whose ends are at most min_distance apart, which begin slowly and not on an excluded road.
 
     A stretch grows while time allows.  Where it can't, it is a stop if it is
@@ -82,8 +79,8 @@ def stops_of(trip: pd.DataFrame, max_time: float, min_distance: float, max_speed
     """
     limit = int(max_time * 1_000_000)
     time, lat, lon, idx = (trip[c].tolist() for c in ("time_us", "lat", "lon", "idx"))
-    way = trip["edge_way_type"].fillna(-1).to_numpy()
-    starts = (trip["speed"].to_numpy() < max_speed) & ~(trip["edge_explicit"].to_numpy(bool) & np.isin(way, list(excluded)))
+    way = np.nan_to_num(np.asarray(trip["edge_way_type"], float), nan=-1)
+    starts = (np.asarray(trip["speed"]) < max_speed) & ~(np.asarray(trip["edge_explicit"], bool) & np.isin(way, list(excluded)))
     near = lambda a, b: distance(LatLon(lat[a], lon[a]), LatLon(lat[b], lon[b])) <= min_distance
     out, n, at = [], len(time), 0
     while at < n:
@@ -108,13 +105,7 @@ def stops_of(trip: pd.DataFrame, max_time: float, min_distance: float, max_speed
 
 
 def _each_trip(fitted: DataFrame, find, tag: str, columns: list[str]) -> DataFrame:
-    schema = INTERVALS.format(fitted.schema["trip_id"].dataType.simpleString())
-
-    def run(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values("idx", kind="stable")
-        return frame(trip["trip_id"].iloc[0], [(a, b, tag) for a, b in find(trip)])
-
-    return fitted.select("trip_id", "idx", *columns).groupBy("trip_id").applyInPandas(run, schema)
+    return find_intervals(fitted.select("trip_id", "idx", *columns), lambda trip: [(a, b, tag) for a, b in find(trip)])
 
 
 def turnaround_area(fitted: DataFrame, max_queue: int = 20, width: float = 30.0, max_speed: float = 15.0) -> DataFrame:
@@ -133,13 +124,10 @@ def stops(fitted: DataFrame, max_time: float = 120.0, min_distance: float = 15.0
 
 
 def detect_fused(fitted: DataFrame, max_queue: int, width: float, ta_speed: float, max_time: float, min_distance: float, stop_speed: float, excluded: frozenset[int] = EXCLUDED_WAYS) -> DataFrame:
-    """Area turnarounds and stops in one grouped map: one shuffle and one pass over a trip for both."""
-    schema = INTERVALS.format(fitted.schema["trip_id"].dataType.simpleString())
+    """Area turnarounds and stops in one fold: one shuffle and one pass over a trip for both."""
 
-    def run(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values("idx", kind="stable")
-        found = [(a, b, "ta") for a, b in area_turnarounds(trip, max_queue, width, ta_speed)] + [(a, b, "stop") for a, b in stops_of(trip, max_time, min_distance, stop_speed, excluded)]
-        return frame(trip["trip_id"].iloc[0], found)
+    def find(trip: Columns) -> list[tuple[int, int, str]]:
+        return [(a, b, "ta") for a, b in area_turnarounds(trip, max_queue, width, ta_speed)] + [(a, b, "stop") for a, b in stops_of(trip, max_time, min_distance, stop_speed, excluded)]
 
     columns = ["trip_id", "idx", "time_us", "lat", "lon", "speed", "edge_explicit", "edge_way_type", "edge_id", "v1_lat", "v1_lon", "v2_lat", "v2_lon"]
-    return fitted.select(columns).groupBy("trip_id").applyInPandas(run, schema)
+    return find_intervals(fitted.select(columns), find)

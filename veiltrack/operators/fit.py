@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..functions.geo import LatLon, angle_error, area_contains, bearing, distance, edge_area, heading_sector, outside_side
-from .roads import LEAF_DEGREES, ends, leaf_of
+from ..functions.geo import LatLon, angle_error, area_contains, bearing, distance, edge_area, heading_sector, in_bounds, outside_side
+from .folds import fold_trips
+from .roads import box_of, ends, grid_cell, leaf_cells
 
 CORNERS = [f"c{i}_{x}" for i in range(4) for x in ("lat", "lon")]
 
@@ -24,55 +27,80 @@ def corners_of(prefix: str = "") -> list[LatLon]:
     return [LatLon(F.col(f"{prefix}c{i}_lat"), F.col(f"{prefix}c{i}_lon")) for i in range(4)]
 
 
+def _near(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """trip_id, idx, lat, lon, heading, cx, cy (cell of the grid) with the areas' columns: each point with the areas that contain it.  Areas are dealt to the cells of a grid and points meet them by cell."""
+    low = lambda x: F.least(*(F.col(f"c{i}_{x}") for i in range(4)))
+    high = lambda x: F.greatest(*(F.col(f"c{i}_{x}") for i in range(4)))
+    dealt = areas.withColumn("cx", F.explode(F.sequence(grid_cell(low("lat")), grid_cell(high("lat"))))).withColumn("cy", F.explode(F.sequence(grid_cell(low("lon")), grid_cell(high("lon")))))
+    rows = points.select("trip_id", "idx", "lat", "lon", "heading").withColumns({"cx": grid_cell(F.col("lat")), "cy": grid_cell(F.col("lon"))})
+    return rows.join(dealt, ["cx", "cy"]).filter(area_contains(corners_of(), LatLon(F.col("lat"), F.col("lon"))))
+
+
+def _errors(near: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with error, error_v1 and error_v2.  Bearings first, in a step of their own: each error takes an angle several times."""
+    here, (v1, v2) = LatLon(F.col("lat"), F.col("lon")), ends()
+    bearings = near.select(*keep, "heading", "bearing", bearing(here, v2).alias("__to_v2"), bearing(here, v1).alias("__to_v1"))
+    return bearings.select(*keep, *(angle_error(F.col("heading"), F.col(c)).alias(n) for n, c in (("error", "bearing"), ("error_v1", "__to_v2"), ("error_v2", "__to_v1"))))
+
+
+def _in_leaves(near: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """near with node, a leaf whose closed box has the point (several rows on a border, null outside the tree), and in_leaf, whether that leaf lists the edge."""
+    nodes, leaf_edges = index
+    leaves = leaf_cells(nodes)
+    found = near.join(leaves, (near["cx"] == leaves["leaf_x"]) & (near["cy"] == leaves["leaf_y"]) & in_bounds(box_of("leaf_"), LatLon(near["lat"], near["lon"])), "left").drop(*(c for c in leaves.columns if c != "node"))
+    listed = leaf_edges.select("node", "edge_id", F.lit(True).alias("in_leaf"))
+    return found.join(listed, ["node", "edge_id"], "left").withColumn("in_leaf", F.coalesce("in_leaf", F.lit(False)))
+
+
 def map_candidates(points: DataFrame, areas: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """trip_id, idx, edge_id, error (between heading and edge), error_v1 and error_v2 (between heading and the way to the far end, coming from v1 or v2), in_leaf: the edges whose area contains a point.
 
-    Areas are dealt to the cells of a grid and points meet them by cell.
-    in_leaf tells whether the index finds the edge at the point; without an
-    index every edge is found.
+    in_leaf tells whether the index finds the edge at the point: whether the
+    leaf that has it, of leaves that share a border the one searched first,
+    lists the edge.  Without an index every edge is found.
     """
-    cell = lambda v: F.floor(v / LEAF_DEGREES)
-    low = lambda x: F.least(*(F.col(f"c{i}_{x}") for i in range(4)))
-    high = lambda x: F.greatest(*(F.col(f"c{i}_{x}") for i in range(4)))
-    dealt = areas.withColumn("cx", F.explode(F.sequence(cell(low("lat")), cell(high("lat"))))).withColumn("cy", F.explode(F.sequence(cell(low("lon")), cell(high("lon")))))
-    rows = points.select("trip_id", "idx", "lat", "lon", "heading").withColumns({"cx": cell(F.col("lat")), "cy": cell(F.col("lon"))})
-    here = LatLon(F.col("lat"), F.col("lon"))
-    found = rows.join(dealt, ["cx", "cy"]).filter(area_contains(corners_of(), here))
-    v1, v2 = ends()
-    found = found.select("trip_id", "idx", "edge_id", angle_error(F.col("heading"), F.col("bearing")).alias("error"), angle_error(F.col("heading"), bearing(here, v2)).alias("error_v1"), angle_error(F.col("heading"), bearing(here, v1)).alias("error_v2"))
+    keep = ["trip_id", "idx", "edge_id"]
+    near = _near(points, areas)
     if index is None:
-        return found.withColumn("in_leaf", F.lit(True))
-    nodes, leaf_edges = index
-    leaf = leaf_of(points.select("trip_id", "idx", "lat", "lon"), nodes, ["trip_id", "idx"])
-    listed = leaf_edges.select("node", "edge_id", F.lit(True).alias("in_leaf"))
-    found = found.join(leaf, ["trip_id", "idx"], "left").join(listed, ["node", "edge_id"], "left")
-    return found.withColumn("in_leaf", F.coalesce("in_leaf", F.lit(False))).drop("node")
+        return _errors(near, keep).withColumn("in_leaf", F.lit(True))
+    found = _errors(_in_leaves(near, index), [*keep, "node", "in_leaf"])
+    first = F.min(F.struct(F.coalesce("node", F.lit("~")), "in_leaf", "error", "error_v1", "error_v2")).alias("first")
+    return found.groupBy(*keep).agg(first).select(*keep, "first.error", "first.error_v1", "first.error_v2", "first.in_leaf")
 
 
 FITTED = "edge_id long, edge_explicit boolean, edge_way_type int, v1_id long, v1_lat double, v1_lon double, v2_id long, v2_lat double, v2_lon double"
-_EDGE = ["edge_id", "v1_id", "v1_lat", "v1_lon", "v2_id", "v2_lat", "v2_lon", "way_type"]
+_EDGE = ["v1_id", "v1_lat", "v1_lon", "v2_id", "v2_lat", "v2_lon", "way_type"]
 
 
-def choose_edges(candidates: list[list[dict] | None], lats: np.ndarray, lons: np.ndarray) -> list[dict | None]:
-    """The edge of each point of a trip, in order.
+def choose_edges(lats: list[float], lons: list[float], spans: list[tuple[int, int]], near: dict[str, list]) -> list[int]:
+    """For each point of a trip, in order, the place in ``near`` of the edge that it is fit to; -1 for none.
 
-    An edge is kept while its area contains the points.  When one leaves it
-    over an end, edges at that end are tried first, by the error of the way to
-    their far end; else, and failing that, those that the index finds, by the
-    error of their bearing.  Equal errors go to the smaller edge_id.
+    spans tell which places of near (edge_id, errors, in_leaf, ends and
+    corners, by edge_id within a point) are a point's candidates.  An edge is
+    kept while its area contains the points.  When one leaves it over an end,
+    edges at that end are tried first, by the error of the way to their far
+    end; else, and failing that, those that the index finds, by the error of
+    their bearing.  Equal errors go to the smaller edge_id.
     """
-    out, current = [], None
-    for at, near in enumerate(candidates):
-        near = near or []
-        by_index = min((c for c in near if c["in_leaf"]), key=lambda c: (c["error"], c["edge_id"]), default=None)
-        if current is None:
-            current = by_index
-        elif not any(c["edge_id"] == current["edge_id"] for c in near):
-            here = LatLon(lats[at], lons[at])
-            corners = [LatLon(current[f"c{i}_lat"], current[f"c{i}_lon"]) for i in range(4)]
-            vertex = current["v2_id"] if outside_side(corners, 1, here) else current["v1_id"] if outside_side(corners, 3, here) else None
-            onward = [(c["error_v2"] if c["v2_id"] == vertex else c["error_v1"], c["edge_id"], c) for c in near if vertex is not None and vertex in (c["v1_id"], c["v2_id"])]
-            current = min(onward, key=lambda x: x[:2])[2] if onward else by_index
+    ids, in_leaf, v1, v2 = (near[c] for c in ("edge_id", "in_leaf", "v1_id", "v2_id"))
+    error, error_v1, error_v2 = (near[c] for c in ("error", "error_v1", "error_v2"))
+    out, current = [], -1
+    for lat, lon, (a, b) in zip(lats, lons, spans):
+        if current < 0 or ids[current] not in ids[a:b]:
+            chosen, least = -1, None
+            if current >= 0:
+                here, corners = LatLon(lat, lon), [LatLon(near[f"c{i}_lat"][current], near[f"c{i}_lon"][current]) for i in range(4)]
+                vertex = v2[current] if outside_side(corners, 1, here) else v1[current] if outside_side(corners, 3, here) else None
+                for k in range(a, b) if vertex is not None else ():
+                    if vertex in (v1[k], v2[k]):
+                        own = error_v2[k] if v2[k] == vertex else error_v1[k]
+                        if least is None or own < least:
+                            chosen, least = k, own
+            if chosen < 0:
+                for k in range(a, b):
+                    if in_leaf[k] and (least is None or error[k] < least):
+                        chosen, least = k, error[k]
+            current = chosen
         out.append(current)
     return out
 
@@ -98,42 +126,53 @@ def infer_edges(explicit: np.ndarray, sectors: np.ndarray, min_points: int) -> n
 def fit_trips(points: DataFrame, edges: DataFrame | None, index: tuple[DataFrame, DataFrame] | None = None, scale: float = 1.0, extension: float = 5.0, heading_groups: int = 36, min_edge_points: int = 50) -> DataFrame:
     """points with the edge each is fit to: edge_id, edge_explicit, edge_way_type and both ends.
 
-    Candidates come from native joins; one grouped map a trip makes both the
-    sticky choice among roads and the inferred segments for the rest.  A
-    segment's ends are the points at which it started and ended, for all of
-    its points.  Its id counts from 0 in a trip, so edges are told apart by
-    (edge_explicit, edge_id).
+    Candidates come from native joins; one fold over a trip's points and
+    candidates makes both the sticky choice among roads and the inferred
+    segments for the rest.  A segment's ends are the points at which it started
+    and ended, for all of its points.  Its id counts from 0 in a trip, so edges
+    are told apart by (edge_explicit, edge_id).
     """
-    rows = points.withColumn("sector", heading_sector(F.col("heading"), heading_groups))
+    columns = points.columns
+    rows = points.select("trip_id", "idx", *(c for c in columns if c not in ("trip_id", "idx")), heading_sector(F.col("heading"), heading_groups).alias("__sector"), F.lit(None).cast("string").alias("__node"))
     if edges is not None:
         areas = edge_areas(edges, scale, extension)
-        found = map_candidates(points, areas, index).join(areas.select(*_EDGE, *CORNERS), "edge_id")
-        packed = found.groupBy("trip_id", "idx").agg(F.collect_list(F.struct("error", "error_v1", "error_v2", "in_leaf", *_EDGE, *CORNERS)).alias("near"))
-        rows = rows.join(packed, ["trip_id", "idx"], "left")
-    else:
-        rows = rows.withColumn("near", F.lit(None).cast("array<struct<edge_id:long>>"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in points.dtypes), FITTED])
-
-    def fit(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values("idx", kind="stable").reset_index(drop=True)
-        lats, lons = trip["lat"].to_numpy(), trip["lon"].to_numpy()
-        chosen = choose_edges([None if n is None else list(n) for n in trip["near"]], lats, lons)
-        explicit = np.array([c is not None for c in chosen], bool)
-        segment = infer_edges(explicit, trip["sector"].to_numpy(), min_edge_points)
+        near = _near(points, areas)
+        near = _in_leaves(near, index) if index is not None else near.withColumns({"node": F.lit(None).cast("string"), "in_leaf": F.lit(True)})
+        near = _errors(near, ["trip_id", "idx", "node", "in_leaf", "edge_id", *_EDGE, *CORNERS])
+        near = near.select("trip_id", "idx", F.coalesce("node", F.lit("~")).alias("__node"), *(F.col(c).alias(f"__{c}") for c in near.columns[3:]))
+        rows = rows.unionByName(near, allowMissingColumns=True)
+    schema = StructType([*points.schema.fields, *_parse_datatype_string(FITTED).fields])
+
+    def fold(trip: pa.Table) -> pa.Table:
+        at = trip.column("__node").is_valid().to_numpy()
+        near = trip.filter(pa.array(at)) if at.any() else None
+        trip = trip.filter(pa.array(~at)) if at.any() else trip
+        if not trip.num_rows:
+            return trip.select([]).slice(0, 0)
+        lats, lons = trip.column("lat").to_numpy(), trip.column("lon").to_numpy()
+        chosen = np.full(trip.num_rows, -1)
+        if near is not None:
+            idx, ids = near.column("idx").to_numpy(), near.column("__edge_id").to_numpy()
+            first = np.concatenate(([True], (idx[1:] != idx[:-1]) | (ids[1:] != ids[:-1])))  # of an edge's leaves at a point
+            near = near.filter(pa.array(first))
+            own = trip.column("idx").to_numpy()
+            spans = list(zip(np.searchsorted(idx[first], own).tolist(), np.searchsorted(idx[first], own, side="right").tolist()))
+            lists = {c: near.column(f"__{c}").to_pylist() for c in ("edge_id", "in_leaf", "v1_id", "v2_id", "error", "error_v1", "error_v2", *CORNERS)}
+            chosen = np.array(choose_edges(lats.tolist(), lons.tolist(), spans, lists))
+        explicit = chosen >= 0
+        segment = infer_edges(explicit, trip.column("__sector").to_numpy(), min_edge_points)
         ends_at = inferred_ends(segment, explicit)
-        made = []
-        for i, c in enumerate(chosen):
-            if c is not None:
-                made.append((c["edge_id"], True, c["way_type"], *(c[k] for k in _EDGE[1:7])))
-            else:
-                a, b = ends_at[segment[i]]
-                made.append((segment[i], False, None, None, lats[a], lons[a], None, lats[b], lons[b]))
-        out = pd.DataFrame(made, columns=[c.split()[0] for c in FITTED.split(", ")])
-        for c in ("v1_id", "v2_id", "edge_way_type"):
-            out[c] = out[c].astype("Int64")
-        return pd.concat([trip.drop(columns=["near", "sector"]), out], axis=1)
-
-    return rows.groupBy("trip_id").applyInPandas(fit, schema)
+        start, stop = (np.array([ends_at[s][k] if s >= 0 else 0 for s in segment.tolist()], np.int64) for k in (0, 1))
+        road = {c: near.column(f"__{c}").take(pa.array(np.maximum(chosen, 0))) if near is not None else pa.nulls(len(chosen)) for c in ("edge_id", *_EDGE)}
+        inferred = {"edge_id": pa.array(segment), "v1_lat": pa.array(lats[start]), "v1_lon": pa.array(lons[start]), "v2_lat": pa.array(lats[stop]), "v2_lon": pa.array(lons[stop])}
+        is_road = pa.array(explicit)
+        made = {c: pc.if_else(is_road, road[c], inferred.get(c, pa.scalar(None, road[c].type))) for c in road}
+        out = trip.select(columns)
+        for name, values in (("edge_id", made["edge_id"]), ("edge_explicit", is_road), ("edge_way_type", made["way_type"]), *((c, made[c]) for c in _EDGE[:-1])):
+            out = out.append_column(name, values)
+        return out
+
+    return fold_trips(rows, ["idx", *(["__edge_id", "__node"] if edges is not None else [])], fold, schema)
 
 
 def inferred_ends(segment: np.ndarray, explicit: np.ndarray) -> dict[int, tuple[int, int]]:

@@ -8,19 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["trip_id", "left", "right", "aux"]
 
 
-def frame(trip_id, found: list[tuple[int, int, str]]) -> pd.DataFrame:
-    """Intervals (left, right, tag) of one trip as rows of COLUMNS."""
-    tags = pd.Series([[t] for _, _, t in found], dtype=object)
-    return pd.DataFrame({"trip_id": pd.Series([trip_id] * len(found), dtype=object), "left": pd.Series([a for a, _, _ in found], dtype="int64"), "right": pd.Series([b for _, b, _ in found], dtype="int64"), "aux": tags})
-
-
 def union_intervals(*lists: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (x.select(COLUMNS) for x in lists))
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import LatLon, distance
 from .fit import edge_length
-from .intervals import frame
+from .folds import Columns, find_intervals
 
 
 @dataclass(frozen=True)
@@ -41,7 +40,7 @@ def _lengths(draws: tuple[float, float, float], limits: PrivacyLimits) -> tuple[
 class _Trip:
     """The columns of a trip that a search reads."""
 
-    def __init__(self, trip: pd.DataFrame):
+    def __init__(self, trip: Columns):
         self.at = [LatLon(a, b) for a, b in zip(trip["lat"].tolist(), trip["lon"].tolist())]
         self.explicit = trip["edge_explicit"].tolist()
         self.edge = list(zip(self.explicit, trip["edge_id"].tolist()))
@@ -95,7 +94,7 @@ class _Trip:
         return end, f"{name}:end" if end == last else f"{name}:max_md"
 
 
-def privacy_of(trip: pd.DataFrame, limits: PrivacyLimits) -> list[tuple[int, int, str]]:
+def privacy_of(trip: Columns, limits: PrivacyLimits) -> list[tuple[int, int, str]]:
     """Privacy intervals of a trip whose rows are in order: (left, right, tag).
 
     Walking along the trip, entering a critical stretch starts a search
@@ -131,12 +130,7 @@ def find_privacy(marked: DataFrame, limits: PrivacyLimits, seed: int = 0) -> Dat
     """
     draws = {f"{way}{k}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("trip_id").cast("string"), "idx", F.lit(way), F.lit(k)), 11) / F.lit(float(1 << 53)) for way in ("forward", "backward") for k in range(3)}
     rows = marked.select("trip_id", "idx", "lat", "lon", "edge_id", "edge_explicit", "is_critical", "out_degree", edge_length().alias("edge_length"), *(v.alias(k) for k, v in draws.items()))
-    schema = f"trip_id {marked.schema['trip_id'].dataType.simpleString()}, left long, right long, aux array<string>"
-
-    def run(trip: pd.DataFrame) -> pd.DataFrame:
-        return frame(trip["trip_id"].iloc[0], privacy_of(trip.sort_values("idx", kind="stable"), limits))
-
-    return rows.groupBy("trip_id").applyInPandas(run, schema)
+    return find_intervals(rows, lambda trip: privacy_of(trip, limits))
 
 
 def deidentify(marked: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +56,7 @@ def vertices(edges: DataFrame) -> DataFrame:
     return incidence(edges).groupBy("vertex_id").agg(F.count(F.lit(1)).alias("degree")).withColumn("out_degree", outdegree(F.col("degree")))
 
 
-def _box(prefix: str = "") -> Bounds:
+def box_of(prefix: str = "") -> Bounds:
     return Bounds(LatLon(F.col(f"{prefix}sw_lat"), F.col(f"{prefix}sw_lon")), LatLon(F.col(f"{prefix}ne_lat"), F.col(f"{prefix}ne_lon")))
 
 
@@ -68,6 +66,19 @@ def fuzzy(box: Bounds) -> Bounds:
     return Bounds(LatLon(box.sw.lat - high, box.sw.lon - wide), LatLon(box.ne.lat + high, box.ne.lon + wide))
 
 
+_CORNERS = ("sw_lat", "sw_lon", "ne_lat", "ne_lon")
+
+
+#: Levels that are made in one job.
+_TOGETHER = 4
+
+
+def _margins(box: Bounds) -> Column:
+    """A box with its margin as a struct."""
+    wide = fuzzy(box)
+    return F.struct(*(v.alias(c) for v, c in zip((*wide.sw, *wide.ne), _CORNERS)))
+
+
 def _children(box: Bounds) -> Column:
     """Boxes into which a full node splits, in the order in which they are searched; none if its sides are too short."""
     tall, wide = box.height / 2.0 >= LEAF_DEGREES, box.width / 2.0 >= LEAF_DEGREES
@@ -79,49 +90,78 @@ def _children(box: Bounds) -> Column:
     return F.when(tall & wide, four).when(tall, across).when(wide, along)
 
 
+def _levels(box: tuple[float, float, float, float]) -> int:
+    """Levels under the root before both sides of a box are too short to halve."""
+    tall, wide, levels = box[2] - box[0], box[3] - box[1], 0
+    while tall / 2.0 >= LEAF_DEGREES or wide / 2.0 >= LEAF_DEGREES:
+        tall, wide = (v / 2.0 if v / 2.0 >= LEAF_DEGREES else v for v in (tall, wide))
+        levels += 1
+    return levels + 1  # one more, as halves of halves are rounded
+
+
 def build_index(edges: DataFrame, sw: tuple[float, float], ne: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
     """The tree's nodes (node, sw_lat, sw_lon, ne_lat, ne_lon, level, is_leaf, n_edges) and its leaf_edges (node, edge_id).
 
     A node splits while more than LEAF_EDGES edges touch its box with margin
     and its sides allow it.  As a child's box with margin lies in its
-    parent's, the tree does not depend on the order of edges, and is built
-    level by level over all nodes at once.  Each level is checkpointed; its
-    rows are the edges that touch it.
+    parent's, a full node's parents are full as well, so the tree does not
+    depend on the order of edges: each edge gets the boxes that it touches,
+    level by level without an exchange, and counting them once tells which of
+    the boxes are nodes.  Rows are the edges times the levels, a dozen for a map.
     """
-    spark, keep = edges.sparkSession, checkpointed
-    root = F.struct(*(F.lit(float(v)).alias(c) for v, c in zip((*sw, *ne), ("sw_lat", "sw_lon", "ne_lat", "ne_lon"))))
-    shape = edges.select("edge_id", "v1_lat", "v1_lon", "v2_lat", "v2_lon")
-    held = shape.withColumn("box", root).select("*", "box.*").drop("box").withColumn("node", F.lit("r"))
-    held = keep(held.filter(edge_touches(fuzzy(_box()), *ends())))
-    boxes = ["node", "sw_lat", "sw_lon", "ne_lat", "ne_lon"]
-    nodes, leaf_edges, level = [], [], 0
-    here = spark.range(1).select(F.lit("r").alias("node"), root.alias("box")).select("node", "box.*")
-    while True:
-        count = held.groupBy("node").agg(F.count(F.lit(1)).alias("n_edges"))
-        at = here.join(count, "node", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0))).withColumn("children", F.when(F.col("n_edges") > LEAF_EDGES, _children(_box())))
-        at = keep(at)
-        nodes.append(at.select(*boxes, F.lit(level).alias("level"), F.col("children").isNull().alias("is_leaf"), "n_edges"))
-        split = at.filter("children is not null").select("node", "children")
-        leaf_edges.append(held.join(at.filter("children is null").select("node"), "node", "left_semi").select("node", "edge_id"))
-        if split.isEmpty():
-            break
-        child = split.select(F.col("node").alias("parent"), F.explode("children").alias("c")).select("parent", F.concat("parent", F.lit("."), F.col("c.n").cast("string")).alias("node"), "c.sw_lat", "c.sw_lon", "c.ne_lat", "c.ne_lon")
-        held = shape.join(held.select(F.col("node").alias("parent"), "edge_id"), "edge_id").join(child, "parent")
-        held = keep(held.filter(edge_touches(fuzzy(_box()), *ends())).drop("parent"))
-        here, level = child.select(boxes), level + 1
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, leaf_edges)
+    spark = edges.sparkSession
+    root = F.struct(F.lit("r").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), *(F.lit(float(v)).alias(c) for v, c in zip((*sw, *ne), _CORNERS)))
+    shape = ["edge_id", "v1_lat", "v1_lon", "v2_lat", "v2_lon"]
+
+    # expressions that all levels share
+    touches, children = edge_touches(box_of("f_"), *ends()), _children(box_of())
+    bare = lambda c: F.struct(*(c[x].alias(x) for x in ("node", "parent", "level", *_CORNERS)))
+    child = lambda c: F.struct(F.concat("node", F.lit("."), c["n"].cast("string")).alias("node"), F.col("node").alias("parent"), (F.col("level") + 1).alias("level"), *(c[x].alias(x) for x in _CORNERS))
+    # margins are made before boxes are taken apart, so that no test repeats them
+    with_margin = lambda c: F.struct(bare(c).alias("at"), _margins(Bounds(LatLon(c["sw_lat"], c["sw_lon"]), LatLon(c["ne_lat"], c["ne_lon"]))).alias("f"))
+    own, below = F.array(F.struct("node", "parent", "level", *_CORNERS)), F.transform(children, child)
+    first, further = F.transform(F.array(root), with_margin), F.transform(F.concat(own, F.coalesce(F.when(F.col("level") == F.col("__level"), below), F.filter(own, lambda c: F.lit(False)))), with_margin)
+
+    def touching(rows: DataFrame, boxes: Column, level: int) -> DataFrame:
+        found = rows.select(*shape, F.explode(boxes).alias("x")).select(*shape, "x.at.*", *(F.col(f"x.f.{c}").alias(f"f_{c}") for c in _CORNERS))
+        return found.filter((F.col("level") < level) | touches).select(*shape, "node", "parent", "level", *_CORNERS)
+
+    held, depth = touching(edges, first, 0), _levels((*sw, *ne))
+    for level in range(depth):
+        held = touching(held.withColumn("__level", F.lit(level)), further, level + 1)
+        if level % _TOGETHER == _TOGETHER - 1 or level == depth - 1:
+            held = checkpointed(held)
+    held = held.drop(*shape[1:])
+    kids = F.when(F.col("n_edges") > LEAF_EDGES, _children(box_of()))
+    full = held.groupBy("node", "parent", "level", *_CORNERS).agg(F.count(F.lit(1)).alias("n_edges")).withColumn("children", kids).filter("children is not null")
+    boxes = full.select(F.col("node").alias("parent"), "level", F.explode("children").alias("c")).select(F.concat("parent", F.lit("."), F.col("c.n").cast("string")).alias("node"), (F.col("level") + 1).alias("level"), *(F.col(f"c.{x}").alias(x) for x in _CORNERS))
+    boxes = spark.range(1).select(root.alias("at")).select("at.node", "at.level", *(f"at.{x}" for x in _CORNERS)).unionByName(boxes)
+    counts = held.groupBy("node").agg(F.count(F.lit(1)).alias("n_edges"))
+    split = full.select("node", F.lit(False).alias("is_leaf"))
+    nodes = boxes.join(counts, "node", "left").join(split, "node", "left")
+    nodes = nodes.select("node", *_CORNERS, "level", F.coalesce("is_leaf", F.lit(True)).alias("is_leaf"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    leaf_edges = held.join(full.select("node"), "node", "left_anti").join(full.select(F.col("node").alias("up")), F.coalesce("parent", F.lit("")) == F.col("up"), "left_semi")
+    alone = held.filter("level = 0").join(full.select("node"), "node", "left_anti")  # a root that is a leaf
+    return nodes, leaf_edges.select("node", "edge_id").unionByName(alone.select("node", "edge_id"))
+
+
+def grid_cell(degrees: Column) -> Column:
+    """The cell of a grid as fine as the finest leaf."""
+    return F.floor(degrees / LEAF_DEGREES)
+
+
+def leaf_cells(nodes: DataFrame) -> DataFrame:
+    """node, leaf_sw_lat, leaf_sw_lon, leaf_ne_lat, leaf_ne_lon, leaf_x, leaf_y: leaves with the cells of the grid that they touch."""
+    leaves = nodes.filter("is_leaf").select("node", *(F.col(c).alias(f"leaf_{c}") for c in _CORNERS))
+    return leaves.withColumn("leaf_x", F.explode(F.sequence(grid_cell(F.col("leaf_sw_lat")), grid_cell(F.col("leaf_ne_lat"))))).withColumn("leaf_y", F.explode(F.sequence(grid_cell(F.col("leaf_sw_lon")), grid_cell(F.col("leaf_ne_lon")))))
 
 
 def leaf_of(points: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of points with node: the leaf whose closed box has the point; of leaves that share a border, the one searched first.  Null outside the tree.
 
-    Leaves are dealt to the cells of a grid as fine as the finest leaf, and
-    points meet them by cell: an equi-join, however many leaves there are.
+    Leaves are dealt to the cells of a grid and points meet them by cell: an
+    equi-join, however many leaves there are.
     """
-    cell = lambda v: F.floor(v / LEAF_DEGREES)
-    leaves = nodes.filter("is_leaf").select("node", "sw_lat", "sw_lon", "ne_lat", "ne_lon")
-    leaves = leaves.withColumn("cx", F.explode(F.sequence(cell(F.col("sw_lat")), cell(F.col("ne_lat"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("sw_lon")), cell(F.col("ne_lon")))))
-    rows = points.withColumn("cx", cell(F.col("lat"))).withColumn("cy", cell(F.col("lon")))
-    found = rows.join(leaves, ["cx", "cy"]).filter(in_bounds(_box(), LatLon(F.col("lat"), F.col("lon"))))
-    found = found.groupBy(*keep).agg(F.min("node").alias("node"))
-    return points.select(*keep).join(found, keep, "left") if keep else found
+    leaves = leaf_cells(nodes)
+    met = (grid_cell(points["lat"]) == leaves["leaf_x"]) & (grid_cell(points["lon"]) == leaves["leaf_y"]) & in_bounds(box_of("leaf_"), LatLon(points["lat"], points["lon"]))
+    return points.join(leaves, met, "left").groupBy(*keep).agg(F.min("node").alias("node"))

@@ -104,14 +104,13 @@ def street_fit_sql() -> str:
 
 
 def spans(points: DataFrame) -> DataFrame:
-    """Intervals on trips: from every seventh event, up to ten points long."""
+    """Intervals on trips: from every event, one in seven up to ten points long, the others empty."""
     e = F.col("raw").cast("bigint")
-    rows = points.filter(e % 7 == 0)
-    return rows.select("trip_id", F.col("idx").alias("left"), (F.col("idx") + e % 11).alias("right"), F.array(F.concat(F.lit("t"), (e % 3).cast("string"))).alias("aux"))
+    return points.select("trip_id", F.col("idx").alias("left"), (F.col("idx") + F.when(e % 7 == 0, e % 11).otherwise(0)).alias("right"), F.array(F.concat(F.lit("t"), (e % 3).cast("string"))).alias("aux"))
 
 
 def spans_sql() -> str:
-    return "spans AS (SELECT trip_id, idx AS \"left\", idx + raw::BIGINT % 11 AS \"right\", 't' || (raw::BIGINT % 3)::VARCHAR AS tag FROM trips WHERE raw::BIGINT % 7 = 0)"
+    return "spans AS (SELECT trip_id, idx AS \"left\", idx + CASE WHEN raw::BIGINT % 7 = 0 THEN raw::BIGINT % 11 ELSE 0 END AS \"right\", 't' || (raw::BIGINT % 3)::VARCHAR AS tag FROM trips)"
 
 
 def trip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,22 +405,67 @@ def _index(spark):
     return roads.build_index(demo.roads(spark), *demo.BOX)
 
 
-@register("quad_nodes")
+def _box_side(number: str) -> tuple[str, str]:
+    """Whether the sides of a box allow a split: from south to north, from west to east."""
+    return f"((n - s) / 2.0 >= {number})", f"((e - w) / 2.0 >= {number})"
+
+
+_TALL, _WIDE = _box_side(f"{roads.LEAF_DEGREES}::DOUBLE")
+_FUZZY = [("fs", "fw"), ("fn", "fw"), ("fn", "fe"), ("fs", "fe")]
+_TOUCHES = " OR ".join([*(f"(v{k}_lat BETWEEN fs AND fn AND v{k}_lon BETWEEN fw AND fe)" for k in (1, 2)), *(_sql_cross(("v1_lat", "v1_lon"), ("v2_lat", "v2_lon"), _FUZZY[i], _FUZZY[(i + 1) % 4]) for i in range(4))])
+#: All boxes that halving gives, the edges that touch each, and the tree that is made of full ones and their children.
+TREE = f"""box AS (SELECT 'r' AS node, '' AS parent, 0 AS level, {demo.BOX[0][0]}::DOUBLE AS s, {demo.BOX[0][1]}::DOUBLE AS w, {demo.BOX[1][0]}::DOUBLE AS n, {demo.BOX[1][1]}::DOUBLE AS e
+        UNION ALL SELECT node || '.' || k, node, level + 1,
+            CASE WHEN tall AND (CASE WHEN wide THEN k < 2 ELSE k = 0 END) THEN clat ELSE s END, CASE WHEN wide AND k IN (1, 3) THEN clon ELSE w END,
+            CASE WHEN tall AND (CASE WHEN wide THEN k > 1 ELSE k = 1 END) THEN clat ELSE n END, CASE WHEN wide AND k IN (0, 2) THEN clon ELSE e END
+        FROM (SELECT *, {_TALL} AS tall, {_WIDE} AS wide, s + (n - s) / 2.0 AS clat, w + (e - w) / 2.0 AS clon FROM box), (VALUES (0), (1), (2), (3)) q(k) WHERE (tall AND wide) OR ((tall OR wide) AND k < 2)),
+    held AS (SELECT node, parent, level, edge_id FROM (SELECT *, s - (n - s) / 10.0 AS fs, w - (e - w) / 10.0 AS fw, n + (n - s) / 10.0 AS fn, e + (e - w) / 10.0 AS fe FROM box) JOIN roads
+             ON least(v1_lat, v2_lat) <= fn AND greatest(v1_lat, v2_lat) >= fs AND least(v1_lon, v2_lon) <= fe AND greatest(v1_lon, v2_lon) >= fw WHERE {_TOUCHES}),
+    cnt AS (SELECT node, count(*) AS n_edges FROM held GROUP BY node),
+    full_ AS (SELECT node FROM box JOIN cnt USING (node) WHERE n_edges > {roads.LEAF_EDGES} AND ({_TALL} OR {_WIDE})),
+    nodes AS (SELECT box.*, coalesce(n_edges, 0) AS n_edges, node NOT IN (SELECT node FROM full_) AS is_leaf FROM box LEFT JOIN cnt USING (node) WHERE level = 0 OR parent IN (SELECT node FROM full_)),
+    leaf_edges AS (SELECT node, edge_id FROM held JOIN nodes USING (node) WHERE is_leaf),
+    lookup AS (SELECT trip_id, idx, min(node) AS node FROM trips JOIN nodes ON is_leaf AND lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY trip_id, idx)"""
+_TREE = f"WITH RECURSIVE {demo.trips_sql()}, {demo.roads_sql()}, {TREE} "
+
+
+@register("quad_nodes", _TREE + "SELECT node, round(s, 9) AS sw_lat, round(w, 9) AS sw_lon, round(n, 9) AS ne_lat, round(e, 9) AS ne_lon, level, is_leaf, n_edges FROM nodes")
 def quad_nodes(spark, sf_dir):
-    return _index(spark)[0]
+    return _index(spark)[0].select("node", *(F.round(c, 9).alias(c) for c in ("sw_lat", "sw_lon", "ne_lat", "ne_lon")), "level", "is_leaf", "n_edges")
 
 
-@register("quad_leaf_edges")
+@register("quad_leaf_edges", _TREE + "SELECT node, edge_id FROM leaf_edges")
 def quad_leaf_edges(spark, sf_dir):
     return _index(spark)[1]
 
 
-@register("quad_leaf_lookup")
+@register("quad_leaf_lookup", _TREE + "SELECT trip_id, idx, node FROM trips LEFT JOIN lookup USING (trip_id, idx)")
 def quad_leaf_lookup(spark, sf_dir):
     return roads.leaf_of(demo.trips(spark, sf_dir).select("trip_id", "idx", "lat", "lon"), _index(spark)[0], KEYS)
 
 
-@register("map_fit")
+def _beyond_sql(side: int, lat: str, lon: str) -> str:
+    a, b = side, (side + 1) % 4
+    return f"((c{a}_lat * (c{b}_lon - c{a}_lon) - c{a}_lon * (c{b}_lat - c{a}_lat)) - {lat} * (c{b}_lon - c{a}_lon) + {lon} * (c{b}_lat - c{a}_lat) < 0.0)"
+
+
+#: The edges at each point, and the fold that keeps one while it can and infers segments where there is none.
+FIT = f"""{_areas_sql(5.0)}, x AS (SELECT *, least(c0_lat, c1_lat, c2_lat, c3_lat) AS lo_lat, greatest(c0_lat, c1_lat, c2_lat, c3_lat) AS hi_lat, least(c0_lon, c1_lon, c2_lon, c3_lon) AS lo_lon, greatest(c0_lon, c1_lon, c2_lon, c3_lon) AS hi_lon FROM areas),
+    near AS (SELECT trip_id, idx, {{'id': edge_id, 'v1': v1_id, 'v2': v2_id, 'e1': {_sql_angle_error('heading', _sql_bearing('lat', 'lon', 'v2_lat', 'v2_lon'))}, 'e2': {_sql_angle_error('heading', _sql_bearing('lat', 'lon', 'v1_lat', 'v1_lon'))}}} AS c,
+                    {{'e': {_sql_angle_error('heading', 'course')}, 'id': edge_id}} AS own, l.edge_id IS NOT NULL AS in_leaf
+             FROM trips JOIN x ON lat >= lo_lat AND lat <= hi_lat AND lon >= lo_lon AND lon <= hi_lon LEFT JOIN lookup USING (trip_id, idx) LEFT JOIN (SELECT node, edge_id FROM leaf_edges) l USING (node, edge_id) WHERE {_inside_sql()}),
+    here AS (SELECT trip_id, idx, list(c) AS near, list(c.id) AS ids, (list_sort(list(own) FILTER (in_leaf)))[1].id AS by_index FROM near GROUP BY trip_id, idx),
+    pt AS (SELECT trips.*, near, ids, by_index, floor(heading / (360.0::DOUBLE / 36.0::DOUBLE))::BIGINT % 36 AS sector FROM trips LEFT JOIN here USING (trip_id, idx)),
+    kept AS (SELECT trip_id, idx, by_index AS cur, CASE WHEN by_index IS NULL THEN 0 ELSE -1 END::BIGINT AS number, sector AS was, CASE WHEN by_index IS NULL THEN 1 ELSE 0 END AS cnt FROM pt WHERE idx = 0
+             UNION ALL SELECT trip_id, idx, cur, CASE WHEN cur IS NULL AND fresh THEN number + 1 ELSE number END, CASE WHEN cur IS NULL AND fresh THEN sector ELSE was END, CASE WHEN cur IS NOT NULL THEN 0 WHEN fresh THEN 1 ELSE cnt + 1 END
+             FROM (SELECT *, cnt = 0 OR (sector <> was AND cnt > 10) AS fresh FROM (
+                 SELECT trip_id, idx, sector, number, was, cnt, CASE WHEN old IS NULL THEN by_index WHEN list_contains(ids, old) THEN old
+                        ELSE coalesce((list_sort(list_transform(list_filter(near, lambda c: c.v1 = vertex OR c.v2 = vertex), lambda c: {{'e': CASE WHEN c.v2 = vertex THEN c.e2 ELSE c.e1 END, 'id': c.id}})))[1].id, by_index) END AS cur
+                 FROM (SELECT p.*, k.cur AS old, k.number, k.was, k.cnt, CASE WHEN {_beyond_sql(1, 'p.lat', 'p.lon')} THEN a.v2_id WHEN {_beyond_sql(3, 'p.lat', 'p.lon')} THEN a.v1_id END AS vertex
+                       FROM kept k JOIN pt p ON p.trip_id = k.trip_id AND p.idx = k.idx + 1 LEFT JOIN areas a ON a.edge_id = k.cur))))"""
+
+
+@register("map_fit", _TREE + f", {FIT} SELECT trip_id, idx, cur IS NOT NULL AS edge_explicit, coalesce(cur, number) AS edge_id FROM kept")
 def map_fit(spark, sf_dir):
     return fit.fit_trips(demo.trips(spark, sf_dir), demo.roads(spark), _index(spark), 1.0, 5.0, 36, 10).select(*KEYS, "edge_explicit", "edge_id")
 
@@ -441,15 +486,19 @@ def _street(spark, sf_dir) -> DataFrame:
     return demo.street_fit(demo.trips(spark, sf_dir))
 
 
-_STREET = f"WITH {demo.trips_sql()}, {demo.roads_sql()}, {demo.street_fit_sql()}"
+_STREET = f"WITH RECURSIVE {demo.trips_sql()}, {demo.roads_sql()}, {demo.street_fit_sql()}"
 
 
-@register("out_degree", _STREET + """, v AS (SELECT vertex_id, CASE WHEN count(*) > 2 THEN count(*) - 1 ELSE 0 END AS choices FROM (SELECT v1_id AS vertex_id FROM roads UNION ALL SELECT v2_id FROM roads) GROUP BY vertex_id),
+#: fitted with the choices met at intersections so far.
+_CHOICES = _STREET + """, v AS (SELECT vertex_id, CASE WHEN count(*) > 2 THEN count(*) - 1 ELSE 0 END AS choices FROM (SELECT v1_id AS vertex_id FROM roads UNION ALL SELECT v2_id FROM roads) GROUP BY vertex_id),
     r AS (SELECT *, lag(edge_id) OVER w AS oe, lag(v1_id) OVER w AS o1, lag(v2_id) OVER w AS o2 FROM fitted WHERE edge_explicit WINDOW w AS (PARTITION BY trip_id ORDER BY idx)),
     h AS (SELECT *, CASE WHEN oe <> edge_id THEN CASE WHEN o1 IN (v1_id, v2_id) THEN o1 WHEN o2 IN (v1_id, v2_id) THEN o2 END END AS shared FROM r),
     c AS (SELECT *, last_value(shared IGNORE NULLS) OVER (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
-    m AS (SELECT trip_id, idx, choices FROM c JOIN v ON v.vertex_id = c.shared WHERE shared IS NOT NULL AND shared IS DISTINCT FROM before)
-    SELECT trip_id, idx, coalesce(sum(coalesce(choices, 0)) OVER (PARTITION BY trip_id ORDER BY idx), 0)::BIGINT AS out_degree FROM fitted LEFT JOIN m USING (trip_id, idx)""")
+    m AS (SELECT trip_id, idx, choices FROM c JOIN v ON v.vertex_id = c.shared WHERE shared IS NOT NULL AND shared IS DISTINCT FROM before),
+    met AS (SELECT fitted.*, coalesce(sum(coalesce(choices, 0)) OVER (PARTITION BY trip_id ORDER BY idx), 0)::BIGINT AS out_degree FROM fitted LEFT JOIN m USING (trip_id, idx))"""
+
+
+@register("out_degree", _CHOICES + " SELECT trip_id, idx, out_degree FROM met")
 def out_degree(spark, sf_dir):
     return fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark))).select(*KEYS, "out_degree")
 
@@ -464,7 +513,31 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.select("trip_id", "left", "right", F.concat_ws(";", "aux").alias("aux"))
 
 
-@register("turnaround_area")
+def _segment_area_sql() -> str:
+    """Corners c0 to c3 of the area of an inferred segment, 60 m wide."""
+    turned = [("v1", "-"), ("v2", "-"), ("v2", "+"), ("v1", "+")]
+    corners = [_sql_project(f"{v}_lat", f"{v}_lon", f"((course {sign} 90.0::DOUBLE) % 360.0::DOUBLE)", "30.0::DOUBLE") for v, sign in turned]
+    return ", ".join(f"'c{i}_{n}': {x}" for i, c in enumerate(corners) for n, x in zip(("lat", "lon"), c))
+
+
+_AT = {f"c{i}_{n}": f"q.c{i}_{n}" for i in range(4) for n in ("lat", "lon")}
+_IN_QUEUED = _inside_sql("lat", "lon")
+for _name, _field in _AT.items():
+    _IN_QUEUED = _IN_QUEUED.replace(_name, _field)
+
+
+@register("turnaround_area", f"""WITH RECURSIVE {demo.trips_sql()}, back AS (SELECT * REPLACE (-83.9::DOUBLE + (30 - abs(idx - 30)) * 0.00003::DOUBLE AS lon), floor(heading / (360.0::DOUBLE / 36.0::DOUBLE))::BIGINT % 36 AS sector FROM trips),
+    f AS (SELECT trip_id, idx, 0::BIGINT AS edge_id, sector, 1 AS n FROM back WHERE idx = 0
+          UNION ALL SELECT s.trip_id, s.idx, CASE WHEN s.sector <> f.sector AND f.n > 4 THEN f.edge_id + 1 ELSE f.edge_id END, CASE WHEN s.sector <> f.sector AND f.n > 4 THEN s.sector ELSE f.sector END, CASE WHEN s.sector <> f.sector AND f.n > 4 THEN 1 ELSE f.n + 1 END
+          FROM f JOIN back s ON s.trip_id = f.trip_id AND s.idx = f.idx + 1),
+    g AS (SELECT trip_id, edge_id, min(idx) AS a, max(idx) AS b FROM f GROUP BY trip_id, edge_id), h AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY trip_id ORDER BY edge_id), b) AS z FROM g),
+    seg AS (SELECT *, {_sql_bearing('v1_lat', 'v1_lon', 'v2_lat', 'v2_lon')} AS course FROM (SELECT h.trip_id, edge_id, p.lat AS v1_lat, p.lon AS v1_lon, q.lat AS v2_lat, q.lon AS v2_lon FROM h JOIN back p ON p.trip_id = h.trip_id AND p.idx = a JOIN back q ON q.trip_id = h.trip_id AND q.idx = z)),
+    area AS (SELECT trip_id, edge_id, {{{_segment_area_sql()}, 'left': 0::BIGINT}} AS area FROM seg),
+    t AS (SELECT trip_id, 0::BIGINT AS idx, edge_id AS cur, [area][:0] AS queue, NULL::BIGINT AS met FROM f JOIN area USING (trip_id, edge_id) WHERE idx = 0
+          UNION ALL SELECT trip_id, idx, edge_id, CASE WHEN edge_id <> cur THEN list_prepend(struct_update(area, "left" := idx), CASE WHEN met IS NULL THEN queue ELSE queue[:0] END)[:19] WHEN met IS NULL THEN queue ELSE queue[:0] END, met
+          FROM (SELECT f.trip_id, f.idx, f.edge_id, t.cur, t.queue, area.area, CASE WHEN speed < 35.0 THEN list_filter(t.queue[2:], lambda q: {_IN_QUEUED})[1]."left" END AS met
+                FROM t JOIN f ON f.trip_id = t.trip_id AND f.idx = t.idx + 1 JOIN back p ON p.trip_id = f.trip_id AND p.idx = f.idx JOIN area ON area.trip_id = t.trip_id AND area.edge_id = t.cur))
+    SELECT trip_id, met AS "left", idx AS "right", 'ta' AS aux FROM t WHERE met IS NOT NULL""")
 def turnaround_area(spark, sf_dir):
     there_and_back = F.lit(-83.9) + (30 - F.abs(F.col("idx") - 30)) * 0.00003
     fitted = fit.fit_trips(demo.trips(spark, sf_dir).withColumn("lon", there_and_back), None, heading_groups=36, min_edge_points=4)
@@ -537,7 +610,33 @@ def sum_counters(spark, sf_dir):
 SMALL = DIConfig(**{**INTERACTIVE.__dict__, "sw_lat": demo.BOX[0][0], "sw_lon": demo.BOX[0][1], "ne_lat": demo.BOX[1][0], "ne_lon": demo.BOX[1][1], "stop_max_speed": 2.0, "stop_max_time": 0.45, "min_direct": 20.5, "max_direct": 60.5, "min_manhattan": 20.5, "max_manhattan": 70.5, "min_out_degree": 1, "max_out_degree": 4})
 
 
-@register("privacy_intervals")
+_LIMITS = pipeline.limits_of(SMALL)
+_DISTANT = lambda a, b: _sql_distance(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon")
+
+
+def _search_sql(name: str, seed: str, way: int) -> str:
+    """A search in one direction as a fold over points; ``seed`` gives trip_id, n, home and stop.  The table by that name has trip_id, n, home, end_ and tag."""
+    far = "CASE WHEN was_road THEN 'max_md' ELSE 'max_dist' END" if way < 0 else "'max_dist'"
+    between = "b.idx < d.first AND b.idx > d.reached" if way < 0 else "b.idx > d.first AND b.idx < d.reached"
+    return f"""{name}_walk AS (SELECT trip_id, n, home, stop, home AS first, home AS p, 0.0::DOUBLE AS walked, NULL::VARCHAR AS why, false AS passed FROM ({seed})
+        UNION ALL SELECT trip_id, n, home, stop, CASE WHEN why IS NULL AND changed THEN p ELSE first END, p + {way}, CASE WHEN why IS NULL AND changed THEN walked + crossed ELSE walked END, why, passed AND why IN ('max_dist', 'max_md')
+        FROM (SELECT *, CASE WHEN critical THEN 'ci' WHEN p = stop THEN 'pi' WHEN NOT changed THEN NULL WHEN was_road AND crossed + walked >= {_LIMITS.min_manhattan} AND direct >= {_LIMITS.min_direct} AND choices >= {_LIMITS.min_out_degree} THEN 'min'
+                             WHEN passed THEN {far} WHEN was_road AND choices >= {_LIMITS.max_out_degree} THEN 'max_out_degree' END AS why
+              FROM (SELECT *, crossed + walked >= {_LIMITS.max_manhattan} OR direct >= {_LIMITS.max_direct} AS passed
+                    FROM (SELECT w.* EXCLUDE (why, passed), x.idx IN (0, w.n - 1) AS critical, x.edge_explicit <> y.edge_explicit OR x.edge_id <> y.edge_id AS changed, y.edge_explicit AS was_road, {_DISTANT('h', 'x')} AS direct, abs(x.out_degree - h.out_degree) AS choices,
+                                 CASE WHEN y.edge_explicit AND NOT x.edge_explicit THEN {_DISTANT('y', 'x')} ELSE y.length END AS crossed
+                          FROM {name}_walk w JOIN e x ON x.trip_id = w.trip_id AND x.idx = w.p JOIN e y ON y.trip_id = w.trip_id AND y.idx = w.first JOIN e h ON h.trip_id = w.trip_id AND h.idx = w.home WHERE w.why IS NULL)))),
+    {name}_end AS (SELECT *, p - {way} AS reached FROM {name}_walk WHERE why IS NOT NULL),
+    {name}_over AS (SELECT d.trip_id, {'max' if way < 0 else 'min'}(b.idx) AS sooner FROM {name}_end d JOIN e b ON b.trip_id = d.trip_id AND {between} JOIN e y ON y.trip_id = d.trip_id AND y.idx = d.first JOIN e h ON h.trip_id = d.trip_id AND h.idx = d.home
+        WHERE d.passed AND (d.walked + {_DISTANT('y', 'b')} > {_LIMITS.max_manhattan} OR {_DISTANT('h', 'b')} > {_LIMITS.max_direct}) GROUP BY d.trip_id),
+    {name} AS (SELECT trip_id, n, home, coalesce(sooner, reached) AS end_, '{name}:' || why AS tag FROM {name}_end LEFT JOIN {name}_over USING (trip_id))"""
+
+
+@register("privacy_intervals", _CHOICES + f""", e AS (SELECT *, {_sql_distance('e_lat', 'v1_lon', 'e_lat', 'v2_lon')} AS length, count(*) OVER (PARTITION BY trip_id) AS n FROM (
+        SELECT *, 42.20005::DOUBLE + 0.002::DOUBLE * (trip_id::BIGINT % 100)::DOUBLE AS e_lat, -83.9005::DOUBLE + 0.001::DOUBLE * j::DOUBLE AS v1_lon, -83.9005::DOUBLE + 0.001::DOUBLE * (j + 1)::DOUBLE AS v2_lon FROM (SELECT *, floor((lon + 83.9005::DOUBLE) / 0.001::DOUBLE)::BIGINT AS j FROM met))),
+    {_search_sql('forward', "SELECT trip_id, n, 1::BIGINT AS home, NULL::BIGINT AS stop FROM e WHERE idx = 1 AND n > 2", 1)},
+    {_search_sql('backward', "SELECT trip_id, n, n - 2 AS home, end_ AS stop FROM forward WHERE n - 1 > end_", -1)}
+    SELECT trip_id, home AS "left", end_ AS "right", tag AS aux FROM forward UNION ALL SELECT trip_id, end_, home + 1, tag FROM backward""")
 def privacy_intervals(spark, sf_dir):
     fitted = fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark)))
     marked = intervals.mark_points(fitted, intervals.merge_intervals(detect.start_end(fitted)))
