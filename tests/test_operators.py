@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veiltrack.functions.geo import LatLon, distance
-from veiltrack.operators.clean import correct_errors
+from veiltrack.operators.clean import correct_errors, correct_trip
 from veiltrack.operators.intervals import mark_points, merge_intervals
 from veiltrack.operators.roads import LEAF_DEGREES, build_index, highways, leaf_of, vertices
 from veiltrack.plans import demo
@@ -46,6 +47,9 @@ def test_error_correction(spark):
     for t, raws in want.items():
         own = sorted((r.idx, r.raw) for r in got if r.trip_id == t)
         assert [i for i, _ in own] == list(range(len(raws))) and [x for _, x in own] == raws
+        mine = [r for r in rows if r[0] == t]
+        at = correct_trip(np.array([r[4] for r in mine]), np.array([r[5] for r in mine]))
+        assert [mine[k][2] for k in at.tolist()] == raws
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

@@ -194,9 +194,10 @@ def test_command_line(spark, tmp_path, capsys):
     lines = [HEADER, *drive()]
     (tmp_path / "trip.csv").write_text("\n".join(lines) + "\n")
     (tmp_path / "list").write_text(f"{tmp_path}/trip.csv:one\n{tmp_path}/missing.csv\n")
-    code = main(["-c", str(tmp_path / "c"), "-q", str(tmp_path / "roads"), "-o", str(tmp_path / "out"), "-k", str(tmp_path / "kml"), "-l", "-n", str(tmp_path / "list")], spark)
+    code = main(["-c", str(tmp_path / "c"), "-q", str(tmp_path / "roads"), "-o", str(tmp_path / "out"), "-k", str(tmp_path / "kml"), "-l", "-n", "-v", str(tmp_path / "list")], spark)
     said = capsys.readouterr()
     assert code == 0 and said.out.splitlines()[-1].startswith("240,0,0,0,0,") and "missing.csv" in said.err
+    assert "points fit to roads: 240 rows" in said.err and "privacy intervals: " in said.err
     kept = (tmp_path / "out" / "7_8.csv").read_text().splitlines()
     assert kept[0] == HEADER and 0 < len(kept) < len(lines) and set(kept[1:]) <= set(lines)
     kml = (tmp_path / "kml" / "7_8.di.kml").read_text()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import LatLon, distance
+from ..functions.geo import EARTH_RADIUS_M, LatLon, distance
 
 SAMPLE = 50
 #: Metres a second that no vehicle exceeds, and seconds between two points.
@@ -42,3 +43,24 @@ def correct_errors(points: DataFrame, sample: int = SAMPLE, by: str = "trip_id")
     inside = (F.col("__m") > sample) & (F.col("__pos") >= F.col("__m") - sample)
     rows = judged(rows, inside, F.lit(sample)).filter(~(F.col("__bad") & inside))
     return rows.withColumn("idx", (F.row_number().over(trip) - 1).cast("long")).select(points.columns)
+
+
+def correct_trip(lat: np.ndarray, lon: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
+    """The same for one trip that is at hand as a whole: places of the points that stay."""
+    middle = int(sample / 2)
+
+    def wrong(at: np.ndarray, of: np.ndarray, taken: int) -> np.ndarray:
+        place = np.sort(lat[of])[middle], np.sort(lon[of])[middle]
+        x = (np.radians(place[1]) - np.radians(lon[at])) * np.cos((np.radians(lat[at]) + np.radians(place[0])) / 2.0)
+        y = np.radians(place[0]) - np.radians(lat[at])
+        return np.sqrt(x * x + y * y) * EARTH_RADIUS_M / (taken // 2 * STEP) > LIMIT
+
+    at = np.arange(len(lat))
+    if len(at) <= middle:
+        return at
+    bad = wrong(at, at[:sample], min(len(at), sample))
+    good_before = np.cumsum(~bad) - ~bad
+    at = at[~(bad & (good_before < sample))]
+    if len(at) > sample:
+        at = np.concatenate((at[:-sample], at[-sample:][~wrong(at[-sample:], at[-sample:], sample)]))
+    return at

@@ -28,6 +28,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-l", "--list", action="store_true", help="source is a list of paths")
     p.add_argument("-n", "--count", action="store_true", help="print the counters of the run")
     p.add_argument("-m", "--mapped", action="store_true", help="files of any layout, with several trips each")
+    p.add_argument("-v", "--verbose", action="store_true", help="a line for each stage of the run on standard error")
     p.add_argument("--legacy-config", action="store_true", help="read two keys as older versions did")
     return p.parse_args(argv)
 
@@ -48,7 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     records = read_mapped_trips(spark, there, config.lat_field, config.lon_field, config.heading_field, config.speed_field, config.time_field, tuple(config.uid_columns)) if args.mapped else read_trips(spark, there)
     edges = read_shapes(spark, args.quad).edges.drop("file", "seq") if args.quad else None
-    result = run(number_points(records), edges, config, trip_counters(records))
+    result = run(number_points(records), edges, config, trip_counters(records), progress=(lambda line: print(line, file=sys.stderr)) if args.verbose else None)
     write_trip_files(result.kept, args.out, ".di.csv" if args.mapped else ".csv", trip_ids=result.marked).write.format("noop").mode("overwrite").save()
     if config.plot_kml:
         write_kml(trip_kml(result.marked, result.critical.unionByName(result.private), config.fit_scale), args.kml or args.out).write.format("noop").mode("overwrite").save()

@@ -53,7 +53,7 @@ def trips_sql(outliers: bool = False) -> str:
 
 def roads(spark: SparkSession) -> DataFrame:
     """Edges of the lattice: along streets with gaps, and some across."""
-    cells = spark.range(STREETS).select(F.col("id").alias("k")).crossJoin(spark.range(BLOCKS).select(F.col("id").alias("j")))
+    cells = spark.range(STREETS * BLOCKS).select(F.expr(f"id div {BLOCKS}").alias("k"), (F.col("id") % BLOCKS).alias("j"))
     vertex = lambda k, j: [k * 100 + j + 1, _double(42.20005) + _double(0.002) * k.cast("double"), _double(-83.9005) + _double(0.001) * j.cast("double")]
     k, j = F.col("k"), F.col("j")
     names = ("id", "lat", "lon")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.clean import correct_errors
@@ -46,12 +48,22 @@ def critical_intervals(fitted: DataFrame, config: DIConfig) -> DataFrame:
     return union_intervals(turnaround_fit(fitted, config.ta_heading_delta), slow, start_end(fitted))
 
 
-def run(points: DataFrame, edges: DataFrame | None, config: DIConfig, records: DataFrame | None = None, correct: bool = True, use_index: bool = True) -> Result:
-    """All stages over points (trip_id, idx, raw, time_us, lat, lon, heading, speed) and road edges, if there are any."""
+def _done(df: DataFrame, what: str, progress: Callable[[str], None] | None) -> DataFrame:
+    """df computed once; progress is told its rows, counted on the way, and the seconds that it took."""
+    if progress is None:
+        return checkpointed(df)
+    seen, began = Observation(what), time.monotonic()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    progress(f"{what}: {seen.get['rows']} rows, {time.monotonic() - began:.1f} s")
+    return out
+
+
+def run(points: DataFrame, edges: DataFrame | None, config: DIConfig, records: DataFrame | None = None, correct: bool = True, use_index: bool = True, progress: Callable[[str], None] | None = None) -> Result:
+    """All stages over points (trip_id, idx, raw, time_us, lat, lon, heading, speed) and road edges, if there are any.  progress gets a line for each stage that has been computed."""
     clean = correct_errors(points, config.error_sample) if correct else points
-    fitted = checkpointed(fit(clean, edges, config, use_index))  # detectors and marks read it several times
-    critical = checkpointed(critical_intervals(fitted, config))
+    fitted = _done(fit(clean, edges, config, use_index), "points fit to roads", progress)  # detectors and marks read it several times
+    critical = _done(critical_intervals(fitted, config), "critical intervals", progress)
     marked = mark_points(fitted, merge_intervals(critical))
-    private = checkpointed(find_privacy(marked, limits_of(config), config.seed))
+    private = _done(find_privacy(marked, limits_of(config), config.seed), "privacy intervals", progress)
     marked = mark_points(marked, merge_intervals(private), "pi_id", "is_private")
     return Result(deidentify(marked), marked, critical, private, point_counters(marked, records, points))

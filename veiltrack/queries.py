@@ -382,13 +382,16 @@ def osm_bounds(spark, sf_dir):
 # Trips
 
 
-@register("error_correct", f"""WITH {demo.trips_sql(True)}, h AS (SELECT *, count(*) OVER t AS n, list_sort(list(lat) FILTER (idx < 50) OVER t)[26] AS ml, list_sort(list(lon) FILTER (idx < 50) OVER t)[26] AS mo FROM trips WINDOW t AS (PARTITION BY trip_id)),
+#: trips without errors, as cleaned.
+CLEAN = f"""h AS (SELECT *, count(*) OVER t AS n, list_sort(list(lat) FILTER (idx < 50) OVER t)[26] AS ml, list_sort(list(lon) FILTER (idx < 50) OVER t)[26] AS mo FROM trips WINDOW t AS (PARTITION BY trip_id)),
     b AS (SELECT *, n > 25 AND {_sql_distance('lat', 'lon', 'ml', 'mo')} / (floor(least(n, 50) / 2) * 0.1::DOUBLE) > 44.7 AS bad FROM h),
     g AS (SELECT * FROM b QUALIFY NOT (bad AND coalesce(sum((NOT bad)::INT) OVER (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50)),
-    k AS (SELECT trip_id, raw, lat, lon, row_number() OVER (PARTITION BY trip_id ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY trip_id) AS m FROM g),
+    k AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY trip_id) AS m FROM g),
     q AS (SELECT *, list_sort(list(lat) FILTER (pos >= m - 50) OVER t)[26] AS tl, list_sort(list(lon) FILTER (pos >= m - 50) OVER t)[26] AS tn FROM k WINDOW t AS (PARTITION BY trip_id)),
-    f AS (SELECT * FROM q WHERE NOT (m > 50 AND pos >= m - 50 AND {_sql_distance('lat', 'lon', 'tl', 'tn')} / (25 * 0.1::DOUBLE) > 44.7))
-    SELECT trip_id, raw, row_number() OVER (PARTITION BY trip_id ORDER BY pos) - 1 AS idx FROM f""")
+    cleaned AS (SELECT trip_id, raw, time_us, lat, lon, heading, speed, row_number() OVER (PARTITION BY trip_id ORDER BY pos) - 1 AS idx FROM q WHERE NOT (m > 50 AND pos >= m - 50 AND {_sql_distance('lat', 'lon', 'tl', 'tn')} / (25 * 0.1::DOUBLE) > 44.7))"""
+
+
+@register("error_correct", f"WITH {demo.trips_sql(True)}, {CLEAN} SELECT trip_id, raw, idx FROM cleaned")
 def error_correct(spark, sf_dir):
     return clean.correct_errors(demo.trips(spark, sf_dir, outliers=True)).select("trip_id", "raw", "idx")
 
@@ -449,8 +452,9 @@ def _beyond_sql(side: int, lat: str, lon: str) -> str:
     return f"((c{a}_lat * (c{b}_lon - c{a}_lon) - c{a}_lon * (c{b}_lat - c{a}_lat)) - {lat} * (c{b}_lon - c{a}_lon) + {lon} * (c{b}_lat - c{a}_lat) < 0.0)"
 
 
-#: The edges at each point, and the fold that keeps one while it can and infers segments where there is none.
-FIT = f"""{_areas_sql(5.0)}, x AS (SELECT *, least(c0_lat, c1_lat, c2_lat, c3_lat) AS lo_lat, greatest(c0_lat, c1_lat, c2_lat, c3_lat) AS hi_lat, least(c0_lon, c1_lon, c2_lon, c3_lon) AS lo_lon, greatest(c0_lon, c1_lon, c2_lon, c3_lon) AS hi_lon FROM areas),
+def _fit_sql(extension: float) -> str:
+    """The edges at each point, and kept: the fold that keeps one while it can and infers segments where there is none."""
+    return f"""{_areas_sql(extension)}, x AS (SELECT *, least(c0_lat, c1_lat, c2_lat, c3_lat) AS lo_lat, greatest(c0_lat, c1_lat, c2_lat, c3_lat) AS hi_lat, least(c0_lon, c1_lon, c2_lon, c3_lon) AS lo_lon, greatest(c0_lon, c1_lon, c2_lon, c3_lon) AS hi_lon FROM areas),
     near AS (SELECT trip_id, idx, {{'id': edge_id, 'v1': v1_id, 'v2': v2_id, 'e1': {_sql_angle_error('heading', _sql_bearing('lat', 'lon', 'v2_lat', 'v2_lon'))}, 'e2': {_sql_angle_error('heading', _sql_bearing('lat', 'lon', 'v1_lat', 'v1_lon'))}}} AS c,
                     {{'e': {_sql_angle_error('heading', 'course')}, 'id': edge_id}} AS own, l.edge_id IS NOT NULL AS in_leaf
              FROM trips JOIN x ON lat >= lo_lat AND lat <= hi_lat AND lon >= lo_lon AND lon <= hi_lon LEFT JOIN lookup USING (trip_id, idx) LEFT JOIN (SELECT node, edge_id FROM leaf_edges) l USING (node, edge_id) WHERE {_inside_sql()}),
@@ -465,7 +469,7 @@ FIT = f"""{_areas_sql(5.0)}, x AS (SELECT *, least(c0_lat, c1_lat, c2_lat, c3_la
                        FROM kept k JOIN pt p ON p.trip_id = k.trip_id AND p.idx = k.idx + 1 LEFT JOIN areas a ON a.edge_id = k.cur))))"""
 
 
-@register("map_fit", _TREE + f", {FIT} SELECT trip_id, idx, cur IS NOT NULL AS edge_explicit, coalesce(cur, number) AS edge_id FROM kept")
+@register("map_fit", _TREE + f", {_fit_sql(5.0)} SELECT trip_id, idx, cur IS NOT NULL AS edge_explicit, coalesce(cur, number) AS edge_id FROM kept")
 def map_fit(spark, sf_dir):
     return fit.fit_trips(demo.trips(spark, sf_dir), demo.roads(spark), _index(spark), 1.0, 5.0, 36, 10).select(*KEYS, "edge_explicit", "edge_id")
 
@@ -489,13 +493,14 @@ def _street(spark, sf_dir) -> DataFrame:
 _STREET = f"WITH RECURSIVE {demo.trips_sql()}, {demo.roads_sql()}, {demo.street_fit_sql()}"
 
 
-#: fitted with the choices met at intersections so far.
-_CHOICES = _STREET + """, v AS (SELECT vertex_id, CASE WHEN count(*) > 2 THEN count(*) - 1 ELSE 0 END AS choices FROM (SELECT v1_id AS vertex_id FROM roads UNION ALL SELECT v2_id FROM roads) GROUP BY vertex_id),
+#: fitted with the choices met at intersections so far, as met.
+_COUNTED = """v AS (SELECT vertex_id, CASE WHEN count(*) > 2 THEN count(*) - 1 ELSE 0 END AS choices FROM (SELECT v1_id AS vertex_id FROM roads UNION ALL SELECT v2_id FROM roads) GROUP BY vertex_id),
     r AS (SELECT *, lag(edge_id) OVER w AS oe, lag(v1_id) OVER w AS o1, lag(v2_id) OVER w AS o2 FROM fitted WHERE edge_explicit WINDOW w AS (PARTITION BY trip_id ORDER BY idx)),
     h AS (SELECT *, CASE WHEN oe <> edge_id THEN CASE WHEN o1 IN (v1_id, v2_id) THEN o1 WHEN o2 IN (v1_id, v2_id) THEN o2 END END AS shared FROM r),
     c AS (SELECT *, last_value(shared IGNORE NULLS) OVER (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
     m AS (SELECT trip_id, idx, choices FROM c JOIN v ON v.vertex_id = c.shared WHERE shared IS NOT NULL AND shared IS DISTINCT FROM before),
     met AS (SELECT fitted.*, coalesce(sum(coalesce(choices, 0)) OVER (PARTITION BY trip_id ORDER BY idx), 0)::BIGINT AS out_degree FROM fitted LEFT JOIN m USING (trip_id, idx))"""
+_CHOICES = f"{_STREET}, {_COUNTED}"
 
 
 @register("out_degree", _CHOICES + " SELECT trip_id, idx, out_degree FROM met")
@@ -513,10 +518,10 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.select("trip_id", "left", "right", F.concat_ws(";", "aux").alias("aux"))
 
 
-def _segment_area_sql() -> str:
-    """Corners c0 to c3 of the area of an inferred segment, 60 m wide."""
+def _segment_area_sql(half: float = 30.0) -> str:
+    """Corners c0 to c3 of the area of an inferred segment, of that half width in metres."""
     turned = [("v1", "-"), ("v2", "-"), ("v2", "+"), ("v1", "+")]
-    corners = [_sql_project(f"{v}_lat", f"{v}_lon", f"((course {sign} 90.0::DOUBLE) % 360.0::DOUBLE)", "30.0::DOUBLE") for v, sign in turned]
+    corners = [_sql_project(f"{v}_lat", f"{v}_lon", f"((course {sign} 90.0::DOUBLE) % 360.0::DOUBLE)", f"{half}::DOUBLE") for v, sign in turned]
     return ", ".join(f"'c{i}_{n}': {x}" for i, c in enumerate(corners) for n, x in zip(("lat", "lon"), c))
 
 
@@ -544,18 +549,23 @@ def turnaround_area(spark, sf_dir):
     return _flat(detect.turnaround_area(fitted, 20, 60.0, 35.0))
 
 
-@register("stops", f"""WITH RECURSIVE {demo.trips_sql()}, {demo.street_fit_sql()}, p AS (SELECT trip_id, idx, time_us, lat, lon, speed < 20.0 AND NOT (edge_explicit AND edge_way_type IN (0, 1, 2, 8, 9, 10)) AS starts, count(*) OVER (PARTITION BY trip_id) AS n FROM fitted),
-    s AS (SELECT trip_id, n, 0::BIGINT AS front, 0::BIGINT AS nxt, 'seek' AS phase, NULL::BIGINT AS l, NULL::BIGINT AS r FROM p WHERE idx = 0
+def _stops_sql(limit_us: int, metres: float, speed: float) -> str:
+    """The fold over fitted whose rows with an l are stops, as stopped."""
+    return f"""pp AS (SELECT trip_id, idx, time_us, lat, lon, speed < {speed} AND NOT (edge_explicit AND edge_way_type IN (0, 1, 2, 8, 9, 10)) AS starts, count(*) OVER (PARTITION BY trip_id) AS n FROM fitted),
+    stopped AS (SELECT trip_id, n, 0::BIGINT AS front, 0::BIGINT AS nxt, 'seek' AS phase, NULL::BIGINT AS l, NULL::BIGINT AS r FROM pp WHERE idx = 0
           UNION ALL SELECT s.trip_id, s.n,
             CASE WHEN phase = 'seek' THEN s.nxt WHEN phase = 'grow' THEN s.front WHEN phase = 'near' AND far THEN s.front + 1 WHEN phase = 'slow' AND NOT f.starts THEN s.front + 1 ELSE s.front END,
-            CASE WHEN phase = 'seek' THEN s.nxt + 1 WHEN phase = 'grow' AND t.time_us - f.time_us <= 750000 THEN s.nxt + 1 ELSE s.nxt END,
+            CASE WHEN phase = 'seek' THEN s.nxt + 1 WHEN phase = 'grow' AND t.time_us - f.time_us <= {limit_us} THEN s.nxt + 1 ELSE s.nxt END,
             CASE WHEN phase = 'seek' THEN CASE WHEN t.starts THEN 'grow' ELSE 'seek' END
-                 WHEN phase = 'grow' THEN CASE WHEN t.time_us - f.time_us <= 750000 THEN 'grow' WHEN far THEN 'near' ELSE 'seek' END
+                 WHEN phase = 'grow' THEN CASE WHEN t.time_us - f.time_us <= {limit_us} THEN 'grow' WHEN far THEN 'near' ELSE 'seek' END
                  WHEN phase = 'near' THEN CASE WHEN far THEN 'near' ELSE 'slow' END
                  ELSE CASE WHEN f.starts THEN 'grow' WHEN s.front + 1 = s.nxt THEN 'seek' ELSE 'slow' END END,
-            CASE WHEN phase = 'grow' AND t.time_us - f.time_us > 750000 AND NOT far THEN s.front END, CASE WHEN phase = 'grow' AND t.time_us - f.time_us > 750000 AND NOT far THEN s.nxt - 1 END
-          FROM s JOIN p t ON t.trip_id = s.trip_id AND t.idx = s.nxt JOIN p f ON f.trip_id = s.trip_id AND f.idx = s.front JOIN p b ON b.trip_id = s.trip_id AND b.idx = greatest(s.nxt - 1, 0), LATERAL (SELECT {_sql_distance('f.lat', 'f.lon', 'b.lat', 'b.lon')} > 18.5 AS far))
-    SELECT trip_id, l AS "left", r AS "right", 'stop' AS aux FROM s WHERE l IS NOT NULL""")
+            CASE WHEN phase = 'grow' AND t.time_us - f.time_us > {limit_us} AND NOT far THEN s.front END, CASE WHEN phase = 'grow' AND t.time_us - f.time_us > {limit_us} AND NOT far THEN s.nxt - 1 END
+          FROM stopped s JOIN pp t ON t.trip_id = s.trip_id AND t.idx = s.nxt JOIN pp f ON f.trip_id = s.trip_id AND f.idx = s.front JOIN pp b ON b.trip_id = s.trip_id AND b.idx = greatest(s.nxt - 1, 0), LATERAL (SELECT {_sql_distance('f.lat', 'f.lon', 'b.lat', 'b.lon')} > {metres} AS far))"""
+
+
+@register("stops", f"""WITH RECURSIVE {demo.trips_sql()}, {demo.street_fit_sql()}, {_stops_sql(750_000, 18.5, 20.0)}
+    SELECT trip_id, l AS "left", r AS "right", 'stop' AS aux FROM stopped WHERE l IS NOT NULL""")
 def stops(spark, sf_dir):
     return _flat(detect.stops(_street(spark, sf_dir), 0.75, 18.5, 20.0))
 
@@ -672,11 +682,6 @@ def counter_lines(spark, sf_dir):
     return csv_sink.counter_lines(privacy.sum_counters(privacy.point_counters(_marked_twice(spark, sf_dir))))
 
 
-@register("shape_lines")
-def shape_lines(spark, sf_dir):
-    return shape_sink.shape_lines(demo.roads(spark))
-
-
 @register("kml_trips")
 def kml_trips(spark, sf_dir):
     fitted = _street(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""De-identification of trips as they stream in, without a road map.
+"""De-identification of trips as they stream in, GPS errors corrected, without a road map.
 
 A trip's points are state until the trip is over: when the watermark has
 passed its last point by ``gap_seconds``.  Then the same rules as in a batch run
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import LatLon, distance
+from ..operators.clean import correct_trip
 from ..operators.detect import area_turnarounds, stops_of
 from ..operators.fit import infer_edges, inferred_ends
 from ..operators.privacy import privacy_of
@@ -41,9 +42,12 @@ def fit_without_map(trip: pd.DataFrame, config: DIConfig) -> pd.DataFrame:
     return out.assign(edge_length=[length[s] for s in segment.tolist()])
 
 
-def keep_points(trip: pd.DataFrame, config: DIConfig) -> pd.DataFrame:
-    """The points of a whole trip, in order, that are neither critical nor private.  Random parts of the limits are not drawn here."""
-    trip = trip.reset_index(drop=True).assign(idx=np.arange(len(trip)))
+def keep_points(trip: pd.DataFrame, config: DIConfig, correct: bool = True) -> pd.DataFrame:
+    """The points of a whole trip, in order, that are no errors and neither critical nor private.  Random parts of the limits are not drawn here."""
+    trip = trip.reset_index(drop=True)
+    if correct:
+        trip = trip.iloc[correct_trip(trip["lat"].to_numpy(), trip["lon"].to_numpy(), config.error_sample)].reset_index(drop=True)
+    trip = trip.assign(idx=np.arange(len(trip)))
     fitted = fit_without_map(trip, config)
     spans = [(0, 1), (len(trip) - 1, len(trip))]
     spans += area_turnarounds(fitted, config.ta_max_queue, config.ta_area_width, config.ta_max_speed)
