@@ -3,6 +3,10 @@
 Each stage is a function of (spark, docs, sf_dir).  A stage's result is written
 as Parquet and read again as the next one's docs; all but the last return the
 columns of ``documents``.
+
+In every stage texts of any length are worked on whole, an empty table gives no
+rows, and columns besides doc_id, text, lang and source pass through, whatever
+their names (but for names that begin with two underscores).
 """
 
 from __future__ import annotations
@@ -15,31 +19,52 @@ from veiltrack.session import ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go."""
+    """Documents without a letter, or without text, go.
+
+    Null text has no letter; null lang and null doc_id don't matter; repeated
+    rows stay or go together.
+    """
     ship_package(spark)
     return language_id.drop_unknown(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null text is the empty text; a null doc_id is smaller than any other; of
+    rows that repeat doc_id and text one stays.
+    """
     ship_package(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets the one with the smallest doc_id stays."""
+    """Of documents linked by similar shingle sets the one with the smallest doc_id stays.
+
+    Documents without words, or of null text, are linked with nothing and stay;
+    a null doc_id is larger than any other; rows that repeat the doc_id and
+    text that stay do so as well.
+    """
     ship_package(spark)
     return jaccard_join.drop_near_copies(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark windows over one in twenty of their words go."""
+    """Documents that hold benchmark windows over one in twenty of their words go.
+
+    Null text has no words, so it stays; rows are judged one by one.
+    """
     ship_package(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, with size, source_size, target, copy and taken.
+
+    Documents of size 0, and so those of null text, are never taken; null
+    sources are one source; rows that agree share their copies; a column by the
+    name of one that is added gives way to it.
+    """
     ship_package(spark)
     return mixing.take_mix(docs)
 
