@@ -165,12 +165,11 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     taken.  A column of docs by the name of one that is added gives way to it.
     """
     names = [options.get(f"{c}_col", n) for c, n in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
-    keys = ["__id", "__source", "__size", "__row"]
-    mixed = _mixed(docs, **options).filter("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("row").alias("__row"), "source_size", "target", "copies")
-    mixed = mixed.groupBy(*keys).agg(F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.sum("copies").cast("long").alias("__sum"), F.count(F.lit(1)).alias("__n")).filter("__sum > 0")
+    keys = ["__row", "__text"]  # hashes of id and source, and of the text: the join and the numbering share one exchange
+    mixed = _mixed(docs, **options).filter("size > 0").groupBy(F.xxhash64("doc_id", "source").alias("__row"), F.col("row").alias("__text"))
+    mixed = mixed.agg(F.first("size").alias("__size"), F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.sum("copies").cast("long").alias("__sum"), F.count(F.lit(1)).alias("__n")).filter("__sum > 0")
     id_, text, source = (F.col(f"`{c}`") for c in names)
-    rows = docs.select("*", word_count(text).alias("__words"), F.xxhash64(text).alias("__text"))
-    rows = rows.join(mixed, id_.eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__text") == F.col("__row")))
+    rows = docs.select("*", F.xxhash64(id_, source).alias("__row"), F.xxhash64(text).alias("__text")).join(mixed, keys)
     order = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     rows = rows.withColumn("__copies", (F.expr("__sum div __n") + (number <= F.expr("__sum % __n")).cast("long")).cast("int")).filter("__copies > 0")
