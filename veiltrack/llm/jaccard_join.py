@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, find, gathered, owned, part_of, parts_of, save, seal, shared_folder, stored, tidy
+from .shared import BLOCKS, Mapped, Packer, drop_all_but, find, gathered, owned, part_of, parts_of, save, seal, shared_folder, stored, tidy
 from .tokens import mix, rolling, slices, windows, words
 
 SHINGLE = 5
@@ -304,8 +304,8 @@ def _verify(pairs: DataFrame, held: list[_Sets], percent: int) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(check, "a long, b long")
 
 
-def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str, name: str, parts: int, size: int, salt: int) -> _Sets:
-    """Puts the sets of the units in pairs a, b on shared files, but for those that are there."""
+def _save_sets(docs: DataFrame, units: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str, name: str, parts: int, size: int, salt: int) -> _Sets:
+    """Puts the sets of the units in pairs a, b on shared files, but for those that are there.  Only texts that stand for such a unit, one for each, are taken apart."""
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,10 +322,13 @@ def _save_sets(docs: DataFrame, pairs: DataFrame, have: list[_Sets], folder: str
             seal(folder, f"{name}-{array}")
         return _Sets(folder, name, parts)
     wanted = _save_ids(missing, "unit", folder, f"{name}-wanted", parts)
+    texts = units.select("unit", "text_hash").join(missing, "unit").groupBy("unit").agg(F.min("text_hash").alias("text_hash"))
+    needed = _save_ids(texts, "text_hash", folder, f"{name}-needed", parts)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, first, path = TaskContext.get().taskAttemptId(), set(), 0, None
         for batch in batches:
+            batch = batch.filter(pa.array(_have(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64), needed)))
             for lo, hi in slices(batch.column(1)):
                 sets, at = shingle_sets(batch.column(1).slice(lo, hi - lo), size)
                 unit = _set_hash(sets, at, salt)
@@ -456,7 +459,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     star = star.select(F.col("q.unit").alias("a"), F.col("p.unit").alias("b")).unionByName(members.select(F.col("head").alias("a"), F.col("unit").alias("b")))
     star = stored(star.distinct(), folder, "star")
 
-    held = [_save_sets(rows, star, [], folder, "star", parts, shingle, salt)]
+    held = [_save_sets(rows, units, star, [], folder, "star", parts, shingle, salt)]
     links = stored(_verify(star.repartition("a", "b"), held, percent), folder, "links")
     label, tested = components(links, folder, "first"), star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -468,24 +471,30 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     zero = F.lit(0).cast("long")
     everyone = everyone.unionByName(crowded.select(own, "unit", "n", zero.alias("pos"), zero.alias("last"), F.col("n").alias("most")))
 
+    split = None
     for turn, leaders in enumerate((*MORE_LEADERS, None)):
-        split = _several(everyone, label, folder, turn)
+        if split is None:  # else it is as it was, as no link has been found since
+            split = _several(everyone, label, folder, turn)
+        if split.isEmpty():
+            break
         pairs = _with_leaders(split, leaders, turn, percent) if leaders else _across(split, percent)
         pairs = stored(pairs, folder, f"asked{turn}")  # distinct before those that were tested go
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs{turn}")
         if pairs.isEmpty():
             continue
-        held.append(_save_sets(rows, pairs, held, folder, f"held{turn}", parts, shingle, salt))
+        held.append(_save_sets(rows, units, pairs, held, folder, f"held{turn}", parts, shingle, salt))
         more = stored(_verify(pairs.repartition("a", "b"), held, percent), folder, f"more{turn}")
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             step = components(_relabelled(more, label), folder, f"turn{turn}").select(F.col("unit").alias("label"), F.col("label").alias("to"))
             alone = step.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("unit"), F.col("to").alias("label"))
             label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, f"label{turn}")
+            split = None
 
     named = sets.select("unit", "least").join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = stored(named.join(names, "label").select("unit", "component_id"), folder, "final")
+    drop_all_but(folder, f"units{salt}", "final")
     out = units.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("unit")).alias("unit")).filter("unit is not null").join(final, "unit").select("doc_id", "n_shingles", "component_id", "text_hash")
     return out.unionByName(units.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))
 

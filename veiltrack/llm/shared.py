@@ -56,6 +56,13 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
+def drop_all_but(folder: str, *names: str) -> None:
+    """Removes what is in a folder of its own but for those tables, which all that is still to be computed reads."""
+    for entry in os.scandir(folder):
+        if entry.name not in names:
+            (shutil.rmtree if entry.is_dir() else os.remove)(entry.path)
+
+
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
