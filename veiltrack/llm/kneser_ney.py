@@ -59,7 +59,7 @@ from .tokens import mix, slices, unmix, words
 ORDER = 3
 #: Rounds in which triples are counted, and the number of triples of a history above which its numbers are stored.
 ROUNDS = 3
-HEAVY = 256
+HEAVY = 32
 
 _U = np.uint64
 _IDS = _U(0xFFFFFFFF)
@@ -194,7 +194,8 @@ class _Counts:
 
 def _numbers(counts: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Sum, and numbers of ones, twos and more, of each run of counts that starts at ``at``."""
-    return [np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
+    total, one, two = (np.add.reduceat(x, at, dtype=np.int64) for x in (counts, counts == 1, counts == 2))
+    return [total, one, two, np.diff(np.append(at, len(counts))) - one - two]
 
 
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -464,20 +465,29 @@ class _Scorer:
         both = np.flatnonzero((ids >= 0) & (before >= 0))
         if len(both):
             pair, again = np.unique(_key(before[both], ids[both]), return_inverse=True)
-            seen = self.pair_counts.take(*find(pair, self.pairs))
+            place = find(pair, self.pairs)
+            seen = self.pair_counts.take(*place)
             p[both] += (np.maximum(seen - _discount(d, seen), 0))[again] / safe[which[both]]
-        if m.order == 3:
-            self._third(p, ids, before, at)
+            if m.order == 3:
+                of_pair = np.full(len(ids), -1, np.int64)
+                of_pair[both] = again
+                self._third(p, ids, at, pair, place, of_pair)
         logs = np.log10(p)
         known = (count > 0)[back]
         return np.diff(at), np.add.reduceat(known, at[:-1], dtype=np.int64), np.add.reduceat(base[back], at[:-1]), np.add.reduceat(logs, at[:-1])
 
-    def _third(self, p: np.ndarray, ids: np.ndarray, before: np.ndarray, at: np.ndarray) -> None:
-        """Puts the third level on the probabilities p of the second, where a history of two was seen."""
-        two = _two_before(before, at)
-        own = np.flatnonzero((two >= 0) & (before >= 0))
-        keys, back = np.unique(_key(two[own], before[own]), return_inverse=True)
-        part, k = find(keys, self.pairs)
+    def _third(self, p: np.ndarray, ids: np.ndarray, at: np.ndarray, keys: np.ndarray, place: tuple[np.ndarray, np.ndarray], of_pair: np.ndarray) -> None:
+        """Puts the third level on the probabilities p of the second, where a history of two was seen.
+
+        keys are the distinct pairs of the slice, place where they stand, and
+        of_pair which of them ends at each token: a token's history is the
+        pair that ends before it.
+        """
+        own = np.flatnonzero(of_pair[:-1] >= 0) + 1
+        first = np.zeros(len(ids) + 1, bool)
+        first[at] = True
+        own = own[~first[own]]
+        back, (part, k) = of_pair[own - 1], place
         history, number = _history(np.where(k >= 0, self.first_pair[part] + k, 0), self.bits), np.where(k >= 0, _round(keys, self.m.rounds), -1)
         for r, tables in enumerate(self.rounds):
             mine = np.flatnonzero(number == r)
