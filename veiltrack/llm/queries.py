@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, license_scan, mixing, substring_dedup, warc
+from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, license_scan, mixing, prefix_trie, quality, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,45 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op9_chat_digests": op9_chat_digests, "op10_mixing": op10_mixing}
+def _op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op9_chat_digests": op9_chat_digests, "op10_mixing": op10_mixing, "op12_quality_classifier": op12_quality_classifier, "op13_prefix_trie": op13_prefix_trie}
+
+#: crc32 of bytes in SQL: its table of 256, made by the rule, and a fold over hex digits.
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(b)))"
+
+
+def _sql_crc(text: str) -> str:
+    """crc32 of a text's UTF-8, next to the columns of crc."""
+    digits = f"hex(encode({text}))"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr({digits}, (2 * i - 1)::INT, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 ORACLE = {
+    "op13_prefix_trie": f"""
+        WITH {_CRC_TABLE}, t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        u AS (SELECT conv_id, turn, role, substr(sha256(length(role) || ':' || role || text), 1, 32) AS unit, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS nw FROM t),
+        own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unit) AS i FROM u),
+        c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_sql_crc('conv_id::VARCHAR')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+        re AS (SELECT c.conv_id, 0 AS part, i, unit, nw FROM c JOIN own ON own.conv_id = base AND i <= h UNION ALL SELECT c.conv_id, 1, i, unit, nw FROM c JOIN own ON own.conv_id = c.conv_id AND i > h),
+        n AS (SELECT conv_id, row_number() OVER w AS d, string_agg(unit, '') OVER (PARTITION BY conv_id ORDER BY part, i) AS k, nw FROM re WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+        m AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM (SELECT * FROM n UNION ALL SELECT conv_id, 0, '', 0 FROM c)),
+        g AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(nw) AS nw, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM m GROUP BY k, d),
+        kids AS (SELECT left(k, length(k) - 32) AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+        h AS (SELECT g.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent FROM g LEFT JOIN kids USING (k) LEFT JOIN g p ON g.d > 0 AND p.k = left(g.k, length(g.k) - 32)),
+        sums AS (SELECT m.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * h.nw)::BIGINT AS saved FROM h JOIN m ON m.conv_id = h.conv_id AND m.d <= h.d GROUP BY m.k)
+        SELECT conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved AS saved_tokens, ends AS ends_sha256 FROM h JOIN sums USING (k)
+    """,
     "op9_chat_digests": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
