@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, license_scan, mixing, prefix_trie, quality, substring_dedup, warc
+from . import chat, decontaminate, exact_dedup, jaccard_join, kneser_ney, language_id, license_scan, mixing, prefix_trie, quality, spelling, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-def _op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
@@ -74,7 +74,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op9_chat_digests": op9_chat_digests, "op10_mixing": op10_mixing, "op12_quality_classifier": op12_quality_classifier, "op13_prefix_trie": op13_prefix_trie}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_license_scan": op4_license_scan, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_jaccard_join": op7_jaccard_join, "op8_exact_dedup": op8_exact_dedup, "op9_chat_formatting": op9_chat_formatting, "op9_chat_digests": op9_chat_digests, "op10_mixing": op10_mixing, "op11_spelling_variants": op11_spelling_variants, "op12_quality_classifier": op12_quality_classifier, "op13_prefix_trie": op13_prefix_trie}
 
 #: crc32 of bytes in SQL: its table of 256, made by the rule, and a fold over hex digits.
 _CRC_TABLE = "crc AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(b)))"
@@ -87,6 +87,20 @@ def _sql_crc(text: str) -> str:
 
 
 ORACLE = {
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        run AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL),
+        drawn AS (SELECT w, c, {_sql_crc("(coalesce(doc_id::VARCHAR, '') || ':' || w)")} AS h FROM run, crc),
+        word AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM drawn) WHERE length(word) >= 7 GROUP BY word HAVING n >= 2),
+        less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM word)),
+        near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                 UNION SELECT a.word, b.word, b.n FROM less a JOIN word b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN word b ON a.rest = b.word),
+        best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+        form AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM word LEFT JOIN best USING (word)),
+        path AS (SELECT word, form AS root FROM form WHERE form IS NOT NULL UNION ALL SELECT path.word, form.form FROM path JOIN form ON path.root = form.word WHERE form.form IS NOT NULL),
+        roots AS (SELECT p.word, p.root FROM path p JOIN form f ON f.word = p.root AND f.form IS NULL)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM form LEFT JOIN roots USING (word)
+    """,
     "op13_prefix_trie": f"""
         WITH {_CRC_TABLE}, t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         u AS (SELECT conv_id, turn, role, substr(sha256(length(role) || ':' || role || text), 1, 32) AS unit, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS nw FROM t),
