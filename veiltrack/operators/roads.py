@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import Bounds, LatLon, edge_touches, in_bounds, outdegree
-from ..session import checkpointed
+from ..session import checkpointed, kept
 
 #: Way types in the order of their numbers, from 0.
 WAY_TYPES = [
@@ -145,23 +145,52 @@ def build_index(edges: DataFrame, sw: tuple[float, float], ne: tuple[float, floa
     return nodes, leaf_edges.select("node", "edge_id").unionByName(alone.select("node", "edge_id"))
 
 
-def grid_cell(degrees: Column) -> Column:
-    """The cell of a grid as fine as the finest leaf."""
-    return F.floor(degrees / LEAF_DEGREES)
+def kept_index(edges: DataFrame, sw: tuple[float, float], ne: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    """build_index, once a session for a map and a box."""
+    return kept(edges, ("index", *sw, *ne), lambda: build_index(edges, sw, ne))
 
 
-def leaf_cells(nodes: DataFrame) -> DataFrame:
-    """node, leaf_sw_lat, leaf_sw_lon, leaf_ne_lat, leaf_ne_lon, leaf_x, leaf_y: leaves with the cells of the grid that they touch."""
-    leaves = nodes.filter("is_leaf").select("node", *(F.col(c).alias(f"leaf_{c}") for c in _CORNERS))
-    return leaves.withColumn("leaf_x", F.explode(F.sequence(grid_cell(F.col("leaf_sw_lat")), grid_cell(F.col("leaf_ne_lat"))))).withColumn("leaf_y", F.explode(F.sequence(grid_cell(F.col("leaf_sw_lon")), grid_cell(F.col("leaf_ne_lon")))))
+def with_path(points: DataFrame, root: tuple[float, float, float, float], levels: int) -> DataFrame:
+    """points with path: the smallest box of the halved root that has a point, by its name in the tree; of boxes that share a border, the one searched first.  Null outside the root.
+
+    Every node that has the point, whatever its level, is a beginning of its
+    path.  Each level is a step of its own over the box before it, with the
+    arithmetic of build_index, so that borders agree to the last bit.
+    """
+    s, w, n, e = (F.col(f"__{c}") for c in _CORNERS)
+    lat, lon = F.col("lat"), F.col("lon")
+    inside = in_bounds(Bounds(LatLon(*(F.lit(float(v)) for v in root[:2])), LatLon(*(F.lit(float(v)) for v in root[2:]))), LatLon(lat, lon))
+    rows = points.withColumns({"path": F.when(inside, F.lit("r")), **{f"__{c}": F.lit(float(v)) for c, v in zip(_CORNERS, root)}})
+    for _ in range(levels):
+        tall, wide, center = (n - s) / 2.0 >= LEAF_DEGREES, (e - w) / 2.0 >= LEAF_DEGREES, Bounds(LatLon(s, w), LatLon(n, e)).center
+        rows = rows.withColumns({"__tall": tall, "__wide": wide, "__lat": center.lat, "__lon": center.lon, "__low": lat < center.lat, "__right": lon > center.lon})
+        tall, wide, low, right = (F.col(f"__{c}") for c in ("tall", "wide", "low", "right"))
+        number = F.when(tall & low, F.when(wide, 2).otherwise(1)).otherwise(0) + F.when(wide & right, 1).otherwise(0)
+        rows = rows.withColumns({
+            "path": F.when(tall | wide, F.concat("path", F.lit("."), number.cast("string"))).otherwise(F.col("path")),
+            "__sw_lat": F.when(tall & ~low, F.col("__lat")).otherwise(s), "__ne_lat": F.when(tall & low, F.col("__lat")).otherwise(n),
+            "__sw_lon": F.when(wide & right, F.col("__lon")).otherwise(w), "__ne_lon": F.when(wide & ~right, F.col("__lon")).otherwise(e),
+        })
+    return rows.select(*points.columns, "path")
+
+
+#: Leaves, or areas of roads, that are broadcast at most; they are counted first.
+MOST_BROADCAST = 200_000
 
 
 def leaf_of(points: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of points with node: the leaf whose closed box has the point; of leaves that share a border, the one searched first.  Null outside the tree.
 
-    Leaves are dealt to the cells of a grid and points meet them by cell: an
-    equi-join, however many leaves there are.
+    A point's path has its boxes of all sizes, and leaves tile the root, so of
+    a key for each level that has leaves exactly one meets a leaf: an equi-join
+    whose rows don't depend on the area that leaves cover.
     """
-    leaves = leaf_cells(nodes)
-    met = (grid_cell(points["lat"]) == leaves["leaf_x"]) & (grid_cell(points["lon"]) == leaves["leaf_y"]) & in_bounds(box_of("leaf_"), LatLon(points["lat"], points["lon"]))
-    return points.join(leaves, met, "left").groupBy(*keep).agg(F.min("node").alias("node"))
+    corners = F.struct(*_CORNERS)
+    found = nodes.agg(F.min(F.when(F.col("level") == 0, corners)).alias("root"), F.sort_array(F.collect_set(F.when(F.col("is_leaf"), F.col("level")))).alias("levels"), F.count(F.when(F.col("is_leaf"), 1)).alias("n")).first()
+    root, leaves = tuple(found["root"]), nodes.filter("is_leaf").select(F.col("node").alias("__leaf"), F.lit(True).alias("__met"))
+    name = lambda level: 1 + 2 * level  # noqa: E731  how long the names of a level are
+    paths = with_path(points, root, _levels(root))
+    keys = F.array(*(F.when(F.length("path") >= name(level), F.substring("path", 1, name(level))) for level in found["levels"]))
+    rows = paths.select(*keep, "path", F.explode_outer(F.when(F.col("path").isNotNull(), F.filter(keys, lambda k: k.isNotNull()))).alias("node"))
+    met = rows.join(F.broadcast(leaves) if found["n"] <= MOST_BROADCAST else leaves, F.col("node") == F.col("__leaf"), "left")
+    return met.filter("__met or path is null").select(*keep, "node")

@@ -14,7 +14,7 @@ from ..operators.detect import detect_fused, start_end, turnaround_fit
 from ..operators.fit import count_choices, fit_trips
 from ..operators.intervals import mark_points, merge_intervals, union_intervals
 from ..operators.privacy import PrivacyLimits, deidentify, find_privacy, point_counters
-from ..operators.roads import build_index, vertices
+from ..operators.roads import kept_index, vertices
 from ..session import checkpointed
 from .config import DIConfig
 
@@ -35,7 +35,7 @@ def limits_of(config: DIConfig) -> PrivacyLimits:
 
 def fit(points: DataFrame, edges: DataFrame | None, config: DIConfig, use_index: bool = True) -> DataFrame:
     """Points fit to roads and inferred segments, with their choices at intersections."""
-    index = build_index(edges, (config.sw_lat, config.sw_lon), (config.ne_lat, config.ne_lon)) if edges is not None and use_index else None
+    index = kept_index(edges, (config.sw_lat, config.sw_lon), (config.ne_lat, config.ne_lon)) if edges is not None and use_index else None
     fitted = fit_trips(points, edges, index, config.fit_scale, config.fit_extension, config.heading_groups, config.min_edge_points)
     if edges is None:
         return fitted.withColumn("out_degree", F.lit(0).cast("long"))

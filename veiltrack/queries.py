@@ -405,7 +405,7 @@ def map_candidates(spark, sf_dir):
 
 
 def _index(spark):
-    return roads.build_index(demo.roads(spark), *demo.BOX)
+    return roads.kept_index(demo.roads(spark), *demo.BOX)
 
 
 def _box_side(number: str) -> tuple[str, str]:

@@ -7,9 +7,13 @@ import re
 import tempfile
 import weakref
 import zipfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
@@ -59,3 +63,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, in the folder of spark.checkpoint.dir."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Things made from a table that a session keeps, the latest last.
+MOST_KEPT = 8
+_kept: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def kept(df: DataFrame, what: tuple, make: Callable[[], T]) -> T:
+    """What make gives for df, made once a session: df is known by its plan and the files that it reads, so those have to stay as they are."""
+    key = (what, tuple(sorted(df.inputFiles())))
+    held = _kept.setdefault(df.sparkSession.sparkContext, [])
+    for i, (other, own, value) in enumerate(held):
+        if own == key and other.sameSemantics(df):
+            held.append(held.pop(i))
+            return value
+    held.append((df, key, make()))
+    del held[:-MOST_KEPT]
+    return held[-1][2]
