@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import re
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veiltrack.llm.queries import op6_warc
-from veiltrack.llm.warc import convert_responses, derivatives, derive, page_links, parse_records, read_responses, record_bytes, response_bytes, visible_text, write_records
+from veiltrack.llm.warc import convert_responses, derivatives, derive, page_links, page_title, parse_records, read_responses, record_bytes, response_bytes, visible_text, write_records
 
 PAGE = '<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><h1>Head</h1><p>one <b>two</b>&nbsp;three<br>four</p><a href="/x?a=1&amp;b=2">link</a><img src=\'i.png\'></body></html>'
 
@@ -35,6 +36,30 @@ def test_title_is_taken_out_wherever_it_stands(head):
     assert derive("http://e.x/", page)[1][10] == "one\ntwo"
 
 
+@pytest.mark.parametrize("head", ["<!-- <title>Old</title> -->", "<script>var t = '<title>Old</title>';</script>", "<style><title>Old</title></style>"])
+def test_titles_that_are_hidden_are_none(head):
+    page = head + "<title>Re<!-- x -->al</title><p>one"
+    assert page_title(page) == "Real" and visible_text(page) == "one"
+    assert page_title(head) == "" and page_title("<title>un <b>closed") == "un closed" and visible_text("a<title>un <b>closed") == "a"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<!", "<script>", "<script ", "<!--", "<a href=", "<a href='", "<div", "</title ", "<title><!--", "<a <img ", "href ", "< "])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_long_broken_markup_is_read_once(piece, end):
+    page = piece * (2_000_000 // len(piece)) + end
+    began = time.monotonic()
+    for of in (page_links, page_title, visible_text):
+        of(page)
+    assert time.monotonic() - began < 12
+
+
+def test_links_of_odd_tags():
+    urls = lambda page: [(x["path"], x["url"]) for x in page_links(page)]
+    assert urls("<a title='x>y' href=a><a href='p>q'><img alt=\"<a b\" src=c>") == [("A@/href", "p>q"), ("IMG@/src", "c")]
+    assert urls("<a href= ><a href=\"\" src=z><area x href = t") == [("A@/href", ""), ("AREA@/href", "t")]
+    assert urls("<!-- <a href=no> --><title><a href=yes></title><a href=a src=b>") == [("A@/href", "yes"), ("A@/href", "a")]
+
+
 def test_records_refer_to_their_source():
     (kind, own, source, url, date, _, block_digest, payload, source_digest, length, block), text = derive("http://e.x/", PAGE)
     about = json.loads(block)["Envelope"]

@@ -3,7 +3,7 @@
 Intermediate tables and sorted hash arrays go to a folder of their own under
 ``spark.checkpoint.dir``.  That setting is read from the session and set only
 where it is unset, and only on one machine.  The folder has to be mounted on
-every node, as the arrays are memory-mapped.  Files appear under their final
+every node, as the arrays are memory-mapped, by a bounded number of maps a worker.  Files appear under their final
 name by a rename, so a task that runs twice leaves one whole file.  When all
 parts of an array are there the driver seals it with a list of them; a reader
 that misses the list, or a file of the list, fails.
@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import atexit
 import json
+import mmap
 import os
 import re
 import shutil
+import sys
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -195,23 +198,40 @@ def seal(folder: str, name: str) -> None:
     os.replace(tmp, os.path.join(folder, f"{name}.parts"))
 
 
+#: Maps that a worker keeps, of all arrays together; where a map costs a file descriptor, far fewer.
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+MOST_MAPPED = 8192 if _UNTRACKED else 128
+_maps: OrderedDict[str, mmap.mmap] = OrderedDict()
+
+
+def _map(path: str) -> mmap.mmap:
+    """A file's map; of those that haven't been asked for longest, as many go as are too many (and end with the last array that reads them)."""
+    if path in _maps:
+        _maps.move_to_end(path)
+        return _maps[path]
+    with open(path, "rb") as f:
+        own = _maps[path] = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
+    while len(_maps) > MOST_MAPPED:
+        _maps.popitem(last=False)
+    return own
+
+
 class Mapped:
-    """A worker's view of the part files of a named array, memory-mapped when first used; a part that isn't in the sealed list is empty."""
+    """A worker's view of the part files of a named array, memory-mapped when used; a part that isn't in the sealed list is empty."""
 
     def __init__(self, folder: str, name: str, parts: int, dtype):
-        self.folder, self.name, self.parts, self.dtype, self.open, self.there = folder, name, parts, np.dtype(dtype), {}, None
+        self.folder, self.name, self.parts, self.dtype, self.there = folder, name, parts, np.dtype(dtype), None
 
     def __getitem__(self, part: int) -> np.ndarray:
-        if part not in self.open:
-            if self.there is None:
-                with open(os.path.join(self.folder, f"{self.name}.parts")) as f:
-                    self.there = set(json.load(f))
-            path = os.path.join(self.folder, f"{self.name}.{part}")
-            self.open[part] = np.memmap(path, self.dtype, "r") if part in self.there else np.empty(0, self.dtype)
-        return self.open[part]
+        if self.there is None:
+            with open(os.path.join(self.folder, f"{self.name}.parts")) as f:
+                self.there = set(json.load(f))
+        if part not in self.there:
+            return np.empty(0, self.dtype)
+        return np.frombuffer(_map(os.path.join(self.folder, f"{self.name}.{part}")), self.dtype)
 
     def __getstate__(self):
-        return {**self.__dict__, "open": {}, "there": None}
+        return {**self.__dict__, "there": None}
 
 
 def find(keys: np.ndarray, table: Mapped) -> tuple[np.ndarray, np.ndarray]:

@@ -186,10 +186,11 @@ def _found(a: np.ndarray, b: np.ndarray, one: Mapped, two: Mapped) -> np.ndarray
     hit = np.zeros(len(a), bool)
     open_ = np.flatnonzero(at >= 0)
     step = 0
+    open_ = open_[np.argsort(part[open_], kind="stable")]
     while len(open_):  # equal first halves stand together
         still = []
-        for p in np.unique(part[open_]):
-            own = open_[part[open_] == p]
+        for own in np.split(open_, np.flatnonzero(np.diff(part[open_])) + 1):
+            p = part[own[0]]
             x, y = one[int(p)], two[int(p)]
             k = at[own] + step
             there = (k < len(x)) & (x[np.minimum(k, len(x) - 1)] == a[own])

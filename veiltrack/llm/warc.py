@@ -34,7 +34,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from typing import BinaryIO
+from typing import BinaryIO, NamedTuple
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
@@ -45,12 +45,13 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "page_id long, kind string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, source_digest string, content_length long, block string"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|title)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "title")}
 _BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?]?[a-zA-Z][^>]*>|<[!/?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_HIDDEN_OR_TITLE = re.compile(_HIDDEN.pattern + r"|(<title\b[^>]*>).*?(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(r"<(a|area|img|link|iframe|script)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
+_LINKING = re.compile(r"<(a|area|img|link|iframe|script)\b", re.I)
+_TARGET = re.compile(r"\b(href|src)\s*=\s*", re.I)
+_VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
 _SPACE = re.compile(r"[ \t\r\f\v\u00a0]+")
 _LINES = re.compile(r" *\n[ \n]*")
 
@@ -63,29 +64,89 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode()).digest()[:16], version=4)}>"
 
 
-def visible_text(markup: str) -> str:
-    """The text of a page: a line a block, no scripts, styles or comments, and not its first title, wherever that stands."""
-    titles = 0
+class Page(NamedTuple):
+    """Markup without comments, scripts and styles: with its first title, without it, and the markup of that title."""
+
+    markup: str
+    body: str
+    title: str
+
+
+def read_page(markup: str, titled: bool = True) -> Page:
+    """One pass over a page: what an opening mark hides is skipped at once, so no part is read twice.  What isn't closed goes on to the end.  Later titles are text, and so is the first if not ``titled``."""
+    whole, body, title, at, look = [], [], None, 0, 0
+    while found := _HIDDEN.search(markup, look):
+        name = (found[1] or "").lower()
+        if name:
+            opened = markup.find(">", found.end()) + 1
+            if not opened:  # no tag ends any more, so only a comment can follow
+                comment = markup.find("<!--", found.end())
+                if comment < 0:
+                    break
+                look = comment
+                continue
+            if name == "title" and (title is not None or not titled):
+                look = opened
+                continue
+            close = _ENDS[name].search(markup, opened)
+            inner, end = markup[opened : close.start() if close else len(markup)], close.end() if close else len(markup)
+        else:
+            close = markup.find("-->", found.end())
+            end = close + 3 if close >= 0 else len(markup)
+        before = markup[at : found.start()]
+        if name == "title":
+            title = inner
+            whole += [before, markup[found.start() : opened], read_page(inner, False).body, markup[close.start() if close else end : end]]
+            body += [before, "\n"]
+        else:
+            whole += [before, " "]
+            body += [before, " "]
+        at = look = end
+    return Page("".join([*whole, markup[at:]]), "".join([*body, markup[at:]]), title or "")
+
 
-    def cut(found: re.Match) -> str:
-        nonlocal titles
-        if not found[2]:
-            return " "
-        titles += 1
-        return "\n" if titles == 1 else _HIDDEN.sub(" ", found[0])
+def _cut(pattern: re.Pattern, by: str, markup: str) -> str:
+    """Without tags of a pattern, none of which can begin after the last end of one."""
+    k = markup.rfind(">") + 1
+    return pattern.sub(by, markup[:k]) + markup[k:]
 
-    out = _BREAKS.sub("\n", _HIDDEN_OR_TITLE.sub(cut, markup))
-    out = html_entities.unescape(_TAG.sub("", out))
-    return _LINES.sub("\n", _SPACE.sub(" ", out)).strip()
+
+def _plain(markup: str) -> str:
+    return _SPACE.sub(" ", html_entities.unescape(_cut(_TAG, "", markup)))
+
+
+def visible_text(markup: str) -> str:
+    """The text of a page: a line a block, no scripts, styles or comments, and not its title, wherever that stands."""
+    return _LINES.sub("\n", _plain(_cut(_BREAKS, "\n", read_page(markup).body))).strip()
 
 
 def page_title(markup: str) -> str:
-    found = _TITLE.search(markup)
-    return _SPACE.sub(" ", html_entities.unescape(_TAG.sub("", found[1]))).strip() if found else ""
+    """The first title that is not in a comment, script or style."""
+    return _plain(read_page(markup).title).strip()
 
 
 def page_links(markup: str) -> list[dict]:
-    return [{"path": f"{m[0].upper()}@/{m[1].lower()}", "url": html_entities.unescape(m[2] or m[3] or m[4])} for m in _LINK.findall(_HIDDEN.sub(" ", markup))]
+    """The first target of each linking tag that has one.  Tags, ends of tags and targets are met in order, each once."""
+    markup = read_page(markup).markup
+    targets, out, done, end = _TARGET.finditer(markup), [], 0, -1
+    target = next(targets, None)
+    for tag in _LINKING.finditer(markup):
+        if tag.start() < done:
+            continue
+        if end < tag.end():
+            end = markup.find(">", tag.end())
+            end = len(markup) if end < 0 else end
+        while target and target.start() < end:
+            value = _VALUE.match(markup, target.end()) if target.start() >= tag.end() else None
+            if value:
+                out.append({"path": f"{tag[1].upper()}@/{target[1].lower()}", "url": html_entities.unescape(value[1] or value[2] or value[3] or "")})
+                done = value.end()
+            target = next(targets, None)
+            if value:
+                while target and target.start() < done:
+                    target = next(targets, None)
+                break
+    return out
 
 
 def header_fields(lines: str) -> dict[str, str | list[str]]:
