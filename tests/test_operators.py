@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veiltrack.functions.geo import LatLon, distance
 from veiltrack.operators.clean import correct_errors, correct_trip
 from veiltrack.operators.intervals import mark_points, merge_intervals
+from veiltrack.operators import fit
 from veiltrack.operators.roads import LEAF_DEGREES, build_index, highways, leaf_of, vertices
 from veiltrack.plans import demo
 from veiltrack.sinks import kml
@@ -74,8 +75,8 @@ def test_merging_and_marking(spark, seed):
         assert (ident, flag) == ((inside[0], True) if inside else (None, False))
 
 
-def test_index_splits_and_finds(spark):
-    edges = demo.roads(spark)
+def test_index_splits_and_finds(spark, sf_dir):
+    edges = demo.roads(spark, sf_dir)
     nodes, held = build_index(edges, *demo.BOX)
     leaves = nodes.filter("is_leaf")
     assert leaves.filter(f"n_edges > 32 and (ne_lat - sw_lat >= {2 * LEAF_DEGREES} or ne_lon - sw_lon >= {2 * LEAF_DEGREES})").count() == 0
@@ -97,10 +98,10 @@ def test_many_equal_points_split_once(spark):
     assert nodes.filter(F.col("is_leaf") & (F.col("ne_lon") - F.col("sw_lon") < LEAF_DEGREES)).count() == 0
 
 
-def test_highways_and_degrees(spark):
+def test_highways_and_degrees(spark, sf_dir):
     rows = {r.name: r for r in highways(spark).collect()}
     assert len(rows) == 43 and rows["motorway"].width == 22.0 and rows["primary"].excluded and not rows["service"].excluded and rows["user_defined"].width == 80.0
-    degrees = vertices(demo.roads(spark)).collect()
+    degrees = vertices(demo.roads(spark, sf_dir)).collect()
     assert all(r.out_degree == (r.degree - 1 if r.degree > 2 else 0) for r in degrees)
 
 
@@ -116,3 +117,58 @@ def test_kml_parts():
     import xml.dom.minidom as dom
 
     dom.parseString(kml.document("a & b", text, kml.trajectory_simple("n", "s", places)))
+
+
+def test_leaves_of_a_world(spark):
+    """A box of the world with few roads: few rows, and each point in the leaf that has it."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(100):
+        lat, lon = (rng.uniform(-80, 80), rng.uniform(-179, 179)) if i % 2 else (42 + rng.random() * 0.01, -83 + rng.random() * 0.01)
+        rows.append((i, 2 * i, lat, lon, 2 * i + 1, lat + 0.001, lon + 0.001, 3))
+    edges = spark.createDataFrame(rows, "edge_id long, v1_id long, v1_lat double, v1_lon double, v2_id long, v2_lat double, v2_lon double, way_type int")
+    nodes, _ = build_index(edges, (-90.0, -180.0), (90.0, 180.0))
+    found = nodes.collect()
+    assert len(found) < 2000 and max(r.level for r in found) > 8
+    leaves = [r for r in found if r.is_leaf]
+    places = [(i, *r[2:4]) for i, r in enumerate(rows)] + [(200 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(100)] + [(300, 0.0, 0.0), (301, 90.0, 180.0), (302, -90.0, -180.0), (303, 45.0, -90.0), (304, 91.0, 0.0), (305, None, 0.0), (306, float("nan"), 0.0)]
+    got = {r.p: r.node for r in leaf_of(spark.createDataFrame(places, "p long, lat double, lon double"), nodes, ["p"]).collect()}
+    assert len(got) == len(places)
+    for p, lat, lon in places:
+        inside = [r.node for r in leaves if lat is not None and r.sw_lat <= lat <= r.ne_lat and r.sw_lon <= lon <= r.ne_lon]
+        assert got[p] == min(inside, default=None)
+
+
+@pytest.mark.parametrize("most, cell_points", [(10**6, 500_000), (0, 500_000), (0, 7)])
+def test_points_meet_areas_of_any_size(spark, monkeypatch, most, cell_points):
+    """Short and very long roads; half of all points in one cell, which is then many tasks."""
+    monkeypatch.setattr(fit, "MOST_BROADCAST", most)
+    rng = random.Random(6)
+    rows = [(i, 42 + rng.random() * 0.02, -83 + rng.random() * 0.02) for i in range(40)]
+    rows = [(i, 2 * i, a, b, 2 * i + 1, a + rng.uniform(-1, 1) * size, b + rng.uniform(-1, 1) * size, 3, 40.0) for (i, a, b), size in zip(rows, [0.002, 0.01, 0.5, 6.0] * 10)]
+    edges = spark.createDataFrame(rows, "edge_id long, v1_id long, v1_lat double, v1_lon double, v2_id long, v2_lat double, v2_lon double, way_type int, width double")
+    hot = (rows[0][2] + rows[0][5]) / 2, (rows[0][3] + rows[0][6]) / 2
+    places = [("a", i, *(hot if i % 2 else (42 + rng.random() * 0.02, -83 + rng.random() * 0.02))) for i in range(300)]
+    points = spark.createDataFrame(places, "trip_id string, idx long, lat double, lon double")
+    areas = fit.edge_areas(edges, 1.0, 5.0)
+    dealt = fit.deal_areas(areas, ["edge_id"])
+    assert dealt.small == (most > 0) and len(dealt.rows) >= 3 and sum(dealt.rows.values()) <= 4 * 40
+    got = sorted((r.idx, r.edge_id) for r in fit.meet(points, dealt, cell_points).collect())
+    boxes = {r.edge_id: [(r[f"c{i}_lat"], r[f"c{i}_lon"]) for i in range(4)] for r in areas.collect()}
+
+    def inside(c, lat, lon):
+        return not any(c[i][0] * (c[(i + 1) % 4][1] - c[i][1]) - c[i][1] * (c[(i + 1) % 4][0] - c[i][0]) - lat * (c[(i + 1) % 4][1] - c[i][1]) + lon * (c[(i + 1) % 4][0] - c[i][0]) < 0 for i in range(4))
+
+    assert got == sorted((i, e) for _, i, lat, lon in places for e, c in boxes.items() if inside(c, lat, lon)) and len(got) > 100
+
+
+def test_large_maps_fit_alike(spark, sf_dir, monkeypatch):
+    """A map that isn't broadcast gives the same fit, with its edges' columns on the way."""
+    points = demo.trips(spark, sf_dir).filter("trip_id < '2'")
+    edges = demo.roads(spark, sf_dir)
+    index = build_index(edges, *demo.BOX)
+    own = lambda: sorted(tuple(r) for r in fit.fit_trips(points, edges, index, 1.0, 5.0, 36, 10).collect())
+    small = own()
+    monkeypatch.setattr(fit, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(fit, "CELL_POINTS", 50)
+    assert own() == small and any(r[-9] is not None for r in small)

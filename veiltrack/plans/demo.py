@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.roads import way_width
 
-#: Streets of the lattice, from south to north and from west to east.
+#: Streets of the lattice at most, from south to north, and blocks of one, from west to east.
 STREETS, BLOCKS = 100, 53
 #: Way types of the lattice, by turns: secondary, primary, residential, motorway.
 TURNS = [3, 2, 6, 0]
@@ -51,9 +51,17 @@ def trips_sql(outliers: bool = False) -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events))"""
 
 
-def roads(spark: SparkSession) -> DataFrame:
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, blocks: the streets on which users are, as far as their events reach."""
+    return events(spark, sf_dir).groupBy((F.col("user_id") % STREETS).alias("k")).agg((F.max(F.col("event_id") % BLOCKS) + 1).alias("blocks"))
+
+
+STREETS_SQL = f"street AS (SELECT user_id % {STREETS} AS k, max(event_id % {BLOCKS}) + 1 AS blocks FROM events GROUP BY 1)"
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the lattice: along streets with gaps, and some across."""
-    cells = spark.range(STREETS * BLOCKS).select(F.expr(f"id div {BLOCKS}").alias("k"), (F.col("id") % BLOCKS).alias("j"))
+    cells = streets(spark, sf_dir).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     vertex = lambda k, j: [k * 100 + j + 1, _double(42.20005) + _double(0.002) * k.cast("double"), _double(-83.9005) + _double(0.001) * j.cast("double")]
     k, j = F.col("k"), F.col("j")
     names = ("id", "lat", "lon")
@@ -63,7 +71,7 @@ def roads(spark: SparkSession) -> DataFrame:
         way = F.element_at(F.array(*map(F.lit, TURNS)), ((k + j) % 4).cast("int") + 1)
         return [(k * 1000 + j * 2 + kind).alias("edge_id"), *ends, way.alias("way_type")]
 
-    along = cells.filter((j < BLOCKS - 1) & ((k + j) % 3 != 0)).select(*edge(1, vertex(k, j + 1)))
+    along = cells.filter((j < F.col("blocks") - 1) & ((k + j) % 3 != 0)).select(*edge(1, vertex(k, j + 1)))
     across = cells.filter((k < STREETS - 1) & ((k * 7 + j) % 5 == 0)).select(*edge(2, vertex(k + 1, j)))
     out = along.unionByName(across)
     return out.select("*", way_width(F.col("way_type")).alias("width"), F.lit(True).alias("is_explicit"))
@@ -73,9 +81,9 @@ def roads_sql() -> str:
     vertex = lambda k, j, n: f"({k}) * 100 + ({j}) + 1 AS v{n}_id, 42.20005::DOUBLE + 0.002::DOUBLE * ({k})::DOUBLE AS v{n}_lat, -83.9005::DOUBLE + 0.001::DOUBLE * ({j})::DOUBLE AS v{n}_lon"
     way = f"{TURNS}[((k + j) % 4 + 1)::INT]"
     edge = lambda kind, k, j: f"SELECT k * 1000 + j * 2 + {kind} AS edge_id, {vertex('k', 'j', 1)}, {vertex(k, j, 2)}, {way} AS way_type FROM cells"
-    return f"""cells AS (SELECT a.range AS k, b.range AS j FROM range({STREETS}) a, range({BLOCKS}) b),
+    return f"""{STREETS_SQL}, cells AS (SELECT k, blocks, unnest(range(blocks)) AS j FROM street),
         roads AS (SELECT *, CASE way_type WHEN 0 THEN 22.0::DOUBLE WHEN 2 THEN 30.0::DOUBLE ELSE 17.0::DOUBLE END AS width FROM (
-            {edge(1, 'k', 'j + 1')} WHERE j < {BLOCKS - 1} AND (k + j) % 3 <> 0
+            {edge(1, 'k', 'j + 1')} WHERE j < blocks - 1 AND (k + j) % 3 <> 0
             UNION ALL {edge(2, 'k + 1', 'j')} WHERE k < {STREETS - 1} AND (k * 7 + j) % 5 = 0))"""
 
 
@@ -140,9 +148,9 @@ def trip_lines_sql() -> str:
                            '-83.' || lpad((500000 + (user_id % 50) * 1000 + event_id % 777)::VARCHAR, 6, '0') AS lon0 FROM events)))"""
 
 
-def map_nodes(spark: SparkSession) -> DataFrame:
+def map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the lattice as a map file has them; one in seven twice."""
-    cells = spark.range(STREETS * BLOCKS).select(F.floor(F.col("id") / BLOCKS).alias("k"), (F.col("id") % BLOCKS).alias("j"), "id")
+    cells = streets(spark, sf_dir).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("id", F.col("k") * BLOCKS + F.col("j"))
     lat = F.concat(F.lit("42."), F.lpad((F.lit(200050) + F.col("k") * 2000).cast("string"), 6, "0"))
     lon = F.concat(F.lit("-83."), F.lpad((F.lit(900500) - F.col("j") * 1000).cast("string"), 6, "0"))
     rows = cells.select((F.col("k") * 100 + F.col("j") + 1).alias("node_id"), lat.alias("lat"), lon.alias("lon"), F.col("id").alias("pos"), "k", "j")
@@ -150,16 +158,15 @@ def map_nodes(spark: SparkSession) -> DataFrame:
     return rows.unionByName(again).select("node_id", "lat", "lon", "pos")
 
 
-def map_ways(spark: SparkSession) -> DataFrame:
+def map_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A way a street, by second names where there are any, and with some nodes that are nowhere."""
-    j = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    j, rows = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), streets(spark, sf_dir).select(F.col("k").alias("id"), "blocks")
     refs = F.transform(j, lambda x: F.when((F.col("id") * x) % 11 == 5, F.lit(999999)).when((F.col("id") + x) % 14 == 0, F.col("id") * 100 + x + 100001).otherwise(F.col("id") * 100 + x + 1))
-    return spark.range(STREETS).select(F.col("id").alias("way_id"), refs.alias("refs"), F.when(F.col("id") % 2 == 0, "primary").otherwise("service").alias("way_type"), F.col("id").alias("pos"))
+    return rows.select(F.col("id").alias("way_id"), refs.alias("refs"), F.when(F.col("id") % 2 == 0, "primary").otherwise("service").alias("way_type"), F.col("id").alias("pos"))
 
 
 def map_sql() -> str:
-    return f"""cell AS (SELECT range // {BLOCKS} AS k, range % {BLOCKS} AS j, range AS id FROM range({STREETS * BLOCKS})),
+    return f"""{STREETS_SQL}, cell AS (SELECT k, j, k * {BLOCKS} + j AS id FROM (SELECT k, unnest(range(blocks)) AS j FROM street)),
         node AS (SELECT k, j, k * 100 + j + 1 AS node_id, '42.' || lpad((200050 + k * 2000)::VARCHAR, 6, '0') AS lat, '-83.' || lpad((900500 - j * 1000)::VARCHAR, 6, '0') AS lon, id AS pos FROM cell),
         nodes AS (SELECT node_id, lat, lon, pos FROM node UNION ALL SELECT node_id + 100000, lat, lon, pos + 100000 FROM node WHERE (k + j) % 7 = 0),
-        refs AS (SELECT w.range AS way_id, j.range AS k, CASE WHEN (w.range * j.range) % 11 = 5 THEN 999999 WHEN (w.range + j.range) % 14 = 0 THEN w.range * 100 + j.range + 100001 ELSE w.range * 100 + j.range + 1 END AS ref,
-                 CASE WHEN w.range % 2 = 0 THEN 'primary' ELSE 'service' END AS way_type FROM range({STREETS}) w, range({BLOCKS}) j)"""
+        refs AS (SELECT k AS way_id, j AS k, CASE WHEN (k * j) % 11 = 5 THEN 999999 WHEN (k + j) % 14 = 0 THEN k * 100 + j + 100001 ELSE k * 100 + j + 1 END AS ref, CASE WHEN k % 2 = 0 THEN 'primary' ELSE 'service' END AS way_type FROM cell)"""

@@ -13,6 +13,7 @@ from .functions.geo import LatLon
 from .operators import clean, detect, fit, intervals, privacy, roads
 from .plans import demo, pipeline
 from .plans.config import INTERACTIVE, DIConfig
+from .session import checkpointed
 from .sinks import csv as csv_sink
 from .sinks import kml as kml_sink
 from .sinks import shapes as shape_sink
@@ -125,7 +126,7 @@ def geo_bearing(spark, sf_dir):
     round(2.0 * asin(sqrt(pow(sin(radians(v2_lat - v1_lat) / 2.0), 2) + cos(radians(v1_lat)) * cos(radians(v2_lat)) * pow(sin(radians(v2_lon - v1_lon) / 2.0), 2))) * {R}, 5) AS haversine, round(v2_lat - v1_lat, 9) AS dlat, round(v2_lon - v1_lon, 9) AS dlon FROM roads""")
 def edge_length(spark, sf_dir):
     v1, v2 = roads.ends()
-    e = demo.roads(spark)
+    e = demo.roads(spark, sf_dir)
     return e.select("edge_id", F.round(geo.distance(v1, v2), 6).alias("metres"), F.round(geo.haversine(v1, v2), 5).alias("haversine"), F.round(v2.lat - v1.lat, 9).alias("dlat"), F.round(v2.lon - v1.lon, 9).alias("dlon"))
 
 
@@ -133,7 +134,7 @@ def _beside(spark, sf_dir) -> DataFrame:
     """Each point with the edge of the lattice that starts at its block."""
     k, j = F.col("trip_id").cast("bigint") % 100, F.floor((F.col("lon") + F.lit(83.9005)) / F.lit(0.001)).cast("bigint")
     points = demo.trips(spark, sf_dir).withColumn("edge_id", k * 1000 + j * 2 + 1)
-    return points.join(demo.roads(spark), "edge_id")
+    return points.join(demo.roads(spark, sf_dir), "edge_id")
 
 
 BESIDE = f"beside AS (SELECT t.*, e.* FROM (SELECT *, (trip_id::BIGINT % 100) * 1000 + floor((lon + 83.9005::DOUBLE) / 0.001::DOUBLE)::BIGINT * 2 + 1 AS eid FROM trips) t JOIN roads e ON e.edge_id = t.eid)"
@@ -150,7 +151,7 @@ def point_edge_distance(spark, sf_dir):
 @register("segment_intersects", f"WITH {demo.trips_sql()}, {demo.roads_sql()}, {PAIRS}, b AS (SELECT p.*, e.* FROM (SELECT *, (trip_id::BIGINT % 100) * 1000 + floor((lon + 83.9005::DOUBLE) / 0.001::DOUBLE)::BIGINT * 2 + 1 AS eid FROM pairs) p JOIN roads e ON e.edge_id = p.eid) SELECT trip_id, idx, edge_id, {_sql_cross(('v1_lat', 'v1_lon'), ('v2_lat', 'v2_lon'), ('lat', 'lon'), ('lat2', 'lon2'))} AS crosses FROM b")
 def segment_intersects(spark, sf_dir):
     k, j = F.col("trip_id").cast("bigint") % 100, F.floor((F.col("lon") + F.lit(83.9005)) / F.lit(0.001)).cast("bigint")
-    rows = pairs(spark, sf_dir).withColumn("edge_id", k * 1000 + j * 2 + 1).join(demo.roads(spark), "edge_id")
+    rows = pairs(spark, sf_dir).withColumn("edge_id", k * 1000 + j * 2 + 1).join(demo.roads(spark, sf_dir), "edge_id")
     return rows.select(*KEYS, "edge_id", geo.segments_cross(*roads.ends(), *_ends()).alias("crosses"))
 
 
@@ -170,12 +171,12 @@ def _inside_sql(lat: str = "lat", lon: str = "lon") -> str:
 
 @register("edge_area", f"WITH {demo.roads_sql()}, {_areas_sql(5.0)} SELECT edge_id, " + ", ".join(f"round({c}, 8) AS {c}" for c in fit.CORNERS) + " FROM areas")
 def edge_area(spark, sf_dir):
-    return fit.edge_areas(demo.roads(spark), 1.0, 5.0).select("edge_id", *(F.round(c, 8).alias(c) for c in fit.CORNERS))
+    return fit.edge_areas(demo.roads(spark, sf_dir), 1.0, 5.0).select("edge_id", *(F.round(c, 8).alias(c) for c in fit.CORNERS))
 
 
 @register("area_contains", f"WITH {demo.trips_sql()}, {demo.roads_sql()}, {_areas_sql(0.0)}, b AS (SELECT t.*, e.* FROM (SELECT *, (trip_id::BIGINT % 100) * 1000 + floor((lon + 83.9005::DOUBLE) / 0.001::DOUBLE)::BIGINT * 2 + 1 AS eid FROM trips) t JOIN areas e ON e.edge_id = t.eid) SELECT trip_id, idx, edge_id, {_inside_sql()} AS inside FROM b")
 def area_contains(spark, sf_dir):
-    areas = fit.edge_areas(demo.roads(spark), 1.0, 0.0)
+    areas = fit.edge_areas(demo.roads(spark, sf_dir), 1.0, 0.0)
     beside = _beside(spark, sf_dir).select(*KEYS, "edge_id", "lat", "lon").join(areas.select("edge_id", *fit.CORNERS), "edge_id")
     return beside.select(*KEYS, "edge_id", geo.area_contains(fit.corners_of(), geo.point("lat", "lon")).alias("inside"))
 
@@ -201,7 +202,7 @@ _crossb = lambda a, b: "(" + " OR ".join(_sql_cross(a, b, _BC[i], _BC[(i + 1) %
 @register("bounds_edges", f"WITH {demo.roads_sql()} SELECT edge_id, {_inb('v1_lat', 'v1_lon')} AND {_inb('v2_lat', 'v2_lon')} AS contained, {_crossb(('v1_lat', 'v1_lon'), ('v2_lat', 'v2_lon'))} AS crossed, {_inb('v1_lat', 'v1_lon')} OR {_inb('v2_lat', 'v2_lon')} OR {_crossb(('v1_lat', 'v1_lon'), ('v2_lat', 'v2_lon'))} AS touched FROM roads")
 def bounds_edges(spark, sf_dir):
     box, (v1, v2) = geo.bounds(42.3005, -83.8803, 42.3087, -83.8711), roads.ends()
-    return demo.roads(spark).select("edge_id", geo.bounds_contains_edge(box, v1, v2).alias("contained"), geo.bounds_cross_edge(box, v1, v2).alias("crossed"), geo.edge_touches(box, v1, v2).alias("touched"))
+    return demo.roads(spark, sf_dir).select("edge_id", geo.bounds_contains_edge(box, v1, v2).alias("contained"), geo.bounds_cross_edge(box, v1, v2).alias("crossed"), geo.edge_touches(box, v1, v2).alias("touched"))
 
 
 _CARD = [_sql_project("v1_lat", "v1_lon", f"{c}::DOUBLE", "60.5::DOUBLE") for c in (0.0, 90.0, 180.0, 270.0)]
@@ -212,7 +213,7 @@ _CC = [("n_lat", "n_lon"), ("e_lat", "e_lon"), ("s_lat", "s_lon"), ("w_lat", "w_
 def bounds_circles(spark, sf_dir):
     """Circles of 60.5 m around the first vertex of each edge against a box."""
     box, center, r = geo.bounds(42.3005, -83.8803, 42.3087, -83.8711), roads.ends()[0], F.lit(60.5)
-    return demo.roads(spark).select("edge_id", geo.bounds_contains_circle(box, center, r).alias("contained"), geo.bounds_cross_circle(box, center, r).alias("crossed"), geo.circle_touches(center, r, box).alias("touched"))
+    return demo.roads(spark, sf_dir).select("edge_id", geo.bounds_contains_circle(box, center, r).alias("contained"), geo.bounds_cross_circle(box, center, r).alias("crossed"), geo.circle_touches(center, r, box).alias("touched"))
 
 
 _AC = [(f"c{i}_lat", f"c{i}_lon") for i in range(4)]
@@ -221,7 +222,7 @@ _AC = [(f"c{i}_lat", f"c{i}_lon") for i in range(4)]
 @register("area_touches", f"WITH {demo.roads_sql()}, {_areas_sql(0.0)} SELECT edge_id, (" + " OR ".join([*(_inb(*c) for c in _AC), *(f"({_inside_sql(*c)})" for c in _BC), *(_crossb(_AC[i], _AC[(i + 1) % 4]) for i in range(4))]) + ") AS touched FROM areas")
 def area_touches(spark, sf_dir):
     box = geo.bounds(42.3005, -83.8803, 42.3087, -83.8711)
-    return fit.edge_areas(demo.roads(spark), 1.0, 0.0).select("edge_id", geo.area_touches(fit.corners_of(), box).alias("touched"))
+    return fit.edge_areas(demo.roads(spark, sf_dir), 1.0, 0.0).select("edge_id", geo.area_touches(fit.corners_of(), box).alias("touched"))
 
 
 @register("bounds_metrics", f"WITH {demo.trips_sql()}, b AS (SELECT trip_id, min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM trips GROUP BY trip_id) SELECT trip_id, round(n - s, 9) AS height, round(e - w, 9) AS width, round(s + (n - s) / 2.0, 9) AS center_lat, round(w + (e - w) / 2.0, 9) AS center_lon, round(n, 9) AS north_lat, round(e, 9) AS east_lon FROM b")
@@ -231,14 +232,17 @@ def bounds_metrics(spark, sf_dir):
     return _rounded(rows, ["trip_id"], 9, height=box.height, width=box.width, center_lat=box.center.lat, center_lon=box.center.lon, north_lat=box.north.lat, east_lon=box.east.lon)
 
 
-_GS, _GE = _sql_project("lat", "lon", "180.0::DOUBLE", "100.0::DOUBLE"), _sql_project("lat", "lon", "90.0::DOUBLE", "100.0::DOUBLE")
+_GS, _GE = _sql_project("lat", "lon", "180.0::DOUBLE", "1000.0::DOUBLE"), _sql_project("lat", "lon", "90.0::DOUBLE", "1000.0::DOUBLE")
 
 
-@register("grid_tiles", f"""WITH RECURSIVE r AS (SELECT 0::BIGINT AS "row", 42.21::DOUBLE AS lat, -83.91::DOUBLE AS lon UNION ALL SELECT "row" + 1, {_GS[0]}, lon FROM r WHERE {_GS[0]} > 42.2),
-    g AS (SELECT "row", 0::BIGINT AS col, lat, lon FROM r UNION ALL SELECT "row", col + 1, lat, {_GE[1]} FROM g WHERE {_GE[1]} < -83.9)
+@register("grid_tiles", f"""WITH RECURSIVE {demo.trips_sql()}, box AS (SELECT min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM trips),
+    r AS (SELECT 0::BIGINT AS "row", n AS lat, w AS lon, s, e FROM box UNION ALL SELECT "row" + 1, {_GS[0]}, lon, s, e FROM r WHERE {_GS[0]} > s),
+    g AS (SELECT "row", 0::BIGINT AS col, lat, lon, e FROM r UNION ALL SELECT "row", col + 1, lat, {_GE[1]}, e FROM g WHERE {_GE[1]} < e)
     SELECT "row", col, round({_GS[0]}, 8) AS sw_lat, round(lon, 8) AS sw_lon, round(lat, 8) AS ne_lat, round({_GE[1]}, 8) AS ne_lon FROM g""")
 def grid_tiles(spark, sf_dir):
-    rows = geo.grid_tiles(42.21, -83.91, 100.0, 42.2, -83.9)
+    """Tiles over the box of all trips."""
+    box = demo.trips(spark, sf_dir).agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
+    rows = geo.grid_tiles(box[2], box[1], 1000.0, box[0], box[3])
     df = spark.createDataFrame(rows, "row long, col long, sw_lat double, sw_lon double, ne_lat double, ne_lon double")
     return df.select("row", "col", *(F.round(c, 8).alias(c) for c in ("sw_lat", "sw_lon", "ne_lat", "ne_lon")))
 
@@ -264,7 +268,7 @@ def angle_error(spark, sf_dir):
 @register("edge_equals", f"WITH {demo.roads_sql()} SELECT a.edge_id, count(*) AS equal FROM roads a JOIN roads b ON (a.v1_id = b.v1_id AND a.v2_id = b.v2_id) OR (a.v1_id = b.v2_id AND a.v2_id = b.v1_id) GROUP BY a.edge_id")
 def edge_equals(spark, sf_dir):
     """Each edge against those that meet it, and itself turned around."""
-    e = demo.roads(spark)
+    e = demo.roads(spark, sf_dir)
     turned = e.select(F.col("edge_id").alias("other"), *(F.col(f"v{3 - n}_{c}").alias(f"o_v{n}_{c}") for n in (1, 2) for c in ("id", "lat", "lon")))
     met = e.join(turned, F.col("v1_id") == F.col("o_v2_id"))
     return met.filter(geo.same_edge(*roads.ends(), *roads.ends("o_"))).groupBy("edge_id").agg(F.count(F.lit(1)).alias("equal"))
@@ -272,7 +276,7 @@ def edge_equals(spark, sf_dir):
 
 @register("vertex_outdegree", f"WITH {demo.roads_sql()} SELECT vertex_id, count(*) AS degree, CASE WHEN count(*) > 2 THEN count(*) - 1 ELSE 0 END AS out_degree FROM (SELECT v1_id AS vertex_id FROM roads UNION ALL SELECT v2_id FROM roads) GROUP BY vertex_id")
 def vertex_outdegree(spark, sf_dir):
-    return roads.vertices(demo.roads(spark))
+    return roads.vertices(demo.roads(spark, sf_dir))
 
 
 @register("heading_sector", f"WITH {demo.trips_sql()} SELECT trip_id, idx, floor(heading / (360.0::DOUBLE / 36.0::DOUBLE))::BIGINT % 36 AS sector FROM trips")
@@ -285,9 +289,11 @@ def speed_color(spark, sf_dir):
     return demo.trips(spark, sf_dir).select(*KEYS, geo.speed_color(F.col("speed")).alias("color"))
 
 
-@register("highway_dimension", "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, '{n}', {roads.WIDTHS.get(n, roads.WIDTH)}::DOUBLE, {str(i in roads.EXCLUDED_WAYS).lower()})" for i, n in enumerate(roads.WAY_TYPES)) + ") t(way_type, name, width, excluded)")
+@register("highway_dimension", f"WITH {demo.roads_sql()} SELECT t.*, count(edge_id) AS n_edges FROM (VALUES " + ", ".join(f"({i}::INT, '{n}', {roads.WIDTHS.get(n, roads.WIDTH)}::DOUBLE, {str(i in roads.EXCLUDED_WAYS).lower()})" for i, n in enumerate(roads.WAY_TYPES)) + ") t(way_type, name, width, excluded) LEFT JOIN roads r ON r.way_type = t.way_type GROUP BY ALL")
 def highway_dimension(spark, sf_dir):
-    return roads.highways(spark)
+    """Each way type with how many roads are of it."""
+    own = demo.roads(spark, sf_dir).groupBy("way_type").agg(F.count(F.lit(1)).alias("n"))
+    return roads.highways(spark).join(own, "way_type", "left").select("way_type", "name", "width", "excluded", F.coalesce("n", F.lit(0)).alias("n_edges"))
 
 
 @register("text_functions", """SELECT event_id, len(string_split(event_type || ';' || props, ';')) AS n_fields, trim(chr(9) || ' ' || event_type || ' ' || chr(10), ' ' || chr(9) || chr(10)) AS stripped,
@@ -332,28 +338,28 @@ def split_trips(spark, sf_dir):
     return trips.split_trips(demo.trip_lines(spark, sf_dir)).select("file", "seq", "uid", "run")
 
 
-def _shape_rows(spark) -> DataFrame:
+def _shape_rows(spark, sf_dir) -> DataFrame:
     """Lines of a shape file for the lattice, and some that are wrong."""
-    e = demo.roads(spark)
+    e = demo.roads(spark, sf_dir)
     good = shape_sink.shape_lines(e).filter("part = 2").select(F.lit("f").alias("file"), "seq", "line")
     wrong = good.filter("seq % 5 = 0").select("file", (F.col("seq") + 10_000_000).alias("seq"), F.when(F.col("seq") % 2 == 0, F.lit("edge,1")).otherwise(F.lit("edge,7,1;42;-83:1;42;-83")).alias("line"))
-    return good.unionByName(wrong)
+    return checkpointed(good.unionByName(wrong))  # lines are data: how they were made stays out of the reader's plan
 
 
 @register("parse_shapes", f"WITH {demo.roads_sql()} SELECT edge_id, v1_id, round(v1_lat, 9) AS v1_lat, round(v1_lon, 9) AS v1_lon, v2_id, round(v2_lat, 9) AS v2_lat, round(v2_lon, 9) AS v2_lon, way_type::INT AS way_type, width FROM roads")
 def parse_shapes(spark, sf_dir):
-    found = shapes.parse_shapes(_shape_rows(spark)).edges
+    found = shapes.parse_shapes(_shape_rows(spark, sf_dir)).edges
     return found.select("edge_id", "v1_id", F.round("v1_lat", 9).alias("v1_lat"), F.round("v1_lon", 9).alias("v1_lon"), "v2_id", F.round("v2_lat", 9).alias("v2_lat"), F.round("v2_lon", 9).alias("v2_lon"), "way_type", "width")
 
 
 @register("bad_shapes", f"WITH {demo.roads_sql()} SELECT edge_id + 10000000 AS seq FROM roads WHERE edge_id % 5 = 0")
 def bad_shapes(spark, sf_dir):
-    return shapes.parse_shapes(_shape_rows(spark)).bad.select("seq")
+    return shapes.parse_shapes(_shape_rows(spark, sf_dir)).bad.select("seq")
 
 
 @register("osm_nodes", f"WITH {demo.map_sql()} SELECT node_id, first_value(node_id) OVER (PARTITION BY lat, lon ORDER BY pos) AS unified_id FROM nodes")
 def osm_nodes(spark, sf_dir):
-    return osm.unify_nodes(demo.map_nodes(spark)).select("node_id", "unified_id")
+    return osm.unify_nodes(demo.map_nodes(spark, sf_dir)).select("node_id", "unified_id")
 
 
 _SEGMENTS = f"""WITH {demo.map_sql()}, u AS (SELECT *, first_value(node_id) OVER (PARTITION BY lat, lon ORDER BY pos) AS uid FROM nodes),
@@ -364,19 +370,19 @@ _SEGMENTS = f"""WITH {demo.map_sql()}, u AS (SELECT *, first_value(node_id) OVER
 
 @register("osm_segments", _SEGMENTS + " SELECT * FROM seg")
 def osm_segments(spark, sf_dir):
-    return osm.way_segments(demo.map_ways(spark), demo.map_nodes(spark), geo.bounds(42.22, -83.89, 42.38, -83.86)).drop("pos")
+    return osm.way_segments(demo.map_ways(spark, sf_dir), demo.map_nodes(spark, sf_dir), geo.bounds(42.22, -83.89, 42.38, -83.86)).drop("pos")
 
 
 @register("osm_dedup", _SEGMENTS + ", t AS (SELECT * FROM seg UNION ALL SELECT way_id + 1000, k, way_type, v2_id, v2_lat, v2_lon, v1_id, v1_lat, v1_lon FROM seg) SELECT way_id, k, way_type, v1_id, v2_id FROM t QUALIFY row_number() OVER (PARTITION BY least(v1_lon, v2_lon), greatest(v1_lon, v2_lon), v1_lat, v2_lat, way_type ORDER BY way_id, k) = 1")
 def osm_dedup(spark, sf_dir):
-    one = osm.way_segments(demo.map_ways(spark), demo.map_nodes(spark), geo.bounds(42.22, -83.89, 42.38, -83.86))
+    one = osm.way_segments(demo.map_ways(spark, sf_dir), demo.map_nodes(spark, sf_dir), geo.bounds(42.22, -83.89, 42.38, -83.86))
     turned = one.select((F.col("way_id") + 1000).alias("way_id"), "k", "way_type", *(F.col(f"v{3 - n}_{c}").alias(f"v{n}_{c}") for n in (1, 2) for c in ("id", "lat", "lon")), (F.col("pos") + 1000).alias("pos"))
     return osm.dedup_segments(one.unionByName(turned)).select("way_id", "k", "way_type", "v1_id", "v2_id")
 
 
 @register("osm_bounds", f"WITH {demo.map_sql()} SELECT min(lat::DOUBLE) AS sw_lat, min(lon::DOUBLE) AS sw_lon, max(lat::DOUBLE) AS ne_lat, max(lon::DOUBLE) AS ne_lon FROM nodes")
 def osm_bounds(spark, sf_dir):
-    return osm.osm_bounds(demo.map_nodes(spark))
+    return osm.osm_bounds(demo.map_nodes(spark, sf_dir))
 
 
 # Trips
@@ -400,12 +406,12 @@ def error_correct(spark, sf_dir):
     x AS (SELECT *, least(c0_lat, c1_lat, c2_lat, c3_lat) AS lo_lat, greatest(c0_lat, c1_lat, c2_lat, c3_lat) AS hi_lat, least(c0_lon, c1_lon, c2_lon, c3_lon) AS lo_lon, greatest(c0_lon, c1_lon, c2_lon, c3_lon) AS hi_lon FROM areas)
     SELECT trip_id, idx, edge_id, round({_sql_angle_error('heading', 'course')}, 5) AS error FROM trips JOIN x ON lat >= lo_lat AND lat <= hi_lat AND lon >= lo_lon AND lon <= hi_lon WHERE {_inside_sql()}""")
 def map_candidates(spark, sf_dir):
-    found = fit.map_candidates(demo.trips(spark, sf_dir), fit.edge_areas(demo.roads(spark), 1.0, 5.0))
+    found = fit.map_candidates(demo.trips(spark, sf_dir), fit.edge_areas(demo.roads(spark, sf_dir), 1.0, 5.0))
     return found.select(*KEYS, "edge_id", F.round("error", 5).alias("error"))
 
 
-def _index(spark):
-    return roads.kept_index(demo.roads(spark), *demo.BOX)
+def _index(spark, sf_dir):
+    return roads.kept_index(demo.roads(spark, sf_dir), *demo.BOX)
 
 
 def _box_side(number: str) -> tuple[str, str]:
@@ -434,17 +440,17 @@ _TREE = f"WITH RECURSIVE {demo.trips_sql()}, {demo.roads_sql()}, {TREE} "
 
 @register("quad_nodes", _TREE + "SELECT node, round(s, 9) AS sw_lat, round(w, 9) AS sw_lon, round(n, 9) AS ne_lat, round(e, 9) AS ne_lon, level, is_leaf, n_edges FROM nodes")
 def quad_nodes(spark, sf_dir):
-    return _index(spark)[0].select("node", *(F.round(c, 9).alias(c) for c in ("sw_lat", "sw_lon", "ne_lat", "ne_lon")), "level", "is_leaf", "n_edges")
+    return _index(spark, sf_dir)[0].select("node", *(F.round(c, 9).alias(c) for c in ("sw_lat", "sw_lon", "ne_lat", "ne_lon")), "level", "is_leaf", "n_edges")
 
 
 @register("quad_leaf_edges", _TREE + "SELECT node, edge_id FROM leaf_edges")
 def quad_leaf_edges(spark, sf_dir):
-    return _index(spark)[1]
+    return _index(spark, sf_dir)[1]
 
 
 @register("quad_leaf_lookup", _TREE + "SELECT trip_id, idx, node FROM trips LEFT JOIN lookup USING (trip_id, idx)")
 def quad_leaf_lookup(spark, sf_dir):
-    return roads.leaf_of(demo.trips(spark, sf_dir).select("trip_id", "idx", "lat", "lon"), _index(spark)[0], KEYS)
+    return roads.leaf_of(demo.trips(spark, sf_dir).select("trip_id", "idx", "lat", "lon"), _index(spark, sf_dir)[0], KEYS)
 
 
 def _beyond_sql(side: int, lat: str, lon: str) -> str:
@@ -471,7 +477,7 @@ def _fit_sql(extension: float) -> str:
 
 @register("map_fit", _TREE + f", {_fit_sql(5.0)} SELECT trip_id, idx, cur IS NOT NULL AS edge_explicit, coalesce(cur, number) AS edge_id FROM kept")
 def map_fit(spark, sf_dir):
-    return fit.fit_trips(demo.trips(spark, sf_dir), demo.roads(spark), _index(spark), 1.0, 5.0, 36, 10).select(*KEYS, "edge_explicit", "edge_id")
+    return fit.fit_trips(demo.trips(spark, sf_dir), demo.roads(spark, sf_dir), _index(spark, sf_dir), 1.0, 5.0, 36, 10).select(*KEYS, "edge_explicit", "edge_id")
 
 
 @register("implicit_fit", f"""WITH RECURSIVE {demo.trips_sql()}, s AS (SELECT *, floor(heading / (360.0::DOUBLE / 36.0::DOUBLE))::BIGINT % 36 AS sector FROM trips),
@@ -505,7 +511,7 @@ _CHOICES = f"{_STREET}, {_COUNTED}"
 
 @register("out_degree", _CHOICES + " SELECT trip_id, idx, out_degree FROM met")
 def out_degree(spark, sf_dir):
-    return fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark))).select(*KEYS, "out_degree")
+    return fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark, sf_dir))).select(*KEYS, "out_degree")
 
 
 @register("turnaround_fit", _STREET + """, x AS (SELECT *, last_value(CASE WHEN edge_explicit THEN idx END IGNORE NULLS) OVER w AS xi, last_value(CASE WHEN edge_explicit THEN heading END IGNORE NULLS) OVER w AS xh FROM fitted WINDOW w AS (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -648,19 +654,19 @@ def _search_sql(name: str, seed: str, way: int) -> str:
     {_search_sql('backward', "SELECT trip_id, n, n - 2 AS home, end_ AS stop FROM forward WHERE n - 1 > end_", -1)}
     SELECT trip_id, home AS "left", end_ AS "right", tag AS aux FROM forward UNION ALL SELECT trip_id, end_, home + 1, tag FROM backward""")
 def privacy_intervals(spark, sf_dir):
-    fitted = fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark)))
+    fitted = fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark, sf_dir)))
     marked = intervals.mark_points(fitted, intervals.merge_intervals(detect.start_end(fitted)))
     return _flat(privacy.find_privacy(marked, pipeline.limits_of(SMALL)))
 
 
 @register("pipeline_kept")
 def pipeline_kept(spark, sf_dir):
-    return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark), SMALL).kept.select(*KEYS, "raw", "edge_explicit", "edge_id")
+    return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark, sf_dir), SMALL).kept.select(*KEYS, "raw", "edge_explicit", "edge_id")
 
 
 @register("pipeline_counters")
 def pipeline_counters(spark, sf_dir):
-    return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark), SMALL).counters
+    return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark, sf_dir), SMALL).counters
 
 
 @register("online_kept")

@@ -14,7 +14,7 @@ from .functions import geo
 from .functions.geo import LatLon
 from .operators import fit
 from .plans import demo
-from .plans.config import DIConfig, load_json, parse_config
+from .plans.config import load_json, parse_config
 from .queries import _PARSED, _SEGMENTS, KEYS, _areas_sql, register
 from .session import checkpoint_root
 from .sinks import csv as csv_sink
@@ -94,29 +94,69 @@ def interval_lines(spark, sf_dir):
 @register("osm_file", _SEGMENTS + " SELECT * FROM seg")
 def osm_file(spark, sf_dir):
     """A street map written as XML and read again."""
-    nodes = demo.map_nodes(spark).select("pos", F.concat(F.lit('<node id="'), "node_id", F.lit('" lat="'), "lat", F.lit('" lon="'), "lon", F.lit('"/>')).alias("value"))
+    nodes = demo.map_nodes(spark, sf_dir).select("pos", F.concat(F.lit('<node id="'), "node_id", F.lit('" lat="'), "lat", F.lit('" lon="'), "lon", F.lit('"/>')).alias("value"))
     refs = F.array_join(F.transform("refs", lambda r: F.concat(F.lit('<nd ref="'), r.cast("string"), F.lit('"/>'))), "")
-    ways = demo.map_ways(spark).select((F.col("pos") + 10_000_000).alias("pos"), F.concat(F.lit('<way id="'), "way_id", F.lit('">'), refs, F.lit('<tag k="name" v="x"/><tag k="highway" v="'), "way_type", F.lit('"/></way>')).alias("value"))
+    ways = demo.map_ways(spark, sf_dir).select((F.col("pos") + 10_000_000).alias("pos"), F.concat(F.lit('<way id="'), "way_id", F.lit('">'), refs, F.lit('<tag k="name" v="x"/><tag k="highway" v="'), "way_type", F.lit('"/></way>')).alias("value"))
     ends = spark.createDataFrame([(-1, '<?xml version="1.0"?><osm>'), (1 << 60, "</osm>")], "pos long, value string")
     path = _folder(spark, "map")
     nodes.unionByName(ways).unionByName(ends).coalesce(1).sortWithinPartitions("pos").select("value").write.text(path)  # one small map
     return osm.way_segments(osm.read_ways(spark, path), osm.read_nodes(spark, path), geo.bounds(42.22, -83.89, 42.38, -83.86)).drop("pos")
 
 
-_LINES = "quad_sw_lat:42.5\nmf_scale:1.5\nta_heading_delta:60\nn_heading_groups:24\nplot_kml:1\nunknown:7\nstop_max_time:soon\n"
-_JSON = '{"sw-lat": 35.5, "ta-max-q": 7, "kml-output": false, "uid-fields": "A,B", "min-out-degree": "3"}'
+def _parsed(texts: DataFrame, read) -> DataFrame:
+    """id, name, value of every parameter, as read takes each text."""
 
-
-@register("config_values", "SELECT * FROM (VALUES ('lines', 'sw_lat', '42.5'), ('lines', 'fit_scale', '1.5'), ('lines', 'ta_heading_delta', '60.0'), ('lines', 'heading_groups', '24'), ('lines', 'plot_kml', 'True'), ('lines', 'stop_max_time', '120.0'), ('legacy', 'fit_extension', '1.5'), ('legacy', 'ta_area_width', '60.0'), ('legacy', 'fit_scale', '1.0'), ('json', 'sw_lat', '35.5'), ('json', 'ta_max_queue', '7'), ('json', 'plot_kml', 'False'), ('json', 'uid_fields', 'A,B'), ('json', 'min_out_degree', '3'), ('json', 'max_out_degree', '10')) t(form, name, value)")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, name, str(value)) for i, text in zip(batch["id"], batch["text"]) for name, value in asdict(read(text)).items()]
+            yield pd.DataFrame(rows, columns=["id", "name", "value"])
+
+    return texts.mapInPandas(run, "id long, name string, value string")
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), "n_name", "n_regionkey")
+
+
+_ASKED = ["sw_lat", "fit_scale", "fit_extension", "ta_heading_delta", "ta_area_width", "heading_groups", "plot_kml", "stop_max_time", "uid_fields", "min_out_degree"]
+@register("config_values", f"""WITH n AS (SELECT n_nationkey::BIGINT AS id, n_name, n_regionkey FROM nation), f AS (SELECT n.*, form FROM n, (VALUES ('lines'), ('legacy'), ('json')) v(form))
+    SELECT form, id, name, CASE name
+        WHEN 'sw_lat' THEN (id + 0.5)::VARCHAR
+        WHEN 'fit_scale' THEN CASE form WHEN 'lines' THEN (n_regionkey + 1.5)::VARCHAR ELSE '1.0' END
+        WHEN 'fit_extension' THEN CASE form WHEN 'legacy' THEN (n_regionkey + 1.5)::VARCHAR WHEN 'lines' THEN '5.0' ELSE '0.5' END
+        WHEN 'ta_heading_delta' THEN CASE form WHEN 'lines' THEN (60 + id)::VARCHAR || '.0' ELSE '90.0' END
+        WHEN 'ta_area_width' THEN CASE form WHEN 'legacy' THEN (60 + id)::VARCHAR || '.0' ELSE '30.0' END
+        WHEN 'heading_groups' THEN CASE form WHEN 'json' THEN '36' ELSE (12 + id)::VARCHAR END
+        WHEN 'plot_kml' THEN CASE WHEN id % 2 = 1 THEN 'True' ELSE 'False' END
+        WHEN 'stop_max_time' THEN CASE form WHEN 'json' THEN '1.0' ELSE '120.0' END
+        WHEN 'uid_fields' THEN CASE form WHEN 'json' THEN n_name || ',B' ELSE 'RxDevice,FileId' END
+        WHEN 'min_out_degree' THEN CASE form WHEN 'json' THEN n_regionkey::VARCHAR ELSE '8' END END AS value
+    FROM f, (VALUES {', '.join(f"('{n}')" for n in _ASKED)}) a(name)""")
 def config_values(spark, sf_dir):
-    """Parameters as both file forms, and older readers, set them."""
-    asked = [("lines", parse_config(_LINES), "sw_lat fit_scale ta_heading_delta heading_groups plot_kml stop_max_time"), ("legacy", parse_config(_LINES, legacy=True), "fit_extension ta_area_width fit_scale"), ("json", load_json(_JSON), "sw_lat ta_max_queue plot_kml uid_fields min_out_degree max_out_degree")]
-    return spark.createDataFrame([(form, name, str(asdict(config)[name])) for form, config, names in asked for name in names.split()], "form string, name string, value string")
-
-
-@register("config_defaults", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(asdict(DIConfig()).items())) + ") t(name, value)")
+    """Parameters as both file forms, and older readers, set them: a file a nation."""
+    n = _nations(spark, sf_dir)
+    region, flag = F.col("n_regionkey").cast("string"), (F.col("id") % 2).cast("string")
+    lines = F.concat(F.lit("quad_sw_lat:"), (F.col("id") + 0.5).cast("string"), F.lit("\nmf_scale:"), (F.col("n_regionkey") + 1).cast("string"), F.lit(".5\nta_heading_delta:"), (F.col("id") + 60).cast("string"), F.lit("\nn_heading_groups:"), (F.col("id") + 12).cast("string"), F.lit("\nplot_kml:"), flag, F.lit("\nunknown:7\nstop_max_time:soon\n"))
+    as_json = F.concat(F.lit('{"sw-lat": '), (F.col("id") + 0.5).cast("string"), F.lit(', "ta-max-q": 7, "kml-output": '), F.when(F.col("id") % 2 == 1, "true").otherwise("false"), F.lit(', "uid-fields": "'), "n_name", F.lit(',B", "min-out-degree": "'), region, F.lit('"}'))
+    forms = {"lines": (lines, parse_config), "legacy": (lines, lambda t: parse_config(t, legacy=True)), "json": (as_json, load_json)}
+    found = None
+    for form, (text, read) in forms.items():
+        own = _parsed(n.select("id", text.alias("text")), read).filter(F.col("name").isin(_ASKED)).select(F.lit(form).alias("form"), "id", "name", "value")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+#: The parameters of a run that sets none.
+_DEFAULTS = """('sw_lat', '42.17'), ('sw_lon', '-83.91'), ('ne_lat', '42.431'), ('ne_lon', '-83.54'), ('plot_kml', 'False'), ('fit_extension', '5.0'), ('scale_toggle', 'False'), ('fit_scale', '1.0'),
+    ('heading_groups', '36'), ('min_edge_points', '50'), ('ta_max_queue', '20'), ('ta_area_width', '30.0'), ('ta_max_speed', '15.0'), ('ta_heading_delta', '90.0'), ('stop_max_time', '120.0'), ('stop_min_distance', '15.0'), ('stop_max_speed', '3.0'),
+    ('min_direct', '500.0'), ('max_direct', '2500.0'), ('min_manhattan', '650.0'), ('max_manhattan', '3000.0'), ('min_out_degree', '8'), ('max_out_degree', '16'), ('rand_direct', '0.0'), ('rand_manhattan', '0.0'), ('rand_out_degree', '0.0'), ('error_sample', '50'), ('seed', '0'),
+    ('lat_field', 'Latitude'), ('lon_field', 'Longitude'), ('heading_field', 'Heading'), ('speed_field', 'Speed'), ('time_field', 'Gentime'), ('uid_fields', 'RxDevice,FileId')"""
+
+
+@register("config_defaults", f"SELECT n_nationkey::BIGINT AS id, name, value FROM nation, (VALUES {_DEFAULTS}) t(name, value)")
 def config_defaults(spark, sf_dir):
-    return spark.createDataFrame(sorted((k, str(v)) for k, v in asdict(parse_config("")).items()), "name string, value string")
+    """Files, one a nation, whose keys and values nobody knows."""
+    return _parsed(_nations(spark, sf_dir).select("id", F.concat("n_name", F.lit(":1\nstop_max_time:"), "n_name", F.lit("\n")).alias("text")), parse_config)
 
 
 @register("trip_text_all", f"WITH {demo.trips_sql()} SELECT trip_id, 'own,header' || chr(10) || coalesce(string_agg(raw, chr(10) ORDER BY idx) FILTER (idx % 3 = 0 AND trip_id::BIGINT % 2 = 0) || chr(10), '') AS file_text FROM trips GROUP BY trip_id")
@@ -133,7 +173,7 @@ _DIGITS = lambda c: f"rtrim(rtrim((({c}::VARCHAR)::DECIMAL(20, 14))::VARCHAR, '0
 
 @register("shape_lines", f"WITH {demo.roads_sql()} SELECT 0 AS part, 0::BIGINT AS seq, '{shapes.SHAPE_HEADER}' AS line UNION ALL SELECT 2, edge_id, 'edge,' || edge_id || ',' || v1_id || ';' || {_DIGITS('v1_lat')} || ';' || {_DIGITS('v1_lon')} || ':' || v2_id || ';' || {_DIGITS('v2_lat')} || ';' || {_DIGITS('v2_lon')} || ',way_type=' || CASE way_type WHEN 0 THEN 'motorway' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' ELSE 'residential' END || ':way_id=' || edge_id FROM roads")
 def shape_lines(spark, sf_dir):
-    return shape_sink.shape_lines(demo.roads(spark))
+    return shape_sink.shape_lines(demo.roads(spark, sf_dir))
 
 
 def _drawn(rows: DataFrame, draw) -> DataFrame:
@@ -168,19 +208,26 @@ _RING = " || ' ' || ".join(f"printf('%.8g,%.8g,0', c{i}_lon, c{i}_lat)" for i in
 @register("kml_polygons", f"WITH {demo.roads_sql()}, {_areas_sql(5.0)} SELECT edge_id::VARCHAR AS id, '<Placemark>' || {_N} || '<styleUrl>#s</styleUrl>' || {_N} || '<Polygon>' || {_N} || '<extrude>0</extrude>' || {_N} || '<altitudeMode>clampToGround</altitudeMode>' || {_N} || '<outerBoundaryIs>' || {_N} || '<LinearRing>' || {_N} || '<coordinates>' || {_N} || {_RING} || {_N} || {_N} || '</coordinates>' || {_N} || '</LinearRing>' || {_N} || '</outerBoundaryIs>' || {_N} || '</Polygon>' || {_N} || '</Placemark>' AS content FROM areas")
 def kml_polygons(spark, sf_dir):
     """The areas of edges."""
-    rows = fit.edge_areas(demo.roads(spark), 1.0, 5.0).select(F.col("edge_id").cast("string").alias("id"), *fit.CORNERS)
+    rows = fit.edge_areas(demo.roads(spark, sf_dir), 1.0, 5.0).select(F.col("edge_id").cast("string").alias("id"), *fit.CORNERS)
     return _drawn(rows, lambda r: kml_sink.polygon_mark([LatLon(getattr(r, f"c{i}_lat"), getattr(r, f"c{i}_lon")) for i in range(4)], "s", digits=8))
 
 
-def _style_sql(name: str, *inner: str) -> str:
-    return "('" + name + "', '<Style id=\"" + name + "\">' || chr(10) || '" + "' || chr(10) || '".join(inner) + "' || chr(10) || '</Style>')"
+def _style_sql(*inner: str) -> str:
+    return "'<Style id=\"' || id || '\">' || chr(10) || " + " || chr(10) || ".join(inner) + " || chr(10) || '</Style>'"
 
 
-@register("kml_styles", "SELECT * FROM (VALUES " + ", ".join([
-    _style_sql("l", "<LineStyle>", "<color>ff0033aa</color>", "<width>3</width>", "<gx:labelVisibility>1</gx:labelVisibility>", "</LineStyle>"),
-    _style_sql("p", "<LineStyle>", "<color>ff990000</color>", "<width>1</width>", "</LineStyle>", "<PolyStyle>", "<color>55990000</color>", "<colorMode>normal</colorMode>", "<fill>1</fill>", "<outline>0</outline>", "</PolyStyle>"),
-    _style_sql("i", "<IconStyle>", "<Icon>", "<href>http://e.x/i.png</href>", "</Icon>", "<hotSpot x=\"0.5\" xunits=\"fraction\" y=\"0.5\" yunits=\"fraction\"/>", "<scale>2</scale>", "</IconStyle>"),
-]) + ") t(id, content)")
+_COLOR = "printf('%x', 4278190080 + (id * 7919 * 97) % 16777216)"
+_CLEAR = "printf('%x', 1426063360 + (id * 7919 * 97) % 16777216)"
+
+
+@register("kml_styles", "WITH n AS (SELECT n_name AS id_, n_nationkey::BIGINT AS k FROM nation), s AS (SELECT id_ AS id, k FROM n) SELECT id, CASE k % 3 WHEN 0 THEN " + _style_sql("'<LineStyle>'", f"'<color>' || {_COLOR.replace('id', 'k')} || '</color>'", "'<width>' || (k % 9 + 1) || '</width>'", "'<gx:labelVisibility>1</gx:labelVisibility>'", "'</LineStyle>'")
+    + " WHEN 1 THEN " + _style_sql("'<LineStyle>'", f"'<color>' || {_COLOR.replace('id', 'k')} || '</color>'", "'<width>1</width>'", "'</LineStyle>'", "'<PolyStyle>'", f"'<color>' || {_CLEAR.replace('id', 'k')} || '</color>'", "'<colorMode>normal</colorMode>'", "'<fill>1</fill>'", "'<outline>0</outline>'", "'</PolyStyle>'")
+    + " ELSE " + _style_sql("'<IconStyle>'", "'<Icon>'", "'<href>http://e.x/' || k || '.png</href>'", "'</Icon>'", "'<hotSpot x=\"0.5\" xunits=\"fraction\" y=\"0.5\" yunits=\"fraction\"/>'", "'<scale>2</scale>'", "'</IconStyle>'") + " END AS content FROM s")
 def kml_styles(spark, sf_dir):
-    made = [("l", kml_sink.line_style("l", 0xFF0033AA, 3)), ("p", kml_sink.poly_style("p", 0xFF990000, 1, outline=False)), ("i", kml_sink.icon_style("i", "http://e.x/i.png", 2))]
-    return spark.createDataFrame(made, "id string, content string")
+    """A style a nation: of a line, of an area, or an icon, by turns."""
+
+    def draw(r) -> str:
+        color = 0xFF000000 + r.k * 7919 * 97 % (1 << 24)
+        return kml_sink.line_style(r.id, color, r.k % 9 + 1) if r.k % 3 == 0 else kml_sink.poly_style(r.id, color, 1, outline=False) if r.k % 3 == 1 else kml_sink.icon_style(r.id, f"http://e.x/{r.k}.png", 2)
+
+    return _drawn(_nations(spark, sf_dir).select(F.col("n_name").alias("id"), F.col("id").alias("k")), draw)
