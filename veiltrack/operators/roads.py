@@ -154,30 +154,40 @@ def with_path(points: DataFrame, root: tuple[float, float, float, float], levels
     """points with path: the smallest box of the halved root that has a point, by its name in the tree; of boxes that share a border, the one searched first.  Null outside the root.
 
     Every node that has the point, whatever its level, is a beginning of its
-    path.  Each level is a step of its own over the box before it, with the
-    arithmetic of build_index, so that borders agree to the last bit.
+    path.  The boxes are halved with the arithmetic of build_index, so that
+    borders agree to the last bit; as a fold, so that the expression does not
+    grow with the levels.
     """
-    s, w, n, e = (F.col(f"__{c}") for c in _CORNERS)
     lat, lon = F.col("lat"), F.col("lon")
     inside = in_bounds(Bounds(LatLon(*(F.lit(float(v)) for v in root[:2])), LatLon(*(F.lit(float(v)) for v in root[2:]))), LatLon(lat, lon))
-    rows = points.withColumns({"path": F.when(inside, F.lit("r")), **{f"__{c}": F.lit(float(v)) for c, v in zip(_CORNERS, root)}})
-    for _ in range(levels):
-        tall, wide, center = (n - s) / 2.0 >= LEAF_DEGREES, (e - w) / 2.0 >= LEAF_DEGREES, Bounds(LatLon(s, w), LatLon(n, e)).center
-        rows = rows.withColumns({"__tall": tall, "__wide": wide, "__lat": center.lat, "__lon": center.lon, "__low": lat < center.lat, "__right": lon > center.lon})
-        tall, wide, low, right = (F.col(f"__{c}") for c in ("tall", "wide", "low", "right"))
-        number = F.when(tall & low, F.when(wide, 2).otherwise(1)).otherwise(0) + F.when(wide & right, 1).otherwise(0)
-        rows = rows.withColumns({
-            "path": F.when(tall | wide, F.concat("path", F.lit("."), number.cast("string"))).otherwise(F.col("path")),
-            "__sw_lat": F.when(tall & ~low, F.col("__lat")).otherwise(s), "__ne_lat": F.when(tall & low, F.col("__lat")).otherwise(n),
-            "__sw_lon": F.when(wide & right, F.col("__lon")).otherwise(w), "__ne_lon": F.when(wide & ~right, F.col("__lon")).otherwise(e),
-        })
-    return rows.select(*points.columns, "path")
+
+    def halve(box: Column, _: Column) -> Column:
+        own = Bounds(LatLon(box["sw_lat"], box["sw_lon"]), LatLon(box["ne_lat"], box["ne_lon"]))
+        tall, wide, center = own.height / 2.0 >= LEAF_DEGREES, own.width / 2.0 >= LEAF_DEGREES, own.center
+        low, right = tall & (lat < center.lat), wide & (lon > center.lon)
+        number = F.when(low, F.when(wide, 2).otherwise(1)).otherwise(0) + F.when(right, 1).otherwise(0)
+        return F.struct(
+            F.when(tall | wide, F.concat(box["path"], F.lit("."), number.cast("string"))).otherwise(box["path"]).alias("path"),
+            F.when(tall & ~low, center.lat).otherwise(own.sw.lat).alias("sw_lat"), F.when(right, center.lon).otherwise(own.sw.lon).alias("sw_lon"),
+            F.when(low, center.lat).otherwise(own.ne.lat).alias("ne_lat"), F.when(wide & ~right, center.lon).otherwise(own.ne.lon).alias("ne_lon"),
+        )
+
+    start = F.struct(F.lit("r").alias("path"), *(F.lit(float(v)).alias(c) for c, v in zip(_CORNERS, root)))
+    last = F.aggregate(F.array(*(F.lit(i) for i in range(levels))), start, halve)
+    return points.withColumn("path", F.when(inside, last["path"]))
 
 
 #: Leaves, or areas of roads, that are broadcast at most; they are counted first.
 MOST_BROADCAST = 200_000
 
 
+def leaf_levels(nodes: DataFrame) -> tuple[tuple[float, float, float, float], int, list[int], int]:
+    """The root's box, the levels under it at most, the levels that have leaves, and how many leaves there are."""
+    root = F.min(F.when(F.col("level") == 0, F.struct(*_CORNERS)))
+    found = nodes.agg(root.alias("root"), F.sort_array(F.collect_set(F.when(F.col("is_leaf"), F.col("level")))).alias("levels"), F.count(F.when(F.col("is_leaf"), 1)).alias("n")).first()
+    return tuple(found["root"]), _levels(tuple(found["root"])), found["levels"], found["n"]
+
+
 def leaf_of(points: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of points with node: the leaf whose closed box has the point; of leaves that share a border, the one searched first.  Null outside the tree.
 
@@ -185,12 +195,11 @@ def leaf_of(points: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     a key for each level that has leaves exactly one meets a leaf: an equi-join
     whose rows don't depend on the area that leaves cover.
     """
-    corners = F.struct(*_CORNERS)
-    found = nodes.agg(F.min(F.when(F.col("level") == 0, corners)).alias("root"), F.sort_array(F.collect_set(F.when(F.col("is_leaf"), F.col("level")))).alias("levels"), F.count(F.when(F.col("is_leaf"), 1)).alias("n")).first()
-    root, leaves = tuple(found["root"]), nodes.filter("is_leaf").select(F.col("node").alias("__leaf"), F.lit(True).alias("__met"))
+    root, depth, levels, n = leaf_levels(nodes)
+    leaves = nodes.filter("is_leaf").select(F.col("node").alias("__leaf"), F.lit(True).alias("__met"))
     name = lambda level: 1 + 2 * level  # noqa: E731  how long the names of a level are
-    paths = with_path(points, root, _levels(root))
-    keys = F.array(*(F.when(F.length("path") >= name(level), F.substring("path", 1, name(level))) for level in found["levels"]))
+    paths = with_path(points, root, depth)
+    keys = F.array(*(F.when(F.length("path") >= name(level), F.substring("path", 1, name(level))) for level in levels))
     rows = paths.select(*keep, "path", F.explode_outer(F.when(F.col("path").isNotNull(), F.filter(keys, lambda k: k.isNotNull()))).alias("node"))
-    met = rows.join(F.broadcast(leaves) if found["n"] <= MOST_BROADCAST else leaves, F.col("node") == F.col("__leaf"), "left")
+    met = rows.join(F.broadcast(leaves) if n <= MOST_BROADCAST else leaves, F.col("node") == F.col("__leaf"), "left")
     return met.filter("__met or path is null").select(*keep, "node")
