@@ -50,9 +50,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     records = read_mapped_trips(spark, there, config.lat_field, config.lon_field, config.heading_field, config.speed_field, config.time_field, tuple(config.uid_columns)) if args.mapped else read_trips(spark, there)
     edges = read_shapes(spark, args.quad).edges.drop("file", "seq") if args.quad else None
     result = run(number_points(records), edges, config, trip_counters(records), progress=(lambda line: print(line, file=sys.stderr)) if args.verbose else None)
-    write_trip_files(result.kept, args.out, ".di.csv" if args.mapped else ".csv", trip_ids=result.marked).write.format("noop").mode("overwrite").save()
+    write_trip_files(result.kept, args.out, ".di.csv" if args.mapped else ".csv", trip_ids=result.marked)
     if config.plot_kml:
-        write_kml(trip_kml(result.marked, result.critical.unionByName(result.private), config.fit_scale), args.kml or args.out).write.format("noop").mode("overwrite").save()
+        write_kml(trip_kml(result.marked, result.critical.unionByName(result.private), config.fit_scale, config.fit_extension), args.kml or args.out)
     if args.count:
         print(counter_lines(sum_counters(result.counters)).first()[0])
     return 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.privacy import COUNTERS
 from ..sources.trips import HEADER
+from .files import paths_of, write_files
 
 
 def trip_text(points: DataFrame, header=HEADER, strip_cr: bool = True, trip_ids: DataFrame | None = None) -> DataFrame:
@@ -33,29 +34,17 @@ def write_trips(points: DataFrame, folder: str, header: str = HEADER, strip_cr:
 
 
 def write_trip_files(points: DataFrame, folder: str, suffix: str = ".csv", header: str = HEADER, strip_cr: bool = True, trip_ids: DataFrame | None = None) -> DataFrame:
-    """Files folder/trip_id + suffix on a folder that all workers mount; gives trip_id and path of each when run."""
-    text = trip_text(points, header, strip_cr, trip_ids)
-    return _write_each(text.withColumnRenamed("file_text", "content"), folder, suffix)
+    """Files folder/trip_id + suffix, the header and each point's line in order, which appear when all are written; gives trip_id and path of each.
 
-
-def _write_each(rows: DataFrame, folder: str, suffix: str) -> DataFrame:
-    """Content of each trip as a file of its own name, by rename, so that a task that runs twice does no harm."""
-    import os
-    import uuid
-
-    def write(batches):
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            paths = []
-            for trip, content in zip(batch["trip_id"], batch["content"]):
-                path = os.path.join(folder, str(trip).replace("/", "_") + suffix)
-                with open(tmp := f"{path}.{uuid.uuid4().hex}", "w", newline="") as f:
-                    f.write(content)
-                os.replace(tmp, path)
-                paths.append(path)
-            yield batch[["trip_id"]].assign(path=paths)
-
-    return rows.select("trip_id", "content").mapInPandas(write, f"trip_id {rows.schema['trip_id'].dataType.simpleString()}, path string")
+    Of the trips in trip_ids those without points have the header only.  No
+    trip is held in memory.
+    """
+    raw = F.regexp_replace("raw", "\r$", "") if strip_cr else F.col("raw")
+    ids = (points if trip_ids is None else trip_ids).select("trip_id").distinct()
+    heads = ids.select("trip_id", F.lit(-1).cast("long").alias("idx"), F.lit(header).alias("line"))
+    rows = heads.unionByName(points.select("trip_id", "idx", raw.alias("line")))
+    write_files(rows, F.col("trip_id"), F.concat("line", F.lit("\n")), folder, suffix, ["idx"])
+    return paths_of(ids, "trip_id", folder, suffix)
 
 
 def counter_lines(counters: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import MAX_SPEED, SPEED_COLORS, LatLon, project
-from ..operators.detect import _area
+from ..functions.geo import MAX_SPEED, SPEED_COLORS, LatLon, bearing, project
+from ..operators.roads import way_width
+from .files import paths_of, write_files
 
 #: Miles an hour in a metre a second; icons; colours (aabbggrr) and widths of the styles.
 MPH = 2.23694
@@ -134,11 +136,19 @@ def document(name: str, *folders: str) -> str:
     return '<?xml version="1.0" encoding="UTF-8"?>\n' + element("kml", element("Document", element("name", escape(name)), element("open", "0"), *styles, *folders), xmlns="http://www.opengis.net/kml/2.2", **{"xmlns:gx": "http://www.google.com/kml/ext/2.2"})
 
 
+def road_area(v1: LatLon, v2: LatLon, width: float, extension: float) -> list[LatLon]:
+    """The area of a road as the fit has it: of the road's bearing, lengthened at both ends."""
+    course = bearing(v1, v2)
+    turned = lambda by: math.fmod(course + by, 360.0)
+    if extension > 0:
+        v1, v2 = project(v1, turned(-180.0), extension), project(v2, course, extension)
+    return [project(v, turned(by), width / 2.0) for v, by in ((v1, -90.0), (v2, -90.0), (v2, 90.0), (v1, 90.0))]
+
+
 def trip_kml(marked: DataFrame, found: DataFrame, fit_scale: float = 1.0, fit_extension: float = 5.0) -> DataFrame:
-    """trip_id, content: each trip with its points, the areas of its edges and its intervals (trip_id, left, right, aux of all detectors and of the privacy search)."""
+    """trip_id, content: each trip with its points, the areas of its edges and its intervals (trip_id, left, right, aux of all detectors and of the privacy search).  Roads have the areas of the fit, by the width of their way type, scale and extension."""
     spans = found.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("left", "right", "aux"))).alias("spans"))
-    width = F.coalesce(F.col("width"), F.lit(0.0)) if "width" in marked.columns else F.lit(16.0)
-    rows = marked.join(spans, "trip_id", "left").select("trip_id", "idx", "lat", "lon", "speed", "edge_explicit", "edge_id", "v1_lat", "v1_lon", "v2_lat", "v2_lon", width.alias("width"), (F.col("is_critical") | F.col("is_private")).alias("hidden"), "spans")
+    rows = marked.join(spans, "trip_id", "left").select("trip_id", "idx", "lat", "lon", "speed", "edge_explicit", "edge_id", "v1_lat", "v1_lon", "v2_lat", "v2_lon", (way_width(F.col("edge_way_type")) * fit_scale).alias("width"), (F.col("is_critical") | F.col("is_private")).alias("hidden"), "spans")
 
     def draw(trip: pd.DataFrame) -> pd.DataFrame:
         trip = trip.sort_values("idx", kind="stable")
@@ -148,8 +158,9 @@ def trip_kml(marked: DataFrame, found: DataFrame, fit_scale: float = 1.0, fit_ex
         tagged = lambda test: [(s["left"], s["right"]) for s in held if any(test(a) for a in s["aux"])]
         edges = trip.drop_duplicates(["edge_explicit", "edge_id"])
         boxes: dict[bool, list] = {True: [], False: []}
-        for e, own, *v in zip(edges["edge_explicit"], edges["width"].tolist(), *(edges[c].tolist() for c in ("v1_lat", "v1_lon", "v2_lat", "v2_lon"))):
-            boxes[bool(e)].append(_area(LatLon(*v[:2]), LatLon(*v[2:]), (own or 16.0) * fit_scale if e else BOX_WIDTH))
+        for e, width, *v in zip(edges["edge_explicit"], edges["width"].tolist(), *(edges[c].tolist() for c in ("v1_lat", "v1_lon", "v2_lat", "v2_lon"))):
+            ends = LatLon(*v[:2]), LatLon(*v[2:])
+            boxes[bool(e)].append(road_area(*ends, width, fit_extension) if e else road_area(*ends, BOX_WIDTH, 0.0))
         name = str(trip["trip_id"].iloc[0])
         content = document(
             name,
@@ -166,7 +177,6 @@ def trip_kml(marked: DataFrame, found: DataFrame, fit_scale: float = 1.0, fit_ex
 
 
 def write_kml(kml: DataFrame, folder_path: str) -> DataFrame:
-    """Files folder/trip_id.di.kml; gives trip_id and path of each when run."""
-    from .csv import _write_each
-
-    return _write_each(kml, folder_path, ".di.kml")
+    """Files folder/trip_id.di.kml, which appear when all are written; gives trip_id and path of each."""
+    write_files(kml, F.col("trip_id"), F.col("content"), folder_path, ".di.kml", [])
+    return paths_of(kml, "trip_id", folder_path, ".di.kml")
