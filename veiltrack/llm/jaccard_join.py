@@ -475,6 +475,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     for turn, leaders in enumerate((*MORE_LEADERS, None)):
         if split is None:  # else it is as it was, as no link has been found since
             split = _several(everyone, label, folder, turn)
+            everyone = split.select(everyone.columns)  # postings of one component stay so: components only grow
         if split.isEmpty():
             break
         pairs = _with_leaders(split, leaders, turn, percent) if leaders else _across(split, percent)
