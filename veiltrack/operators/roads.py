@@ -150,8 +150,8 @@ def kept_index(edges: DataFrame, sw: tuple[float, float], ne: tuple[float, float
     return kept(edges, ("index", *sw, *ne), lambda: build_index(edges, sw, ne))
 
 
-def with_path(points: DataFrame, root: tuple[float, float, float, float], levels: int) -> DataFrame:
-    """points with path: the smallest box of the halved root that has a point, by its name in the tree; of boxes that share a border, the one searched first.  Null outside the root.
+def path_of(root: tuple[float, float, float, float], levels: int) -> Column:
+    """The path of a point at lat, lon: the smallest box of the halved root that has it, by its name in the tree; of boxes that share a border, the one searched first.  Null outside the root.
 
     Every node that has the point, whatever its level, is a beginning of its
     path.  The boxes are halved with the arithmetic of build_index, so that
@@ -174,7 +174,7 @@ def with_path(points: DataFrame, root: tuple[float, float, float, float], levels
 
     start = F.struct(F.lit("r").alias("path"), *(F.lit(float(v)).alias(c) for c, v in zip(_CORNERS, root)))
     last = F.aggregate(F.array(*(F.lit(i) for i in range(levels))), start, halve)
-    return points.withColumn("path", F.when(inside, last["path"]))
+    return F.when(inside, last["path"])
 
 
 #: Leaves, or areas of roads, that are broadcast at most; they are counted first.
@@ -198,8 +198,8 @@ def leaf_of(points: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     root, depth, levels, n = leaf_levels(nodes)
     leaves = nodes.filter("is_leaf").select(F.col("node").alias("__leaf"), F.lit(True).alias("__met"))
     name = lambda level: 1 + 2 * level  # noqa: E731  how long the names of a level are
-    paths = with_path(points, root, depth)
-    keys = F.array(*(F.when(F.length("path") >= name(level), F.substring("path", 1, name(level))) for level in levels))
-    rows = paths.select(*keep, "path", F.explode_outer(F.when(F.col("path").isNotNull(), F.filter(keys, lambda k: k.isNotNull()))).alias("node"))
+    named = lambda path: F.when(path.isNotNull(), F.filter(F.array(*(F.when(F.length(path) >= name(level), F.substring(path, 1, name(level))) for level in levels)), lambda k: k.isNotNull()))
+    keys = F.get(F.transform(F.array(path_of(root, depth)), named), 0)  # by way of an array, so that the path is made once
+    rows = points.select(*keep, F.explode_outer(keys).alias("node"))
     met = rows.join(F.broadcast(leaves) if n <= MOST_BROADCAST else leaves, F.col("node") == F.col("__leaf"), "left")
-    return met.filter("__met or path is null").select(*keep, "node")
+    return met.filter("__met or node is null").select(*keep, "node")

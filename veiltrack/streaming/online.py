@@ -30,7 +30,7 @@ from ..operators.clean import correct_trip
 from ..operators.detect import area_turnarounds, stops_of
 from ..operators.fit import CELLS, MOST_BROADCAST, choose_edges, deal_areas, edge_areas, infer_edges, inferred_ends
 from ..operators.privacy import privacy_of
-from ..operators.roads import kept_index, leaf_levels, vertices, with_path
+from ..operators.roads import kept_index, leaf_levels, path_of, vertices
 from ..plans.config import DIConfig
 from ..plans.pipeline import limits_of
 from ..session import kept
@@ -85,7 +85,7 @@ def with_candidates(points: DataFrame, edges: DataFrame | None, config: DIConfig
     nodes, leaf_edges = kept_index(edges, (config.sw_lat, config.sw_lon), (config.ne_lat, config.ne_lon))
     listed = leaf_edges.groupBy("node").agg(F.collect_list("edge_id").alias("ids")).join(nodes.filter("is_leaf").select("node", "level"), "node")
     root, depth, levels, n = leaf_levels(nodes)
-    rows = with_path(rows, root, depth)
+    rows = rows.withColumn("path", path_of(root, depth))
     for level in levels:
         own = listed.filter(F.col("level") == level).select(F.col("node").alias("__leaf"), F.col("ids").alias(f"__ids{level}"))
         rows = rows.join(_small(own, n), F.substring("path", 1, 1 + 2 * level) == F.col("__leaf"), "left").drop("__leaf")
