@@ -1,6 +1,7 @@
 """Trip, shape and map files; parameters; the command line."""
 
 import json
+import time
 from dataclasses import replace
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from veiltrack.functions import text as txt
 from veiltrack.functions.geo import bounds
 from veiltrack.plans.cli import main
 from veiltrack.plans.config import INTERACTIVE, DIConfig, describe, dump_json, load_json, parse_config, validate
+from veiltrack.plans.progress import watched
 from veiltrack.sinks.shapes import shape_lines, write_shapes
 from veiltrack.sources import osm
 from veiltrack.sources.shapes import parse_intervals, read_shapes
@@ -148,6 +150,31 @@ def test_street_maps(spark, tmp_path):
     assert sorted(r.way_type for r in read_shapes(spark, str(tmp_path / "s")).edges.collect()) == [2, 42]
 
 
+def test_numbers_go_on_from_range_to_range(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("pos"), F.lit("x").alias("x")).repartition(9)
+    found = osm.numbered(rows, ["pos"])
+    assert sorted((r.pos, r.seq) for r in found.collect()) == [(i, i + 1) for i in range(1000)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert osm.numbered(rows.limit(0), ["pos"]).count() == 0
+
+
+def test_shares_rise_while_a_run_goes_on(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.4)
+            yield b
+
+    told = []
+    with watched(spark, told.append, 0.1):
+        spark.range(0, 24, 1, 24).mapInPandas(slow, "id long").write.format("noop").mode("overwrite").save()
+    assert told == sorted(told) and told[-1] == 1.0 and len([x for x in told if 0 < x < 1]) > 3
+    failed = []
+    with pytest.raises(Exception, match="no"):
+        with watched(spark, failed.append, 0.1):
+            spark.range(3).select(F.raise_error(F.lit("no"))).collect()
+    assert 1.0 not in failed
+
+
 CONFIG = """quad_sw_lat:42.10
 quad_sw_lng:-83.95
 plot_kml:1

@@ -17,6 +17,7 @@ from ..operators.privacy import PrivacyLimits, deidentify, find_privacy, point_c
 from ..operators.roads import kept_index, vertices
 from ..session import checkpointed
 from .config import DIConfig
+from .progress import watched
 
 
 class Result(NamedTuple):
@@ -49,11 +50,18 @@ def critical_intervals(fitted: DataFrame, config: DIConfig) -> DataFrame:
 
 
 def _done(df: DataFrame, what: str, progress: Callable[[str], None] | None) -> DataFrame:
-    """df computed once; progress is told its rows, counted on the way, and the seconds that it took."""
+    """df computed once; progress is told each tenth of it that is done, its rows, counted on the way, and the seconds that it took."""
     if progress is None:
         return checkpointed(df)
-    seen, began = Observation(what), time.monotonic()
-    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    seen, began, tenths = Observation(what), time.monotonic(), [0]
+
+    def tell(share: float) -> None:
+        if int(share * 10) > tenths[0]:
+            tenths[0] = int(share * 10)
+            progress(f"{what}: {tenths[0]}0 %")
+
+    with watched(df.sparkSession, tell):
+        out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     progress(f"{what}: {seen.get['rows']} rows, {time.monotonic() - began:.1f} s")
     return out
 

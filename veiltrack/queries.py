@@ -380,6 +380,13 @@ def osm_dedup(spark, sf_dir):
     return osm.dedup_segments(one.unionByName(turned)).select("way_id", "k", "way_type", "v1_id", "v2_id")
 
 
+@register("osm_lines", _SEGMENTS + """, o AS (SELECT *, row_number() OVER (ORDER BY way_id, k) AS seq FROM seg)
+    SELECT seq, 'edge,' || seq || ',' || v1_id || ';' || v1_lat || ';' || v1_lon || ':' || v2_id || ';' || v2_lat || ';' || v2_lon || ',way_type=' || way_type || ':way_id=' || way_id AS line FROM o""")
+def osm_lines(spark, sf_dir):
+    """Segments as lines of a shape file, numbered in the order of the map."""
+    return osm.shape_lines(osm.way_segments(demo.map_ways(spark, sf_dir), demo.map_nodes(spark, sf_dir), geo.bounds(42.22, -83.89, 42.38, -83.86)))
+
+
 @register("osm_bounds", f"WITH {demo.map_sql()} SELECT min(lat::DOUBLE) AS sw_lat, min(lon::DOUBLE) AS sw_lon, max(lat::DOUBLE) AS ne_lat, max(lon::DOUBLE) AS ne_lon FROM nodes")
 def osm_bounds(spark, sf_dir):
     return osm.osm_bounds(demo.map_nodes(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import Bounds, LatLon, in_bounds
+from ..session import checkpointed
 
 NODES = "node_id long, lat string, lon string, pos long"
 WAYS = "way_id long, refs array<long>, way_type string, pos long"
@@ -65,9 +66,23 @@ def osm_bounds(nodes: DataFrame) -> DataFrame:
     return row.filter("sw_lat <> 0 and sw_lon <> 0 and ne_lat <> 0 and ne_lon <> 0")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """rows with their numbers from 1 in an order of the whole table: sorted by ranges, each of which counts on from those before it."""
+    spark = rows.sparkSession
+    ranges = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)  # as Spark makes these ids
+    counts = sorted(tuple(r) for r in ranges.groupBy(part.alias("part")).count().collect())  # one row a range
+    before, first = 0, []
+    for own, n in counts:
+        first.append((own, before))
+        before += n
+    starts = spark.createDataFrame(first, "__part long, __first long")
+    found = ranges.withColumns({"__part": part, "__place": place}).join(F.broadcast(starts), "__part")
+    return found.withColumn(name, F.col("__first") + F.col("__place") + 1).drop("__part", "__place", "__first", "__id")
+
+
 def shape_lines(segments: DataFrame) -> DataFrame:
     """seq, line: segments as lines of a shape file, numbered in document order."""
-    number = F.row_number().over(Window.orderBy("pos", "way_id", "k"))
     end = lambda k: F.concat_ws(";", F.col(f"v{k}_id"), F.col(f"v{k}_lat"), F.col(f"v{k}_lon"))
     tags = F.concat(F.lit("way_type="), F.col("way_type"), F.lit(":way_id="), F.col("way_id"))
-    return segments.withColumn("seq", number).select("seq", F.concat_ws(",", F.lit("edge"), F.col("seq"), F.concat_ws(":", end(1), end(2)), tags).alias("line"))
+    return numbered(segments, ["pos", "way_id", "k"]).select("seq", F.concat_ws(",", F.lit("edge"), F.col("seq"), F.concat_ws(":", end(1), end(2)), tags).alias("line"))
