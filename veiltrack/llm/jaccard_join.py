@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, drop_all_but, find, gathered, owned, part_of, parts_of, save, seal, shared_folder, stored, tidy
+from .shared import BLOCKS, Mapped, Packer, drop_all_but, find, gathered, mapped_file, owned, part_of, parts_of, save, seal, shared_folder, stored, tidy
 from .tokens import mix, rolling, slices, windows, words
 
 SHINGLE = 5
@@ -263,10 +263,6 @@ class _Sets:
         self.folder, self.name = folder, name
         self.ids = Mapped(folder, f"{name}-ids", parts, np.uint64)
         self.where = Mapped(folder, f"{name}-where", parts, np.int64)
-        self.open: dict[int, np.ndarray] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "open": {}}
 
     def get(self, keys: np.ndarray) -> dict[int, np.ndarray]:
         """Sets of distinct sorted units, of those that are here."""
@@ -275,9 +271,7 @@ class _Sets:
         for u, p, k in zip(keys.tolist(), part.tolist(), at.tolist()):
             if k >= 0:
                 file, first, size = self.where[p][3 * k : 3 * k + 3].tolist()
-                if file not in self.open:
-                    self.open[file] = np.memmap(f"{self.folder}/{self.name}-sets.{file}", np.uint64, "r")
-                out[u] = self.open[file][first : first + size]
+                out[u] = mapped_file(f"{self.folder}/{self.name}-sets.{file}", np.uint64)[first : first + size]
         return out
 
 

@@ -201,16 +201,18 @@ def seal(folder: str, name: str) -> None:
 #: Maps that a worker keeps, of all arrays together; where a map costs a file descriptor, far fewer.
 _UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 MOST_MAPPED = 8192 if _UNTRACKED else 128
-_maps: OrderedDict[str, mmap.mmap] = OrderedDict()
+_maps: OrderedDict[str | tuple[str, int], np.ndarray] = OrderedDict()
 
 
-def _map(path: str) -> mmap.mmap:
-    """A file's map; of those that haven't been asked for longest, as many go as are too many (and end with the last array that reads them)."""
-    if path in _maps:
-        _maps.move_to_end(path)
-        return _maps[path]
+def mapped_file(path: str, dtype, key: str | tuple[str, int] | None = None) -> np.ndarray:
+    """A file's array.  Of all that a worker has mapped, those go that haven't been asked for longest, as many as are too many (and end with the last that reads them)."""
+    key = key or path
+    own = _maps.get(key)
+    if own is not None:
+        _maps.move_to_end(key)
+        return own
     with open(path, "rb") as f:
-        own = _maps[path] = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED)
+        own = _maps[key] = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED), dtype)
     while len(_maps) > MOST_MAPPED:
         _maps.popitem(last=False)
     return own
@@ -220,15 +222,20 @@ class Mapped:
     """A worker's view of the part files of a named array, memory-mapped when used; a part that isn't in the sealed list is empty."""
 
     def __init__(self, folder: str, name: str, parts: int, dtype):
-        self.folder, self.name, self.parts, self.dtype, self.there = folder, name, parts, np.dtype(dtype), None
+        self.path, self.parts, self.dtype, self.there = os.path.join(folder, name), parts, np.dtype(dtype), None
 
     def __getitem__(self, part: int) -> np.ndarray:
+        key = (self.path, part)
+        own = _maps.get(key)
+        if own is not None:
+            _maps.move_to_end(key)
+            return own
         if self.there is None:
-            with open(os.path.join(self.folder, f"{self.name}.parts")) as f:
+            with open(f"{self.path}.parts") as f:
                 self.there = set(json.load(f))
         if part not in self.there:
             return np.empty(0, self.dtype)
-        return np.frombuffer(_map(os.path.join(self.folder, f"{self.name}.{part}")), self.dtype)
+        return mapped_file(f"{self.path}.{part}", self.dtype, key)
 
     def __getstate__(self):
         return {**self.__dict__, "there": None}
