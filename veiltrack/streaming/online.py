@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -144,6 +143,8 @@ def fit_turnarounds(fitted: pd.DataFrame, delta: float) -> list[tuple[int, int]]
 
 def draws(trip_id: str, n: int, seed: int) -> dict[str, np.ndarray]:
     """The random parts of a trip's searches: the hashes of the batch form, which chain their arguments."""
+    import xxhash
+
     chain = lambda value, seed: xxhash.xxh64_intdigest(value, seed)
     start = chain(trip_id.encode(), chain(seed.to_bytes(4, "little", signed=True), 42))
     out = {}
@@ -171,7 +172,9 @@ def keep_points(trip: pd.DataFrame, config: DIConfig, trip_id: str = "", correct
         critical[left:right] = True
     private = np.zeros(len(trip), bool)
     limits = limits_of(config)
-    for left, right, _ in privacy_of(fitted.assign(is_critical=critical, **draws(trip_id, len(trip), config.seed)), limits):
+    drawn = limits.rand_direct or limits.rand_manhattan or limits.rand_out_degree
+    parts = draws(trip_id, len(trip), config.seed) if drawn else {f"{way}{k}": np.zeros(len(trip)) for way in ("forward", "backward") for k in range(3)}
+    for left, right, _ in privacy_of(fitted.assign(is_critical=critical, **parts), limits):
         private[left:right] = True
     return trip[~critical & ~private]
 
