@@ -8,24 +8,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from veiltrack.llm import language_id
-from veiltrack.llm.language_id import code_lengths, drop_unknown, fit, learn, predict_held_out
+from veiltrack.llm.kneser_ney import remainder
+from veiltrack.llm.language_id import code_lengths, count_grams, drop_unknown, fit, identify, learn, opened, predict_held_out, sample
 from veiltrack.llm.queries import op2_language_id
 
 
 def plain(texts, text, language, order, least):
     """Bits of a text by walking context counts."""
-    seen, everywhere = Counter(), Counter()
+    seen, often = Counter(), Counter()
     used = {b for _, t in texts for b in t.encode()}
     for k, t in texts:
         b = t.encode()
         for i in range(len(b)):
             for n in range(min(order, i) + 1):
-                everywhere[b[i - n : i]] += 1
                 if k == language:
+                    often[b[i - n : i]] += 1
                     seen[b[i - n : i], b[i]] += 1
     in_tree = {b""}
     for n in range(1, order + 1):
-        in_tree |= {c for c, m in everywhere.items() if len(c) == n and m >= least and c[1:] in in_tree}
+        in_tree |= {c for c, m in often.items() if len(c) == n and m >= least}
     follow = {}
     for (c, s), m in seen.items():
         follow.setdefault(c, Counter())[s] += m
@@ -82,20 +83,28 @@ def test_nothing_to_learn_from(spark):
     assert predict_held_out(df.limit(0)).count() == 0
 
 
-def test_tables_are_bounded():
-    """With more languages, or less room, contexts seen seldom go; what is left is exact."""
-    texts = [(f"l{k:02}", f"{chr(97 + k)}{chr(98 + k)} abc {chr(97 + k)} xyz {chr(99 + k)}") for k in range(12)]
-    wide = fit(texts)
-    least = 2
-    while least < 1 << 10:
-        tight = fit(texts, least_seen=least)
-        size = tight.child.size * 8 + (tight.cost.size + tight.escape.size) * 4
-        again = fit(texts, table_bytes=size)
-        assert again.child.size <= tight.child.size <= wide.child.size
-        least *= 4
-    got = code_lengths(pa.array(["abc xyz", "é"]), tight)
-    for j, k in enumerate(tight.languages):
-        assert got[0, j] == pytest.approx(plain(texts, "abc xyz", k, 3, least // 4), rel=1e-5)
+def test_tables_change_no_prediction(spark):
+    """Languages in one table or each in its own: equal code lengths, those of the plain model."""
+    rows = [(100 * k + i, f"{chr(97 + k)}{chr(98 + k)} abc {chr(97 + k)} xyz {chr(99 + k)} {i} é", f"l{k:02}", k) for k in range(20) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, bits int")
+    one, many = learn(df, table_bytes=1 << 30), learn(df, table_bytes=1)
+    assert [len(own) for _, own in one.files] == [16, 4] and len(many.files) == 20 and one.languages == many.languages
+    got = [sorted(tuple(r) for r in identify(df, m, ["doc_id"]).collect()) for m in (one, many)]
+    assert got[0] == got[1] and len(got[0]) == 120
+    texts = [(r.lang, r.text) for r in sample(df.filter(remainder(F.col("doc_id"), 4) != 2)).collect()]
+    for path, own in many.files[:3]:
+        bits = code_lengths(pa.array(["abc xyz é"]), opened(path, *own))
+        assert bits[0, 0] == pytest.approx(plain(texts, "abc xyz é", own[0], 3, 2), rel=1e-5)
+
+
+def test_pieces_of_a_text_are_counted_whole(monkeypatch):
+    texts = ["abracadabra é abracadabra".encode(), b"", b"a", b"abr" * 20]
+    whole = count_grams(texts)
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    for (keys, n), (own, m) in zip(whole, count_grams(texts)):
+        assert keys.tolist() == own.tolist() and n.tolist() == m.tolist()
+    with pytest.raises(ValueError, match="order"):
+        count_grams(texts, order=7)
 
 
 def test_languages_of_long_texts_and_too_many(spark, monkeypatch):
