@@ -133,3 +133,23 @@ def test_many_sources(spark, monkeypatch):
     one = sorted(map(str, mix_sources(df).collect()))
     monkeypatch.setattr(mixing, "MOST_BROADCAST", 10)
     assert sorted(map(str, mix_sources(df).collect())) == one
+
+
+def test_rows_without_ids_are_many_chunks(spark, monkeypatch):
+    """Null ids: chunks by text; empty texts are in none; sums still hold."""
+    rows = [(None, "w " * (1 + i % 18) + str(i), "a" if i % 3 else "b") for i in range(3000)] + [(None, None, "a")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, level = [], mixing._level
+
+    def spied(chunks, at, seed):
+        if at == 0:
+            sizes.extend(r["count"] for r in chunks.groupBy("source_rank", "chunk").count().collect())
+        return level(chunks, at, seed)
+
+    monkeypatch.setattr(mixing, "_level", spied)
+    got = mix_sources(df, chunk_rows=100, fan_in=4).collect()
+    assert len(got) == 3500 and len(sizes) > 30 and max(sizes) < 300
+    assert sum(r.size == 0 and r.taken == 0 for r in got) == 500
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 19

@@ -4,8 +4,10 @@ A document of source s should be taken target(s) / size(s) times.  The whole
 part is taken as it is.  The fractions of a source are settled in pairs: a
 random transfer that keeps the expected copies of both and the sum of their
 *words* makes one of the pair integral, and the other goes on to the next
-pair.  Documents are dealt into chunks of bounded size within their source, so
-a source that holds a third of all rows is many tasks' work; each chunk leaves
+pair.  Documents are dealt into chunks of bounded size within their source, by
+a hash of id and text, so a source that holds a third of all rows is many
+tasks' work, with ids or without; rows that have no fraction to settle, those
+of size 0 among them, are in no chunk.  Each chunk leaves
 one open document at most, and a reduction tree settles those in the same way,
 level by level.  What a source takes differs from its target by the words of
 one document at most.
@@ -135,12 +137,12 @@ def _mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MO
     rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
     rows = rows.withColumn("whole", F.floor(F.col("rate") + F.lit(_EPS)).cast("double")).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     rows = rows.withColumn("p", F.when(F.col("p") < _EPS, F.lit(0.0)).otherwise(F.col("p")))
-    rows = rows.withColumn("chunk", F.expr("pmod(xxhash64(doc_id, source_rank), chunks)")).withColumn("copies", F.lit(None).cast("double"))
+    rows = rows.withColumn("chunk", F.expr("pmod(xxhash64(doc_id, row, source_rank), chunks)")).withColumn("copies", F.when(F.col("p") == 0, F.col("whole")))
     names = [c.split()[0] for c in _ROW.split(", ")]
-    settled, level, rows = [], 0, rows.select(names)
+    is_open, rows = F.col("copies").isNull(), rows.select(names)
+    settled, level, rows = [rows.filter(~is_open)], 0, rows.filter(is_open)
     while True:
         out = stored(_level(rows, level, seed), folder, f"level{level}")
-        is_open = F.col("copies").isNull()
         settled.append(out.filter(~is_open))
         rows = out.filter(is_open)
         if chunks <= 1:
