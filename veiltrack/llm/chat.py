@@ -135,8 +135,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of each conversation from its windows (in the order that format_conversations gives): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows."""
+def read_back(windows: DataFrame, ordered: bool = False) -> DataFrame:
+    """Digests of each conversation from its windows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows.
+
+    Windows are sorted, unless they are ordered as format_conversations gives
+    them.  A window that is missing, or not in order, is an error.
+    """
+    if not ordered:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
@@ -147,11 +153,13 @@ def read_back(windows: DataFrame) -> DataFrame:
                 rows.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
 
         for batch in batches:
-            for conv_id, formatted, repeated, spans in zip(batch["conv_id"].astype("Int64"), batch["formatted"], batch["n_repeated"], batch["loss_spans"]):
+            for conv_id, window, formatted, repeated, spans in zip(batch["conv_id"].astype("Int64"), batch["window"], batch["formatted"], batch["n_repeated"], batch["loss_spans"]):
                 key = (None if conv_id is pd.NA else int(conv_id),)
                 if key != now:
                     close()
                     now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if window != state[5]:
+                    raise ValueError(f"conversation {key[0]}: window {window} where {state[5]} was to come")
                 for role, text in parse(formatted)[repeated:]:
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
