@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veiltrack.functions.geo import LatLon, bearing, distance, project
-from veiltrack.operators.detect import stops, turnaround_area
+from veiltrack.operators.detect import area_turnarounds, detect_fused, stops, stops_of, turnaround_area
 from veiltrack.operators.fit import CORNERS, edge_areas, fit_trips, map_candidates
 from veiltrack.operators.folds import fold_trips
 from veiltrack.operators.intervals import mark_points, merge_intervals
@@ -243,6 +244,30 @@ def test_privacy_intervals(spark, seed, limits):
     assert got == want and want
 
 
+def test_detectors_carry_their_state(spark):
+    """Trips in batches of a few rows give what whole trips do, in the memory of a batch."""
+    rows = wander(11, network(11), trips=6, n=150)
+    fitted = fit_trips(spark.createDataFrame([(None if r[0] == "t0" else r[0], *r[1:]) for r in rows], POINTS), None, heading_groups=12, min_edge_points=3)
+    fitted = spark.createDataFrame(fitted.collect(), fitted.schema)
+    whole = {}
+    for r in sorted(fitted.collect(), key=lambda r: r.idx):
+        whole.setdefault(r.trip_id, []).append(r.asDict())
+    want = set()
+    for trip, points in whole.items():
+        columns = {c: np.array([p[c] for p in points], None if points[0][c] is not None else object) for c in points[0]}
+        want |= {(trip, a, b, "ta") for a, b in area_turnarounds(columns, 6, 60.0, 20.0)}
+        want |= {(trip, a, b, "stop") for a, b in stops_of(columns, 2.0, 30.0, 10.0)}
+    assert {k for *_, k in want} == {"ta", "stop"}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("1", "7", "100000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = detect_fused(fitted, 6, 60.0, 20.0, 2.0, 30.0, 10.0).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert len(got) == len(want) and {(r.trip_id, r.left, r.right, r.aux[0]) for r in got} == want
+
+
 def test_fold_sees_whole_trips_in_order(spark):
     """Trips of one row and of many batches, null ids, and empty tables."""
     sizes = {"a": 1, "b": 30_000, "c": 2, None: 5, "d": 12_000}

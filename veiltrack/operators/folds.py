@@ -1,8 +1,9 @@
 """Folds over trips: state machines that see a trip's rows in order.
 
 Rows are dealt by trip and sorted within their partition, and a worker streams
-through them: it holds one trip at a time, and pays for a batch of rows, not
-for each trip.
+through them and pays for a batch of rows, not for each trip.  A fold holds one
+trip at a time; a scan holds a piece of a trip, a batch at most, and what its
+detectors keep from piece to piece.
 """
 
 from __future__ import annotations
@@ -24,24 +25,32 @@ def columns_of(trip: pa.Table, names: list[str]) -> Columns:
     return {name: trip.column(name).to_numpy() for name in names}
 
 
-def _trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The trips in sorted batches, whose first column is the trip's id."""
-    held: list[pa.RecordBatch] = []
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Stretches of one trip in sorted batches, whose first column is the trip's id, and whether a trip begins there."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = batch.column(0)
-        if held and held[-1].column(0)[-1] != ids[0] and (held[-1].column(0)[-1].is_valid or ids[0].is_valid):
-            yield pa.Table.from_batches(held)
-            held = []
+        fresh = last is None or (last != ids[0] and (last.is_valid or ids[0].is_valid))
         changes = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
         if ids.null_count:
             changes |= pc.not_equal(pc.is_null(ids[1:]), pc.is_null(ids[:-1])).to_numpy(zero_copy_only=False)
         start = 0
-        for end in (np.flatnonzero(changes) + 1).tolist():
-            yield pa.Table.from_batches([*held, batch.slice(start, end - start)])
-            held, start = [], end
-        held.append(batch.slice(start))
+        for end in [*(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]:
+            yield fresh, batch.slice(start, end - start)
+            fresh, start = True, end
+        last = ids[-1]
+
+
+def _trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The trips in sorted batches, whole."""
+    held: list[pa.RecordBatch] = []
+    for fresh, piece in _pieces(batches):
+        if fresh and held:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(piece)
     if held:
         yield pa.Table.from_batches(held)
 
@@ -78,3 +87,29 @@ def find_intervals(rows: DataFrame, find: Callable[[Columns], list[tuple[int, in
         return pa.table({"trip_id": ids, "left": pa.array(left, pa.int64()), "right": pa.array(right, pa.int64()), "aux": pa.array([[t] for t in aux], pa.list_(pa.string()))})
 
     return fold_trips(rows, ["idx"], fold, f"trip_id {rows.dtypes[0][1]}, left long, right long, aux array<string>")
+
+
+def scan_intervals(rows: DataFrame, begin: Callable[[], list[tuple[str, Callable[[Columns], list[tuple[int, int]]]]]]) -> DataFrame:
+    """trip_id, left, right, aux of the intervals that detectors give, piece by piece in the order of idx; begin makes (tag, detector) anew for each trip."""
+    names = rows.columns[1:]
+    schema = f"trip_id {rows.dtypes[0][1]}, left long, right long, aux array<string>"
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detectors, made, n = [], [], 0
+        for fresh, piece in _pieces(batches):
+            if fresh:
+                detectors = begin()
+            columns = columns_of(pa.Table.from_batches([piece]), names)
+            found = [(left, right, [tag]) for tag, feed in detectors for left, right in feed(columns)]
+            if found:
+                ids = piece.column(0).take(pa.array([0] * len(found), pa.int64()))
+                made.append(pa.table([ids, *(pa.array(x) for x in zip(*found))], names=target.names).cast(target))
+                n += len(found)
+            if n >= 10_000:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
+                made, n = [], 0
+        if made:
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    return rows.repartition(rows.columns[0]).sortWithinPartitions(rows.columns[0], "idx").mapInArrow(run, schema)
