@@ -638,45 +638,79 @@ _DISTANT = lambda a, b: _sql_distance(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.
 
 
 def _search_sql(name: str, seed: str, way: int) -> str:
-    """A search in one direction as a fold over points; ``seed`` gives trip_id, n, home and stop.  The table by that name has trip_id, n, home, end_ and tag."""
+    """A search in one direction as a fold over points; ``seed`` gives trip_id, gap, home and stop.  The table by that name has trip_id, gap, home, end_ and tag."""
     far = "CASE WHEN was_road THEN 'max_md' ELSE 'max_dist' END" if way < 0 else "'max_dist'"
     between = "b.idx < d.first AND b.idx > d.reached" if way < 0 else "b.idx > d.first AND b.idx < d.reached"
-    return f"""{name}_walk AS (SELECT trip_id, n, home, stop, home AS first, home AS p, 0.0::DOUBLE AS walked, NULL::VARCHAR AS why, false AS passed FROM ({seed})
-        UNION ALL SELECT trip_id, n, home, stop, CASE WHEN why IS NULL AND changed THEN p ELSE first END, p + {way}, CASE WHEN why IS NULL AND changed THEN walked + crossed ELSE walked END, why, passed AND why IN ('max_dist', 'max_md')
+    return f"""{name}_walk AS (SELECT trip_id, gap, home, stop, home AS first, home AS p, 0.0::DOUBLE AS walked, NULL::VARCHAR AS why, false AS passed FROM ({seed})
+        UNION ALL SELECT trip_id, gap, home, stop, CASE WHEN why IS NULL AND changed THEN p ELSE first END, p + {way}, CASE WHEN why IS NULL AND changed THEN walked + crossed ELSE walked END, why, passed AND why IN ('max_dist', 'max_md')
         FROM (SELECT *, CASE WHEN critical THEN 'ci' WHEN p = stop THEN 'pi' WHEN NOT changed THEN NULL WHEN was_road AND crossed + walked >= {_LIMITS.min_manhattan} AND direct >= {_LIMITS.min_direct} AND choices >= {_LIMITS.min_out_degree} THEN 'min'
                              WHEN passed THEN {far} WHEN was_road AND choices >= {_LIMITS.max_out_degree} THEN 'max_out_degree' END AS why
               FROM (SELECT *, crossed + walked >= {_LIMITS.max_manhattan} OR direct >= {_LIMITS.max_direct} AS passed
-                    FROM (SELECT w.* EXCLUDE (why, passed), x.idx IN (0, w.n - 1) AS critical, x.edge_explicit <> y.edge_explicit OR x.edge_id <> y.edge_id AS changed, y.edge_explicit AS was_road, {_DISTANT('h', 'x')} AS direct, abs(x.out_degree - h.out_degree) AS choices,
+                    FROM (SELECT w.* EXCLUDE (why, passed), x.is_critical AS critical, x.edge_explicit <> y.edge_explicit OR x.edge_id <> y.edge_id AS changed, y.edge_explicit AS was_road, {_DISTANT('h', 'x')} AS direct, abs(x.out_degree - h.out_degree) AS choices,
                                  CASE WHEN y.edge_explicit AND NOT x.edge_explicit THEN {_DISTANT('y', 'x')} ELSE y.length END AS crossed
                           FROM {name}_walk w JOIN e x ON x.trip_id = w.trip_id AND x.idx = w.p JOIN e y ON y.trip_id = w.trip_id AND y.idx = w.first JOIN e h ON h.trip_id = w.trip_id AND h.idx = w.home WHERE w.why IS NULL)))),
     {name}_end AS (SELECT *, p - {way} AS reached FROM {name}_walk WHERE why IS NOT NULL),
-    {name}_over AS (SELECT d.trip_id, {'max' if way < 0 else 'min'}(b.idx) AS sooner FROM {name}_end d JOIN e b ON b.trip_id = d.trip_id AND {between} JOIN e y ON y.trip_id = d.trip_id AND y.idx = d.first JOIN e h ON h.trip_id = d.trip_id AND h.idx = d.home
-        WHERE d.passed AND (d.walked + {_DISTANT('y', 'b')} > {_LIMITS.max_manhattan} OR {_DISTANT('h', 'b')} > {_LIMITS.max_direct}) GROUP BY d.trip_id),
-    {name} AS (SELECT trip_id, n, home, coalesce(sooner, reached) AS end_, '{name}:' || why AS tag FROM {name}_end LEFT JOIN {name}_over USING (trip_id))"""
+    {name}_over AS (SELECT d.trip_id, d.gap, {'max' if way < 0 else 'min'}(b.idx) AS sooner FROM {name}_end d JOIN e b ON b.trip_id = d.trip_id AND {between} JOIN e y ON y.trip_id = d.trip_id AND y.idx = d.first JOIN e h ON h.trip_id = d.trip_id AND h.idx = d.home
+        WHERE d.passed AND (d.walked + {_DISTANT('y', 'b')} > {_LIMITS.max_manhattan} OR {_DISTANT('h', 'b')} > {_LIMITS.max_direct}) GROUP BY d.trip_id, d.gap),
+    {name} AS (SELECT trip_id, gap, home, coalesce(sooner, reached) AS end_, '{name}:' || why AS tag FROM {name}_end LEFT JOIN {name}_over USING (trip_id, gap))"""
 
 
-@register("privacy_intervals", _CHOICES + f""", e AS (SELECT *, {_sql_distance('e_lat', 'v1_lon', 'e_lat', 'v2_lon')} AS length, count(*) OVER (PARTITION BY trip_id) AS n FROM (
+#: The searches from e, fitted points with out_degree, length and is_critical, as private: one forwards from each critical stretch, one backwards from the next if the first leaves room.
+_PRIVATE = f"""gaps AS (SELECT trip_id, idx AS gap, next AS until FROM (SELECT *, lag(is_critical) OVER t AS was, min(CASE WHEN is_critical THEN idx END) OVER (t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM e WINDOW t AS (PARTITION BY trip_id ORDER BY idx)) WHERE was AND NOT is_critical),
+    {_search_sql('forward', "SELECT trip_id, gap, gap AS home, NULL::BIGINT AS stop FROM gaps", 1)},
+    {_search_sql('backward', "SELECT trip_id, gap, until - 1 AS home, end_ AS stop FROM forward JOIN gaps USING (trip_id, gap) WHERE until > end_", -1)},
+    private AS (SELECT trip_id, home AS "left", end_ AS "right", tag AS aux FROM forward UNION ALL SELECT trip_id, end_, home + 1, tag FROM backward)"""
+
+
+@register("privacy_intervals", _CHOICES + f""", e AS (SELECT *, {_sql_distance('e_lat', 'v1_lon', 'e_lat', 'v2_lon')} AS length, idx IN (0, count(*) OVER (PARTITION BY trip_id) - 1) AS is_critical FROM (
         SELECT *, 42.20005::DOUBLE + 0.002::DOUBLE * (trip_id::BIGINT % 100)::DOUBLE AS e_lat, -83.9005::DOUBLE + 0.001::DOUBLE * j::DOUBLE AS v1_lon, -83.9005::DOUBLE + 0.001::DOUBLE * (j + 1)::DOUBLE AS v2_lon FROM (SELECT *, floor((lon + 83.9005::DOUBLE) / 0.001::DOUBLE)::BIGINT AS j FROM met))),
-    {_search_sql('forward', "SELECT trip_id, n, 1::BIGINT AS home, NULL::BIGINT AS stop FROM e WHERE idx = 1 AND n > 2", 1)},
-    {_search_sql('backward', "SELECT trip_id, n, n - 2 AS home, end_ AS stop FROM forward WHERE n - 1 > end_", -1)}
-    SELECT trip_id, home AS "left", end_ AS "right", tag AS aux FROM forward UNION ALL SELECT trip_id, end_, home + 1, tag FROM backward""")
+    {_PRIVATE} SELECT * FROM private""")
 def privacy_intervals(spark, sf_dir):
     fitted = fit.count_choices(_street(spark, sf_dir), roads.vertices(demo.roads(spark, sf_dir)))
     marked = intervals.mark_points(fitted, intervals.merge_intervals(detect.start_end(fitted)))
     return _flat(privacy.find_privacy(marked, pipeline.limits_of(SMALL)))
 
 
-@register("pipeline_kept")
+#: Area turnarounds of fitted, whose inferred segments have the areas in area: a fold with the queue of areas that were left.
+_BACK = f"""area AS (SELECT trip_id, edge_id, {{{_segment_area_sql(SMALL.ta_area_width / 2)}, 'left': 0::BIGINT}} AS area FROM (SELECT DISTINCT trip_id, edge_id, v1_lat, v1_lon, v2_lat, v2_lon, {_sql_bearing('v1_lat', 'v1_lon', 'v2_lat', 'v2_lon')} AS course FROM fitted WHERE NOT edge_explicit)),
+    back AS (SELECT trip_id, idx, CASE WHEN NOT edge_explicit THEN edge_id END AS cur, [area][:0] AS queue, NULL::BIGINT AS met FROM fitted LEFT JOIN area USING (trip_id, edge_id) WHERE idx = 0
+          UNION ALL SELECT trip_id, idx, CASE WHEN NOT edge_explicit THEN edge_id END,
+                 CASE WHEN edge_explicit THEN queue[:0] WHEN edge_id <> cur THEN list_prepend(struct_update(area, "left" := idx), CASE WHEN met IS NULL THEN queue ELSE queue[:0] END)[:{SMALL.ta_max_queue - 1}] WHEN met IS NULL THEN queue ELSE queue[:0] END, met
+          FROM (SELECT p.trip_id, p.idx, p.edge_id, p.edge_explicit, b.cur, b.queue, area.area, CASE WHEN NOT edge_explicit AND b.cur IS NOT NULL AND speed < {SMALL.ta_max_speed} THEN list_filter(b.queue[2:], lambda q: {_IN_QUEUED})[1]."left" END AS met
+                FROM back b JOIN fitted p ON p.trip_id = b.trip_id AND p.idx = b.idx + 1 LEFT JOIN area ON area.trip_id = b.trip_id AND area.edge_id = b.cur))"""
+
+
+def _run_sql(outliers: bool, with_map: bool) -> str:
+    """All stages by SMALL: sent has the points as they came, marked those without errors, on roads, with is_critical and is_private."""
+    lattice = demo.roads_sql() if with_map else f"roads AS (WITH {demo.roads_sql()} SELECT * FROM roads WHERE false)"
+    return f"""WITH RECURSIVE sent AS (WITH {demo.trips_sql(outliers)} SELECT * FROM trips), trips AS MATERIALIZED (WITH trips AS (SELECT * FROM sent), {CLEAN} SELECT * FROM cleaned), {lattice}, {TREE}, {_fit_sql(SMALL.fit_extension)},
+    segment AS (SELECT s.trip_id, s.number, p.lat AS a_lat, p.lon AS a_lon, q.lat AS z_lat, q.lon AS z_lon
+                FROM (SELECT *, CASE WHEN lead(a) OVER (PARTITION BY trip_id ORDER BY number) = b + 1 THEN b + 1 ELSE b END AS z FROM (SELECT trip_id, number, min(idx) AS a, max(idx) AS b FROM kept WHERE cur IS NULL GROUP BY trip_id, number)) s
+                JOIN trips p ON p.trip_id = s.trip_id AND p.idx = a JOIN trips q ON q.trip_id = s.trip_id AND q.idx = z),
+    fitted AS MATERIALIZED (SELECT t.*, cur IS NOT NULL AS edge_explicit, coalesce(cur, k.number) AS edge_id, way_type AS edge_way_type, v1_id, v2_id, coalesce(v1_lat, a_lat) AS v1_lat, coalesce(v1_lon, a_lon) AS v1_lon, coalesce(v2_lat, z_lat) AS v2_lat, coalesce(v2_lon, z_lon) AS v2_lon
+                FROM kept k JOIN trips t USING (trip_id, idx) LEFT JOIN roads ON roads.edge_id = cur LEFT JOIN segment s ON cur IS NULL AND s.trip_id = k.trip_id AND s.number = k.number),
+    {_COUNTED}, {_stops_sql(round(SMALL.stop_max_time * 1_000_000), SMALL.stop_min_distance, SMALL.stop_max_speed)}, {_BACK},
+    met_again AS (SELECT *, last_value(CASE WHEN edge_explicit THEN idx END IGNORE NULLS) OVER w AS xi, last_value(CASE WHEN edge_explicit THEN heading END IGNORE NULLS) OVER w AS xh FROM fitted WINDOW w AS (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    critical AS MATERIALIZED (SELECT trip_id, xi AS l, idx AS r FROM met_again WHERE edge_explicit AND xi < idx - 1 AND CASE WHEN abs(heading - xh) < 180.0 THEN abs(heading - xh) ELSE 360.0 - abs(heading - xh) END >= {SMALL.ta_heading_delta}
+                 UNION ALL SELECT trip_id, met, idx FROM back WHERE met IS NOT NULL UNION ALL SELECT trip_id, l, r FROM stopped WHERE l IS NOT NULL
+                 UNION ALL SELECT trip_id, 0, 1 FROM fitted WHERE idx = 0 UNION ALL SELECT trip_id, max(idx), max(idx) + 1 FROM fitted GROUP BY trip_id),
+    e AS MATERIALIZED (SELECT *, {_sql_distance('v1_lat', 'v1_lon', 'v2_lat', 'v2_lon')} AS length, EXISTS (FROM critical WHERE critical.trip_id = met.trip_id AND l <= idx AND idx < r) AS is_critical FROM met),
+    {_PRIVATE},
+    marked AS (SELECT *, EXISTS (FROM private WHERE private.trip_id = e.trip_id AND "left" <= idx AND idx < "right") AS is_private FROM e) """
+
+
+@register("pipeline_kept", _run_sql(True, True) + "SELECT trip_id, idx, raw, edge_explicit, edge_id FROM marked WHERE NOT is_critical AND NOT is_private")
 def pipeline_kept(spark, sf_dir):
     return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark, sf_dir), SMALL).kept.select(*KEYS, "raw", "edge_explicit", "edge_id")
 
 
-@register("pipeline_counters")
+@register("pipeline_counters", _run_sql(True, True) + """SELECT trip_id, n AS n_points, 0::BIGINT AS n_invalid_field, 0::BIGINT AS n_invalid_geo, 0::BIGINT AS n_invalid_heading, n - coalesce(good, 0) AS n_error, coalesce(n_ci, 0) AS n_ci, coalesce(n_pi, 0) AS n_pi
+    FROM (SELECT trip_id, count(*) AS n FROM sent GROUP BY trip_id) LEFT JOIN (SELECT trip_id, count(*) AS good, count(*) FILTER (is_critical) AS n_ci, count(*) FILTER (is_private AND NOT is_critical) AS n_pi FROM marked GROUP BY trip_id) USING (trip_id)""")
 def pipeline_counters(spark, sf_dir):
     return pipeline.run(demo.trips(spark, sf_dir, outliers=True), demo.roads(spark, sf_dir), SMALL).counters
 
 
-@register("online_kept")
+@register("online_kept", _run_sql(False, False) + "SELECT trip_id, idx, raw FROM marked WHERE NOT is_critical AND NOT is_private")
 def online_kept(spark, sf_dir):
     """The rules of the streaming form, over whole trips."""
     return online.kept_points(demo.trips(spark, sf_dir), SMALL).select(*KEYS, "raw")
