@@ -12,7 +12,7 @@ from veiltrack.operators.detect import area_turnarounds, detect_fused, stops, st
 from veiltrack.operators.fit import CORNERS, edge_areas, fit_trips, map_candidates
 from veiltrack.operators.folds import fold_trips
 from veiltrack.operators.intervals import mark_points, merge_intervals
-from veiltrack.operators.privacy import PrivacyLimits, find_privacy
+from veiltrack.operators.privacy import PrivacyLimits, PrivacySearches, find_privacy
 from veiltrack.operators.roads import build_index, leaf_of
 
 EDGES = "edge_id long, v1_id long, v1_lat double, v1_lon double, v2_id long, v2_lat double, v2_lon double, way_type int, width double"
@@ -240,8 +240,29 @@ def test_privacy_intervals(spark, seed, limits):
                 at, reach = max(end, b), end if why != "forward:end" else reach
     points = spark.createDataFrame(rows, "trip_id string, idx long, lat double, lon double, edge_id long, edge_explicit boolean, v1_lat double, v1_lon double, v2_lat double, v2_lon double, out_degree long")
     marked = mark_points(points, merge_intervals(spark.createDataFrame(spans, "trip_id string, left long, right long, aux array<string>")))
-    got = {(r.trip_id, r.left, r.right, r.aux[0]) for r in find_privacy(marked, limits).collect()}
-    assert got == want and want
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("3", "100000"):  # a trip in pieces gives what it does whole
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = [(r.trip_id, r.left, r.right, r.aux[0]) for r in find_privacy(marked, limits).collect()]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert len(got) == len(want) and set(got) == want and want
+
+
+def test_privacy_search_keeps_runs():
+    """Between pieces a search keeps runs, and places since the last critical point only."""
+    limits, n = PrivacyLimits(10.0, 10.0, 0, 900.0, 900.0, 9), 40_000
+    found, out = PrivacySearches(limits), []
+    for start in range(0, n, 1000):
+        idx = np.arange(start, start + 1000)
+        critical = (idx % 4000 < 10) | (idx == n - 1)
+        piece = {"idx": idx, "lat": 42.0 + idx * 1e-5, "lon": np.full(1000, -83.0), "edge_explicit": idx % 2000 < 1000, "edge_id": idx // 1000, "is_critical": critical, "out_degree": idx // 4000, "edge_length": np.full(1000, 1000.0)}
+        out += found(piece)
+        assert len(found.gap) <= 5 and sum(len(a) for a, _ in found.places) <= 4000
+    out += found.close()
+    assert len(out) == 20 and {tag.split(":")[0] for *_, tag in out} == {"forward", "backward"}
+    assert all(0 <= a < b <= n for a, b, _ in out)
 
 
 def test_detectors_carry_their_state(spark):

@@ -76,39 +76,37 @@ def fold_trips(rows: DataFrame, order: list[str], fold: Callable[[pa.Table], pa.
     return rows.repartition(trip_id).sortWithinPartitions(trip_id, *order).mapInArrow(run, schema)
 
 
-def find_intervals(rows: DataFrame, find: Callable[[Columns], list[tuple[int, int, str]]]) -> DataFrame:
-    """trip_id, left, right, aux of the intervals (left, right, tag) that find gives for each trip, in the order of idx."""
-    names = rows.columns[1:]
-
-    def fold(trip: pa.Table) -> pa.Table:
-        found = find(columns_of(trip, names))
-        ids = pa.chunked_array([trip.column(0).slice(0, 1).combine_chunks().take(pa.array([0] * len(found), pa.int64()))])
-        left, right, aux = ([x[k] for x in found] for k in range(3))
-        return pa.table({"trip_id": ids, "left": pa.array(left, pa.int64()), "right": pa.array(right, pa.int64()), "aux": pa.array([[t] for t in aux], pa.list_(pa.string()))})
-
-    return fold_trips(rows, ["idx"], fold, f"trip_id {rows.dtypes[0][1]}, left long, right long, aux array<string>")
+def scan_intervals(rows: DataFrame, begin: Callable[[], list[tuple[str, Callable[[Columns], list[tuple]]]]]) -> DataFrame:
+    """trip_id, left, right, aux of the intervals that detectors give, piece by piece in the order of idx; begin makes (tag, detector) anew for each trip.
 
-
-def scan_intervals(rows: DataFrame, begin: Callable[[], list[tuple[str, Callable[[Columns], list[tuple[int, int]]]]]]) -> DataFrame:
-    """trip_id, left, right, aux of the intervals that detectors give, piece by piece in the order of idx; begin makes (tag, detector) anew for each trip."""
+    Intervals are (left, right), or (left, right, tag) with a tag of their own.
+    A detector's close, if it has one, gives those that are left at the end.
+    """
     names = rows.columns[1:]
     schema = f"trip_id {rows.dtypes[0][1]}, left long, right long, aux array<string>"
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detectors, made, n = [], [], 0
+        detectors, trip, made, n = [], None, [], 0
+
+        def keep(found: list[tuple]) -> None:
+            nonlocal n
+            if found:
+                made.append(pa.table([trip.take(pa.array([0] * len(found), pa.int64())), *(pa.array(x) for x in zip(*found))], names=target.names).cast(target))
+                n += len(found)
+
+        tagged = lambda tag, spans: [(left, right, own or [tag]) for left, right, *own in spans]
+        closed = lambda: [x for tag, feed in detectors if hasattr(feed, "close") for x in tagged(tag, feed.close())]
         for fresh, piece in _pieces(batches):
             if fresh:
-                detectors = begin()
+                keep(closed())
+                detectors, trip = begin(), pa.concat_arrays([piece.column(0).slice(0, 1)])
             columns = columns_of(pa.Table.from_batches([piece]), names)
-            found = [(left, right, [tag]) for tag, feed in detectors for left, right in feed(columns)]
-            if found:
-                ids = piece.column(0).take(pa.array([0] * len(found), pa.int64()))
-                made.append(pa.table([ids, *(pa.array(x) for x in zip(*found))], names=target.names).cast(target))
-                n += len(found)
+            keep([x for tag, feed in detectors for x in tagged(tag, feed(columns))])
             if n >= 10_000:
                 yield from pa.concat_tables(made).combine_chunks().to_batches()
                 made, n = [], 0
+        keep(closed())
         if made:
             yield from pa.concat_tables(made).combine_chunks().to_batches()
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import LatLon, distance
+from ..functions.geo import EARTH_RADIUS_M, LatLon, distance
 from .fit import edge_length
-from .folds import Columns, find_intervals
+from .folds import Columns, scan_intervals
 
 
 @dataclass(frozen=True)
@@ -37,89 +39,168 @@ def _lengths(draws: tuple[float, float, float], limits: PrivacyLimits) -> tuple[
     )
 
 
-class _Trip:
-    """The columns of a trip that a search reads."""
-
-    def __init__(self, trip: Columns):
-        self.at = [LatLon(a, b) for a, b in zip(trip["lat"].tolist(), trip["lon"].tolist())]
-        self.explicit = trip["edge_explicit"].tolist()
-        self.edge = list(zip(self.explicit, trip["edge_id"].tolist()))
-        self.length = trip["edge_length"].tolist()
-        self.critical = trip["is_critical"].tolist()
-        self.degree = trip["out_degree"].tolist()
-        self.draws = [list(zip(*(trip[f"{way}{k}"].tolist() for k in range(3)))) for way in ("forward", "backward")]
-
-    def search(self, start: int, way: int, last_end: int | None, limits: PrivacyLimits) -> tuple[int, str]:
-        """Where a search from a point in one direction (1 or -1) ends, and why.
-
-        Whenever the edge changes, the edge just left is judged: by its
-        length if it was inferred, or a road that gave way to a road; else by
-        the way across it.
-        """
-        min_direct, min_walked, min_choices = _lengths(self.draws[0 if way > 0 else 1][start], limits)
-        home, walked, first, stop = self.at[start], 0.0, start, len(self.at) if way > 0 else -1
-        name = "forward" if way > 0 else "backward"
-
-        def beyond(low: int, high: int) -> int:
-            """The first point after low, and before high, at which a greatest distance is exceeded; or high."""
-            for p in range(low + way, high, way) if low != high else ():
-                if walked + distance(self.at[low], self.at[p]) > limits.max_manhattan or distance(home, self.at[p]) > limits.max_direct:
-                    return p
-            return high
-
-        for p in range(start, stop, way):
-            if self.critical[p]:
-                return p, f"{name}:ci"
-            if way < 0 and p == last_end:
-                return p, f"{name}:pi"
-            if self.edge[p] == self.edge[first]:
-                continue
-            direct = distance(home, self.at[p])
-            crossed = distance(self.at[first], self.at[p]) if self.explicit[first] and not self.explicit[p] else self.length[first]
-            far = crossed + walked >= limits.max_manhattan or direct >= limits.max_direct
-            if self.explicit[first]:
-                choices = abs(self.degree[p] - self.degree[start])
-                if crossed + walked >= min_walked and direct >= min_direct and choices >= min_choices:
-                    return p, f"{name}:min"
-                if far:
-                    return beyond(first, p), f"{name}:max_dist" if way > 0 else f"{name}:max_md"
-                if choices >= limits.max_out_degree:
-                    return p, f"{name}:max_out_degree"
-            elif far:
-                return beyond(first, p), f"{name}:max_dist"
-            walked += crossed
-            first = p
-        last = stop - way
-        end = beyond(first, last)
-        return end, f"{name}:end" if end == last else f"{name}:max_md"
+class Place(NamedTuple):
+    """A point of a trip at which a run begins or ends."""
 
+    idx: int
+    at: LatLon
+    degree: int
+    draws: tuple[float, float, float]
 
-def privacy_of(trip: Columns, limits: PrivacyLimits) -> list[tuple[int, int, str]]:
-    """Privacy intervals of a trip whose rows are in order: (left, right, tag).
 
-    Walking along the trip, entering a critical stretch starts a search
-    backwards, unless an earlier interval reaches that far; leaving one starts
-    a search forwards, and the walk goes on where that ended.
+class Run(NamedTuple):
+    """Neighbouring points of a trip on one edge that are all critical, or none of them, by its first and its last point."""
+
+    first: Place
+    last: Place
+    explicit: bool
+    length: float
+    critical: bool
+
+
+class Search(NamedTuple):
+    """Where a search ends and why; or, if sooner is there, for that reason at the first point between low and end that lies too far from home or, with what was walked before low, from low, which is at near."""
+
+    end: int
+    why: str
+    sooner: str | None = None
+    low: int = 0
+    near: LatLon | None = None
+    home: LatLon | None = None
+    walked: float = 0.0
+
+
+def _search(gap: list[Run], way: int, critical: int | None, last_end: int | None, limits: PrivacyLimits) -> Search:
+    """From one end of a gap, the runs between two critical stretches, in one direction (1 or -1) to the other end, where the point ``critical`` follows, or none, or to last_end.
+
+    Whenever the edge changes, the edge just left is judged: by its length if
+    it was inferred, or a road that gave way to a road; else by the way across
+    it.
     """
-    t, out, inside, last_end, at = _Trip(trip), [], False, 0, 0
-    n = len(t.at)
-    while at < n:
-        if t.critical[at]:
-            if not inside and at > last_end:
-                end, why = t.search(at - 1, -1, last_end, limits)
-                out.append((end, at, why))
-            inside = True
-        elif inside:
-            inside = False
-            if at + 1 < n:
-                end, why = t.search(at, 1, None, limits)
-                out.append((at, end, why))
-                if why != "forward:end":
-                    last_end = end
-                at = max(end, at)
-                continue
-        at += 1
-    return out
+    runs, side = (gap, 0) if way > 0 else (gap[::-1], 1)
+    name, home, walked, current = "forward" if way > 0 else "backward", runs[0][side], 0.0, runs[0]
+    min_direct, min_walked, min_choices = _lengths(home.draws, limits)
+    cut = lambda end, why, sooner: Search(end, f"{name}:{why}", f"{name}:{sooner}", current[side].idx, current[side].at, home.at, walked)
+    for following in [*runs[1:], None]:
+        if last_end is not None and (current.first.idx <= last_end <= current.last.idx or (following is not None and last_end == following[side].idx)):
+            return Search(last_end, f"{name}:pi")
+        if following is None:
+            break
+        here = following[side]
+        direct = distance(home.at, here.at)
+        crossed = distance(current[side].at, here.at) if current.explicit and not following.explicit else current.length
+        far = crossed + walked >= limits.max_manhattan or direct >= limits.max_direct
+        if current.explicit:
+            choices = abs(here.degree - home.degree)
+            if crossed + walked >= min_walked and direct >= min_direct and choices >= min_choices:
+                return Search(here.idx, f"{name}:min")
+            if far:
+                return cut(here.idx, *["max_dist" if way > 0 else "max_md"] * 2)
+            if choices >= limits.max_out_degree:
+                return Search(here.idx, f"{name}:max_out_degree")
+        elif far:
+            return cut(here.idx, "max_dist", "max_dist")
+        walked += crossed
+        current = following
+    return cut(current.last.idx, "end", "max_md") if critical is None else Search(critical, f"{name}:ci")
+
+
+class PrivacySearches:
+    """Privacy intervals (left, right, tag) of a trip, piece by piece: __call__ takes its points in order, close the rest.
+
+    From each critical stretch a search goes forwards, and from the next one
+    backwards, if the first leaves room, as far as the first has come.  Before
+    the first critical stretch a search goes back to the trip's first point.
+    Searches go over runs; points are looked at only in a run that takes a
+    search too far.  What is kept between pieces are the runs since the last
+    critical point, and 16 bytes for each point since then.
+    """
+
+    def __init__(self, limits: PrivacyLimits):
+        self.limits, self.gap, self.before = limits, [], None
+        self.run: Run | None = None
+        self.key, self.places = None, []
+
+    def __call__(self, piece: Columns) -> list[tuple[int, int, str]]:
+        out, keys = [], [np.asarray(piece[c]) for c in RUN_KEY]
+        n = len(keys[0])
+        changes = np.logical_or.reduce([k[1:] != k[:-1] for k in keys]) if n > 1 else np.zeros(0, bool)
+        starts = [0, *(np.flatnonzero(changes) + 1).tolist()] if n else []
+        for a, b in zip(starts, [*starts[1:], n]):
+            key = tuple(k[a].item() if hasattr(k[a], "item") else k[a] for k in keys)
+            last = _place(piece, b - 1, "backward")
+            if key != self.key:
+                self._end_run()
+                self.key, self.run = key, Run(_place(piece, a, "forward"), last, bool(key[0]), float(piece["edge_length"][a]), bool(key[2]))
+                if self.run.critical:
+                    out += self._end_gap(self.run.first.idx)
+            else:
+                self.run = self.run._replace(last=last)
+            if not self.run.critical:
+                self.places.append((np.array(piece["lat"][a:b], float), np.array(piece["lon"][a:b], float)))
+        return out
+
+    def close(self) -> list[tuple[int, int, str]]:
+        """At the trip's end."""
+        self._end_run()
+        return self._end_gap(None)
+
+    def _end_run(self) -> None:
+        if self.run is not None and self.run.critical:
+            self.before = self.run.last.idx
+        elif self.run is not None:
+            self.gap.append(self.run)
+
+    def _end_gap(self, until: int | None) -> list[tuple[int, int, str]]:
+        """The searches between the critical point before, if there is one, and the critical point until, if there is one."""
+        out, gap = [], self.gap
+        if gap:
+            start, reached = gap[0].first.idx, 0 if self.before is None else None
+            if self.before is not None and (until is not None or start < gap[-1].last.idx):
+                reached, why = self._cut(_search(gap, 1, until, None, self.limits))
+                out.append((start, reached, why))
+            if until is not None and until > reached:
+                end, why = self._cut(_search(gap, -1, self.before, reached, self.limits))
+                out.append((end, until, why))
+        self.gap, self.places = [], []
+        return out
+
+    def _cut(self, search: Search) -> tuple[int, str]:
+        """Where a search ends, and why: sooner, if a point of its last run lies too far."""
+        if search.sooner is None:
+            return search.end, search.why
+        if len(self.places) > 1:
+            self.places = [tuple(map(np.concatenate, zip(*self.places)))]
+        start = self.gap[0].first.idx
+        way = 1 if search.end > search.low else -1
+        between = range(search.low + way, search.end, way)
+        for k in range(0, len(between), 4096):
+            part = between[k : k + 4096]
+            lat, lon = (x[np.array(part) - start] for x in self.places[0])
+            far = (search.walked + _metres(search.near, lat, lon) > self.limits.max_manhattan) | (_metres(search.home, lat, lon) > self.limits.max_direct)
+            if far.any():
+                return part[int(far.argmax())], search.sooner
+        return search.end, search.why
+
+
+def _metres(a: LatLon, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """distance of points from one."""
+    to_lat, to_lon, a_lat, a_lon = np.radians(lat), np.radians(lon), np.radians(a.lat), np.radians(a.lon)
+    return np.sqrt(((to_lon - a_lon) * np.cos((a_lat + to_lat) / 2.0)) ** 2 + (to_lat - a_lat) ** 2) * EARTH_RADIUS_M
+
+
+def _place(piece: Columns, i: int, way: str) -> Place:
+    draws = tuple(float(piece[f"{way}{k}"][i]) for k in range(3)) if f"{way}0" in piece else (0.0, 0.0, 0.0)
+    return Place(int(piece["idx"][i]), LatLon(float(piece["lat"][i]), float(piece["lon"][i])), int(piece["out_degree"][i]), draws)
+
+
+def privacy_of(trip: Columns, limits: PrivacyLimits) -> list[tuple[int, int, str]]:
+    """Privacy intervals of a whole trip: (left, right, tag)."""
+    found = PrivacySearches(limits)
+    return found(trip) + found.close()
+
+
+RUN_KEY = ["edge_explicit", "edge_id", "is_critical"]
 
 
 def find_privacy(marked: DataFrame, limits: PrivacyLimits, seed: int = 0) -> DataFrame:
@@ -128,9 +209,10 @@ def find_privacy(marked: DataFrame, limits: PrivacyLimits, seed: int = 0) -> Dat
     Random parts come from a hash of seed, trip, point, direction and metric:
     the same input gives the same intervals on any cluster.
     """
-    draws = {f"{way}{k}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("trip_id").cast("string"), "idx", F.lit(way), F.lit(k)), 11) / F.lit(float(1 << 53)) for way in ("forward", "backward") for k in range(3)}
-    rows = marked.select("trip_id", "idx", "lat", "lon", "edge_id", "edge_explicit", "is_critical", "out_degree", edge_length().alias("edge_length"), *(v.alias(k) for k, v in draws.items()))
-    return find_intervals(rows, lambda trip: privacy_of(trip, limits))
+    drawn = bool(limits.rand_direct or limits.rand_manhattan or limits.rand_out_degree)
+    draws = {f"{way}{k}": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("trip_id").cast("string"), "idx", F.lit(way), F.lit(k)), 11) / F.lit(float(1 << 53)) for way in ("forward", "backward") for k in range(3) if drawn}
+    rows = marked.select("trip_id", "idx", "lat", "lon", *RUN_KEY, "out_degree", edge_length().alias("edge_length"), *(v.alias(k) for k, v in draws.items()))
+    return scan_intervals(rows, lambda: [("", PrivacySearches(limits))])
 
 
 def deidentify(marked: DataFrame) -> DataFrame:
