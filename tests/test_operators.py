@@ -11,7 +11,9 @@ from veiltrack.operators.clean import correct_errors, correct_trip
 from veiltrack.operators.intervals import mark_points, merge_intervals
 from veiltrack.operators import fit
 from veiltrack.operators.roads import LEAF_DEGREES, build_index, highways, leaf_of, vertices
-from veiltrack.plans import demo
+from veiltrack.plans import demo, pipeline
+from veiltrack.queries import SMALL
+from veiltrack.session import ship_package
 from veiltrack.sinks import kml
 
 POINTS = "trip_id string, idx long, raw string, time_us long, lat double, lon double, heading double, speed double"
@@ -172,3 +174,20 @@ def test_large_maps_fit_alike(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(fit, "MOST_BROADCAST", 0)
     monkeypatch.setattr(fit, "CELL_POINTS", 50)
     assert own() == small and any(r[-9] is not None for r in small)
+
+
+def test_rows_of_a_trip_stand_together_after_a_union(spark, sf_dir):
+    """Points and candidates are dealt by trip before their union, and adaptive execution merges parts of each on its own."""
+    merging = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "60k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in merging}
+    points, edges = correct_errors(demo.trips(spark, sf_dir, outliers=True)), demo.roads(spark, sf_dir)
+    fitted = lambda: sorted(tuple(r) for r in pipeline.fit(points, edges, SMALL).select("trip_id", "idx", "edge_explicit", "edge_id").collect())
+    want = fitted()
+    try:
+        for k, v in merging.items():
+            spark.conf.set(k, v)
+        ship_package(spark)
+        assert fitted() == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

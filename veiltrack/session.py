@@ -17,8 +17,19 @@ T = TypeVar("T")
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Has Spark shuffle a union anew where rows have to stand together.
+
+    Spark 4.1 takes a union of inputs dealt by one key as dealt by it and leaves
+    out the shuffle after it; but adaptive execution merges small parts of each
+    input on its own, so rows of a key come to stand in different parts.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Gives the Python workers this package, once a SparkContext."""
+    """Gives the Python workers this package, once a SparkContext, and the session plain unions."""
+    plain_unions(spark)
     if spark.sparkContext in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
