@@ -10,6 +10,7 @@ from veiltrack.operators.fit import CORNERS, edge_areas
 from veiltrack.sinks import kml
 from veiltrack.sinks.csv import trip_text, write_trip_files
 from veiltrack.sinks.files import write_files
+from veiltrack.sources.trips import read_trips
 
 
 def trips(spark, n=40):
@@ -65,3 +66,15 @@ def test_kml_draws_the_areas_of_the_fit(spark, tmp_path):
     assert content.count("#explicit_boxes") == 2 and content.count("#implicit_boxes") == 1
     (path,) = kml.write_kml(drawn, str(tmp_path / "kml")).collect()
     assert open(path.path).read() == content and path.path.endswith("/t.di.kml")
+
+
+def test_trip_files_are_read_once(spark, tmp_path):
+    record = ",".join(["a", "b", "c", "5", *"012", "42.2", "-83.9", "1", "2", "3", *["0"] * 7])
+    for name, text in {"two": f"head\n{record}\nx\n", "short": f"head\nx\n{record}\n", "header": "head\n", "empty": "", "line": f"\n{record}"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    found = read_trips(spark, str(tmp_path))
+    assert found.columns == ["file", "block", "seq", "line", "parts", "lat", "lon", "heading", "speed", "time_us", "outcome", "trip_id"]
+    rows = sorted((os.path.basename(r.file), r.seq, r.line, r.outcome, r.trip_id) for r in found.collect())
+    assert rows == [("line.csv", 1, record, "ok", "a_b"), ("two.csv", 1, record, "ok", "a_b"), ("two.csv", 2, "x", "field", "a_b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan

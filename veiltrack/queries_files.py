@@ -41,8 +41,9 @@ def _text_files(lines: DataFrame, header: str, by: str, spark: SparkSession, nam
     SELECT trip_id, seq, outcome, lat, lon, heading, speed, time_us FROM n2 JOIN first USING (user_id)""")
 def trip_files(spark, sf_dir):
     """A file a trip in the fixed layout: lines in order, ids of the first records."""
-    folder = _text_files(demo.trip_lines(spark, sf_dir), trips.HEADER, "trip_id", spark, "trips")
-    return trips.read_trips(spark, f"{folder}/*").select("trip_id", F.col("seq").cast("long").alias("seq"), "outcome", "lat", "lon", "heading", "speed", "time_us")
+    lines, folder = demo.trip_lines(spark, sf_dir).select("trip_id", F.col("seq").alias("idx"), F.col("line").alias("raw")), _folder(spark, "trips")
+    csv_sink.write_trip_files(lines, folder)
+    return trips.read_trips(spark, folder).select("trip_id", F.col("seq").cast("long").alias("seq"), "outcome", "lat", "lon", "heading", "speed", "time_us")
 
 
 @register("mapped_files", """WITH u AS (SELECT event_id, (event_id % 4)::VARCHAR AS file, event_id AS time_us, ((event_id // 3) % 7)::VARCHAR || '_f' AS uid, CASE WHEN event_id % 13 = 0 THEN 99.5 ELSE (event_id % 1000)::DOUBLE * 0.0625 END::DOUBLE AS lat FROM events),

@@ -88,11 +88,16 @@ def read_trips(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Records of fixed-layout files, a trip a file: trip_id and what parse_records gives.
 
     The first line is a header, whatever it holds.  The id comes from the
-    first record; a file without one of 19 fields gives no trip.
+    first record; a file without one of 19 fields gives no trip.  Each file is
+    read once.
     """
-    records = parse_records(read_lines(spark, paths).filter("seq > 0"))
-    first = records.filter("seq = 1").filter(F.size("parts") == len(FIELDS)).select("file", F.concat_ws("_", F.get("parts", F.lit(0)), F.get("parts", F.lit(1))).alias("trip_id"))
-    return records.join(first, "file")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), split_lines(F.col("value")).alias("lines"))
+    first = split_fields(F.get("lines", F.lit(1)), ",")
+    files = files.withColumn("first", first).filter(F.size("first") == len(FIELDS))
+    lines = files.select("file", F.concat_ws("_", F.get("first", F.lit(0)), F.get("first", F.lit(1))).alias("trip_id"), F.posexplode("lines").alias("seq", "line")).filter("seq > 0")
+    lines = lines.select("file", F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("seq"), "line", "trip_id")
+    records = parse_records(lines)
+    return records.select(*(c for c in records.columns if c != "trip_id"), "trip_id")
 
 
 def header_positions(lines: DataFrame, wanted: list[str]) -> DataFrame:
