@@ -12,7 +12,7 @@ from veiltrack.plans import demo
 from veiltrack.plans.pipeline import run
 from veiltrack.queries import SMALL
 from veiltrack.streaming import online
-from veiltrack.streaming.online import fit_trip, kept_points, stream_kept_points, use_state_store, with_candidates
+from veiltrack.streaming.online import POINT, fit_trip, keep_points, kept_points, stream_kept_points, use_state_store, with_candidates
 
 
 #: Limits under which something of each trip is kept.
@@ -145,3 +145,15 @@ def test_state_is_written_once_a_point(spark, sf_dir):
     (out,) = keeper.handleExpiredTimer(("3",), handle, None)
     assert handle.written == handle.read == len(points) and not handle.held and handle.value is None
     assert keys(out.itertuples()) == keys(r for r in kept_points(few(spark, sf_dir), SHORT).collect() if r.trip_id == "3")
+
+
+def test_whole_trips_go_through_arrays(spark, sf_dir):
+    """No table a trip: workers pay for batches, not for trips; and the points are those of a trip by itself."""
+    points, config = demo.trips(spark, sf_dir, outliers=True), replace(SMALL, min_direct=0.5, max_direct=1.0, min_manhattan=0.5, max_manhattan=1.0)
+    found = kept_points(points, config)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for trip_id, trip in with_candidates(points, None, config).toPandas().groupby("trip_id"):
+        own = keep_points(trip.sort_values(["time_us", "raw"])[[*POINT, "near"]], config, trip_id)
+        want |= {(trip_id, r.idx, r.raw) for r in own.itertuples()}
+    assert {(r.trip_id, r.idx, r.raw) for r in found.collect()} == want and want

@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 Columns = dict[str, np.ndarray]
+#: Bytes of folded trips that a worker holds before it hands them on.
+MOST_HELD = 4 << 20
 
 
 def columns_of(trip: pa.Table, names: list[str]) -> Columns:
@@ -55,21 +57,21 @@ def _trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def fold_trips(rows: DataFrame, order: list[str], fold: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+def fold_trips(rows: DataFrame, order: list[str | Column], fold: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """The tables that fold makes of each trip, whose rows stand in the order of those columns.  The first column of rows is the trip's id."""
     target = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
     trip_id = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, n = [], 0
+        made, n, size = [], 0, 0
         for trip in _trips(batches):
             out = fold(trip)
             if out.num_rows:
                 made.append(out.cast(target))
-                n += out.num_rows
-            if n >= 10_000:
+                n, size = n + out.num_rows, size + made[-1].nbytes
+            if n >= 10_000 or size >= MOST_HELD:
                 yield from pa.concat_tables(made).combine_chunks().to_batches()
-                made, n = [], 0
+                made, n, size = [], 0, 0
         if made:
             yield from pa.concat_tables(made).combine_chunks().to_batches()
 

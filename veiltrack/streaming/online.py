@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +29,7 @@ from ..functions.geo import LatLon, angle_error, bearing, distance
 from ..operators.clean import correct_trip
 from ..operators.detect import area_turnarounds, stops_of
 from ..operators.fit import CELLS, MOST_BROADCAST, choose_edges, deal_areas, edge_areas, infer_edges, inferred_ends
+from ..operators.folds import Columns, columns_of, fold_trips
 from ..operators.privacy import privacy_of
 from ..operators.roads import kept_index, leaf_levels, path_of, vertices
 from ..plans.config import DIConfig
@@ -98,9 +100,9 @@ def with_candidates(points: DataFrame, edges: DataFrame | None, config: DIConfig
     return rows.withColumn("__ids", ids).withColumn("near", F.transform("__near", candidate)).select(*points.columns, "near")
 
 
-def fit_trip(trip: pd.DataFrame, config: DIConfig) -> pd.DataFrame:
+def fit_columns(trip: Columns, config: DIConfig) -> Columns:
     """A trip's points, with their candidates, on roads and inferred segments, and the choices met so far."""
-    lat, lon = trip["lat"].to_numpy(), trip["lon"].to_numpy()
+    lat, lon = trip["lat"], trip["lon"]
     held = [sorted(near, key=lambda c: c["edge_id"]) for near in trip["near"]]
     ends = np.cumsum([0, *map(len, held)]).tolist()
     near = {c: [r[c] for own in held for r in own] for c in [*_ROAD, "in_leaf", "error", "error_v1", "error_v2"]}
@@ -108,11 +110,12 @@ def fit_trip(trip: pd.DataFrame, config: DIConfig) -> pd.DataFrame:
     beyond = lambda side: [p < len(lat) and r[f"k{side}"] - lat[p] * r[f"dlon{side}"] + lon[p] * r[f"dlat{side}"] < 0.0 for p, r in onward]
     chosen = choose_edges(list(zip(ends, ends[1:])), {**near, "beyond_v1": beyond(3), "beyond_v2": beyond(1)})
     explicit = np.array([c >= 0 for c in chosen], bool)
-    sectors = np.floor(trip["heading"].to_numpy() / (360.0 / config.heading_groups)).astype(np.int64) % config.heading_groups
+    sectors = np.floor(trip["heading"] / (360.0 / config.heading_groups)).astype(np.int64) % config.heading_groups
     segment = infer_edges(explicit, sectors, config.min_edge_points)
-    span = inferred_ends(segment, explicit)
-    columns: dict[str, list] = {c: [] for c in ("edge_id", "edge_way_type", "v1_lat", "v1_lon", "v2_lat", "v2_lon", "edge_length", "out_degree")}
-    total, before, counted = 0, None, None
+    with_length = lambda row: (*row, distance(LatLon(*row[2:4]), LatLon(*row[4:6])))
+    inferred = {s: with_length((s, np.nan, *(float(x[i]) for i in span for x in (lat, lon)))) for s, span in inferred_ends(segment, explicit).items()}
+    roads: dict[int, tuple] = {}
+    rows, total, before, counted = [], 0, None, None
     for c, s in zip(chosen, segment.tolist()):
         if c >= 0:
             own = {k: near[k][c] for k in _ROAD}
@@ -124,19 +127,26 @@ def fit_trip(trip: pd.DataFrame, config: DIConfig) -> pd.DataFrame:
                         total += own["v1_choices"] if own["v1_id"] == vertex else own["v2_choices"]
                     counted = vertex
             before = own
-            row = (own["edge_id"], own["way_type"], own["v1_lat"], own["v1_lon"], own["v2_lat"], own["v2_lon"])
+            if own["edge_id"] not in roads:
+                roads[own["edge_id"]] = with_length((own["edge_id"], own["way_type"], own["v1_lat"], own["v1_lon"], own["v2_lat"], own["v2_lon"]))
+            rows.append((*roads[own["edge_id"]], total))
         else:
-            a, b = span[s]
-            row = (s, np.nan, lat[a], lon[a], lat[b], lon[b])
-        for k, v in zip(columns, (*row, distance(LatLon(*row[2:4]), LatLon(*row[4:6])), total)):
-            columns[k].append(v)
-    return trip.assign(edge_explicit=explicit, **columns)
+            rows.append((*inferred[s], total))
+    names = ("edge_id", "edge_way_type", "v1_lat", "v1_lon", "v2_lat", "v2_lon", "edge_length", "out_degree")
+    types = {"edge_id": np.int64, "out_degree": np.int64}
+    return {**trip, "edge_explicit": explicit, **{n: np.array(v, types.get(n, float)) for n, v in zip(names, zip(*rows))}}
+
+
+def fit_trip(trip: pd.DataFrame, config: DIConfig) -> pd.DataFrame:
+    """fit_columns of a trip in a table."""
+    own = {c: trip[c].to_numpy() for c in ("lat", "lon", "heading", "near")}
+    return trip.assign(**{c: v for c, v in fit_columns(own, config).items() if c not in own})
 
 
-def fit_turnarounds(fitted: pd.DataFrame, delta: float) -> list[tuple[int, int]]:
+def fit_turnarounds(fitted: Columns, delta: float) -> list[tuple[int, int]]:
     """From a road to the next one with other points between, where the heading has changed by delta."""
-    at = np.flatnonzero(fitted["edge_explicit"].to_numpy(bool))
-    turned = np.abs(np.diff(fitted["heading"].to_numpy()[at]))
+    at = np.flatnonzero(fitted["edge_explicit"])
+    turned = np.abs(np.diff(fitted["heading"][at]))
     turned = np.where(turned < 180.0, turned, 360.0 - turned)
     return [(int(a), int(b)) for a, b, t in zip(at, at[1:], turned) if a < b - 1 and t >= delta]
 
@@ -155,28 +165,45 @@ def draws(trip_id: str, n: int, seed: int) -> dict[str, np.ndarray]:
     return out
 
 
-def keep_points(trip: pd.DataFrame, config: DIConfig, trip_id: str = "", correct: bool = True) -> pd.DataFrame:
-    """The points of a whole trip, in order, that are no errors and neither critical nor private."""
-    trip = trip.reset_index(drop=True)
-    if correct:
-        trip = trip.iloc[correct_trip(trip["lat"].to_numpy(), trip["lon"].to_numpy(), config.error_sample)].reset_index(drop=True)
-    trip = trip.assign(idx=np.arange(len(trip)))
-    if not len(trip):
-        return trip
-    fitted = fit_trip(trip, config)
-    spans = [(0, 1), (len(trip) - 1, len(trip)), *fit_turnarounds(fitted, config.ta_heading_delta)]
+def kept_places(trip: Columns, config: DIConfig, trip_id: str = "", correct: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Of the points of a whole trip, in order, those that are no errors and neither critical nor private: their places, and their idx without the errors."""
+    n = len(trip["lat"])
+    at = correct_trip(trip["lat"], trip["lon"], config.error_sample) if correct else np.arange(n)
+    if not len(at):
+        return at, at
+    if len(at) < n:
+        trip = {c: v[at] for c, v in trip.items()}
+    n = len(at)
+    fitted = fit_columns({**trip, "idx": np.arange(n)}, config)
+    spans = [(0, 1), (n - 1, n), *fit_turnarounds(fitted, config.ta_heading_delta)]
     spans += area_turnarounds(fitted, config.ta_max_queue, config.ta_area_width, config.ta_max_speed)
     spans += stops_of(fitted, config.stop_max_time, config.stop_min_distance, config.stop_max_speed)
-    critical = np.zeros(len(trip), bool)
+    critical = np.zeros(n, bool)
     for left, right in spans:
         critical[left:right] = True
-    private = np.zeros(len(trip), bool)
+    private = np.zeros(n, bool)
     limits = limits_of(config)
     drawn = limits.rand_direct or limits.rand_manhattan or limits.rand_out_degree
-    parts = draws(trip_id, len(trip), config.seed) if drawn else {f"{way}{k}": np.zeros(len(trip)) for way in ("forward", "backward") for k in range(3)}
-    for left, right, _ in privacy_of(fitted.assign(is_critical=critical, **parts), limits):
+    for left, right, _ in privacy_of({**fitted, "is_critical": critical, **(draws(trip_id, n, config.seed) if drawn else {})}, limits):
         private[left:right] = True
-    return trip[~critical & ~private]
+    idx = np.flatnonzero(~critical & ~private)
+    return at[idx], idx
+
+
+_NUMBERS = [c for c in POINT if c != "raw"]
+
+
+def _lists(values: list) -> np.ndarray:
+    """An array of lists."""
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def keep_points(trip: pd.DataFrame, config: DIConfig, trip_id: str = "", correct: bool = True) -> pd.DataFrame:
+    """The points of kept_places, with idx."""
+    at, idx = kept_places({**{c: trip[c].to_numpy() for c in _NUMBERS}, "near": _lists(list(trip["near"]))}, config, trip_id, correct)
+    return trip.iloc[at].assign(idx=idx).reset_index(drop=True)
 
 
 _COLUMNS = [c.split()[0] for c in KEPT.split(", ")]
@@ -234,8 +261,10 @@ def stream_kept_points(points: DataFrame, config: DIConfig, edges: DataFrame | N
 def kept_points(points: DataFrame, config: DIConfig, edges: DataFrame | None = None) -> DataFrame:
     """The same on a table of whole trips: KEPT rows."""
 
-    def one(trip: pd.DataFrame) -> pd.DataFrame:
-        own = trip["trip_id"].iloc[0]
-        return keep_points(trip.sort_values(["time_us", "raw"], kind="stable"), config, own).assign(trip_id=own)[_COLUMNS]
+    def one(trip: pa.Table) -> pa.Table:
+        at, idx = kept_places({**columns_of(trip, _NUMBERS), "near": _lists(trip.column("near").to_pylist())}, config, trip.column(0)[0].as_py())
+        kept = trip.select(["trip_id", *POINT]).take(pa.array(at, pa.int64()))
+        return kept.add_column(1, "idx", pa.array(idx, pa.int64()))
 
-    return with_candidates(points.select("trip_id", *POINT), edges, config).groupBy("trip_id").applyInPandas(one, KEPT)
+    order = [F.col(c).asc_nulls_last() for c in ("time_us", "raw")]
+    return fold_trips(with_candidates(points.select("trip_id", *POINT), edges, config), order, one, KEPT)
