@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions.geo import LatLon
 from .operators import fit
+from .operators.folds import fold_trips
 from .plans import demo
 from .plans.config import load_json, parse_config
 from .queries import _PARSED, _SEGMENTS, KEYS, _areas_sql, register
@@ -199,8 +201,13 @@ def kml_points(spark, sf_dir):
 
 @register("kml_lines", f"WITH {demo.trips_sql()} SELECT trip_id AS id, '<Placemark>' || {_N} || '<name>a &amp; b</name>' || {_N} || '<styleUrl>#s</styleUrl>' || CASE WHEN count(*) > 1 THEN {_N} || '<LineString>' || {_N} || '<coordinates>' || {_N} || {_PLACES} || {_N} || {_N} || '</coordinates>' || {_N} || '</LineString>' ELSE '' END || {_N} || '</Placemark>' AS content FROM trips GROUP BY trip_id")
 def kml_lines(spark, sf_dir):
-    rows = demo.trips(spark, sf_dir).groupBy(F.col("trip_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("places"))
-    return _drawn(rows, lambda r: kml_sink.line_mark("a & b", "s", [LatLon(p["lat"], p["lon"]) for p in r.places]))
+    """A worker holds one trip's places at a time."""
+
+    def line(trip: pa.Table) -> pa.Table:
+        places = [LatLon(*p) for p in zip(trip.column("lat").to_pylist(), trip.column("lon").to_pylist())]
+        return pa.table({"id": trip.column(0).slice(0, 1), "content": [kml_sink.line_mark("a & b", "s", places)]})
+
+    return fold_trips(demo.trips(spark, sf_dir).select("trip_id", "idx", "lat", "lon"), ["idx"], line, "id string, content string")
 
 
 _RING = " || ' ' || ".join(f"printf('%.8g,%.8g,0', c{i}_lon, c{i}_lat)" for i in (0, 1, 2, 3, 0))
