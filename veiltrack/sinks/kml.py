@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import MAX_SPEED, SPEED_COLORS, LatLon, bearing, project
+from ..operators.folds import fold_trips
 from ..operators.roads import way_width
 from .files import paths_of, write_files
 
@@ -131,9 +133,14 @@ def areas(rings: list[list[LatLon]], style: str) -> str:
     return folder(style, *(polygon_mark(r, style) for r in rings), ident="areas")
 
 
+@cache
+def _styles() -> tuple[str, ...]:
+    """The styles of every document, made once a worker."""
+    return (*(icon_style(n, *v) for n, v in ICONS.items()), *(line_style(f"lcolor_{c}", c, 2) for c in SPEED_COLORS), *(poly_style(n, *v) for n, v in BOXES.items()), *(line_style(n, *v) for n, v in LINES.items()))
+
+
 def document(name: str, *folders: str) -> str:
-    styles = [icon_style(n, *v) for n, v in ICONS.items()] + [line_style(f"lcolor_{c}", c, 2) for c in SPEED_COLORS] + [poly_style(n, *v) for n, v in BOXES.items()] + [line_style(n, *v) for n, v in LINES.items()]
-    return '<?xml version="1.0" encoding="UTF-8"?>\n' + element("kml", element("Document", element("name", escape(name)), element("open", "0"), *styles, *folders), xmlns="http://www.opengis.net/kml/2.2", **{"xmlns:gx": "http://www.google.com/kml/ext/2.2"})
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + element("kml", element("Document", element("name", escape(name)), element("open", "0"), *_styles(), *folders), xmlns="http://www.opengis.net/kml/2.2", **{"xmlns:gx": "http://www.google.com/kml/ext/2.2"})
 
 
 def road_area(v1: LatLon, v2: LatLon, width: float, extension: float) -> list[LatLon]:
@@ -150,30 +157,31 @@ def trip_kml(marked: DataFrame, found: DataFrame, fit_scale: float = 1.0, fit_ex
     spans = found.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("left", "right", "aux"))).alias("spans"))
     rows = marked.join(spans, "trip_id", "left").select("trip_id", "idx", "lat", "lon", "speed", "edge_explicit", "edge_id", "v1_lat", "v1_lon", "v2_lat", "v2_lon", (way_width(F.col("edge_way_type")) * fit_scale).alias("width"), (F.col("is_critical") | F.col("is_private")).alias("hidden"), "spans")
 
-    def draw(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values("idx", kind="stable")
-        places = [LatLon(a, b) for a, b in zip(trip["lat"].tolist(), trip["lon"].tolist())]
-        held = trip["spans"].iloc[0]
-        held = [] if held is None else list(held)
+    def draw(table: pa.Table) -> pa.Table:
+        trip = {c: table.column(c).to_pylist() for c in table.column_names if c not in ("trip_id", "idx", "spans")}
+        places = [LatLon(a, b) for a, b in zip(trip["lat"], trip["lon"])]
+        held = table.column("spans")[0].as_py() or []
         tagged = lambda test: [(s["left"], s["right"]) for s in held if any(test(a) for a in s["aux"])]
-        edges = trip.drop_duplicates(["edge_explicit", "edge_id"])
         boxes: dict[bool, list] = {True: [], False: []}
-        for e, width, *v in zip(edges["edge_explicit"], edges["width"].tolist(), *(edges[c].tolist() for c in ("v1_lat", "v1_lon", "v2_lat", "v2_lon"))):
+        seen = set()
+        for e, edge, width, *v in zip(*(trip[c] for c in ("edge_explicit", "edge_id", "width", "v1_lat", "v1_lon", "v2_lat", "v2_lon"))):
+            if (e, edge) in seen:
+                continue
+            seen.add((e, edge))
             ends = LatLon(*v[:2]), LatLon(*v[2:])
             boxes[bool(e)].append(road_area(*ends, width, fit_extension) if e else road_area(*ends, BOX_WIDTH, 0.0))
-        name = str(trip["trip_id"].iloc[0])
         content = document(
-            name,
-            trajectory(places, trip["speed"].tolist(), trip["hidden"].tolist()),
+            str(table.column("trip_id")[0].as_py()),
+            trajectory(places, trip["speed"], trip["hidden"]),
             areas(boxes[True], "explicit_boxes"),
             areas(boxes[False], "implicit_boxes"),
             intervals(tagged(lambda a: a == "stop"), places, "ci_intervals", "stop_marker_style"),
             intervals(tagged(lambda a: a in ("ta", "ta_fit")), places, "ci_intervals", "turnaround_marker_style"),
             intervals(tagged(lambda a: ":" in a), places, "priv_intervals"),
         )
-        return pd.DataFrame({"trip_id": trip["trip_id"].iloc[:1], "content": [content]})
+        return pa.table({"trip_id": table.column("trip_id").slice(0, 1), "content": [content]})
 
-    return rows.groupBy("trip_id").applyInPandas(draw, f"trip_id {marked.schema['trip_id'].dataType.simpleString()}, content string")
+    return fold_trips(rows, ["idx"], draw, f"trip_id {marked.schema['trip_id'].dataType.simpleString()}, content string")
 
 
 def write_kml(kml: DataFrame, folder_path: str) -> DataFrame:
