@@ -1,8 +1,10 @@
 """The grouped prefix join against all pairs."""
 
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,51 @@ def test_words_that_polynomials_confuse(spark):
     rows = [(1, f"a b {one} c d"), (2, f"a b {other} c d"), (3, f"a b {other} c d")]
     got = link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(tuple(r) for r in got.collect()) == expected(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]
+
+
+def test_postings_of_near_copies_and_tables_kept(spark, monkeypatch):
+    """A pair of near copies has one posting each, however long its texts; passages of texts of other sizes have none; no table outlasts its use."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6))
+    rows, tail = [], [word() for _ in range(40)]
+    for i in range(30):
+        base = [word() for _ in range(200)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:100] + [word()] + base[101:]))]
+    rows += [(100 + i, " ".join([word() for _ in range(100 * 2**i)] + tail)) for i in range(4)]
+    seen, stored = {}, jaccard_join.stored
+
+    def noted(df, folder, name):
+        out = stored(df, folder, name)
+        if name == "postings":
+            seen["postings"] = out.count()
+        if name == "final":
+            seen["kept"] = {x.split(".")[0] for x in os.listdir(folder)}
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    got = link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == expected(rows)
+    assert seen["postings"] == 60
+    assert not {x for x in seen["kept"] if re.match("units|postings|tokens|posted|heads|labelled|asked", x)}
+
+
+@pytest.mark.parametrize("percent", [1, 50, 75, 95, 100])
+def test_partners_by_size_and_place(percent):
+    """No two sets that may link by a first shingle in common are missed; sets of far sizes don't meet."""
+    rng = np.random.default_rng(percent)
+    for _ in range(200):
+        k = int(rng.integers(1, 12))
+        n = np.exp(rng.uniform(0, rng.choice([3, 8, 26]), k)).astype(np.int64) + 1 if rng.random() < 0.5 else rng.integers(1, 60, k)
+        pos = (rng.random(k) * jaccard_join.prefix_size(n, percent)).astype(np.int64)
+        token = rng.integers(0, 3, k).astype(np.uint64) << np.uint64(40)
+        key = jaccard_join._keys(token, n, pos, percent)
+        keys, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+        met, first = (x[back] for x in jaccard_join._partners(keys, counts))
+        for i in range(k):
+            others = [j for j in range(k) if j != i and token[j] == token[i]]
+            size = [j for j in others if 100 * min(n[i], n[j]) >= percent * max(n[i], n[j])]
+            assert met[i] or not size
+            assert first[i] or not [j for j in size if min(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= (n[i] + n[j]) * percent]
+            far = 2 * max(100 / percent, 1.05)
+            assert not met[i] or n.max() > 1000 or [j for j in others if min(n[i], n[j]) * far >= max(n[i], n[j]) - 8]
+            assert met[i] or not first[i]

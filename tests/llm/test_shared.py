@@ -56,3 +56,8 @@ def test_lookups_and_missing_parts(tmp_path):
         table[3]
     with pytest.raises(FileNotFoundError):
         shared.Mapped(str(tmp_path), "unsealed", parts, np.uint64)[0]
+
+
+def test_sums_that_wrap_around():
+    for counts in ([1, -5], [0, 255], [-1], [1 << 62, 3], []):
+        assert shared.spread(shared.squeeze(np.array(counts, np.int64))).tolist() == counts

@@ -4,8 +4,9 @@
    hash of their set.  A sketch of fixed size counts all shingles, and shingles
    are ordered by it, rare ones first.  Two sets that are similar enough share
    one of their first n - ceil(t * n) + 1 shingles, their prefixes.
-2. Units of identical prefix and size are one group.  Prefix shingles that two
-   groups or more have are found by exchanging hashes; only those give postings.
+2. Units of identical prefix and size are one group.  Prefix shingles that
+   groups of sizes and places that may link have are found by exchanging hashes;
+   of those in a prefix that the same groups have, the first gives postings.
 3. Group pairs pass a bound on size and one on what can follow the shared
    shingle in the prefixes.  The sets of the units concerned are kept on shared
    files, and workers verify pairs of units on the memory-mapped sets.
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, drop_all_but, find, gathered, mapped_file, owned, part_of, parts_of, save, seal, shared_folder, stored, tidy
+from .shared import BLOCKS, Mapped, Packer, drop, drop_all_but, find, gathered, mapped_file, owned, part_of, parts_of, save, seal, shared_folder, stored, take, tidy
 from .tokens import mix, rolling, slices, windows, words
 
 SHINGLE = 5
@@ -44,6 +45,10 @@ PERCENT = 75
 #: Counters of the sketch (4 bytes each; this many are broadcast).
 SKETCH = 1 << 21
 _STRIPES = 64
+#: Classes of set sizes between a size and the largest that it may link with; low bits of a shingle's key for the class of a size, and for the step from it to that of the largest partner.
+_STEPS, _CLASS_BITS, _STEP_BITS = 4, 9, 4
+#: Prefix shingles that are looked up together, at least.
+_TOGETHER = 200_000
 #: Leaders that units outside a component are tried against, turn by turn, before all pairs that are left.
 MORE_LEADERS = (8, 32, 128)
 
@@ -82,6 +87,37 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
 
 
+def _keys(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles at places in the prefixes of sets of n, as keys: the hash's upper bits, the class of n, and the step to the class of the largest set that may link if this is the first shingle in common."""
+    ratio = max(100 / percent, 1.05) ** (1 / _STEPS)
+    bounds = np.unique(np.ceil(ratio ** np.arange(int(40 * np.log(2) / np.log(ratio)))).astype(np.int64))[: (1 << _CLASS_BITS) - 1]
+    most = ((n - pos) * (100 + percent) - n * percent) // percent
+    own = np.searchsorted(bounds, n, side="right")
+    step = np.clip(np.searchsorted(bounds, most, side="right") - own + _STEPS + 1, 0, (1 << _STEP_BITS) - 1)
+    low = _CLASS_BITS + _STEP_BITS
+    return (token >> _U(low) << _U(low)) | (own << _STEP_BITS | step).astype(np.uint64)
+
+
+def _partners(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted distinct keys with their counts, those whose shingle a set of a size that may link has as well, and those where it may be the first in common with such a set."""
+    token = keys >> _U(_CLASS_BITS + _STEP_BITS)
+    low = (keys & _U((1 << _CLASS_BITS + _STEP_BITS) - 1)).astype(np.int64)
+    own = low >> _STEP_BITS
+    most = own + (low & (1 << _STEP_BITS) - 1) - _STEPS - 1
+    met = counts > 1
+    first = met & (own <= most)
+    i, by = np.arange(len(keys)), 1
+    while len(i):
+        i = i[i + by < len(keys)]
+        i = i[(token[i + by] == token[i]) & (own[i + by] - own[i] <= _STEPS + 1)]  # classes rise: what is too far stays so
+        j = i + by
+        met[i] = met[j] = True
+        ok = (own[j] <= most[i]) & (own[i] <= most[j])
+        first[i[ok]] = first[j[ok]] = True
+        by += 1
+    return met, first
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -196,15 +232,18 @@ def _have(ids: np.ndarray, table: Mapped) -> np.ndarray:
     return (find(keys, table)[1] >= 0)[back]
 
 
-def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int) -> DataFrame:
-    """token, unit, n, pos, last, most for prefix tokens that two groups or more have; one row for a group, under the name of its first unit.
+def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int, percent: int) -> DataFrame:
+    """token, unit, n, pos, last, most for prefix tokens that may be the first in common of two groups; one row for a group, under the name of its first unit.
 
-    most is how many of a set's shingles can be in a set of another group
+    Of a prefix's tokens that the same groups have, only the first is posted:
+    the others are not the first in common of any two.  most is how many of a
+    set's shingles can be in a set of another group of a size that may link
     whose prefix ends no earlier than its own (at ``last``): those after the
-    prefix, and those in it that another group's prefix has.
+    prefix, and those in it that such a group's prefix has.
     """
     heads, tags = _save_tags(groups, folder, "heads", parts)
-    tokens = Mapped(folder, "tokens", parts, np.uint64)
+    tokens, firsts = Mapped(folder, "tokens", parts, np.uint64), Mapped(folder, "tokens-first", parts, np.uint8)
+    posted, signs = Mapped(folder, "posted", parts, np.uint64), Mapped(folder, "posted-signs", parts, np.uint64)
 
     def own(batch: pa.RecordBatch) -> Iterator[tuple]:
         ids, tag = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False)
@@ -215,37 +254,77 @@ def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int) -> D
             if k >= 0 and (tag[same] == tags[p][k]).any():  # the row that stands for its unit
                 yield u, batch.column(1)[i].as_py(), batch.column(4)[i].as_py(), np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts)
+    def laid(rows: list) -> tuple[np.ndarray, ...]:
+        unit, n, last = (np.array([r[k] for r in rows], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+        size = np.array([len(r[3]) for r in rows])
+        row, token = np.repeat(np.arange(len(rows)), size), np.concatenate([r[3] for r in rows])
+        pos = np.arange(len(token)) - (np.cumsum(size) - size)[row]
+        return unit, n, last, size, row, pos, token, _keys(token, n[row], pos, percent)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Some rows at a time: their unit, n, last and prefix size, and of each of their tokens row, place, hash and key."""
         for batch in batches:
-            rows = [t for *_, t in own(batch)]
+            rows, held = [], 0
+            for r in own(batch):
+                rows.append(r)
+                held += len(r[3])
+                if held >= _TOGETHER:
+                    yield laid(rows)
+                    rows, held = [], 0
             if rows:
-                yield from packer.add(np.concatenate(rows))
+                yield laid(rows)
+
+    def look(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(key, return_inverse=True)
+        part, at = find(keys, tokens)
+        return (at >= 0)[back], (take(firsts, part, at) > 0)[back]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts)
+        for *_, key in keyed(batches):
+            yield from packer.add(key)
         yield from packer.flush()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, keys, counts = gathered(batches)
         if part is not None:
-            save(folder, "tokens", part, keys[counts > 1])
+            met, first = _partners(keys, counts)
+            save(folder, "tokens", part, keys[met])
+            save(folder, "tokens-first", part, first[met].astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], names=["n"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts)
+        for unit, *_, row, _, token, key in keyed(batches):
+            first = look(key)[1]
+            yield from packer.add(token[first], mix(unit)[row[first]].view(np.int64))
+        yield from packer.flush()
+
+    def keep_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, sums = gathered(batches)
+        if part is not None:
+            save(folder, "posted", part, keys)
+            save(folder, "posted-signs", part, sums.view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], names=["n"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(own(batch))
-            if not rows:
-                continue
-            unit, n, last = (np.array([r[k] for r in rows], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-            size = np.array([len(r[3]) for r in rows])
-            token = np.concatenate([r[3] for r in rows])
-            hit = _have(token, tokens)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            most = n - size + np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
-            each = [np.repeat(x, size)[hit] for x in (unit, n, last, most)]
-            yield pa.RecordBatch.from_arrays([_signed(token[hit]), _signed(each[0]), pa.array(each[1]), pa.array(pos[hit]), pa.array(each[2]), pa.array(each[3])], names=["token", "unit", "n", "pos", "last", "most"])
-
-    firsts = units.filter("n > 0").select("unit", "n", "prefix", "tag", "last")
-    owned(firsts.mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, "tokens")
-    return stored(firsts.mapInArrow(post, POSTING).distinct(), folder, "postings")
+        for unit, n, last, size, row, pos, token, key in keyed(batches):
+            met, first = look(key)
+            most = n - size + np.add.reduceat(met.astype(np.int64), np.cumsum(size) - size)
+            at = np.flatnonzero(first)
+            keys, back = np.unique(token[at], return_inverse=True)
+            who = take(signs, *find(keys, posted))[back]  # the sum over the groups that have it
+            order = np.lexsort((at, who, row[at]))
+            new = np.ones(len(at), bool)
+            new[1:] = (who[order][1:] != who[order][:-1]) | (row[at][order][1:] != row[at][order][:-1])
+            new &= who[order] != mix(unit)[row[at]][order]  # no other group has it
+            at = np.sort(at[order][new])
+            yield pa.RecordBatch.from_arrays([_signed(token[at]), _signed(unit[row[at]]), pa.array(n[row[at]]), pa.array(pos[at]), pa.array(last[row[at]]), pa.array(most[row[at]])], names=["token", "unit", "n", "pos", "last", "most"])
+
+    prefixes = units.filter("n > 0").select("unit", "n", "prefix", "tag", "last")
+    owned(prefixes.mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, "tokens", "tokens-first")
+    owned(prefixes.mapInArrow(sign, BLOCKS), parts, keep_signs, "n long", folder, "posted", "posted-signs")
+    return stored(prefixes.mapInArrow(post, POSTING).distinct(), folder, "postings")
 
 
 def _may_link(a: str, b: str, percent: int, first: bool = True):
@@ -402,7 +481,9 @@ def _several(everyone: DataFrame, label: DataFrame, folder: str, turn: int) -> D
     rows = stored(everyone.join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit")), folder, f"labelled{turn}")
     sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most_of"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    return stored(rows.join(split.select("token", F.col("most_of.label").alias("major"), F.col("most_of.k").alias("k")), "token"), folder, f"split{turn}")
+    out = stored(rows.join(split.select("token", F.col("most_of.label").alias("major"), F.col("most_of.k").alias("k")), "token"), folder, f"split{turn}")
+    drop(folder, f"labelled{turn}")
+    return out
 
 
 def _pair(p: str, q: str) -> list:
@@ -441,12 +522,16 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         sets = stored(units.filter("n > 0").groupBy("unit").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("tag").alias("tag"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("head1").alias("head1"), F.first("head2").alias("head2")), folder, f"sets{salt}")
         if sets.filter("c1 <> c2").isEmpty():
             break
+        drop(folder, f"units{salt}", f"sets{salt}")
         salt += 10  # two sets under one name: name them anew
     groups = stored(sets.groupBy("head1", "head2", "n").agg(F.min(F.struct("unit", "tag")).alias("first"), F.count(F.lit(1)).alias("members")).select("head1", "head2", "n", "first.*", "members"), folder, "groups")
     # a group's members beyond the first, with the group's name
     crowd = groups.filter("members > 1").select("head1", "head2", "n", F.col("unit").alias("head"))
     members = stored(sets.join(crowd, ["head1", "head2", "n"]).select("head", "unit").filter("head <> unit"), folder, "members")
-    postings = _postings(groups, units, folder, parts)
+    postings = _postings(groups, units, folder, parts, percent)
+    # prefixes have had their use
+    units = stored(units.select("doc_id", "text_hash", "n", "unit"), folder, "rows")
+    drop(folder, f"units{salt}", "heads", "heads-tags", "tokens", "tokens-first", "posted", "posted-signs")
 
     leader = postings.groupBy("token").agg(F.min(F.struct("unit", "n", "pos", "last", "most")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     star = postings.alias("p").join(leader.select("token", "lead.*").alias("q"), "token").filter("p.unit <> q.unit").filter(_may_link("p", "q", percent))
@@ -465,16 +550,19 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     zero = F.lit(0).cast("long")
     everyone = everyone.unionByName(crowded.select(own, "unit", "n", zero.alias("pos"), zero.alias("last"), F.col("n").alias("most")))
 
-    split = None
+    split, before = None, "postings"
     for turn, leaders in enumerate((*MORE_LEADERS, None)):
         if split is None:  # else it is as it was, as no link has been found since
             split = _several(everyone, label, folder, turn)
             everyone = split.select(everyone.columns)  # postings of one component stay so: components only grow
+            drop(folder, before)
+            before = f"split{turn}"
         if split.isEmpty():
             break
         pairs = _with_leaders(split, leaders, turn, percent) if leaders else _across(split, percent)
         pairs = stored(pairs, folder, f"asked{turn}")  # distinct before those that were tested go
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs{turn}")
+        drop(folder, f"asked{turn}")
         if pairs.isEmpty():
             continue
         held.append(_save_sets(rows, units, pairs, held, folder, f"held{turn}", parts, shingle, salt))
@@ -489,7 +577,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     named = sets.select("unit", "least").join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = stored(named.join(names, "label").select("unit", "component_id"), folder, "final")
-    drop_all_but(folder, f"units{salt}", "final")
+    drop_all_but(folder, "rows", "final")
     out = units.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("unit")).alias("unit")).filter("unit is not null").join(final, "unit").select("doc_id", "n_shingles", "component_id", "text_hash")
     return out.unionByName(units.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))
 

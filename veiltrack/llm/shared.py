@@ -66,6 +66,13 @@ def drop_all_but(folder: str, *names: str) -> None:
             (shutil.rmtree if entry.is_dir() else os.remove)(entry.path)
 
 
+def drop(folder: str, *names: str) -> None:
+    """Removes those tables and arrays from a folder of its own; nothing that is still to be computed reads them."""
+    for entry in os.scandir(folder):
+        if entry.name.partition(".")[0] in names:
+            (shutil.rmtree if entry.is_dir() else os.remove)(entry.path)
+
+
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -137,8 +144,8 @@ class Packer:
 
 
 def squeeze(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each that hold them all, after a byte that says how many."""
-    most = int(counts.max()) if len(counts) else 0
+    """Counts in the fewest bytes each that hold them all, after a byte that says how many; sums beyond 63 bits wrap around."""
+    most = int(counts.astype(np.uint64).max()) if len(counts) else 0
     width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
