@@ -195,3 +195,32 @@ def test_partners_by_size_and_place(percent):
             far = 2 * max(100 / percent, 1.05)
             assert not met[i] or n.max() > 1000 or [j for j in others if min(n[i], n[j]) * far >= max(n[i], n[j]) - 8]
             assert met[i] or not first[i]
+
+
+def test_tables_of_few_rows_have_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions shuffles have, a small input's tables and exchanges are dealt to two tasks a core at most."""
+    rows = corpus(8, 12, 4)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    most, files, stored, owned, exchanges = 2 * spark.sparkContext.defaultParallelism, {}, jaccard_join.stored, jaccard_join.owned, set()
+
+    def noted(df, folder, name):
+        out = stored(df, folder, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    def dealt(blocks, parts, *more):
+        exchanges.add(parts)
+        return owned(blocks, parts, *more)
+
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    monkeypatch.setattr(jaccard_join, "owned", dealt)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted(tuple(r) for r in link_documents(spark.read.parquet(f"{tmp_path}/docs")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == expected(rows)
+    assert exchanges == {most} and max(files.values()) <= most

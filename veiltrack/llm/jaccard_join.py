@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCKS, Mapped, Packer, drop, drop_all_but, find, gathered, mapped_file, owned, part_of, parts_of, save, seal, shared_folder, stored, take, tidy
+from .shared import BLOCKS, Mapped, Packer, drop, drop_all_but, find, gathered, mapped_file, owned, part_of, parts_of_tables, save, seal, shared_folder, stored, take, tidy
 from .tokens import mix, rolling, slices, windows, words
 
 SHINGLE = 5
@@ -118,6 +118,11 @@ def _partners(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return met, first
 
 
+def _table(df: DataFrame, folder: str, name: str, parts: int) -> DataFrame:
+    """df as a table of so many files at most, whatever the number of partitions of its last shuffle."""
+    return stored(df.coalesce(parts), folder, name)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -194,7 +199,7 @@ def _save_ids(df: DataFrame, column: str, folder: str, name: str, parts: int) ->
             save(folder, name, part, keys)
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], names=["n"])
 
-    owned(df.select(column).mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, name)
+    owned(df.select(column).coalesce(parts).mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, name)
     return Mapped(folder, name, parts, np.uint64)
 
 
@@ -324,7 +329,7 @@ def _postings(groups: DataFrame, units: DataFrame, folder: str, parts: int, perc
     prefixes = units.filter("n > 0").select("unit", "n", "prefix", "tag", "last")
     owned(prefixes.mapInArrow(pack, BLOCKS), parts, keep, "n long", folder, "tokens", "tokens-first")
     owned(prefixes.mapInArrow(sign, BLOCKS), parts, keep_signs, "n long", folder, "posted", "posted-signs")
-    return stored(prefixes.mapInArrow(post, POSTING).distinct(), folder, "postings")
+    return _table(prefixes.mapInArrow(post, POSTING).distinct(), folder, "postings", parts)
 
 
 def _may_link(a: str, b: str, percent: int, first: bool = True):
@@ -389,7 +394,7 @@ def _save_sets(docs: DataFrame, units: DataFrame, pairs: DataFrame, have: list[_
             yield batch.filter(pa.array(~gone))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("unit"))
-    missing = stored(ends.distinct().mapInArrow(lacking, "unit long"), folder, f"{name}-missing")
+    missing = _table(ends.distinct().coalesce(parts).mapInArrow(lacking, "unit long"), folder, f"{name}-missing", parts)
     if missing.isEmpty():
         for array in ("ids", "where"):
             seal(folder, f"{name}-{array}")
@@ -446,23 +451,23 @@ def _relabelled(edges: DataFrame, label: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, folder: str, name: str) -> DataFrame:
+def components(links: DataFrame, folder: str, name: str, parts: int) -> DataFrame:
     """unit, label (one unit of those that links reach, the same for all of them) for units that have links.
 
     Each turn every unit takes its smallest neighbour for its parent, parents
     are followed to their roots by pointer jumping, and the links between
     roots are the next turn's; they are a fraction of those before.
     """
-    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges0")
+    edges = _table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges0", parts)
     label, turn = None, 0
     while True:
         both = edges.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("unit"), F.col("a").alias("other")))
         root, jump = both.groupBy("unit").agg(F.min("other").alias("label")).select("unit", F.least("unit", "label").alias("label")), 0
         while True:
-            root = stored(root, folder, f"{name}-root{turn}-{jump}")
+            root = _table(root, folder, f"{name}-root{turn}-{jump}", parts)
             further = root.select(F.col("unit").alias("label"), F.col("label").alias("further"))
             next_root = root.join(further, "label").select("unit", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved"))
-            next_root, jump = stored(next_root, folder, f"{name}-next{turn}-{jump}"), jump + 1
+            next_root, jump = _table(next_root, folder, f"{name}-next{turn}-{jump}", parts), jump + 1
             if next_root.filter("moved").isEmpty():
                 break
             root = next_root.drop("moved")
@@ -470,18 +475,18 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             label = root
         else:
             step = root.select(F.col("unit").alias("label"), F.col("label").alias("to"))
-            label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")), folder, f"{name}-label{turn}")
-        edges, turn = stored(_relabelled(edges, root), folder, f"{name}-edges{turn + 1}"), turn + 1
+            label = _table(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")), folder, f"{name}-label{turn}", parts)
+        edges, turn = _table(_relabelled(edges, root), folder, f"{name}-edges{turn + 1}", parts), turn + 1
         if edges.isEmpty():
             return label
 
 
-def _several(everyone: DataFrame, label: DataFrame, folder: str, turn: int) -> DataFrame:
+def _several(everyone: DataFrame, label: DataFrame, folder: str, turn: int, parts: int) -> DataFrame:
     """Postings whose members lie in several components, with the label of each, the major label and how many members have it."""
-    rows = stored(everyone.join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit")), folder, f"labelled{turn}")
+    rows = _table(everyone.join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit")), folder, f"labelled{turn}", parts)
     sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most_of"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    out = stored(rows.join(split.select("token", F.col("most_of.label").alias("major"), F.col("most_of.k").alias("k")), "token"), folder, f"split{turn}")
+    out = _table(rows.join(split.select("token", F.col("most_of.label").alias("major"), F.col("most_of.k").alias("k")), "token"), folder, f"split{turn}", parts)
     drop(folder, f"labelled{turn}")
     return out
 
@@ -514,33 +519,33 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     spark = docs.sparkSession
     folder = shared_folder(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("tag"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    parts = parts_of(rows)
+    parts = parts_of_tables(rows)
     sketch = spark.sparkContext.broadcast(_sketch(rows, shingle))
     salt = 11
     while True:
-        units = stored(_units(rows, sketch, shingle, percent, salt), folder, f"units{salt}")
-        sets = stored(units.filter("n > 0").groupBy("unit").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("tag").alias("tag"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("head1").alias("head1"), F.first("head2").alias("head2")), folder, f"sets{salt}")
+        units = _table(_units(rows, sketch, shingle, percent, salt), folder, f"units{salt}", parts)
+        sets = _table(units.filter("n > 0").groupBy("unit").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("tag").alias("tag"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("head1").alias("head1"), F.first("head2").alias("head2")), folder, f"sets{salt}", parts)
         if sets.filter("c1 <> c2").isEmpty():
             break
         drop(folder, f"units{salt}", f"sets{salt}")
         salt += 10  # two sets under one name: name them anew
-    groups = stored(sets.groupBy("head1", "head2", "n").agg(F.min(F.struct("unit", "tag")).alias("first"), F.count(F.lit(1)).alias("members")).select("head1", "head2", "n", "first.*", "members"), folder, "groups")
+    groups = _table(sets.groupBy("head1", "head2", "n").agg(F.min(F.struct("unit", "tag")).alias("first"), F.count(F.lit(1)).alias("members")).select("head1", "head2", "n", "first.*", "members"), folder, "groups", parts)
     # a group's members beyond the first, with the group's name
     crowd = groups.filter("members > 1").select("head1", "head2", "n", F.col("unit").alias("head"))
-    members = stored(sets.join(crowd, ["head1", "head2", "n"]).select("head", "unit").filter("head <> unit"), folder, "members")
+    members = _table(sets.join(crowd, ["head1", "head2", "n"]).select("head", "unit").filter("head <> unit"), folder, "members", parts)
     postings = _postings(groups, units, folder, parts, percent)
     # prefixes have had their use
-    units = stored(units.select("doc_id", "text_hash", "n", "unit"), folder, "rows")
+    units = _table(units.select("doc_id", "text_hash", "n", "unit"), folder, "rows", parts)
     drop(folder, f"units{salt}", "heads", "heads-tags", "tokens", "tokens-first", "posted", "posted-signs")
 
     leader = postings.groupBy("token").agg(F.min(F.struct("unit", "n", "pos", "last", "most")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     star = postings.alias("p").join(leader.select("token", "lead.*").alias("q"), "token").filter("p.unit <> q.unit").filter(_may_link("p", "q", percent))
     star = star.select(F.col("q.unit").alias("a"), F.col("p.unit").alias("b")).unionByName(members.select(F.col("head").alias("a"), F.col("unit").alias("b")))
-    star = stored(star.distinct(), folder, "star")
+    star = _table(star.distinct(), folder, "star", parts)
 
     held = [_save_sets(rows, units, star, [], folder, "star", parts, shingle, salt)]
-    links = stored(_verify(star.repartition("a", "b"), held, percent), folder, "links")
-    label, tested = components(links, folder, "first"), star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _table(_verify(star.repartition("a", "b").coalesce(parts), held, percent), folder, "links", parts)
+    label, tested = components(links, folder, "first", parts), star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # postings by unit, a group's members included
     everyone = postings.unionByName(postings.withColumnRenamed("unit", "head").join(members, "head").drop("head"))
@@ -553,30 +558,30 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     split, before = None, "postings"
     for turn, leaders in enumerate((*MORE_LEADERS, None)):
         if split is None:  # else it is as it was, as no link has been found since
-            split = _several(everyone, label, folder, turn)
+            split = _several(everyone, label, folder, turn, parts)
             everyone = split.select(everyone.columns)  # postings of one component stay so: components only grow
             drop(folder, before)
             before = f"split{turn}"
         if split.isEmpty():
             break
         pairs = _with_leaders(split, leaders, turn, percent) if leaders else _across(split, percent)
-        pairs = stored(pairs, folder, f"asked{turn}")  # distinct before those that were tested go
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs{turn}")
+        pairs = _table(pairs, folder, f"asked{turn}", parts)  # distinct before those that were tested go
+        pairs = _table(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs{turn}", parts)
         drop(folder, f"asked{turn}")
         if pairs.isEmpty():
             continue
         held.append(_save_sets(rows, units, pairs, held, folder, f"held{turn}", parts, shingle, salt))
-        more = stored(_verify(pairs.repartition("a", "b"), held, percent), folder, f"more{turn}")
+        more = _table(_verify(pairs.repartition("a", "b").coalesce(parts), held, percent), folder, f"more{turn}", parts)
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
-            step = components(_relabelled(more, label), folder, f"turn{turn}").select(F.col("unit").alias("label"), F.col("label").alias("to"))
+            step = components(_relabelled(more, label), folder, f"turn{turn}", parts).select(F.col("unit").alias("label"), F.col("label").alias("to"))
             alone = step.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("unit"), F.col("to").alias("label"))
-            label = stored(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, f"label{turn}")
+            label = _table(label.join(step, "label", "left").select("unit", F.coalesce("to", "label").alias("label")).unionByName(alone), folder, f"label{turn}", parts)
             split = None
 
     named = sets.select("unit", "least").join(label, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = stored(named.join(names, "label").select("unit", "component_id"), folder, "final")
+    final = _table(named.join(names, "label").select("unit", "component_id"), folder, "final", parts)
     drop_all_but(folder, "rows", "final")
     out = units.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("unit")).alias("unit")).filter("unit is not null").join(final, "unit").select("doc_id", "n_shingles", "component_id", "text_hash")
     return out.unionByName(units.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))

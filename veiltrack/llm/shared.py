@@ -32,6 +32,8 @@ from ..session import checkpoint_root
 
 #: Bytes of input, by Spark's estimate, for each part of an exchange of blocks, and the most parts.
 PART_BYTES, MOST_PARTS = 256 << 20, 1 << 15
+#: Bytes of input for each part where one query makes many exchanges and tables, most of them small.
+TABLE_BYTES = 8 << 20
 BLOCKS = "part int, keys binary, counts binary"
 #: Keys that a task gathers before it packs and sends them.
 FLUSH_KEYS = 1_000_000
@@ -102,6 +104,13 @@ def parts_of(docs: DataFrame) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MOST_PARTS))
 
 
+def parts_of_tables(docs: DataFrame) -> int:
+    """Partitions for a query that makes many exchanges and tables of one input: those of parts_of, but no more than one for each TABLE_BYTES of it, or two a core.  Tasks of a few rows cost more than their rows."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = max(-(-size // TABLE_BYTES), 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    return min(parts_of(docs), wanted)
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Key ranges of equal width: the part of a uniform 64-bit key."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
