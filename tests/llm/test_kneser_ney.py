@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veiltrack.llm.kneser_ney import discounts, score_held_out
+from veiltrack.llm.kneser_ney import _slices, discounts, score_held_out
 from veiltrack.llm.queries import op1_lm_scoring
 
 from .test_tokens import thue_morse
@@ -159,3 +160,8 @@ def test_words_that_polynomials_confuse(spark):
     rows = [(d, one) for d in range(20) if not held(d)] + [(out, other)]
     got = {r.doc_id: r.n_known for r in score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.pop(out) == 1 and set(got.values()) == {2}
+
+
+def test_some_megabytes_are_looked_up_together():
+    """Fewer lookups a token than slice by slice of one megabyte; longer texts are still bounded slices."""
+    assert list(_slices(pa.array(["a b " * 250_000] * 9))) == [(0, 4), (4, 8), (8, 9)]

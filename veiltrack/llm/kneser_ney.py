@@ -61,6 +61,9 @@ ORDER = 3
 ROUNDS = 3
 HEAVY = 32
 
+#: Bytes of text whose words, pairs and triples are looked up together: a larger share of them repeats than in less text, and they stand closer in the tables.
+TOGETHER_BYTES = 4 << 20
+
 _U = np.uint64
 _IDS = _U(0xFFFFFFFF)
 #: The end of a text, as a word's hash.
@@ -96,6 +99,10 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return slices(texts, TOGETHER_BYTES)
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every text's words and its end, and n + 1 offsets."""
     w = words(texts, lower=True)
@@ -226,7 +233,7 @@ def train(docs: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> Model:
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
+            for lo, hi in _slices(batch.column(0)):
                 yield from packer.add(_tokens(batch.column(0).slice(lo, hi - lo))[0])
         yield from packer.flush()
 
@@ -251,7 +258,7 @@ def train(docs: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> Model:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
+            for lo, hi in _slices(batch.column(0)):
                 token, at = _tokens(batch.column(0).slice(lo, hi - lo))
                 ids = _ids(token, vocabulary, first_id)
                 yield from packer.add(_key(_pairs(ids, at, types), ids))
@@ -321,7 +328,7 @@ def train(docs: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> Model:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packer = Packer(parts)
             for batch in batches:
-                for lo, hi in slices(batch.column(0)):
+                for lo, hi in _slices(batch.column(0)):
                     token, at = _tokens(batch.column(0).slice(lo, hi - lo))
                     ids = _ids(token, vocabulary, first_id)
                     before = _pairs(ids, at, types)
@@ -456,8 +463,8 @@ class _Scorer:
         before = _pairs(ids, at, m.types)
         low_each = low[back]
         p = low_each.copy()
-        history, which = np.unique(before, return_inverse=True)
-        total, n1, n2, n3 = (self._take(name, history) for name in ("total", "n1", "n2", "n3"))
+        which = _pairs(back, at, len(keys))  # histories are the slice's words, and after them the start of a text
+        total, n1, n2, n3 = (self._take(name, np.append(id_of, m.types)) for name in ("total", "n1", "n2", "n3"))
         d = m.pair_discounts
         safe = np.maximum(total, 1)
         gamma = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / safe, 1.0)
@@ -539,7 +546,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
+            for lo, hi in _slices(batch.column(0)):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(x) for x in scorer.score(part.column(0)))], names=[*part.schema.names[1:], "n_tokens", "n_known", "base_score", "score"])
 
