@@ -239,11 +239,12 @@ class Mapped:
 
     def __init__(self, folder: str, name: str, parts: int, dtype):
         self.path, self.parts, self.dtype, self.there = os.path.join(folder, name), parts, np.dtype(dtype), None
+        self.seen: set[int] = set()
 
     def __getitem__(self, part: int) -> np.ndarray:
         key = (self.path, part)
         own = _maps.get(key)
-        if own is not None:
+        if own is not None and part in self.seen:
             _maps.move_to_end(key)
             return own
         if self.there is None:
@@ -251,10 +252,12 @@ class Mapped:
                 self.there = set(json.load(f))
         if part not in self.there:
             return np.empty(0, self.dtype)
+        os.stat(f"{self.path}.{part}")  # an earlier view's map may outlast its file
+        self.seen.add(part)
         return mapped_file(f"{self.path}.{part}", self.dtype, key)
 
     def __getstate__(self):
-        return {**self.__dict__, "there": None}
+        return {**self.__dict__, "there": None, "seen": set()}
 
 
 def find(keys: np.ndarray, table: Mapped) -> tuple[np.ndarray, np.ndarray]:
